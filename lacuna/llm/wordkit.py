@@ -145,3 +145,35 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the k words from each word on, and whether they all lie in one text."""
+    n = len(h)
+    out, ok = np.zeros(n, U64), np.ones(n, bool)
+    whole = max(n - k + 1, 0)
+    for j in range(k):
+        out[:whole] += h[j : j + whole] * _STEP[j]
+    for j in range(1, k):
+        at = first[1:] - j
+        ok[at[at >= first[:-1]]] = False
+    return mixed(out + U64(k)), ok
+
+
+class Found:
+    """Membership in a fixed set of 64-bit hashes: a small table of marks first, then a sorted search."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 22):
+        self.keys = np.unique(keys.astype(U64))
+        self.mask = U64((1 << bits) - 1)
+        self.marks = np.zeros(1 << bits, bool)
+        self.marks[self.keys & self.mask] = True
+
+    def where(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h of members, and which member stands there."""
+        at = np.flatnonzero(self.marks[h & self.mask])
+        if not len(self.keys) or not len(at):
+            return at[:0], at[:0]
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        good = self.keys[k] == h[at]
+        return at[good], k[good]
