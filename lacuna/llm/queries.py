@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, mixing, sharding, wavelet
+from .store import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file lies; the same on all machines."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    wavelet.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return wavelet.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "segment")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -62,6 +76,7 @@ SELECT doc_id, size, source_size, target,
 
 def queries() -> dict:
     return {
+        "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
