@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, wavelet
+from . import decontaminate, jaccard, mixing, sharding, wavelet
 from .store import fresh_path
 
 
@@ -31,6 +31,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_md5"))
@@ -78,6 +82,7 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
     }

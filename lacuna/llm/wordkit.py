@@ -139,7 +139,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     out[long] = mixed(run[pick[long]] + U64(k))
     for i in np.flatnonzero((count > 0) & (count < k)):
         v = h[first[i] : first[i + 1]]
-        out[at[i]] = mixed(np.sum(v * _STEP[: len(v)], dtype=U64) + U64(len(v)))[()] if len(v) else 0
+        out[at[i]] = mixed(np.array([np.sum(v * _STEP[: len(v)], dtype=U64)]) + U64(len(v)))[0]
     return out, at
 
 
