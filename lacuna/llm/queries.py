@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, sharding, wavelet
+from . import decontaminate, jaccard, lattice, mixing, sharding, wavelet
 from .store import fresh_path
 
 
@@ -35,6 +35,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_md5"))
@@ -83,6 +87,7 @@ def queries() -> dict:
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_lm_scores": op7_lm_scores,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
     }
