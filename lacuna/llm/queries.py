@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, mixing, sharding, wavelet
+from . import decontaminate, jaccard, lattice, mixing, quality, sharding, wavelet
+from .labelled import fold
 from .store import fresh_path
 
 
@@ -31,6 +32,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
+    out = quality.score(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -86,6 +94,7 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
+        "op4_quality": op4_quality,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_lm_scores": op7_lm_scores,
         "op8_sharding": op8_sharding,
