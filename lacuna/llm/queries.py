@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, mixing, quality, sharding, wavelet
+from . import decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
 from .labelled import fold
 from .store import fresh_path
 
@@ -59,6 +59,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=3, held=1)
+    out = toxicity.tag(docs, field)
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
@@ -99,6 +106,7 @@ def queries() -> dict:
         "op7_lm_scores": op7_lm_scores,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
