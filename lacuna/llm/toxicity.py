@@ -201,7 +201,7 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keep) if keep.count() <= 4_000_000 else keep, "doc_id", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_words: int = 100_000, least: int = 4, strength: float = 2.0, most_rows: int = 6000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_words: int = 100_000, least: int = 4, strength: float = 2.5, most_rows: int = 6000) -> Field:
     """A field from the labelled rows outside the held-out fold.
 
     The lexicon comes from all of them: words that stand in at least `least` different surroundings in toxic texts, so
@@ -225,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_
             clean = int(c)
         else:
             n[int(k)] = c
-    odds = np.log((t + 0.5) / (total + 1)) - np.log((n + 0.5) / (clean + 1))
+    sure = np.maximum(t - 2 * np.sqrt(t), 0.0)  # what is left of a count after two standard errors
+    odds = np.log((sure + 0.5) / (total + 1)) - np.log((n + 0.5) / (clean + 1))
     keep = np.flatnonzero(odds >= strength)
     keep = np.sort(keep[np.argsort(-odds[keep], kind="stable")][:most_words])
     words, odds = W.Found(words.keys[keep]), odds[keep]
@@ -251,7 +252,8 @@ def _tag(sent, full: bool) -> Callable:
                 place, k, before, after = _lexicon_places(w, w.hashes(), field.words)
                 doc = np.searchsorted(w.first, place, "right") - 1
                 p = field.marginals(doc, place - w.first[doc], field.evidence(k, before, after), np.diff(w.first))
-                sums.append(np.log(np.bincount(doc, p, hi - lo) + 1e-3))
+                clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 0.999)), hi - lo))
+                sums.append(np.log(1 - clean + 1e-3) - np.log(clean + 1e-3))
                 if full:
                     chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                     own: list[list[dict]] = [[] for _ in range(hi - lo)]
@@ -271,7 +273,7 @@ def _tag(sent, full: bool) -> Callable:
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """Adds score, the chance that a document is toxic, and spans: code point offsets of its toxic words with their
-    chances (columns so named are replaced). A score comes from the log of the summed marginals. Only text is looked at;
+    chances (columns so named are replaced). A score comes from the chance that any word is toxic, its marginals taken as independent. Only text is looked at;
     null and empty texts have no spans and the lowest score; equal texts get equal results."""
     rows = docs.drop("score", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
