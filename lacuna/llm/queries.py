@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
+from . import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
 from .labelled import fold
 from .store import fresh_path
 
@@ -39,6 +39,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    one = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("t"))
+    both = turns.unionByName(one.select("conv_id", "t.turn", "t.role", F.lit(said).alias("text")))
+    path = fresh_path(spark, "chat")
+    chat.chat_windows(both, tokenizer=tokenizer_file("byte_bpe_50k.json")).write.parquet(path)
+    return chat.digests(spark.read.schema(chat.SCHEMA).parquet(path))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -102,6 +112,7 @@ def queries() -> dict:
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
         "op4_quality": op4_quality,
+        "op5_chat": op5_chat,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_lm_scores": op7_lm_scores,
         "op8_sharding": op8_sharding,
