@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
+from . import ann, chat, decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
 from .labelled import fold
 from .store import fresh_path
 
@@ -32,6 +32,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
@@ -111,6 +116,7 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
+        "op3_nearest": op3_nearest,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op6_jaccard_join": op6_jaccard_join,
