@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import running
+from .store import running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +39,10 @@ def source_targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     return tried.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17) -> DataFrame:
     """Adds source_size, target and taken to rows of doc_id, source and size (and more columns).
 
@@ -47,8 +51,7 @@ def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     budget, where the row across the cut goes in if at least half of it lies before. taken is size times the copies.
     Null ids share one key; equal rows differ by place only. Empty rows (size 0) take 0. No rows: no rows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    lined = running(rows.withColumn("_key", key), ["source", "_key", "doc_id", "size"], {"_start": "size"}, "mix", within=["source"])
+    lined = running(rows.withColumn("_key", _key(seed)), ["source", "_key", "doc_id", "size"], {"_start": "size"}, "mix", within=["source"])
     targets = source_targets(rows, weights, share, most_repeats).withColumnRenamed("source", "_source").drop("weight")
     both = lined.join(F.broadcast(targets) if _few(targets) else targets, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -58,6 +61,22 @@ def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return both.withColumn("taken", F.col("size") * copies).withColumn("copies", copies).select(*rows.columns, "source_size", "target", "taken", "copies")
 
 
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs (doc_id, source, text and more) as often as it is taken, columns unchanged.
+
+    A source's cut is one place in its line of keys, so the rows need no join by id: a table of cuts, a row a source,
+    tells each row its copies. Rows without words stand in the line too.
+    """
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = mix(narrow, weights, share, most_repeats, seed).withColumn("_key", _key(seed))
+    most = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
+    cuts = taken.withColumn("_epochs", most).groupBy("source").agg(F.max("_epochs").alias("_epochs"), F.max(F.when((F.col("copies") > F.col("_epochs")) & (F.col("size") > 0), F.col("_key"))).alias("_last"))
+    cuts = written(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+    keyed = docs.withColumn("_key", _key(seed)).join(F.broadcast(cuts) if _few(cuts) else cuts, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_epochs") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
+    return keyed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
 def _few(targets: DataFrame, most: int = 100_000) -> bool:
     """Whether the sources are few enough to send to every task."""
     return targets.limit(most + 1).count() <= most
