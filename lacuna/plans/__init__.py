@@ -1 +1,22 @@
-"""Price bands for markets that close: a Spark library."""
+"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+_MODULES = ("panel_queries",)
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in _MODULES:
+        out |= import_module(f".{m}", __name__).QUERIES
+    return out
+
+
+def queries() -> dict:
+    return {k: f for k, (f, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _all().items() if sql is not None}
