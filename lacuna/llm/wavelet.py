@@ -6,6 +6,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,12 +29,13 @@ def encode_matrix(tokens: np.ndarray) -> bytes:
     Ids become ranks by frequency, so the upper planes hold few ones and compress well; plane 0 is the top bit. Each
     block stands alone, raw or compressed, with its place and the ones before it in the header.
     """
-    alphabet, codes, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    counts = np.bincount(tokens) if len(tokens) else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(counts)
+    order = np.argsort(-counts[alphabet], kind="stable")
     wide = np.uint16 if len(order) <= 1 << 16 else np.uint32
-    x = rank.astype(wide)[codes]
+    rank = np.zeros(len(counts), wide)
+    rank[alphabet[order]] = np.arange(len(order))
+    x = rank[tokens]
     planes = max(1, int(len(order) - 1).bit_length()) if len(order) else 0
     squeeze = zstandard.ZstdCompressor(level=1)
     body, zeros, table = [], [], []
@@ -152,6 +154,7 @@ class WaveletMatrix:
 
 
 _kept: dict[str, tuple] = {}
+_end_marks: dict[str, np.ndarray] = {}
 
 
 def _tokenizer(path: str):  # noqa: ANN202
@@ -165,11 +168,88 @@ def _tokenizer(path: str):  # noqa: ANN202
     return _kept[path]
 
 
+def _cut(own: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+    """Distinct words without the marks after their last letter, as a dictionary array; which words had some; and those."""
+    bare = pc.ascii_rtrim(own, ".,;:!?")
+    core = pc.if_else(pc.match_substring_regex(bare, r"\p{L}$"), bare, own)
+    had = np.flatnonzero(np.asarray(pc.binary_length(core)) != np.asarray(pc.binary_length(own)))
+    size = np.asarray(pc.binary_length(core))[had]
+    tails = [w.encode()[n:].decode() for w, n in zip(own.take(pa.array(had)).to_pylist(), size.tolist(), strict=True)]
+    return core.dictionary_encode(), had, tails
+
+
+def _pool(own: pa.Array, tokenizer, kept: dict[str, bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """The ids of distinct words, end to end, and their offsets. Marks after a word's last letter are always pieces of
+    their own, so they and what stands before them are looked up apart: fewer new words."""
+    core, had, tails = _cut(own) if plain else (own.dictionary_encode(), np.zeros(0, np.int64), [])
+    names = core.dictionary.to_pylist()
+    ends = list(dict.fromkeys(tails))
+    _learn([w for w in names if w not in kept] + [w for w in ends if w not in kept], tokenizer, kept)
+    parts = [*map(kept.__getitem__, names), *map(kept.__getitem__, ends)]
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)])
+    place = {w: len(names) + i for i, w in enumerate(ends)}
+    many = np.ones(len(own), np.int64)
+    many[had] = 2
+    first = np.cumsum(many) - many
+    parts_of = np.empty(int(many.sum()), np.int64)
+    parts_of[first] = np.asarray(core.indices)
+    parts_of[first[had] + 1] = [place[w] for w in tails]
+    out = _gathered(flat, at, size, parts_of)
+    total = np.concatenate([[0], np.cumsum(size[parts_of])])
+    return out, total[np.append(first, len(parts_of))]
+
+
+def _learn(new: list[str], tokenizer, kept: dict[str, bytes], run: int = 500) -> None:  # noqa: ANN001
+    """Encodes new words. Where the tokenizer marks a word's last piece, words of letters go in runs, and those marks
+    tell them apart; a run whose marks don't add up is done word by word."""
+    last = _ends(tokenizer)
+    letters = [w for w in new if w.isalpha()] if last is not None else []
+    rest = [w for w in new if not w.isalpha()] if last is not None else new
+    for i in range(0, len(letters), run):
+        some = letters[i : i + run]
+        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        stop = np.flatnonzero(last[ids]) + 1
+        if len(stop) != len(some) or stop[-1] != len(ids):
+            rest += some
+            continue
+        raw, stop = ids.tobytes(), (stop * 4).tolist()
+        for w, a, b in zip(some, [0, *stop[:-1]], stop, strict=True):
+            kept[w] = raw[a:b]
+    for i in range(0, len(rest), 1000):
+        some = rest[i : i + 1000]
+        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            kept[w] = array("I", e.ids).tobytes()
+
+
+def _ends(tokenizer) -> np.ndarray | None:  # noqa: ANN001
+    """Which ids end a word, if the tokenizer's pieces say so."""
+    mark = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not mark:
+        return None
+    if mark not in _end_marks:
+        out = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        for piece, i in tokenizer.get_vocab().items():
+            out[i] = piece.endswith(mark)
+        _end_marks[mark] = out
+    return _end_marks[mark]
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """flat's runs at[i], of size[i] values, for each i of index, end to end."""
+    n = size[index]
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    shift = (at[index] - ends + n).astype(np.int32)
+    return flat[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
+
+
 def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, an end after each, and their n + 1 offsets.
 
-    by_word: the tokenizer never joins text across blanks, so each distinct word of a column is encoded once, and those
-    met lately not again. Otherwise whole texts are encoded.
+    by_word: the tokenizer lower-cases and never joins text across blanks or letters with marks, so each distinct word
+    of a column is encoded once, and those met lately not again. Otherwise whole texts are encoded.
     """
     tokenizer, kept = _tokenizer(path)
     if not by_word:
@@ -177,26 +257,16 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool =
         n = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
     else:
-        split = pc.ascii_split_whitespace(texts)
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a text may spell a special token
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
         known = split.flatten().dictionary_encode()
-        own = known.dictionary.to_pylist()
         if len(kept) > most_kept:
             kept.clear()
-        new = [w for w in own if w not in kept]
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, np.uint32).tobytes()
-        parts = [kept[w] for w in own]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)])
-        index = np.asarray(known.indices).astype(np.int64)
-        n_of = size[index]
-        ends = np.cumsum(n_of)
-        flat = pool[np.repeat(at[index] - ends + n_of, n_of) + np.arange(ends[-1] if len(ends) else 0)] if len(pool) else np.zeros(0, np.uint32)
-        offsets = np.asarray(split.offsets).astype(np.int64)
-        total = np.concatenate([[0], ends])
-        n = np.diff(total[offsets])
+        pool, at = _pool(known.dictionary, tokenizer, kept, plain)
+        index, size = np.asarray(known.indices), np.diff(at)
+        flat = _gathered(pool, at, size, index)
+        total = np.concatenate([[0], np.cumsum(size[index])])
+        n = np.diff(total[np.asarray(split.offsets)])
     if end_id is None:
         return flat, np.concatenate([[0], np.cumsum(n)])
     first = np.concatenate([[0], np.cumsum(n + 1)])
@@ -224,7 +294,7 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
         held = 0
         for b in batches:
             texts, doc = W.column(b, "text"), b.column(b.schema.get_field_index("doc_id"))
-            for lo, hi in W.slices(texts):
+            for lo, hi in W.slices(texts, 6 << 20):
                 flat, first = encode_texts(texts.slice(lo, hi - lo), path, end_id, by_word)
                 tokens.append(flat)
                 sizes.append(np.diff(first))
