@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_quantile(p: float) -> float:
@@ -31,13 +32,13 @@ def chi2_tail(x: float, k: int) -> float:
     return min(max(out, 0.0), 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
     """The tail of a chi-square variable; null stays null."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) else chi2_tail(float(a), int(b)) for a, b in zip(x, k, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     nd = NormalDist()
     return p.map(lambda v: nd.inv_cdf(v) if v is not None and 0 < v < 1 else np.nan)
