@@ -45,7 +45,7 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, value, event_id: the event stream as a price tape."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value", "event_id", "user_id")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "user_id")
 
 
 def daily_paths(root: str, start: dt.date, end: dt.date, key: tuple[str, str] | None = None) -> list[str]:
