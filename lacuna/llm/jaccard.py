@@ -46,10 +46,32 @@ def _digests(k: int) -> Callable:
     return run
 
 
-def _prefixes(k: int, percent: int, marks, reach: int = 1) -> Callable:
-    """Of each set met for the first time by a task, its prefix in the global order: rare shingles by hash, then the
-    marked ones by hash. Any two sets at the asked similarity share a shingle of both prefixes. reach times as many, and
-    no ids, are given for counting."""
+def _prefix(n, percent: int):  # noqa: ANN001, ANN202
+    """How many of a set's first members any similar set must share one of; n is a number or an array."""
+    return n - -(-n * percent // 100) + 1
+
+
+def _reach(n, percent: int):  # noqa: ANN001, ANN202
+    """Half as many again: of so many, similar sets share a good part."""
+    return np.minimum(n, -(-3 * _prefix(n, percent) // 2))
+
+
+def _least_shared(n: int, percent: int) -> int:
+    """How many of a set's first _reach members any similar set must share, whatever its size.
+
+    Of two sets the overlap is at least percent / (100 + percent) of both sizes; what lies beyond the reach of the one whose
+    reach ends first can't be more than its rest. That bound is concave in the other size, so its ends are the least.
+    """
+    out = n
+    for m in {max(1, -(-n * percent // 100)), n * 100 // percent}:
+        overlap = -(-percent * (n + m) // (100 + percent))
+        out = min(out, overlap - max(n - int(_reach(n, percent)), m - int(_reach(m, percent))))
+    return max(out - 3, 1)  # rounding may move each part by one
+
+
+def _prefixes(k: int, percent: int, marks) -> Callable:
+    """Of each set met for the first time by a task, its first members in the global order: without marks by hash, as far
+    as _reach; with marks as far as _prefix, unmarked members first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -68,18 +90,16 @@ def _prefixes(k: int, percent: int, marks, reach: int = 1) -> Callable:
                         continue
                     if len(seen) < 2_000_000:
                         seen.add(key)
-                    p = min(n, (n - -(-n * percent // 100) + 1) * reach)
                     if common is None:
-                        own = u[:p]
+                        own = u[: int(_reach(n, percent))]
                     else:
                         often = common[u & low]
-                        own = np.concatenate([u[~often], u[often]])[:p]
+                        own = np.concatenate([u[~often], u[often]])[: _prefix(n, percent)]
                     tokens.append(own)
                     doc.append(np.full(len(own), ids[lo + i], np.int64))
                     size.append(np.full(len(own), n, np.int32))
                 if tokens:
-                    t = pa.array(W.signed(np.concatenate(tokens)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([t], ["token"]) if reach > 1 else pa.RecordBatch.from_arrays([t, pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["token", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(tokens)), pa.int64()), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["token", "doc", "n"])
 
     return run
 
@@ -106,12 +126,13 @@ class SetTrie:
             differ = np.flatnonzero(a[:m] != b[:m])
             self.common[i] = differ[0] if len(differ) else m
 
-    def similar(self, probe: np.ndarray, percent: int) -> list[int]:
+    def similar(self, probe: np.ndarray, percent: int, open_: np.ndarray | None = None) -> list[int]:
         """The sets whose Jaccard similarity with the probe is at least percent / 100.
 
         The walk carries the overlap of the shared path, so what sets have in common is compared once. A subtree goes
-        unread if even all that can still match, in it or in the probe, would not do.
+        unread if even all that can still match, in it or in the probe, would not do, or if open_ has none of its sets.
         """
+        todo = None if open_ is None else np.concatenate([[0], np.cumsum(open_[self.order])])
         k = np.minimum(np.searchsorted(self.keys, probe), max(len(self.keys) - 1, 0))
         own = np.sort(self.rank[k[self.keys[k] == probe]]) if len(self.keys) else np.zeros(0, np.int64)
         flag = np.zeros(len(self.keys), bool)
@@ -120,6 +141,8 @@ class SetTrie:
         stack = [(0, len(self.paths), 0, 0)] if self.paths else []
         while stack:
             lo, hi, depth, overlap = stack.pop()
+            if todo is not None and todo[lo] == todo[hi]:
+                continue
             path = self.paths[lo]
             to = int(self.size[lo]) if hi - lo == 1 else int(self.common[lo + 1 : hi].min())
             overlap += int(np.count_nonzero(flag[path[depth:to]]))
@@ -172,35 +195,120 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part_size: int = 256, few: int = 3_000_000) -> DataFrame:
+class _Joined:
+    """Components of a few documents, as links come."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+
+def _block(k: int, percent: int) -> Callable:
+    """Rows sorted by hub and pair of parts: links between documents of the two parts whose components differ so far.
+
+    The second part (or the only one) stands in a trie; each document of the first walks it, past subtrees that hold
+    only documents of its own component, so of a group's links just those that join components are looked for.
+    """
+
+    def found(first: list, second: list) -> list[tuple[int, int]]:
+        joined, out = _Joined(), []
+        trie = SetTrie([x[2] for x in second])
+        labels = np.array([x[1] for x in second], np.int64)
+        for doc, comp, own in first:
+            now = np.array([joined.root(c) for c in labels.tolist()], np.int64) if joined.up else labels
+            for i in trie.similar(own, percent, now != joined.root(comp)):
+                a, b = joined.root(comp), joined.root(int(labels[i]))
+                if a != b:
+                    joined.up[max(a, b)] = min(a, b)
+                    out.append((doc, second[i][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, out = None, ([], []), []
+        for b in batches:
+            texts = W.column(b, "text")
+            hub, i, j, side, doc, comp = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("hub", "i", "j", "side", "doc", "comp"))
+            for lo, hi in W.slices(texts):
+                for r, u in enumerate(_sets(texts, lo, hi, k), lo):
+                    key = (hub[r], i[r], j[r])
+                    if key != now:
+                        if now is not None:
+                            out += found(sides[0], sides[1] if now[1] != now[2] else sides[0])
+                        now, sides = key, ([], [])
+                    sides[side[r]].append((doc[r], comp[r], u))
+            yield _pairs(out)
+            out = []
+        if now is not None:
+            yield _pairs(found(sides[0], sides[1] if now[1] != now[2] else sides[0]))
+
+    return run
+
+
+def _texts(docs: DataFrame, ids: DataFrame, few: int = 3_000_000) -> DataFrame:
+    """The documents of some ids, which go to all tasks if they are few, else are joined by shuffle."""
+    ids = written(ids.distinct(), "wanted-ids")
+    return written(docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi"), "wanted-texts")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, part_size: int = 256) -> DataFrame:
     """Those of pairs (a, b) whose texts are similar: b's text goes to its hub a, at most part_size to a task's block."""
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
     there = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     ours = hubs.select(F.col("a").alias("hub"), F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = written(there.unionByName(ours), "wanted")
-    ids = written(wanted.select(F.col("doc").alias("doc_id")).distinct(), "wanted-ids")
-    ids = F.broadcast(ids) if ids.count() <= few else ids
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "wanted-texts")
-    rows = wanted.join(texts, F.col("doc") == F.col("doc_id")).select("hub", "part", "doc", "text")
-    dealt = rows.repartition(tasks_for(docs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", (F.col("doc") != F.col("hub")))
+    rows = there.unionByName(ours).join(texts, F.col("doc") == F.col("doc_id")).select("hub", "part", "doc", "text")
+    dealt = rows.repartition(tasks_for(texts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", (F.col("doc") != F.col("hub")))
     return dealt.mapInArrow(_check(k, percent), "a long, b long")
 
 
-def _marks(docs: DataFrame, k: int, percent: int, often: int):  # noqa: ANN202
-    """One bit for each shingle seen in the first prefixes of many documents, at its hash's low bits.
+def _within(members: DataFrame, texts: DataFrame, k: int, percent: int, part_size: int = 1024) -> DataFrame:
+    """Links inside hubs' groups (hub, doc, comp), between documents whose components differ so far.
+
+    A group is cut into parts of about part_size, those of its hub's component apart; each pair of parts, but for two of
+    that component, makes a block of bounded size, so a large group spreads over many tasks and no pairs are listed.
+    """
+    side = members.withColumn("own", F.col("comp") == F.col("hub_comp"))
+    count = side.groupBy("hub", "own").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
+    placed = side.join(count, ["hub", "own"]).withColumn("p", F.pmod(F.xxhash64("doc"), F.col("parts")) * 2 + F.col("own").cast("int")).select("hub", "doc", "comp", "p", "own")
+    parts = written(placed.select("hub", "p", "own").distinct(), "parts")
+    x, y = parts.select("hub", F.col("p").alias("i"), F.col("own").alias("oi")), parts.select("hub", F.col("p").alias("j"), F.col("own").alias("oj"))
+    blocks = written(x.join(y, "hub").where("i <= j AND NOT (oi AND oj)").select("hub", "i", "j"), "blocks")
+    first = blocks.join(placed, (blocks["hub"] == placed["hub"]) & (blocks["i"] == placed["p"])).select(blocks["hub"], "i", "j", F.lit(0).alias("side"), "doc", "comp")
+    second = blocks.where("i != j").join(placed, (blocks["hub"] == placed["hub"]) & (blocks["j"] == placed["p"])).select(blocks["hub"], "i", "j", F.lit(1).alias("side"), "doc", "comp")
+    rows = first.unionByName(second).join(texts, F.col("doc") == F.col("doc_id")).select("hub", "i", "j", "side", "doc", "comp", "text")
+    dealt = rows.repartition(tasks_for(texts.sparkSession), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.mapInArrow(_block(k, percent), "a long, b long")
+
+
+def _shared(entries: DataFrame, same: DataFrame) -> DataFrame:
+    """Entries (token, doc, n) of tokens that two classes or more have, documents as their classes' first, with g, how
+    many have the token."""
+    group = Window.partitionBy("token").orderBy("doc")
+    seen = entries.withColumns({"before": F.lag("doc").over(group), "after": F.lead("doc").over(group)})
+    found = written(seen.where("before IS NOT NULL OR after IS NOT NULL").select("token", "doc", "n"), "shared-prefixes")
+    found = found.join(same.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("token", F.col("rep").alias("doc"), "n").distinct()
+    size = found.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
+    return written(found.join(size, "token"), "shared-classes")
+
+
+def _marks(shared: DataFrame, often: int) -> np.ndarray:
+    """One bit for each shingle that many documents have, at its hash's low bits.
 
     The table has 2^24 bits whatever the input. A bit that stands for another shingle too changes the order for all
     documents alike, so it costs candidates, never a link.
     """
-    counted = docs.mapInArrow(_prefixes(k, percent, None, 2), "token long").groupBy("token").count().where(F.col("count") >= often)
-    spot = F.col("token").bitwiseAND((1 << MARK_BITS) - 1)
-    words = counted.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((token & {(1 << MARK_BITS) - 1}) & 63 as int))")).alias("bits")).toPandas()
+    spot = f"(token & {(1 << MARK_BITS) - 1})"
+    words = shared.where(F.col("g") >= often).groupBy(F.expr(f"shiftright({spot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({spot} & 63 as int))")).alias("bits")).toPandas()
     table = np.zeros(1 << (MARK_BITS - 6), np.uint64)
     table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, often: int = 64) -> DataFrame:
+def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, often: int = 64, light: int = 24) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: groups of documents joined by links.
 
     Words are runs without blanks, A-Z as a-z; a document's set holds its distinct shingles, or its whole sequence if it
@@ -208,10 +316,11 @@ def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, of
     reachable. Null, empty and blank texts have empty sets and stand alone; equal sets link; rows that share a doc_id
     count as one document; a null doc_id stands alone and has no component_id. Other columns are not read.
 
-    1. Equal sets become one class. 2. Prefixes in one global order give candidates; shingles found in many prefixes go
-    last in that order, so passages that many documents share make few. 3. In each shingle's group all are compared with
-    its first document alone; links so found make provisional components. 4. Pairs of a group that are in different
-    components, and whose shared prefix parts leave the similarity possible, are compared too, so nothing is lost.
+    1. Equal sets become one class. 2. The first members of sets by hash are counted; a document that shares too few of
+    its own can have no link and stands alone, as most do. 3. Prefixes of the others in one global order give candidates;
+    shingles that many have go last in it. 4. In groups of at most `light` documents at a shingle, pairs whose shared prefix
+    parts leave the similarity possible are compared. 5. A larger group goes to its hub, the document that shares most;
+    all are compared with it, then, in blocks, those that are in different components.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -221,29 +330,41 @@ def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, of
     same = written(some.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "set-members")
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    marks = spark.sparkContext.broadcast(_marks(texts, shingle, percent, often))
-    entries = texts.mapInArrow(_prefixes(shingle, percent, marks), "token long, doc long, n int")
-    group = Window.partitionBy("token").orderBy("n", "doc")
-    seen = entries.withColumns({"hub": F.first("doc").over(group), "hub_n": F.first("n").over(group), "next": F.lead("doc").over(group)})
-    shared = seen.where("next IS NOT NULL OR doc != hub").drop("next")
-    as_rep = lambda c, new: same.select(F.col("doc_id").alias(c), F.col("rep").alias(new))
-    shared = written(shared.join(as_rep("doc", "_r"), "doc").withColumn("doc", F.col("_r")).drop("_r").join(as_rep("hub", "_r"), "hub").withColumn("hub", F.col("_r")).drop("_r").distinct(), "shared-prefixes")
+    counted = _shared(texts.mapInArrow(_prefixes(shingle, percent, None), "token long, doc long, n int"), same)
+    marks = spark.sparkContext.broadcast(_marks(counted, often))
+    enough = F.udf(lambda n: _least_shared(n, percent), "int")
+    sizes = counted.groupBy("doc", "n").agg(F.count("*").alias("c"))
+    least = sizes.select("n").distinct().withColumn("least", enough("n"))
+    active = written(sizes.join(least, "n").where("c >= least").select(F.col("doc").alias("doc_id")), "active")
+    wanted = _texts(docs, active)
+    shared = _shared(wanted.mapInArrow(_prefixes(shingle, percent, marks), "token long, doc long, n int"), same)
+
+    heavy = shared.where(F.col("g") > light)
+    weight = shared.groupBy("doc").agg(F.sum("g").alias("s"))
+    hubs = heavy.join(weight, "doc").groupBy("token").agg(F.max(F.struct("s", -F.col("doc"), "n")).alias("h")).select("token", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
+    starred = written(heavy.join(hubs, "token").select("hub", "doc", "n", "hub_n").distinct(), "hubs")
 
     prefix = lambda n: n - F.ceil(n * percent / 100) + 1
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     left = F.greatest(F.col("na") - prefix(F.col("na")), F.col("nb") - prefix(F.col("nb")))
-    possible = (F.col("c") + left) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    stars = shared.where("doc != hub").groupBy(F.col("hub").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("c"), F.min("hub_n").alias("na"), F.min("n").alias("nb"))
-    first = written(_similar(written(stars.where(fits & possible).select("a", "b"), "stars"), docs, shingle, percent), "links-1")
+    possible = (F.col("c") + F.least("ha", "hb") + left) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    extra = heavy.groupBy("doc").agg(F.count("*").alias("h"))
+    few = shared.where(F.col("g") <= light).join(extra, "doc", "left").select("token", "doc", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    x, y = (few.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "h")]) for s in "xy")
+    pairs = x.join(y, "token").where(f"n_x <= n_y AND n_x * 100 >= n_y * {percent} AND (n_x < n_y OR doc_x < doc_y)")
+    pairs = pairs.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("c"), F.min("n_x").alias("na"), F.min("n_y").alias("nb"), F.min("h_x").alias("ha"), F.min("h_y").alias("hb"))
+    stars = starred.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).where(fits)
+    tried = written(pairs.where(possible).select("a", "b").union(stars.select("a", "b")).distinct(), "pairs")
+    first = written(_similar(tried, wanted, shingle, percent), "links")
     near = components(first)
 
-    placed = shared.select("token", "doc", "n").distinct().join(near, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-    placed = written(placed.join(mixed, "token", "left_semi"), "mixed-groups")
-    x, y = (placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "comp")]) for s in "xy")
-    cross = x.join(y, "token").where(f"comp_x != comp_y AND n_x <= n_y AND n_x * 100 >= n_y * {percent} AND (n_x < n_y OR doc_x < doc_y)")
-    cross = cross.groupBy(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("c"), F.min("n_x").alias("na"), F.min("n_y").alias("nb"))
-    second = _similar(written(cross.where(fits & possible).select("a", "b"), "cross-pairs"), docs, shingle, percent)
+    label = near.select(F.col("node").alias("_n"), "component")
+    members = starred.join(label, F.col("doc") == F.col("_n"), "left").select("hub", "doc", F.coalesce("component", "doc").alias("comp"))
+    of_hub = starred.select("hub").distinct().join(label, F.col("hub") == F.col("_n"), "left").select("hub", F.coalesce("component", "hub").alias("hub_comp"))
+    members = members.unionByName(of_hub.select("hub", F.col("hub").alias("doc"), F.col("hub_comp").alias("comp"))).distinct().join(of_hub, "hub")
+    members = written(members, "members")
+    apart = members.groupBy("hub").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("hub")
+    second = _within(members.join(apart, "hub", "left_semi"), wanted, shingle, percent)
     links = first.union(second).union(same.where("doc_id != rep").select("doc_id", "rep"))
     last = components(links).withColumnRenamed("node", "_node")
     return digests.join(last, F.col("doc_id") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
