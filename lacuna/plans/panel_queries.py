@@ -70,12 +70,17 @@ def r(c: str, n: int = 6):  # noqa: ANN201
     return F.round(F.col(c), n).alias(c)
 
 
+def r_signed(c: str, n: int = 6):  # noqa: ANN201
+    """Rounded in binary, so that a small negative value keeps its sign as -0.0, like SQL's round of a double."""
+    return (F.rint(F.col(c) * 10.0**n) / 10.0**n).alias(c)
+
+
 def q_daily_bars(s, d):  # noqa: ANN001, ANN201
     return M.daily_bars(s, d).select("symbol", "ts", r("open"), r("high"), r("low"), r("close"), F.round("volume", 2).alias("volume"))
 
 
 def q_gap_panel(s, d):  # noqa: ANN001, ANN201
-    return panel(s, d).select("symbol", "fri_ts", "mon_ts", "gap_days", r("fri_close", 8), r("mon_open", 8), r("fri_vol_20d"), r("factor_ret"), r("vix", 4), "regime_pub", r("rel_resid"), r("sigma"), r("score", 4))
+    return panel(s, d).select("symbol", "fri_ts", "mon_ts", "gap_days", r("fri_close", 8), r("mon_open", 8), r("fri_vol_20d"), r("factor_ret"), r("vix", 4), "regime_pub", r_signed("rel_resid"), r("sigma"), r("score", 4))
 
 
 def q_overnight_pairs(s, d):  # noqa: ANN001, ANN201
