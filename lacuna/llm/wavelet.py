@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -168,20 +169,32 @@ def _tokenizer(path: str):  # noqa: ANN202
     return _kept[path]
 
 
-def _cut(own: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
-    """Distinct words without the marks after their last letter, as a dictionary array; which words had some; and those."""
+def _cut(own: pa.Array, tokenizer) -> tuple[pa.Array, np.ndarray, list[str]]:  # noqa: ANN001
+    """Distinct words without the marks after their last letter, as a dictionary array; which words had some; and those.
+
+    The split pattern sees words as the normalizer leaves them, and some letters become a letter and a combining mark,
+    which goes with the marks after it; so only words that still end in a letter then are cut.
+    """
     bare = pc.ascii_rtrim(own, ".,;:!?")
-    core = pc.if_else(pc.match_substring_regex(bare, r"\p{L}$"), bare, own)
-    had = np.flatnonzero(np.asarray(pc.binary_length(core)) != np.asarray(pc.binary_length(own)))
+    had = np.flatnonzero(np.asarray(pc.binary_length(bare)) != np.asarray(pc.binary_length(own)))
+    ends = bare.take(pa.array(had))
+    good = pc.match_substring_regex(ends, "[A-Za-z]$").to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(pc.match_substring_regex(ends, r"[^\x00-\x7F]$").to_numpy(zero_copy_only=False))
+    form = tokenizer.normalizer.normalize_str if tokenizer.normalizer is not None else str
+    good[other] = [unicodedata.category(form(w)[-1:] or " ")[0] == "L" for w in ends.take(pa.array(other)).to_pylist()]
+    had = had[good]
+    cut = np.zeros(len(own), bool)
+    cut[had] = True
+    core = pc.if_else(pa.array(cut), bare, own)
     size = np.asarray(pc.binary_length(core))[had]
     tails = [w.encode()[n:].decode() for w, n in zip(own.take(pa.array(had)).to_pylist(), size.tolist(), strict=True)]
     return core.dictionary_encode(), had, tails
 
 
 def _pool(own: pa.Array, tokenizer, kept: dict[str, bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """The ids of distinct words, end to end, and their offsets. Marks after a word's last letter are always pieces of
-    their own, so they and what stands before them are looked up apart: fewer new words."""
-    core, had, tails = _cut(own) if plain else (own.dictionary_encode(), np.zeros(0, np.int64), [])
+    """The ids of distinct words, end to end, and their offsets. Marks after a letter that the normalizer leaves as
+    a letter are pieces of their own, so they and what stands before them are looked up apart: fewer new words."""
+    core, had, tails = _cut(own, tokenizer) if plain else (own.dictionary_encode(), np.zeros(0, np.int64), [])
     names = core.dictionary.to_pylist()
     ends = list(dict.fromkeys(tails))
     _learn([w for w in names if w not in kept] + [w for w in ends if w not in kept], tokenizer, kept)

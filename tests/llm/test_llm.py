@@ -84,6 +84,14 @@ def test_encoding_by_word_equals_encoding_whole_texts():
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
+def test_marks_after_letters_that_the_normalizer_takes_apart():
+    ends = ["\u0130", "\u09b9\u09df", "\u095e", "\ufb2a", "\u0f43", "\u03a3", "\u1100\u1161", "e\u0301"]
+    texts = pa.array([f"{e}. x{e}?! {e},;y{e}: {e}" for e in ends] + [" ".join(f"a{chr(c)}." for c in range(128, 0x30000) if chr(c).isalpha())])
+    a = wavelet.encode_texts(texts, tokenizer_file(), 1)
+    b = wavelet.encode_texts(texts, tokenizer_file(), 1, by_word=False)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
 def test_decontamination_against_brute_force(spark, documents, nothing):
     items = [(1, " ".join(BASE.split()[10:40]).title()), (2, "word"), (3, None), (4, "..."), (5, prose(20, 9)), (10, " ".join(BASE.split()[12:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
