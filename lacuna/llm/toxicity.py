@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import wordkit as W
 from .labelled import calibrate, chance, fold, sampled, taught
+from .store import written
 
 
 @dataclass
@@ -95,20 +96,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i]).view(np.int64)) for i in (0, 1)], ["word", "around"])
 
 
-def _occurrences(sent) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: W.Found = sent.value
-        total, all_ = np.zeros(len(words.keys), np.int64), 0
-        for b in batches:
-            texts = W.column(b, "text")
-            for lo, hi in W.slices(texts):
-                h = W.words(texts, lo, hi, W.ALNUM_WORDS).hashes()
-                total += np.bincount(words.where(h)[1], minlength=len(total))
-                all_ += len(h)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(total[k], all_), pa.int64())], ["k", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a run of texts, and how often they stand there."""
+    for b in batches:
+        texts = W.column(b, "text")
+        for lo, hi in W.slices(texts):
+            word, n = np.unique(W.words(texts, lo, hi, W.ALNUM_WORDS).hashes(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(word)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
 def _pieces(sent, length: int) -> Callable:
@@ -201,35 +195,31 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keep) if keep.count() <= 4_000_000 else keep, "doc_id", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, most_words: int = 100_000, least: int = 4, strength: float = 2.5, most_rows: int = 6000) -> Field:
+def _lexicon(bad: DataFrame, good: DataFrame, least: int, strength: float) -> tuple[W.Found, np.ndarray]:
+    """Words toxic enough, and their log odds. Counts of all words are joined in tasks; only what is kept comes here."""
+    around = bad.select("text").mapInArrow(_contexts, "word long, around long").distinct().groupBy("word").agg(F.count("*").alias("t"))
+    around = written(around, "toxic-around")
+    seen = written(good.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "toxic-clean")
+    total, clean = (x.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for x, c in ((around, "t"), (seen, "n")))
+    sure = F.greatest(F.col("t") - 2 * F.sqrt("t"), F.lit(0.0))  # what is left of a count after two standard errors
+    odds = F.log((sure + 0.5) / (total + 1)) - F.log((F.coalesce("n", F.lit(0)) + 0.5) / (clean + 1))
+    found = around.where(F.col("t") >= least).join(seen, "word", "left").select("word", odds.alias("odds")).where(F.col("odds") >= strength).toArrow()
+    keys = found["word"].to_numpy().view(np.uint64)
+    return W.Found(keys), found["odds"].to_numpy()[np.argsort(keys)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, least: int = 4, strength: float = 2.5, most_rows: int = 6000) -> Field:
     """A field from the labelled rows outside the held-out fold.
 
     The lexicon comes from all of them: words that stand in at least `least` different surroundings in toxic texts, so
-    that near copies don't count, and at a share e^strength times that in clean ones; the strongest most_words at most.
+    that near copies don't count, and at a share e^strength times that in clean ones; all such words, however rare.
     The field is fitted to runs of words from a sample of about most_rows texts of either kind, and the curve to document
     sums over it (documented bounds). No toxic labels: an empty lexicon and a flat curve.
     """
     spark = docs.sparkSession
-    rows = _once(taught(docs, labels, "toxic", folds, held))
+    rows = written(_once(taught(docs, labels, "toxic", folds, held)), "toxic-taught")
     bad, good = rows.where("y = 1"), rows.where("y = 0")
-    around = bad.select("text").mapInArrow(_contexts, "word long, around long").distinct().groupBy("word").agg(F.count("*").alias("t"))
-    total = around.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-    found = around.where(F.col("t") >= least).orderBy(F.desc("t"), "word").limit(2 * most_words).toPandas()
-    words = W.Found(found["word"].to_numpy(np.int64).view(np.uint64))
-    t = np.zeros(len(words.keys))
-    t[np.searchsorted(words.keys, found["word"].to_numpy(np.int64).view(np.uint64))] = found["t"]
-    seen = good.select("text").mapInArrow(_occurrences(spark.sparkContext.broadcast(words)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    n, clean = np.zeros(len(words.keys)), 0
-    for k, c in zip(seen["k"], seen["n"], strict=True):
-        if k < 0:
-            clean = int(c)
-        else:
-            n[int(k)] = c
-    sure = np.maximum(t - 2 * np.sqrt(t), 0.0)  # what is left of a count after two standard errors
-    odds = np.log((sure + 0.5) / (total + 1)) - np.log((n + 0.5) / (clean + 1))
-    keep = np.flatnonzero(odds >= strength)
-    keep = np.sort(keep[np.argsort(-odds[keep], kind="stable")][:most_words])
-    words, odds = W.Found(words.keys[keep]), odds[keep]
+    words, odds = _lexicon(bad, good, least, strength)
 
     sent = spark.sparkContext.broadcast(words)
     parts = [sampled(x, most_rows // 2, 23, x.count()) for x in (bad, good)]

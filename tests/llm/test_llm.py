@@ -278,6 +278,25 @@ def test_toxicity_finds_words_and_spans(spark, nothing):
     assert toxicity.tag(docs, flat).count() == len(rows) and toxicity.tag(nothing, field).count() == 0
 
 
+def test_toxic_words_are_not_crowded_out_by_frequent_ones(spark):
+    rng, many = np.random.default_rng(8), 205_000
+    often = [f"w{i}" for i in range(many)]
+
+    def texts(times: int) -> list[str]:
+        line = [often[i] for _ in range(times) for i in rng.permutation(many)]
+        return [" ".join(line[i : i + 5000]) for i in range(0, len(line), 5000)]
+
+    bad = texts(5)
+    for i in range(4):
+        bad[i] += " vilefoo"
+    rows = [(t, 1) for t in bad] + [(t, 0) for t in texts(10)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    field = toxicity.fit(docs, labels, held=3, strength=-1.0)
+    w = toxicity.W.words(pa.array(["vilefoo"]), 0, 1, toxicity.W.ALNUM_WORDS)
+    assert field.words.keys.tolist() == w.hashes().tolist() and len(field.odds) == 1
+
+
 def test_field_marginals_equal_enumeration():
     words = toxicity.W.Found(np.array([5, 9], np.uint64))
     f = toxicity.Field(words, np.array([1.0, 2.0]), np.array([0.5, -0.3]), np.array([-1.0, 0.7, 0.2, 0.1]), np.array([[0.0, -0.8], [0.3, -0.1]]), (1.0, 0.0))
