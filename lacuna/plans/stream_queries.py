@@ -26,7 +26,7 @@ def q_live_bars(s, d):  # noqa: ANN001, ANN201
 
 def q_forward_only(s, d):  # noqa: ANN001, ANN201
     at = _shared(s)
-    live.drain(live.forward_only(live.event_stream(s, f"{d}/events.parquet")), f"{at}/out", f"{at}/checkpoint", "update")
+    live.forward_only(live.event_stream(s, f"{d}/events.parquet"), f"{at}/out", f"{at}/checkpoint")
     return s.read.parquet(f"{at}/out").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("accepted").alias("accepted"))
 
 

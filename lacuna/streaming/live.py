@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.market import append_new
 
@@ -30,24 +26,38 @@ def live_bars(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return bars.select("symbol", F.col("window.start").alias("bar"), F.col("a.value").alias("open"), "high", "low", F.col("z.value").alias("close"), "n")
 
 
-def forward_only(updates: DataFrame) -> DataFrame:
-    """Per symbol, how many ticks a store takes that only moves forward in event time, a row a batch and symbol.
+def forward_only(updates: DataFrame, path: str, checkpoint: str) -> None:
+    """Per symbol, how many ticks a store takes that only moves forward in event time: runs over all that is there, then
+    stops. A row a batch and symbol goes to path/batch=N, replaced if run again.
 
-    The state of a symbol is the newest time taken; ticks of a batch come by event_id.
+    Ticks of a batch come by event_id, equal ids by time; those without a time are not taken. A batch is range-sorted into
+    parts and written; the newest time of each symbol in the parts before and the stored one go ahead of a running maximum
+    in the part, so no task needs all ticks of a symbol. The newest times after each batch lie in path-newest/batch=N.
     """
+    spark = updates.sparkSession
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, taken, seen = (state.get[0] if state.exists else -(1 << 62)), 0, 0
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        for t in rows["us"].to_numpy():
-            seen += 1
-            if t >= last:
-                last, taken = int(t), taken + 1
-        state.update((last,))
-        yield pd.DataFrame({"symbol": [key[0]], "n": [seen], "accepted": [taken], "last_us": [last]})
-
-    rows = updates.select("symbol", F.unix_micros("ts").alias("us"), "event_id")
-    return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, n long, accepted long, last_us long", "last_us long", "update", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, n: int) -> None:
+        old = spark.read.parquet(f"{path}-newest/batch={n - 1}") if n > 0 else spark.createDataFrame([], "symbol string, last_us long")
+        rows = batch.select("symbol", F.unix_micros("ts").alias("us"), "event_id")
+        order, sorted_at = ["symbol", "event_id", "us"], f"{path}-sorted/batch={n}"
+        dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(sorted_at)
+        parts = spark.read.parquet(sorted_at)
+        tops = parts.groupBy("_part", "symbol").agg(F.max("us").alias("_top"))
+        earlier = Window.partitionBy("symbol").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        stored = old.select(F.col("symbol").alias("_symbol"), "last_us")
+        tops = tops.withColumn("_before", F.max("_top").over(earlier)).join(stored, F.col("symbol").eqNullSafe(F.col("_symbol")), "left")
+        before = tops.select(F.col("_part").alias("_p"), F.col("symbol").alias("_s"), F.greatest("_before", "last_us").alias("_before"), "last_us")
+        inside = Window.partitionBy("_part", "symbol").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+        lined = parts.withColumn("_own", F.max("us").over(inside)).join(before, (F.col("_part") == F.col("_p")) & F.col("symbol").eqNullSafe(F.col("_s")))
+        newest = F.greatest("_before", "_own")
+        taken = F.col("us").isNotNull() & (newest.isNull() | (F.col("us") >= newest))
+        out = lined.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(taken, 1)).alias("accepted"), F.greatest(F.max("us"), F.max("last_us")).alias("last_us"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        both = old.unionByName(spark.read.parquet(f"{path}/batch={n}").select("symbol", "last_us"))
+        both.groupBy("symbol").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(f"{path}-newest/batch={n}")
+
+    updates.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: list[str] | None = None) -> None:

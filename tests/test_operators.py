@@ -127,3 +127,26 @@ def test_bootstrap_repeats_and_brackets(spark):
     df = spark.createDataFrame([(i % 30, float(i % 7 == 0)) for i in range(900)], "d long, v double").withColumn("g", F.lit(1))
     a, b = (resample.block_bootstrap(x, "d", ["g"], "v").first() for x in (df, df.repartition(7)))
     assert a["lo"] == pytest.approx(b["lo"]) and a["lo"] < a["mean"] < a["hi"]
+
+
+def test_forward_only_deals_out_a_symbol_and_keeps_its_newest_time(spark, tmp_path):
+    from lacuna.streaming import live
+
+    rng, folder, out = np.random.default_rng(4), f"{tmp_path}/in", f"{tmp_path}/out"
+    newest, schema = {}, "event_id long, ts timestamp, user_id long, event_type string, value double"
+    for n in range(2):
+        rows = []
+        for i in rng.permutation(400).tolist():
+            t = None if i % 50 == 0 else pd.Timestamp(2024, 1, 1) + pd.Timedelta(seconds=i + 300 * n + int(rng.integers(0, 60)))
+            rows.append((i + 1000 * n, t, 1, "view" if i % 8 else None if i % 16 else "rare", 1.0))
+        spark.createDataFrame([(i, None if t is None else t.to_pydatetime(), *x) for i, t, *x in rows], schema).write.mode("append").parquet(folder)
+        live.forward_only(live.event_stream(spark, folder), out, f"{tmp_path}/checkpoint")
+        want = {}
+        for _, t, _, s, _ in sorted(rows, key=lambda r: r[0]):
+            seen, taken = want.get(s, (0, 0))
+            ok = t is not None and (s not in newest or t >= newest[s])
+            newest |= {s: t} if ok else {}
+            want[s] = (seen + 1, taken + ok)
+        assert {r["symbol"]: (r["n"], r["accepted"]) for r in spark.read.parquet(f"{out}/batch={n}").collect()} == want
+        parts = spark.read.parquet(f"{out}-sorted/batch={n}").where("symbol = 'view'").groupBy("_part").count().collect()
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 300
