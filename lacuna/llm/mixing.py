@@ -43,15 +43,15 @@ def _key(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17) -> DataFrame:
+def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17, ties: Sequence[str] = ()) -> DataFrame:
     """Adds source_size, target and taken to rows of doc_id, source and size (and more columns).
 
     A source's rows get keys that look random (md5 of seed and id) and are sorted by them; prefix sums of sizes place
     each row in its source's line. The line is taken whole as often as the target holds it, then once more up to the
     budget, where the row across the cut goes in if at least half of it lies before. taken is size times the copies.
-    Null ids share one key; equal rows differ by place only. Empty rows (size 0) take 0. No rows: no rows.
+    Null ids share one key; rows of one id and size come by the columns of ties; equal rows differ by place only. Empty rows (size 0) take 0. No rows: no rows.
     """
-    lined = running(rows.withColumn("_key", _key(seed)), ["source", "_key", "doc_id", "size"], {"_start": "size"}, "mix", within=["source"])
+    lined = running(rows.withColumn("_key", _key(seed)), ["source", "_key", "doc_id", "size", *ties], {"_start": "size"}, "mix", within=["source"])
     targets = source_targets(rows, weights, share, most_repeats).withColumnRenamed("source", "_source").drop("weight")
     both = lined.join(F.broadcast(targets) if _few(targets) else targets, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -65,16 +65,33 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     """The mix itself: each row of docs (doc_id, source, text and more) as often as it is taken, columns unchanged.
 
     A source's cut is one place in its line of keys, so the rows need no join by id: a table of cuts, a row a source,
-    tells each row its copies. Rows without words stand in the line too.
+    tells each row its copies. Rows of one key, as those without an id, come by id, size and hashes of all columns; if the
+    cut falls among wholly equal rows, as many of them as stand before it are taken once more. Rows without words stand
+    in the line too.
     """
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = mix(narrow, weights, share, most_repeats, seed).withColumn("_key", _key(seed))
+    size, hashes = word_count(F.col("text")), {f"_h{i}": F.xxhash64(F.lit(i), *docs.columns) for i in (1, 2)}
+    narrow = docs.select("doc_id", "source", size.alias("size"), *[h.alias(c) for c, h in hashes.items()])
+    taken = mix(narrow, weights, share, most_repeats, seed, list(hashes)).withColumn("_key", _key(seed))
     most = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
-    cuts = taken.withColumn("_epochs", most).groupBy("source").agg(F.max("_epochs").alias("_epochs"), F.max(F.when((F.col("copies") > F.col("_epochs")) & (F.col("size") > 0), F.col("_key"))).alias("_last"))
-    cuts = written(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+    taken = taken.withColumn("_epochs", most).withColumn("_rest", F.struct("doc_id", "size", *hashes))
+    more = (F.col("copies") > F.col("_epochs")) & (F.col("size") > 0)
+    lasts = taken.groupBy("source").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(more, F.struct("_key", "_rest"))).alias("_cut"))
+    lasts = written(lasts.select(F.col("source").alias("_source"), "_epochs", F.col("_cut._key").alias("_last"), F.col("_cut._rest").alias("_last_rest")), "mix-lasts")
+    at_last = (F.col("_key") == F.col("_last")) & (F.col("_rest") == F.col("_last_rest"))
+    both = taken.drop("_epochs").join(F.broadcast(lasts) if _few(lasts) else lasts, F.col("source").eqNullSafe(F.col("_source")) & at_last)
+    ties = both.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_tied"), F.count(F.when(F.col("copies") > F.col("_epochs"), 1)).cast("int").alias("_some"))
+    cuts = written(lasts.join(ties, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-cuts")
     keyed = docs.withColumn("_key", _key(seed)).join(F.broadcast(cuts) if _few(cuts) else cuts, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("_epochs") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
-    return keyed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    rest = F.struct("doc_id", size.alias("size"), *[h.alias(c) for c, h in hashes.items()])
+    whole = F.col("_some") == F.col("_tied")
+    among = F.when(F.col("_key") < F.col("_last"), 1).when(F.col("_key") == F.col("_last"), F.when((rest < F.col("_last_rest")) | (whole & (rest == F.col("_last_rest"))), 1).otherwise(0))
+    copies = F.col("_epochs") + F.coalesce(among, F.lit(0))
+    out = keyed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    if not cuts.where(~whole).limit(1).count():
+        return out
+    split = keyed.where(~whole & (F.col("_key") == F.col("_last"))).where(rest == F.col("_last_rest"))
+    one = split.groupBy("_source", "_some").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return out.unionByName(one.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_some")))).select("_row.*"))
 
 
 def _few(targets: DataFrame, most: int = 100_000) -> bool:

@@ -251,6 +251,19 @@ def test_mix_meets_targets(spark, documents, nothing):
     assert mixing.mix(rows.limit(0)).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def test_mixed_cuts_among_rows_without_ids(spark):
+    for own in (lambda i: f"w{i} " * 10, lambda i: "same " * 10, lambda i: f"w{i // 50} " * 10):
+        rows = [(None, own(i), "a") for i in range(100)] + [(i, "x " * 7, "b") for i in range(30)] + [(None, "", "b"), (None, None, None), (None, "y", None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+        for weights, share in (((1, 1, 1), 0.3), ((5, 1, 1), 0.7), ((5, 2, 1), 1.4)):
+            want = Counter({r["source"]: r["n"] for r in mixing.mix(sizes, weights, share).groupBy("source").agg(F.sum("taken").alias("n")).collect()})
+            got = Counter()
+            for r in mixing.mixed(docs, weights, share).collect():
+                got[r["source"]] += len(blank_words(r["text"]))
+            assert {s: n for s, n in got.items() if n} == {s: n for s, n in want.items() if n}
+
+
 def test_quality_learns_and_holds_out(spark, nothing):
     rows = [(i, prose(40, i) if i % 4 else " ".join(w.upper() + "!!" for w in prose(40, i).split())) for i in range(400)] + [(1000, None), (1001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
