@@ -231,6 +231,30 @@ def test_shards_are_minimax(spark, documents, nothing, fineness, monkeypatch):
     assert sharding.shard_by_bytes(empty, 4, F.col("g")).count() == 0
 
 
+@pytest.mark.parametrize("fineness", [2048, 3])
+def test_cuts_of_uneven_sizes(spark, fineness):
+    rng = np.random.default_rng(2)
+    n = 3000 if fineness == 2048 else 200
+    giant = rng.integers(1, 300, n)
+    giant[n // 3] = giant.sum()
+    for sizes in (giant, np.ceil(rng.lognormal(3, 2.5, n)).astype(np.int64), np.full(n, 7), np.array([5])):
+        start = np.cumsum(sizes) - sizes
+        groups = spark.createDataFrame([(int(a), int(b)) for a, b in zip(start, sizes, strict=True)], "start long, size long")
+        capacity, cuts = sharding.minimax_cuts(groups, 6, fineness=fineness)
+        assert capacity == best_capacity(sizes.tolist(), 6) and cuts[-1] == sizes.sum()
+        assert set(cuts) <= {0, *(start + sizes).tolist()} and max(np.diff([0, *cuts])) == capacity
+
+
+def test_shards_of_clashing_columns_and_a_hot_group(spark):
+    rows = [(i, 5, "hot" if i % 3 else f"g{i}", i, f"mine{i}", -1, i) for i in range(300)] + [(None, 5, "hot", 0, "mine", -1, 0)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, size long, g string, start long, `group` string, shard int, part long")
+    got = sharding.shard_by_bytes(df, 4, F.col("g")).collect()
+    assert len(got) == 302 and all(r["group"] in (f"mine{r['doc_id']}", "mine") and r["part"] == (r["doc_id"] or 0) for r in got)
+    assert len({r["shard"] for r in got if r["g"] == "hot"}) == 1
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_mix_meets_targets(spark, documents, nothing):
     rows = documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     got = mixing.mix(rows).collect()
