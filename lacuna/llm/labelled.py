@@ -12,24 +12,26 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def taught(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, few: int = 4_000_000) -> DataFrame:
+def taught(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, few: int = 1_000_000) -> DataFrame:
     """doc_id, text and y of labelled rows outside the held-out fold.
 
-    Of several labels of a document the largest counts; null labels and ids teach nothing. Labels few enough go to all
-    tasks; more are joined by shuffle.
+    Of several labels of a document the largest counts; null labels and ids teach nothing. At most `few` labels go to all
+    tasks (some 25 MB); more are joined by shuffle.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    own = F.broadcast(own) if own.count() <= few else own
+    own = F.broadcast(own) if own.limit(few + 1).count() <= few else own
     return docs.select("doc_id", "text").join(own, "doc_id")
 
 
-def sampled(rows: DataFrame, most: int, salt: int, total: int) -> DataFrame:
-    """About most rows at most, picked by a hash of the id, the same in every run."""
-    if total <= most:
-        return rows
-    keep = int(most / total * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < keep).limit(2 * most)
+def sampled(rows: DataFrame, most: int, salt: int) -> DataFrame:
+    """rows of at most so many different texts, one each, picked by a hash of the text: the same in every run. h is that
+    hash, for a caller that wants them in order. Few texts: all of them."""
+    h = F.xxhash64("text")
+    ids = rows.groupBy(h.alias("h")).agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("h", F.lit(salt)), "h").limit(most)
+    ids = ids.select("h", F.col("doc_id").alias("_doc"))
+    some = rows.withColumn("h", h).join(F.broadcast(ids), ["h"]).where(F.col("doc_id") == F.col("_doc")).drop("_doc")
+    return some.dropDuplicates(["h"])
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:

@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordkit as W
-from .labelled import calibrate, chance, fold, sampled, taught
+from .labelled import calibrate, chance, sampled, taught
 
-BITS = 17
 _PUNCT = ~(W.ALNUM_WORDS | W._SPACE)
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
@@ -37,19 +37,20 @@ def _shapes(w: W.Words, h: np.ndarray) -> np.ndarray:
     return W.mixed(code * np.uint64(2) + again.astype(np.uint64))
 
 
-def features(texts: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each distinct feature: word indicators, and runs of one to three word shapes."""
+def features(texts: pa.Array, lo: int, hi: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each distinct feature, hashed into 2^bits buckets: words, pairs of words, and runs of one to
+    three word shapes."""
     w = W.words(texts, lo, hi, W.BLANK_WORDS)
     h = w.hashes()
     shape = _shapes(w, h) if len(h) else h
     owner = w.owner().astype(np.int64)
     parts = []
-    for salt, v, k in ((0, h, 1), (1, shape, 1), (2, shape, 2), (3, shape, 3)):
+    for salt, v, k in ((0, h, 1), (4, h, 2), (1, shape, 1), (2, shape, 2), (3, shape, 3)):
         g, ok = W.grams(v, w.first, k)
-        bucket = (W.mixed(g + np.uint64(salt << 40)) >> np.uint64(64 - BITS)).astype(np.int64)
-        parts.append((owner[ok] << BITS) | bucket[ok])
+        bucket = (W.mixed(g + np.uint64(salt << 40)) >> np.uint64(64 - bits)).astype(np.int64)
+        parts.append((owner[ok] << bits) | bucket[ok])
     both = np.unique(np.concatenate(parts))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 @dataclass
@@ -61,31 +62,41 @@ class Model:
     bias: float
     curve: tuple[float, float]
 
+    @property
+    def bits(self) -> int:
+        return len(self.weight).bit_length() - 1
+
     def margins(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         norm = np.sqrt(np.bincount(doc, self.ratio[bucket] ** 2, n))
         return np.bincount(doc, self.weight[bucket] * self.ratio[bucket], n) / np.maximum(norm, 1e-9) + self.bias
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, 1 << BITS), np.int64)
-    for b in batches:
-        texts, y = W.column(b, "text"), np.asarray(b.column(b.schema.get_field_index("y")))
-        for lo, hi in W.slices(texts):
-            doc, bucket = features(texts, lo, hi)
-            for v in (0, 1):
-                total[v] += np.bincount(bucket[y[lo:hi][doc] == v], minlength=1 << BITS)
-    k = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k]), pa.array(total[1, k])], ["bucket", "bad", "good"])
+def _counts(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), np.int64)
+        for b in batches:
+            texts, y = W.column(b, "text"), np.asarray(b.column(b.schema.get_field_index("y")))
+            for lo, hi in W.slices(texts):
+                doc, bucket = features(texts, lo, hi, bits)
+                for v in (0, 1):
+                    total[v] += np.bincount(bucket[y[lo:hi][doc] == v], minlength=1 << bits)
+        k = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k]), pa.array(total[1, k])], ["bucket", "bad", "good"])
 
+    return run
 
-def _indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = W.column(b, "text")
-        for lo, hi in W.slices(texts):
-            doc, bucket = features(texts, lo, hi)
-            at = np.searchsorted(doc, np.arange(hi - lo + 1))
-            own = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")).slice(lo, hi - lo), own], ["y", "buckets"])
+
+def _indicators(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = W.column(b, "text")
+            for lo, hi in W.slices(texts):
+                doc, bucket = features(texts, lo, hi, bits)
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                own = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in ("h", "y")], own], ["h", "y", "buckets"])
+
+    return run
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 4.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -114,26 +125,30 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_rows: int = 6000, smooth: float = 1.0) -> Model:
+def log_ratios(count: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Log of the smoothed share of each feature among good documents over that among bad ones; count is [bad, good]."""
+    share = (count + smooth) / (count + smooth).sum(axis=1, keepdims=True)
+    return np.log(share[1] / share[0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_rows: int = 6000, smooth: float = 1.0, bits: int = 18) -> Model:
     """A model from the labelled rows outside the held-out fold.
 
-    The class log-count ratios are sums over all of them, made by Spark; the hinge loss is fitted to a sample of at most
-    about most_rows (a documented bound), and the curve to another sample of a third of that. No labels: a flat model.
+    The class log-count ratios are sums over all of them, made by Spark, in 2^bits buckets of hashed features (a larger
+    corpus may want more). The hinge loss is fitted to a sample of at most most_rows different texts (a documented
+    bound), and the curve to another third as large; both go by a hash of the text, so reruns agree. No labels: a flat model.
     """
     rows = taught(docs, labels, "quality", folds, held)
-    seen = rows.select("text", "y").mapInArrow(_counts, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
-    count = np.zeros((2, 1 << BITS))
+    seen = rows.select("text", "y").mapInArrow(_counts(bits), "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    count = np.zeros((2, 1 << bits))
     at = seen["bucket"].to_numpy(np.int64)
     count[0, at], count[1, at] = seen["bad"], seen["good"]
-    share = (count + smooth) / (count + smooth).sum(axis=1, keepdims=True)
-    ratio = np.log(share[1] / share[0])
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    total = own.count()
-    if not total:
-        return Model(np.zeros(1 << BITS), ratio, 0.0, (0.0, 0.0))
-    picked = sampled(rows, most_rows + most_rows // 3, 11, total).select("text", "y").mapInArrow(_indicators, "y int, buckets array<int>").toArrow()
-    y = np.asarray(picked["y"]).astype(np.int64)
-    flat = picked["buckets"].combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.int32()))
+    ratio = log_ratios(count, smooth)
+    picked = sampled(rows, most_rows + most_rows // 3, 11).select("h", "y", "text").mapInArrow(_indicators(bits), "h long, y int, buckets array<int>").toArrow()
+    if not picked.num_rows:
+        return Model(np.zeros(1 << bits), ratio, 0.0, (0.0, 0.0))
+    picked = picked.sort_by("h")
+    y, flat = np.asarray(picked["y"]).astype(np.int64), picked["buckets"].combine_chunks()
     value, off = np.asarray(flat.values), np.asarray(flat.offsets)
     buckets = [value[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
     test = np.arange(len(y)) % 4 == 3
@@ -146,24 +161,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_
     return model
 
 
-def _score(sent) -> Callable:
+def _score(sent, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         for b in batches:
             texts, out = W.column(b, "text"), [np.zeros(0)]
             for lo, hi in W.slices(texts):
-                doc, bucket = features(texts, lo, hi)
+                doc, bucket = features(texts, lo, hi, model.bits)
                 out.append(chance(model.margins(doc, bucket, hi - lo), model.curve))
-            kept = [b.column(i) for i, f in enumerate(b.schema) if f.name != "_quality"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(out), pa.float64())], [*[f.name for f in b.schema if f.name != "_quality"], "_quality"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out), pa.float64())], [*b.schema.names, name])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """Adds the chance that a document is good (a column of that name is replaced). Only text is looked at; null and
-    empty texts have no features and get the score of the bare curve; equal texts get equal scores."""
+    """Adds the chance that a document is good (a column of that name is replaced; others may have any names). Only text
+    is looked at; null and empty texts have no features and get the score of the bare curve; equal texts get equal
+    scores; no rows, no rows."""
     rows = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _quality double"
-    return rows.mapInArrow(_score(sent), schema).withColumnRenamed("_quality", column)
+    return rows.mapInArrow(_score(sent, column), T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))

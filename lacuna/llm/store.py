@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,13 @@ def free(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+def whole_ids(df: DataFrame, *columns: str) -> None:
+    """Stops with a clear message if an id column is not of whole numbers: other ids would be cast away."""
+    for f in df.schema.fields:
+        if f.name in columns and not isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+            raise TypeError(f"{f.name} must hold whole numbers, not {f.dataType.simpleString()}: number the rows first")
+
+
 def with_row_of(rows: DataFrame, table: DataFrame, key: str, many: str, most: int = 5000) -> DataFrame:
     """rows with the one row that table has for their key; rows without one go.
 

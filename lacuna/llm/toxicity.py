@@ -3,33 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordkit as W
-from .labelled import calibrate, chance, fold, sampled, taught
-from .store import written
+from .labelled import calibrate, chance, sampled, taught
+from .store import free, written
+
+SHAPES, AFFIXES = 32, 64
+LOOKS = 2 * (SHAPES + AFFIXES)  # of words of the lexicon, and of those beside them
+RUN = 64  # words of a run that the field is fitted to
+
+
+@dataclass
+class Weights:
+    """own: evidence for toxic of each lexicon word; looks: of a word's shape and last letters; shared: of any word, per
+    unit of log odds, of standing before a lexicon word, and after one; step[a, b]: of state b after state a."""
+
+    own: np.ndarray
+    looks: np.ndarray
+    shared: np.ndarray
+    step: np.ndarray
+
+    @staticmethod
+    def start(words: int) -> Weights:
+        return Weights(np.zeros(words), np.zeros(LOOKS), np.array([-3.0, 1.0, 0.0, 0.0]), np.array([[0.0, -1.0], [0.0, -1.0]]))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.own, self.looks, self.shared, self.step
+
+    def evidence(self, odds: np.ndarray, k: np.ndarray, before: np.ndarray, after: np.ndarray, shape: np.ndarray | int, affix: np.ndarray | int) -> np.ndarray:
+        """Of words that are in the lexicon (k >= 0) or beside one; any other word has shared[0] alone."""
+        at = np.maximum(k, 0)
+        lex = np.where(k >= 0, self.own[at] + self.shared[1] * odds[at], 0.0) if len(odds) else 0.0
+        return self.shared[0] + lex + self.shared[2] * before + self.shared[3] * after + self.looks[shape] + self.looks[affix]
 
 
 @dataclass
 class Field:
     """Two states, clean and toxic. Words of the lexicon, and those beside them, have their own evidence for toxic; all
-    others share one. step[a, b] is the log weight of b after a; texts begin after a clean word."""
+    others share one. Texts begin after a clean word."""
 
     words: W.Found
     odds: np.ndarray
     own: np.ndarray
-    shared: np.ndarray  # evidence of any word, per unit of odds, before a lexicon word, after one
+    shared: np.ndarray
     step: np.ndarray
     curve: tuple[float, float]
+    looks: np.ndarray = field(default_factory=lambda: np.zeros(LOOKS))
 
-    def evidence(self, k: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        at = np.maximum(k, 0)
-        return self.shared[0] + np.where(k >= 0, self.own[at] + self.shared[1] * self.odds[at], 0.0) + self.shared[2] * before + self.shared[3] * after
+    def evidence(self, k: np.ndarray, before: np.ndarray, after: np.ndarray, shape: np.ndarray | int = 0, affix: np.ndarray | int = 0) -> np.ndarray:
+        return Weights(self.own, self.looks, self.shared, self.step).evidence(self.odds, k, before, after, shape, affix)
 
     def marginals(self, doc: np.ndarray, place: np.ndarray, evidence: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The chance of toxic at the given places of texts of so many words, by forward and backward recursions.
@@ -37,7 +66,8 @@ class Field:
         All other words have the shared evidence, so runs of them are powers of one matrix, taken from its eigenvalues.
         Texts go side by side, one place of each at a time; vectors are kept at unit sum.
         """
-        plain = np.exp(self.step) * np.array([1.0, np.exp(self.shared[0])])
+        step = np.exp(self.step)
+        plain = step * np.array([1.0, np.exp(self.shared[0])])
         value, right = np.linalg.eig(plain)
         value, right = value.real, right.real
         left = np.linalg.inv(right)
@@ -49,7 +79,7 @@ class Field:
         rank = np.arange(len(doc)) - at[doc]
         gap = place - np.concatenate([[0], place[:-1] + 1]) if len(place) else place
         gap = np.where(rank == 0, place, gap)
-        move = power(gap) @ (np.exp(self.step)[None] * np.stack([np.ones(len(doc)), np.exp(np.minimum(evidence, 50.0))], axis=1)[:, None, :])
+        move = power(gap) @ (step[None] * np.stack([np.ones(len(doc)), np.exp(np.minimum(evidence, 50.0))], axis=1)[:, None, :])
         ahead, back = np.zeros((len(doc), 2)), np.zeros((len(doc), 2))
         order = np.argsort(rank, kind="stable")
         edges = np.searchsorted(rank[order], np.arange(int(n.max(initial=0)) + 1))
@@ -68,8 +98,24 @@ class Field:
         return both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)
 
 
-def _lexicon_places(w: W.Words, h: np.ndarray, words: W.Found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lexicon words and the words beside them: positions, lexicon index or -1, and whether one stands after, before."""
+_UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
+_DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
+
+
+def _looks(w: W.Words, at: np.ndarray, lexical: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the shape (capitals, digits, length) and of the last two bytes of words, apart for lexicon words."""
+    s, e = w.start[at], w.end[at]
+    size, last = e - s, np.maximum(e - 1, 0)
+    flags = (_UPPER[w.data[s]], _UPPER[w.data[last]], _DIGIT[w.data[last]]) if len(at) else (np.zeros(0, bool),) * 3
+    shape = sum(f.astype(np.int64) << i for i, f in enumerate(flags)) * 4 + np.minimum(size // 4, 3)
+    two = W._LOWER[w.data[last]].astype(np.int64) * 31 + W._LOWER[w.data[np.maximum(last - 1, s)]] if len(at) else np.zeros(0, np.int64)
+    base = np.where(lexical, 0, SHAPES + AFFIXES)
+    return base + shape, base + SHAPES + two % AFFIXES
+
+
+def _places(w: W.Words, h: np.ndarray, words: W.Found) -> tuple[np.ndarray, ...]:
+    """Lexicon words and the words beside them: positions, lexicon index or -1, whether one stands after, before, and
+    the codes of their looks."""
     k = np.full(len(h), -1, np.int64)
     at, which = words.where(h)
     k[at] = which
@@ -79,193 +125,251 @@ def _lexicon_places(w: W.Words, h: np.ndarray, words: W.Found) -> tuple[np.ndarr
     nxt[:-1] = hit[1:] & (owner[1:] == owner[:-1])
     prv[1:] = hit[:-1] & (owner[1:] == owner[:-1])
     place = np.flatnonzero(hit | nxt | prv)
-    return place, k[place], nxt[place], prv[place]
+    return place, k[place], nxt[place], prv[place], *_looks(w, place, hit[place])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, neighbours) of a run of texts."""
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of texts, each with its text's kind: the least hash of its word pairs, which near copies share."""
     for b in batches:
         texts = W.column(b, "text")
         for lo, hi in W.slices(texts):
             w = W.words(texts, lo, hi, W.ALNUM_WORDS)
-            h = w.hashes()
-            around = np.zeros(len(h), np.uint64)
-            around[1:] += h[:-1] * np.uint64(3)
-            around[:-1] += h[1:] * np.uint64(5)
-            both = np.unique(np.stack([h, W.mixed(around)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i]).view(np.int64)) for i in (0, 1)], ["word", "around"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a run of texts, and how often they stand there."""
+            h, count = w.hashes(), np.diff(w.first)
+            pair, ok = W.grams(h, w.first, 2)
+            pair[~ok] = np.uint64(2**64 - 1)
+            kind = np.zeros(hi - lo, np.uint64)
+            kind[count > 0] = np.minimum.reduceat(pair, w.first[:-1][count > 0]) if len(h) else 0
+            one = np.flatnonzero(count == 1)
+            kind[one] = h[w.first[one]]
+            both = np.unique(np.stack([h, kind[w.owner()]], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i]).view(np.int64)) for i in (0, 1)], ["word", "kind"])
+
+
+def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a run of texts, and how many of the texts have them; the word 0 counts the texts."""
     for b in batches:
         texts = W.column(b, "text")
         for lo, hi in W.slices(texts):
-            word, n = np.unique(W.words(texts, lo, hi, W.ALNUM_WORDS).hashes(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(word)), pa.array(n.astype(np.int64))], ["word", "n"])
+            w = W.words(texts, lo, hi, W.ALNUM_WORDS)
+            once = np.unique(np.stack([w.hashes(), w.owner().astype(np.uint64)], axis=1), axis=0)[:, 0] if len(w.start) else np.zeros(0, np.uint64)
+            word, n = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(W.signed(word), 0)), pa.array(np.append(n, hi - lo).astype(np.int64))], ["word", "n"])
 
 
-def _pieces(sent, length: int) -> Callable:
-    """Runs of words of a sample, with lexicon indexes: those that have one, and as many bits of others as come first."""
+def _lexicon(bad: DataFrame, good: DataFrame, least: int, strength: float) -> tuple[W.Found, np.ndarray]:
+    """Words toxic enough, and their log odds. Counts of all words are joined in tasks; only what is kept comes here."""
+    kinds = written(bad.select("text").mapInArrow(_kinds, "word long, kind long").distinct(), "toxic-kinds")
+    total = kinds.select("kind").distinct().count()
+    own = kinds.groupBy("word").agg(F.count("*").alias("t"))
+    seen = good.select("text").mapInArrow(_texts_with, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = written(seen, "toxic-clean")
+    clean = seen.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # both counts with a margin for chance: what is toxic for sure, against what is clean at most
+    sure, most = F.col("t") - 1.25 * F.sqrt("t"), F.coalesce(F.col("n") + 2 * F.sqrt("n"), F.lit(0.0))
+    odds = F.log((sure + 0.5) / (total + 1)) - F.log((most + 0.5) / (clean + 1))
+    found = own.where(F.col("t") >= least).join(seen, "word", "left").select("word", odds.alias("odds")).where(F.col("odds") >= strength).toArrow()
+    keys = found["word"].to_numpy().view(np.uint64)
+    return W.Found(keys), found["odds"].to_numpy()[np.argsort(keys)]
+
+
+def _runs(sent) -> Callable:
+    """Runs of words of texts with what the field sees of them: those with a lexicon word, and each text's first. key
+    orders them as if by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: W.Found = sent.value
         for b in batches:
-            texts, y = W.column(b, "text"), b.column(b.schema.get_field_index("y")).to_pylist()
+            texts, y = W.column(b, "text"), np.asarray(b.column(b.schema.get_field_index("y")))
             for lo, hi in W.slices(texts):
                 w = W.words(texts, lo, hi, W.ALNUM_WORDS)
-                k = np.full(len(w.start), -1, np.int64)
-                at, which = words.where(w.hashes())
-                k[at] = which
-                out, label = [], []
-                for i in range(hi - lo):
-                    own = k[w.first[i] : w.first[i + 1]]
-                    for j in range(0, len(own), length):
-                        if (own[j : j + length] >= 0).any() or j == 0:
-                            out.append(own[j : j + length].tolist())
-                            label.append(y[lo + i])
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["y", "k"])
+                h = w.hashes()
+                place, *seen = _places(w, h, words)
+                see = np.zeros((5, len(h)), np.int32)
+                see[0] = -1
+                for i, v in enumerate(seen):
+                    see[i, place] = v
+                n = -(-np.diff(w.first) // RUN)
+                owner = np.repeat(np.arange(hi - lo), n)
+                start = w.first[owner] + RUN * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+                end = np.minimum(start + RUN, w.first[owner + 1])
+                hits = np.concatenate([[0], np.cumsum(see[0] >= 0)])
+                keep = (hits[end] > hits[start]) | (start == w.first[owner])
+                owner, start, end = owner[keep], start[keep], end[keep]
+                key = W.mixed(h[start] ^ W.mixed(h[end - 1] + np.uint64(3)) ^ (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+                cell = np.repeat(start, end - start) + np.arange((end - start).sum()) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
+                at = pa.array(np.concatenate([[0], np.cumsum(end - start)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(v[cell], pa.int32())) for v in see]
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(key)), pa.array(y[lo + owner], pa.int32()), *lists], ["key", "y", "k", "before", "after", "shape", "affix"])
 
     return run
 
 
-def train(pieces: list[np.ndarray], y: np.ndarray, odds: np.ndarray, rounds: int = 150, rate: float = 0.15, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fits the field to tagged words by gradient steps on the conditional likelihood, with Adam's step sizes.
-
-    A word is tagged toxic if it is in the lexicon and its text is labelled toxic. Expected tags and transitions come from
-    the forward-backward recursions over padded runs.
-    """
-    own, shared, step = np.zeros(len(odds)), np.array([-3.0, 1.0, 0.0, 0.0]), np.array([[0.0, -1.0], [0.0, -1.0]])
-    if not pieces:
-        return own, shared, step
-    n, m = len(pieces), max(map(len, pieces))
-    k, live = np.full((n, m), -1, np.int64), np.zeros((n, m), bool)
-    for i, p in enumerate(pieces):
-        k[i, : len(p)], live[i, : len(p)] = p, True
-    hit = k >= 0
-    tag = (hit & (y[:, None] == 1)).astype(np.int64)
-    before, after = np.zeros((n, m)), np.zeros((n, m))
-    before[:, :-1], after[:, 1:] = hit[:, 1:], hit[:, :-1]
-    scale = np.where(hit, odds[np.maximum(k, 0)] if len(odds) else 0.0, 0.0)
-    last = np.concatenate([np.zeros((n, 1), np.int64), tag[:, :-1]], axis=1)
-    seen_step = np.array([[((last == a) & (tag == b) & live).sum() for b in (0, 1)] for a in (0, 1)], float)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (own, shared, step)]
+@dataclass
+class Runs:
+    """Runs of words side by side, padded: what the field sees of each word, which words are there, and their tags."""
+
+    k: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    shape: np.ndarray
+    affix: np.ndarray
+    live: np.ndarray
+    tag: np.ndarray
+
+    def some(self, lo: int, hi: int) -> Runs:
+        return Runs(*[v[lo:hi] for v in vars(self).values()])
+
+    @staticmethod
+    def of(lists: dict[str, list], y: np.ndarray) -> Runs:
+        """A word is tagged toxic if it is in the lexicon and its text is labelled toxic."""
+        n, m = len(y), max(map(len, lists["k"]), default=0)
+        live = np.zeros((n, m), bool)
+        out = {c: np.full((n, m), -1 if c == "k" else 0, np.int32) for c in lists}
+        for c, rows in lists.items():
+            for i, v in enumerate(rows):
+                out[c][i, : len(v)] = v
+                live[i, : len(v)] = True
+        return Runs(**out, live=live, tag=((out["k"] >= 0) & (y[:, None] == 1)).astype(np.int8))
+
+
+def likelihood(runs: Runs, odds: np.ndarray, w: Weights) -> tuple[float, tuple[np.ndarray, ...]]:
+    """The log likelihood of the tags of runs given their words, and its gradient by each part of the weights. Expected
+    tags and transitions come from the forward-backward recursions."""
+    n, m = runs.k.shape
+    seen = (runs.k >= 0) | (runs.before > 0) | (runs.after > 0)
+    e = np.clip(np.where(seen, w.evidence(odds, runs.k, runs.before, runs.after, runs.shape, runs.affix), w.shared[0]), -40, 40)
+    emit = np.stack([np.ones((n, m)), np.exp(e)], axis=2)
+    trans = np.exp(w.step)
+    ahead, back = np.zeros((m, n, 2)), np.ones((m, n, 2))
+    v, log_z = np.tile([1.0, 0.0], (n, 1)), 0.0
+    for j in range(m):
+        new = (v @ trans) * emit[:, j]
+        total = new.sum(axis=1, keepdims=True)
+        log_z += float(np.log(total[runs.live[:, j]]).sum())
+        v = np.where(runs.live[:, j, None], new / total, v)
+        ahead[j] = v
+    u = np.ones((n, 2))
+    for j in range(m - 1, -1, -1):
+        back[j] = u
+        new = (emit[:, j] * u) @ trans.T
+        u = np.where(runs.live[:, j, None], new / new.sum(axis=1, keepdims=True), u)
+    post = ahead * back
+    post /= post.sum(axis=2, keepdims=True)
+    p = post[:, :, 1].T * runs.live
+    previous = np.concatenate([np.tile([1.0, 0.0], (1, n, 1)), ahead[:-1]])
+    pair = previous[:, :, :, None] * trans[None, None] * (emit.transpose(1, 0, 2) * back)[:, :, None, :]
+    pair /= np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300)
+    expected = (pair * runs.live.T[:, :, None, None]).sum(axis=(0, 1))
+    last = np.concatenate([np.zeros((n, 1), np.int8), runs.tag[:, :-1]], axis=1)
+    steps = np.array([[((last == a) & (runs.tag == b) & runs.live).sum() for b in (0, 1)] for a in (0, 1)], float)
+    d = (runs.tag - p) * runs.live
+    hit = runs.k >= 0
+    scale = odds[runs.k[hit]] if len(odds) else np.zeros(0)
+    looks = np.bincount(runs.shape[seen], d[seen], LOOKS) + np.bincount(runs.affix[seen], d[seen], LOOKS)
+    own = np.bincount(runs.k[hit], d[hit], len(odds)) if len(odds) else np.zeros(0)
+    shared = np.array([d.sum(), (d[hit] * scale).sum(), (d * runs.before).sum(), (d * runs.after).sum()])
+    return float((e * runs.tag * runs.live).sum() + (steps * w.step).sum() - log_z), (own, looks, shared, steps - expected)
+
+
+def train(runs: Runs, odds: np.ndarray, rounds: int = 80, rate: float = 0.2, ridge: float = 1e-2, together: int = 1000) -> Weights:
+    """Fits the field to tagged words by gradient steps on the conditional likelihood, with Adam's step sizes. Gradients
+    are sums over blocks of runs, so no more than a block's tables are held."""
+    w, n = Weights.start(len(odds)), len(runs.tag)
+    if not n or not len(odds):
+        return w
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in w.parts()]
     for t in range(1, rounds + 1):
-        e = shared[0] + np.where(hit, own[np.maximum(k, 0)] if len(odds) else 0.0, 0.0) + shared[1] * scale + shared[2] * before + shared[3] * after
-        emit = np.stack([np.ones((n, m)), np.exp(np.clip(e, -40, 40))], axis=2)
-        trans = np.exp(step)
-        ahead, back = np.zeros((m, n, 2)), np.ones((m, n, 2))
-        v = np.tile([1.0, 0.0], (n, 1))
-        for j in range(m):
-            new = (v @ trans) * emit[:, j]
-            new /= new.sum(axis=1, keepdims=True)
-            v = np.where(live[:, j, None], new, v)
-            ahead[j] = v
-        u = np.ones((n, 2))
-        for j in range(m - 1, -1, -1):
-            back[j] = u
-            new = (emit[:, j] * u) @ trans.T
-            u = np.where(live[:, j, None], new / new.sum(axis=1, keepdims=True), u)
-        post = ahead * back
-        post /= post.sum(axis=2, keepdims=True)
-        p = post[:, :, 1].T * live
-        previous = np.concatenate([np.tile([1.0, 0.0], (1, n, 1)), ahead[:-1]])
-        pair = previous[:, :, :, None] * trans[None, None] * (emit.transpose(1, 0, 2) * back)[:, :, None, :]
-        pair /= np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300)
-        expected = (pair * live.T[:, :, None, None]).sum(axis=(0, 1))
-        d = (tag - p) * live
-        grads = [
-            np.bincount(k[hit], d[hit], len(odds))[: len(odds)] if len(odds) else own,
-            np.array([d.sum(), (d * scale).sum(), (d * before).sum(), (d * after).sum()]),
-            seen_step - expected,
-        ]
-        for x, g, (a, b) in zip((own, shared, step), grads, state, strict=True):
+        grads = [np.zeros_like(x) for x in w.parts()]
+        for lo in range(0, n, together):
+            for total, g in zip(grads, likelihood(runs.some(lo, lo + together), odds, w)[1], strict=True):
+                total += g
+        for x, g, (a, b) in zip(w.parts(), grads, state, strict=True):
             g = g / n - ridge * x
             a *= 0.9
             a += 0.1 * g
             b *= 0.99
             b += 0.01 * g * g
             x += rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
-    return own, shared, step
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """One row for each text: copies of a text would teach its chance words."""
-    keep = rows.groupBy(F.xxhash64("text").alias("_t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return rows.join(F.broadcast(keep) if keep.count() <= 4_000_000 else keep, "doc_id", "left_semi")
-
-
-def _lexicon(bad: DataFrame, good: DataFrame, least: int, strength: float) -> tuple[W.Found, np.ndarray]:
-    """Words toxic enough, and their log odds. Counts of all words are joined in tasks; only what is kept comes here."""
-    around = bad.select("text").mapInArrow(_contexts, "word long, around long").distinct().groupBy("word").agg(F.count("*").alias("t"))
-    around = written(around, "toxic-around")
-    seen = written(good.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "toxic-clean")
-    total, clean = (x.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for x, c in ((around, "t"), (seen, "n")))
-    sure = F.greatest(F.col("t") - 2 * F.sqrt("t"), F.lit(0.0))  # what is left of a count after two standard errors
-    odds = F.log((sure + 0.5) / (total + 1)) - F.log((F.coalesce("n", F.lit(0)) + 0.5) / (clean + 1))
-    found = around.where(F.col("t") >= least).join(seen, "word", "left").select("word", odds.alias("odds")).where(F.col("odds") >= strength).toArrow()
-    keys = found["word"].to_numpy().view(np.uint64)
-    return W.Found(keys), found["odds"].to_numpy()[np.argsort(keys)]
+    return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, least: int = 4, strength: float = 2.5, most_rows: int = 6000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, least: int = 4, strength: float = 2.5, most_rows: int = 6000, most_runs: int = 8000) -> Field:
     """A field from the labelled rows outside the held-out fold.
 
-    The lexicon comes from all of them: words that stand in at least `least` different surroundings in toxic texts, so
-    that near copies don't count, and at a share e^strength times that in clean ones; all such words, however rare.
-    The field is fitted to runs of words from a sample of about most_rows texts of either kind, and the curve to document
-    sums over it (documented bounds). No toxic labels: an empty lexicon and a flat curve.
+    The lexicon comes from all of them: words that at least `least` kinds of toxic texts have (near copies are mostly one
+    kind), at a share of kinds e^strength times the share of clean texts that have them; all such words, however rare.
+    The field is fitted to at most most_runs runs of words from most_rows texts of either kind, and the curve to the
+    document sums of most_rows (documented bounds). No toxic labels: an empty lexicon and a flat curve.
     """
     spark = docs.sparkSession
-    rows = written(_once(taught(docs, labels, "toxic", folds, held)), "toxic-taught")
+    rows = written(taught(docs, labels, "toxic", folds, held), "toxic-taught")
     bad, good = rows.where("y = 1"), rows.where("y = 0")
     words, odds = _lexicon(bad, good, least, strength)
-
     sent = spark.sparkContext.broadcast(words)
-    parts = [sampled(x, most_rows // 2, 23, x.count()) for x in (bad, good)]
-    both = parts[0].unionByName(parts[1])
-    runs = both.select("text", "y").mapInArrow(_pieces(sent, 64), "y int, k array<long>").toPandas()
-    own, shared, step = train([np.asarray(x, np.int64) for x in runs["k"] if len(x)], np.array([y for x, y in zip(runs["k"], runs["y"], strict=True) if len(x)], np.int64), odds)
-    field = Field(words, odds, own, shared, step, (1.0, 0.0))
-    tried = sampled(rows, most_rows, 29, rows.count()).mapInArrow(_tag(spark.sparkContext.broadcast(field), False), "y int, _sum double").toPandas()
-    field.curve = calibrate(tried["_sum"].to_numpy(float), tried["y"].to_numpy(np.int64))
-    return field
+    both = sampled(bad, most_rows // 2, 23).unionByName(sampled(good, most_rows // 2, 23))
+    kind = "key long, y int, k array<int>, before array<int>, after array<int>, shape array<int>, affix array<int>"
+    runs = both.select("text", "y").mapInArrow(_runs(sent), kind).orderBy("key", "y", "k").limit(most_runs).toArrow()
+    lists = {c: runs[c].to_pylist() for c in ("k", "before", "after", "shape", "affix")}
+    weights = train(Runs.of(lists, np.asarray(runs["y"])), odds)
+    del runs, lists
+    found = Field(words, odds, weights.own, weights.shared, weights.step, (1.0, 0.0), weights.looks)
+    tried = spark.sparkContext.broadcast(found)
+    sums = sampled(rows, most_rows, 29).mapInArrow(_sums(tried), "h long, y int, margin double").toPandas().sort_values("h")
+    for x in (sent, tried):
+        x.unpersist()
+    return replace(found, curve=calibrate(sums["margin"].to_numpy(float), sums["y"].to_numpy(np.int64)))
+
+
+def _margins(texts: pa.Array, field: Field, lo: int, hi: int) -> tuple:
+    """Document sums of a run of texts, and the words, places and chances they come from."""
+    w = W.words(texts, lo, hi, W.ALNUM_WORDS)
+    place, *seen = _places(w, w.hashes(), field.words)
+    doc = np.searchsorted(w.first, place, "right") - 1
+    p = field.marginals(doc, place - w.first[doc], field.evidence(*seen), np.diff(w.first))
+    clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 0.999)), hi - lo))
+    return np.log(1 - clean + 1e-3) - np.log(clean + 1e-3), w, place, doc, p
+
+
+def _sums(sent) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = W.column(b, "text")
+            total = np.concatenate([np.zeros(0), *[_margins(texts, sent.value, lo, hi)[0] for lo, hi in W.slices(texts)]])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in ("h", "y")], pa.array(total)], ["h", "y", "margin"])
 
+    return run
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
 
-def _tag(sent, full: bool) -> Callable:
+
+def _tag(sent, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = sent.value
         for b in batches:
             texts, sums, spans = W.column(b, "text"), [np.zeros(0)], []
             for lo, hi in W.slices(texts):
-                w = W.words(texts, lo, hi, W.ALNUM_WORDS)
-                place, k, before, after = _lexicon_places(w, w.hashes(), field.words)
-                doc = np.searchsorted(w.first, place, "right") - 1
-                p = field.marginals(doc, place - w.first[doc], field.evidence(k, before, after), np.diff(w.first))
-                clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 0.999)), hi - lo))
-                sums.append(np.log(1 - clean + 1e-3) - np.log(clean + 1e-3))
-                if full:
-                    chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                    own: list[list[dict]] = [[] for _ in range(hi - lo)]
-                    for i in np.flatnonzero(p >= 0.5):
-                        zero = chars[w.base[doc[i]]]
-                        own[doc[i]].append({"start": int(chars[w.start[place[i]]] - zero), "end": int(chars[w.end[place[i]]] - zero), "chance": float(p[i])})
-                    spans += own
-            total = np.concatenate(sums)
-            if not full:
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("y")), pa.array(total, pa.float64())], ["y", "_sum"])
-                continue
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chance(total, field.curve), pa.float64()), pa.array(spans, kind)], [*b.schema.names, "_score", "_spans"])
+                margin, w, place, doc, p = _margins(texts, field, lo, hi)
+                sums.append(margin)
+                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+                own: list[list[dict]] = [[] for _ in range(hi - lo)]
+                for i in np.flatnonzero(p >= 0.5):
+                    zero = chars[w.base[doc[i]]]
+                    own[doc[i]].append({"start": int(chars[w.start[place[i]]] - zero), "end": int(chars[w.end[place[i]]] - zero), "chance": float(p[i])})
+                spans += own
+            score = pa.array(chance(np.concatenate(sums), field.curve), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, score, pa.array(spans, _SPANS)], [*b.schema.names, *names])
 
     return run
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """Adds score, the chance that a document is toxic, and spans: code point offsets of its toxic words with their
-    chances (columns so named are replaced). A score comes from the chance that any word is toxic, its marginals taken as independent. Only text is looked at;
-    null and empty texts have no spans and the lowest score; equal texts get equal results."""
+    chances (columns so named are replaced; others may have any names). A score comes from the chance that any word is
+    toxic, its marginals taken as independent. Only text is looked at; null and empty texts have no spans and the lowest
+    score; equal texts get equal results; a text may have any length; no rows, no rows."""
     rows = docs.drop("score", "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(_tag(docs.sparkSession.sparkContext.broadcast(field), True), f"{schema}, _score double, _spans array<struct<start:long,end:long,chance:double>>")
-    return out.withColumnsRenamed({"_score": "score", "_spans": "spans"})
+    names = free(rows.columns, "score", "spans")
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    new = T.StructType.fromDDL(f"`{names[0]}` double, `{names[1]}` array<struct<start:long,end:long,chance:double>>")
+    return rows.mapInArrow(_tag(sent, names), T.StructType([*rows.schema.fields, *new.fields]))

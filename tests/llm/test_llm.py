@@ -334,6 +334,55 @@ def test_toxic_words_are_not_crowded_out_by_frequent_ones(spark):
     assert field.words.keys.tolist() == w.hashes().tolist() and len(field.odds) == 1
 
 
+def test_gradient_of_the_field_and_its_likelihood():
+    rng, odds, n = np.random.default_rng(1), np.array([1.0, 2.0, 3.0]), 7
+    lists = {c: [] for c in ("k", "before", "after", "shape", "affix")}
+    for _ in range(n):
+        m = int(rng.integers(1, 6))
+        k = np.where(rng.random(m) < 0.4, rng.integers(0, 3, m), -1)
+        own = {"k": k, "before": np.append(k[1:] >= 0, False), "after": np.insert(k[:-1] >= 0, 0, False), "shape": rng.integers(0, toxicity.LOOKS, m), "affix": rng.integers(0, toxicity.LOOKS, m)}
+        for c in lists:
+            lists[c].append(own[c].astype(int).tolist())
+    runs = toxicity.Runs.of(lists, rng.integers(0, 2, n))
+    w = toxicity.Weights(rng.normal(size=3), rng.normal(size=toxicity.LOOKS) * 0.3, rng.normal(size=4), rng.normal(size=(2, 2)))
+    log_p, grads = toxicity.likelihood(runs, odds, w)
+    brute = 0.0
+    for i in range(n):
+        m = int(runs.live[i].sum())
+        e = [w.evidence(odds, *(np.array([v[i, j]]) for v in (runs.k, runs.before, runs.after, runs.shape, runs.affix)))[0] if runs.k[i, j] >= 0 or runs.before[i, j] or runs.after[i, j] else w.shared[0] for j in range(m)]
+        weight = lambda s: sum(w.step[a, b] for a, b in zip([0, *s], s, strict=False)) + sum(x for x, b in zip(e, s, strict=True) if b)  # noqa: B023, E731
+        brute += weight(runs.tag[i, :m].tolist()) - math.log(sum(math.exp(weight([(c >> j) & 1 for j in range(m)])) for c in range(2**m)))
+    assert log_p == pytest.approx(brute)
+    for x, g in zip(w.parts(), grads, strict=True):
+        for i in np.ndindex(x.shape):
+            old = x[i]
+            up, down = (toxicity.likelihood(runs, odds, w)[0] for x[i] in (old + 1e-5, old - 1e-5))
+            x[i] = old
+            assert g[i] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_quality", "_score", "_spans", "_hit", "_items", "_n_words", "_n_hit", "h", "y", "row", "key", "_key", "_start", "_n", "target", "n_words"]
+    rows = [(i, f"{prose(20, i)} {'vilefoo' if i % 2 else ''}", f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(40)] + [(None, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *[f"`{c}` string" for c in names]]))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(20, 3))], "item_id long, text string")
+
+    def same(out, new=()):
+        kept = [c for c in docs.columns if c not in new]
+        assert sorted(map(str, out.select(*kept).collect())) == sorted(map(str, docs.select(*kept).collect()))
+
+    same(quality.score(docs, quality.fit(docs, labels)))
+    same(toxicity.tag(docs, toxicity.fit(docs, labels)))
+    out = decontaminate.decontaminate(docs, bench)
+    same(out, ("n_words",))
+    assert [r["doc_id"] for r in out.where("contaminated").collect()] == [3]
+    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
+    same(mixing.mix(sized), ("target",))
+    own = {str(r) for r in docs.collect()}
+    assert all(str(r) in own for r in mixing.mixed(docs).collect())
+
+
 def test_field_marginals_equal_enumeration():
     words = toxicity.W.Found(np.array([5, 9], np.uint64))
     f = toxicity.Field(words, np.array([1.0, 2.0]), np.array([0.5, -0.3]), np.array([-1.0, 0.7, 0.2, 0.1]), np.array([[0.0, -0.8], [0.3, -0.1]]), (1.0, 0.0))
