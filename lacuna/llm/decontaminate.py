@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import wordkit as W
-from .store import written
+from .store import free, whole_ids, written
 
 SHINGLE = 3
 
@@ -58,13 +56,13 @@ class _Block:
     def shingles(self) -> dict[int, W.Found]:
         return {g: W.Found(a[:, 2].view(np.uint64)) for g, a in self.grams.items()}
 
-    def keep_rarest(self, sets: dict[int, W.Found], counts: dict[tuple[int, int], int]) -> None:
+    def keep_rarest(self, sets: dict[int, W.Found], counts: dict[int, np.ndarray]) -> None:
         """Orders the shingles of each window by rarity in the corpus and keeps the necessary prefix: for containment of
         the whole window that is its rarest shingle. A window with a shingle that no document has is dropped."""
         self.anchors: dict[int, tuple[W.Found, np.ndarray, np.ndarray, np.ndarray]] = {}
         for g, a in self.grams.items():
             key = np.searchsorted(sets[g].keys, a[:, 2].view(np.uint64))
-            count = np.array([counts.get((g, int(k)), 0) for k in range(len(sets[g].keys))], np.int64)[key]
+            count = counts[g][key]
             order = np.lexsort((a[:, 1], key, count, a[:, 0]))
             first = order[np.unique(a[order, 0], return_index=True)[1]]
             first = first[count[first] > 0]
@@ -120,11 +118,13 @@ def _count(sets) -> Callable:
     return run
 
 
-def _mark(block) -> Callable:
+def _mark(block, names: list[str]) -> Callable:
+    hit_, items_, words_, hits_ = names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = W.column(b, "text")
-            old_hit, old_items = (b.column(b.schema.get_field_index(c)) for c in ("_hit", "_items"))
+            old_hit, old_items = (b.column(b.schema.get_field_index(c)) for c in (hit_, items_))
             n_words, n_hit, hit, items = [], [], [], []
             for lo, hi in W.slices(texts):
                 w = W.words(texts, lo, hi, W.ALNUM_WORDS)
@@ -150,54 +150,55 @@ def _mark(block) -> Callable:
                 hit += [np.packbits(covered[w.first[i] : w.first[i + 1]]).tobytes() if i in found else None for i in range(hi - lo)]
                 items += [sorted(found[i]) if i in found else None for i in range(hi - lo)]
             new = {
-                "_hit": pa.array(hit, pa.binary()), "_items": pa.array(items, pa.list_(pa.int64())),
-                "_n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "_n_hit": pa.array(np.concatenate(n_hit) if n_hit else [], pa.int64()),
+                hit_: pa.array(hit, pa.binary()), items_: pa.array(items, pa.list_(pa.int64())),
+                words_: pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), hits_: pa.array(np.concatenate(n_hit) if n_hit else [], pa.int64()),
             }
             yield pa.RecordBatch.from_arrays([new.get(f.name, b.column(i)) for i, f in enumerate(b.schema)], b.schema.names)
 
     return run
 
 
-def _digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-@F.pandas_udf(T.StringType())
-def _items_sha256(items):  # noqa: ANN001, ANN202
-    return items.map(lambda x: _digest([] if x is None else list(x)))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 400_000) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items, items_sha256 and contaminated to docs (columns so named are replaced).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 200_000) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items, items_sha256 and contaminated to docs (columns so named are replaced; others
+    may have any names).
 
-    docs has text, benchmark item_id and text. Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. A
-    window is `window` consecutive words of an item, or a whole shorter item; items without words have none. A document
-    word inside an occurrence of a window is hit; a document is contaminated if share * n_hit >= n_words, n_hit > 0.
-    Null and empty texts have no words; equal rows get equal results; no benchmark, no hits.
+    docs has text, benchmark a whole item_id and text. Words are runs of letters, digits and non-ASCII characters, A-Z as
+    a-z. A window is `window` consecutive words of an item, or a whole shorter item; items without words have none. A
+    document word inside an occurrence of a window is hit; a document is contaminated if share * n_hit >= n_words, n_hit > 0.
+    Null and empty texts have no words; a text may have any length; equal rows get equal results; items that share an id
+    are one item; no benchmark, no hits; no documents, no rows.
 
     The windows, a stated set, go to the tasks in blocks of at most block_windows; each block marks words in place, so a
     larger benchmark takes more rounds and no shuffle of the texts.
     """
     spark = docs.sparkSession
+    whole_ids(benchmark, "item_id")
     new = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
-    rows = docs.drop(*[c for c in docs.columns if c in new])
+    rows = docs.drop(*new)
+    names = free([*rows.columns, *new], "hit", "found", "words", "hits")
+    hit, found, n_words, n_hit = names
     windows = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_windows(window), "item_id long, norm string"), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    state = rows.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<long>"), "_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long")})
+    state = rows.withColumns({hit: F.lit(None).cast("binary"), found: F.lit(None).cast("array<long>"), n_words: F.lit(0).cast("long"), n_hit: F.lit(0).cast("long")})
     for n in range(blocks):
         own = windows.where(F.pmod(F.xxhash64("norm"), F.lit(blocks)) == n).groupBy("norm").agg(F.sort_array(F.collect_set("item_id")).alias("items")).toArrow()
         block = _Block(own["norm"].to_pylist(), own["items"].to_pylist())
         sets = block.shingles()
         sent = spark.sparkContext.broadcast(sets)
-        seen = rows.select("text").mapInArrow(_count(sent), "g int, k long, n long").groupBy("g", "k").agg(F.sum("n").alias("n")).toPandas()
-        block.keep_rarest(sets, {(int(g), int(k)): int(n) for g, k, n in zip(seen["g"], seen["k"], seen["n"], strict=True)})
+        seen = rows.select("text").mapInArrow(_count(sent), "g int, k long, n long").groupBy("g", "k").agg(F.sum("n").alias("n")).toArrow()
+        sent.unpersist()
+        g, k, count = (np.asarray(seen[c]) for c in ("g", "k", "n"))
+        counts = {x: np.zeros(len(s.keys), np.int64) for x, s in sets.items()}
+        for x, c in counts.items():
+            c[k[g == x]] = count[g == x]
+        block.keep_rarest(sets, counts)
         block.grams = {}
         if n:
             state = written(state, "marked")
-        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(block)), state.schema)
-    out = state.withColumns({
-        "n_words": F.col("_n_words"), "n_hit": F.col("_n_hit"), "n_items": F.when(F.col("_items").isNull(), F.lit(0)).otherwise(F.size("_items")).cast("long"), "items": F.coalesce("_items", F.array().cast("array<long>")),
-        "contaminated": (F.col("_n_hit") > 0) & (F.col("_n_hit") * share >= F.col("_n_words")),
-    })
-    empty = F.lit(_digest([]))
-    return out.withColumn("items_sha256", F.when(F.col("_items").isNull(), empty).otherwise(_items_sha256("_items"))).select(*rows.columns, *new)
+        state = state.mapInArrow(_mark(spark.sparkContext.broadcast(block), names), state.schema)
+    items = F.coalesce(F.col(found), F.array().cast("array<long>"))
+    listed = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
+    return state.select(
+        *rows.columns, F.col(n_words).alias("n_words"), F.col(n_hit).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        F.sha2(listed, 256).alias("items_sha256"), ((F.col(n_hit) > 0) & (F.col(n_hit) * share >= F.col(n_words))).alias("contaminated"),
+    )

@@ -44,54 +44,66 @@ def _key(seed: int) -> Column:
 
 
 def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds source_size, target and taken to rows of doc_id, source and size (and more columns).
+    """Adds source_size, target, taken and copies to rows of doc_id, source and size (columns so named are replaced;
+    others may have any names).
 
     A source's rows get keys that look random (md5 of seed and id) and are sorted by them; prefix sums of sizes place
     each row in its source's line. The line is taken whole as often as the target holds it, then once more up to the
     budget, where the row across the cut goes in if at least half of it lies before. taken is size times the copies.
-    Null ids share one key; rows of one id and size come by the columns of ties; equal rows differ by place only. Empty rows (size 0) take 0. No rows: no rows.
+    Null ids share one key; rows of one id and size come by the columns of ties; equal rows differ by place only. Empty
+    rows (size 0) take 0; a null source is one of its own. No rows: no rows. The narrow rows are written first, so what
+    sizes are made of is read once.
     """
-    lined = running(rows.withColumn("_key", _key(seed)), ["source", "_key", "doc_id", "size", *ties], {"_start": "size"}, "mix", within=["source"])
-    targets = source_targets(rows, weights, share, most_repeats).withColumnRenamed("source", "_source").drop("weight")
-    both = lined.join(F.broadcast(targets) if _few(targets) else targets, F.col("source").eqNullSafe(F.col("_source")))
+    new = ("source_size", "target", "taken", "copies")
+    kept = [c for c in rows.columns if c.lower() not in new]
+    told = {f"tie{i}": F.col(c) for i, c in enumerate(ties)}
+    own = rows.select("source", "doc_id", F.col("size").cast("long").alias("size"), _key(seed).alias("key"), *[c.alias(n) for n, c in told.items()], F.struct(*kept).alias("row"))
+    own = written(own, "mix-rows")
+    lined = running(own, ["source", "key", "doc_id", "size", *told], {"start": "size"}, "mix", within=["source"])
+    targets = source_targets(own, weights, share, most_repeats).withColumnRenamed("source", "of_source").drop("weight")
+    both = lined.join(F.broadcast(targets) if _few(targets) else targets, F.col("source").eqNullSafe(F.col("of_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
-    once_more = (rest - F.col("_start") >= F.col("size") / 2) & (epochs < most_repeats) & (F.col("size") > 0)
+    once_more = (rest - F.col("start") >= F.col("size") / 2) & (epochs < most_repeats) & (F.col("size") > 0)
     copies = (epochs + F.when(once_more, 1).otherwise(0)).cast("long")
-    return both.withColumn("taken", F.col("size") * copies).withColumn("copies", copies).select(*rows.columns, "source_size", "target", "taken", "copies")
+    both = both.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *new)
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: each row of docs (doc_id, source, text and more) as often as it is taken, columns unchanged.
+    """The mix itself: each row of docs (doc_id, source, text and more, under any names) as often as it is taken, columns
+    unchanged.
 
     A source's cut is one place in its line of keys, so the rows need no join by id: a table of cuts, a row a source,
     tells each row its copies. Rows of one key, as those without an id, come by id, size and hashes of all columns; if the
     cut falls among wholly equal rows, as many of them as stand before it are taken once more. Rows without words stand
-    in the line too.
+    in the line too. No rows: no rows.
     """
-    size, hashes = word_count(F.col("text")), {f"_h{i}": F.xxhash64(F.lit(i), *docs.columns) for i in (1, 2)}
+    size, hashes = word_count(F.col("text")), {f"h{i}": F.xxhash64(F.lit(i), *docs.columns) for i in (1, 2)}
     narrow = docs.select("doc_id", "source", size.alias("size"), *[h.alias(c) for c, h in hashes.items()])
-    taken = mix(narrow, weights, share, most_repeats, seed, list(hashes)).withColumn("_key", _key(seed))
+    taken = mix(narrow, weights, share, most_repeats, seed, list(hashes)).withColumn("key", _key(seed))
     most = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
-    taken = taken.withColumn("_epochs", most).withColumn("_rest", F.struct("doc_id", "size", *hashes))
-    more = (F.col("copies") > F.col("_epochs")) & (F.col("size") > 0)
-    lasts = taken.groupBy("source").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(more, F.struct("_key", "_rest"))).alias("_cut"))
-    lasts = written(lasts.select(F.col("source").alias("_source"), "_epochs", F.col("_cut._key").alias("_last"), F.col("_cut._rest").alias("_last_rest")), "mix-lasts")
-    at_last = (F.col("_key") == F.col("_last")) & (F.col("_rest") == F.col("_last_rest"))
-    both = taken.drop("_epochs").join(F.broadcast(lasts) if _few(lasts) else lasts, F.col("source").eqNullSafe(F.col("_source")) & at_last)
-    ties = both.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_tied"), F.count(F.when(F.col("copies") > F.col("_epochs"), 1)).cast("int").alias("_some"))
-    cuts = written(lasts.join(ties, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-cuts")
-    keyed = docs.withColumn("_key", _key(seed)).join(F.broadcast(cuts) if _few(cuts) else cuts, F.col("source").eqNullSafe(F.col("_source")))
+    taken = taken.withColumn("epochs", most).withColumn("rest", F.struct("doc_id", "size", *hashes))
+    more = (F.col("copies") > F.col("epochs")) & (F.col("size") > 0)
+    lasts = taken.groupBy("source").agg(F.max("epochs").alias("times"), F.max(F.when(more, F.struct("key", "rest"))).alias("cut"))
+    lasts = written(lasts.select(F.col("source").alias("of_source"), "times", F.col("cut.key").alias("last"), F.col("cut.rest").alias("last_rest")), "mix-lasts")
+    at_last = (F.col("key") == F.col("last")) & (F.col("rest") == F.col("last_rest"))
+    both = taken.join(F.broadcast(lasts) if _few(lasts) else lasts, F.col("source").eqNullSafe(F.col("of_source")) & at_last)
+    ties = both.groupBy(F.col("source").alias("tie_source")).agg(F.count("*").alias("tied"), F.count(F.when(F.col("copies") > F.col("times"), 1)).cast("int").alias("some"))
+    cuts = written(lasts.join(ties, F.col("of_source").eqNullSafe(F.col("tie_source")), "left").drop("tie_source"), "mix-cuts")
     rest = F.struct("doc_id", size.alias("size"), *[h.alias(c) for c, h in hashes.items()])
-    whole = F.col("_some") == F.col("_tied")
-    among = F.when(F.col("_key") < F.col("_last"), 1).when(F.col("_key") == F.col("_last"), F.when((rest < F.col("_last_rest")) | (whole & (rest == F.col("_last_rest"))), 1).otherwise(0))
-    copies = F.col("_epochs") + F.coalesce(among, F.lit(0))
-    out = keyed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), _key(seed).alias("key"), rest.alias("rest"))
+    keyed = keyed.join(F.broadcast(cuts) if _few(cuts) else cuts, F.col("source").eqNullSafe(F.col("of_source")))
+    whole = F.col("some") == F.col("tied")
+    first = (F.col("rest") < F.col("last_rest")) | (whole & (F.col("rest") == F.col("last_rest")))
+    among = F.when(F.col("key") < F.col("last"), 1).when(F.col("key") == F.col("last"), F.when(first, 1).otherwise(0))
+    copies = F.col("times") + F.coalesce(among, F.lit(0))
+    out = keyed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
     if not cuts.where(~whole).limit(1).count():
         return out
-    split = keyed.where(~whole & (F.col("_key") == F.col("_last"))).where(rest == F.col("_last_rest"))
-    one = split.groupBy("_source", "_some").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return out.unionByName(one.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_some")))).select("_row.*"))
+    split = keyed.where(~whole & (F.col("key") == F.col("last")) & (F.col("rest") == F.col("last_rest")))
+    one = split.groupBy("of_source", "some").agg(F.first("row").alias("row"))
+    return out.unionByName(one.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("some")))).select("row.*"))
 
 
 def _few(targets: DataFrame, most: int = 100_000) -> bool:
