@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit as W
-from .store import running, tasks_for
+from .store import running, tasks_for, whole_ids
 
 BLOCK = 1 << 16  # bits of a plane that are compressed, and counted, together
 _MAGIC = b"WVM1"
+_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
 
 
 def encode_matrix(tokens: np.ndarray) -> bytes:
@@ -77,22 +78,30 @@ class WaveletMatrix:
         self.at = 16 + a + b + c + np.concatenate([[0], np.cumsum(table[:, 1])])
         self.blob, self.open_ = blob, {}
 
-    def _bits(self, plane: int, block: int) -> np.ndarray:
+    def _open(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's bytes, and how many ones stand before each."""
         k = plane * self.blocks + block
         if k not in self.open_:
             part = self.blob[self.at[k] : self.at[k + 1]]
-            part = zstandard.decompress(part, BLOCK) if self.kind[k] else part
-            if len(self.open_) > 64:
+            part = np.frombuffer(zstandard.decompress(part, BLOCK) if self.kind[k] else part, np.uint8)
+            if len(self.open_) > 256:
                 self.open_.clear()
-            self.open_[k] = np.unpackbits(np.frombuffer(part, np.uint8))[: min(BLOCK, self.n - block * BLOCK)]
+            self.open_[k] = part, np.concatenate([[0], np.cumsum(_POP[part], dtype=np.int32)])
         return self.open_[k]
 
+    def _bits(self, plane: int, block: int) -> np.ndarray:
+        return np.unpackbits(self._open(plane, block)[0])[: min(BLOCK, self.n - block * BLOCK)]
+
     def _ones(self, plane: int, i: int) -> int:
-        """Ones of a plane before position i."""
+        """Ones of a plane before position i: the block's count, its bytes' and the rest of one byte."""
         if i <= 0:
             return 0
-        block = (i - 1) // BLOCK
-        return int(self.before[plane * self.blocks + block]) + int(self._bits(plane, block)[: i - block * BLOCK].sum())
+        block, at = divmod(i, BLOCK)
+        if at == 0:
+            block, at = block - 1, BLOCK
+        part, before = self._open(plane, block)
+        rest = int(_POP[part[at >> 3] >> (8 - (at & 7))]) if at & 7 else 0
+        return int(self.before[plane * self.blocks + block]) + int(before[at >> 3]) + rest
 
     def access(self, i: int) -> int:
         """The token at position i."""
@@ -100,7 +109,8 @@ class WaveletMatrix:
             raise IndexError(i)
         code = 0
         for p in range(self.planes):
-            bit = int(self._bits(p, i // BLOCK)[i % BLOCK])
+            at = i % BLOCK
+            bit = int(self._open(p, i // BLOCK)[0][at >> 3]) >> (7 - (at & 7)) & 1
             ones = self._ones(p, i)
             i = self.zeros[p] + ones if bit else i - ones
             code = code * 2 + bit
@@ -122,24 +132,37 @@ class WaveletMatrix:
 
     def select(self, token: int, k: int) -> int:
         """Where the token stands for the k-th time (from 0); -1 if it doesn't."""
-        if k < 0 or k >= self.count(token):
-            return -1
+        found = self.locate(token, k, k + 1) if k >= 0 else []
+        return int(found[0]) if len(found) else -1
+
+    def locate(self, token: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Where the token stands, from its start-th time up to before its stop-th: down to its run on the lowest level,
+        and up again through the planes."""
+        n = self.count(token)
+        stop = n if stop is None else min(stop, n)
+        if start >= stop:
+            return np.zeros(0, np.int64)
         code, lo, path = self.code[token], 0, []
         for p in range(self.planes):
             a = self._ones(p, lo)
-            lo = self.zeros[p] + a if code >> (self.planes - 1 - p) & 1 else lo - a
             path.append(code >> (self.planes - 1 - p) & 1)
-        i = lo + k
+            lo = self.zeros[p] + a if path[-1] else lo - a
+        at = lo + np.arange(start, stop)
         for p in range(self.planes - 1, -1, -1):
-            i = self._find(p, path[p], i - self.zeros[p] if path[p] else i)
-        return i
+            at = self._find(p, path[p], at - self.zeros[p] if path[p] else at)
+        return at
 
-    def _find(self, plane: int, bit: int, k: int) -> int:
-        """Position of the k-th one, or zero, of a plane."""
+    def _find(self, plane: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th ones, or zeros, of a plane; k ascends."""
         own = self.before[plane * self.blocks : (plane + 1) * self.blocks]
         seen = own if bit else np.arange(self.blocks) * BLOCK - own
-        block = int(np.searchsorted(seen, k, "right")) - 1
-        return block * BLOCK + int(np.flatnonzero(self._bits(plane, block) == bit)[k - int(seen[block])])
+        block = np.searchsorted(seen, k, "right") - 1
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        out = np.empty(len(k), np.int64)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            b = int(block[lo])
+            out[lo:hi] = b * BLOCK + np.flatnonzero(self._bits(plane, b) == bit)[k[lo:hi] - int(seen[b])]
+        return out
 
     def decode(self) -> np.ndarray:
         """All tokens, from the lowest plane up."""
@@ -258,7 +281,7 @@ def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, an end after each, and their n + 1 offsets.
 
     by_word: the tokenizer lower-cases and never joins text across blanks or letters with marks, so each distinct word
@@ -294,46 +317,59 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, number = TaskContext.get().partitionId(), 0
-        ids: list = []
+        shard, number, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
         tokens: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
         def made() -> pa.RecordBatch:
             n = np.concatenate(sizes)
-            own = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([encode_matrix(np.concatenate(tokens))], pa.binary())]
+            listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            own = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), listed(pa.concat_arrays(ids)), listed(pa.array(n)), pa.array([encode_matrix(np.concatenate(tokens))], pa.binary())]
+            for held_ in (ids, tokens, sizes):
+                held_.clear()
             return pa.RecordBatch.from_arrays(own, ["shard", "segment", "n_docs", "n_tokens", "doc_ids", "doc_sizes", "matrix"])
 
-        held = 0
         for b in batches:
             texts, doc = W.column(b, "text"), b.column(b.schema.get_field_index("doc_id"))
-            for lo, hi in W.slices(texts, 6 << 20):
+            for lo, hi in W.slices(texts, 4 << 20):
                 flat, first = encode_texts(texts.slice(lo, hi - lo), path, end_id, by_word)
                 tokens.append(flat)
                 sizes.append(np.diff(first))
-                ids += doc.slice(lo, hi - lo).to_pylist()
+                ids.append(doc.slice(lo, hi - lo))
                 held += len(flat)
                 if held >= most:
                     yield made()
-                    number, held, ids, tokens, sizes = number + 1, 0, [], [], []
+                    number, held = number + 1, 0
         if ids:
             yield made()
 
-    return run
+    return W.tidy(run)
 
 
 SCHEMA = "shard int, segment int, n_docs long, n_tokens long, doc_ids array<long>, doc_sizes array<long>, matrix binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 4_000_000, by_word: bool = True) -> None:
-    """Writes documents as token files: range-partitioned by doc_id, one file a shard, a row a segment.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 1_000_000, shard_bytes: int = 256 << 20, by_word: bool = True, most_tied: int = 10_000) -> None:
+    """Writes documents as token files: range-partitioned by doc_id (whole numbers), one file a shard, a row a segment.
 
-    A segment holds whole documents in ascending doc_id order (null first; ties by text), at least segment_tokens ids but
-    for a shard's last, as one wavelet matrix with the documents' ids and sizes beside it. Null and empty texts are a
-    lone end; equal rows are written as often as they come; no documents, no segments.
+    There are as many shards as shuffle partitions, or more, so that none has much over shard_bytes of text. A segment
+    holds whole documents in ascending doc_id order (null first; ties by the text's first 64 characters, then its
+    hash), at least segment_tokens ids but for a shard's last, as one wavelet matrix with the documents' ids and sizes
+    beside it. Null and empty texts are a lone end; a text may have any length; equal rows are written as often as they
+    come; no documents, no segments. Other columns are not read. Where more than most_tied rows share an id, or have
+    none, they are dealt over shards by text and place, so they don't fill one.
     """
-    spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    whole_ids(docs, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).agg(F.max("n"), F.sum("b")).first()
+    shards = max(tasks_for(docs.sparkSession), -(-int(size[1] or 0) // shard_bytes))
+    order = ["doc_id", "start", "hash"]
+    rows = rows.withColumns({"start": F.substring("text", 1, 64), "hash": F.xxhash64("text")})
+    if (size[0] or 0) > most_tied:
+        order.append("place")
+        rows = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards, *(order if "place" in order else order[:1])).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_segments(tokenizer, end_id, segment_tokens, by_word), SCHEMA).write.parquet(path)
 
 
@@ -341,20 +377,76 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in range(b.num_rows):
             get = lambda c: b.column(b.schema.get_field_index(c))[row]  # noqa: B023, E731
-            sizes = np.array(get("doc_sizes").as_py(), np.int64)
+            sizes = np.asarray(get("doc_sizes").values)
             first = np.concatenate([[0], np.cumsum(sizes)])
             flat = WaveletMatrix(get("matrix").as_py()).decode().astype("<u4")
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, get("shard").as_py()), pa.int32()), pa.array(np.full(n, get("segment").as_py()), pa.int32()), pa.array(get("doc_ids").as_py(), pa.int64()), pa.array(first[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
-                ["shard", "segment", "doc_id", "_at", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(n, get("shard").as_py()), pa.int32()), pa.array(np.full(n, get("segment").as_py()), pa.int32()), get("doc_ids").values, pa.array(first[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
+                ["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"],
             )
 
 
+def _starts(files: DataFrame) -> DataFrame:
+    """How many ids stand before each segment."""
+    return running(files.select("shard", "segment", "n_tokens"), ["shard", "segment"], {"before": "n_tokens"}, "segment-starts").drop("n_tokens")
+
+
+def _looked_up(tokens: list[int], places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                shard, segment, blob = (b.column(b.schema.get_field_index(c))[row].as_py() for c in ("shard", "segment", "matrix"))
+                matrix = WaveletMatrix(blob)
+                found = [matrix.locate(t) if places else np.array([matrix.count(t)]) for t in tokens]
+                size = [len(f) for f in found]
+                n = sum(size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard), pa.int32()), pa.array(np.full(n, segment), pa.int32()), pa.array(np.repeat(tokens, size), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())], ["shard", "segment", "token", "value"])
+
+    return W.tidy(run)
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token and n: how often each of some tokens stands in the token files, by rank in each segment; none is decoded."""
+    files = spark.read.schema(SCHEMA).parquet(path).select("shard", "segment", "matrix")
+    found = files.mapInArrow(_looked_up(sorted(set(tokens)), False), "shard int, segment int, token long, value long")
+    return found.groupBy("token").agg(F.sum("value").alias("n"))
+
+
+def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token and at: each place, among the ids of all files in order, where one of some tokens stands, by select."""
+    files = spark.read.schema(SCHEMA).parquet(path)
+    found = files.select("shard", "segment", "matrix").mapInArrow(_looked_up(sorted(set(tokens)), True), "shard int, segment int, token long, value long")
+    return found.join(_starts(files), ["shard", "segment"]).select("token", (F.col("before") + F.col("value")).alias("at"))
+
+
+def _accessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in range(b.num_rows):
+            at = b.column(b.schema.get_field_index("at"))[row].as_py()
+            before, blob = (b.column(b.schema.get_field_index(c))[row].as_py() for c in ("before", "matrix"))
+            matrix = WaveletMatrix(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([matrix.access(i - before) for i in at], pa.int64())], ["at", "token"])
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame, page: int = 4096) -> DataFrame:
+    """at and token of each of places (a column at), distinct ones within the files' length, by access: a segment is
+    opened only if it is asked for, and only in the blocks that its places touch.
+
+    Segments spread over the pages of ids that they touch and meet places by page; a segment's places come together.
+    """
+    files = spark.read.schema(SCHEMA).parquet(path)
+    spans = _starts(files).join(files.select("shard", "segment", "n_tokens"), ["shard", "segment"])
+    paged = spans.withColumn("page", F.explode(F.sequence(F.floor(F.col("before") / page), F.floor((F.col("before") + F.col("n_tokens") - 1) / page))))
+    asked = places.select(F.col("at").cast("long").alias("at")).where("at >= 0").distinct().withColumn("page", F.floor(F.col("at") / page))
+    met = asked.join(paged, "page").where("at >= before AND at < before + n_tokens")
+    own = met.groupBy("shard", "segment", "before").agg(F.collect_list("at").alias("at"))  # at most a segment's length
+    return own.join(files.select("shard", "segment", "matrix"), ["shard", "segment"]).select("before", "at", "matrix").mapInArrow(W.tidy(_accessed), "at long, token long")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Each document of token files: shard, segment, doc_id, start (ids of all before it), n_tokens and ids_crc32."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    before = running(files.select("shard", "segment", "n_tokens"), ["shard", "segment"], {"_before": "n_tokens"}, "segment-starts").drop("n_tokens")
-    docs = files.select("shard", "segment", "doc_ids", "doc_sizes", "matrix").mapInArrow(_documents, "shard int, segment int, doc_id long, _at long, n_tokens long, ids_crc32 long")
-    return docs.join(before, ["shard", "segment"]).select("shard", "segment", "doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = files.select("shard", "segment", "doc_ids", "doc_sizes", "matrix").mapInArrow(W.tidy(_documents), "shard int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return docs.join(_starts(files), ["shard", "segment"]).select("shard", "segment", "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

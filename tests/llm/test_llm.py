@@ -76,6 +76,22 @@ def test_token_files_round_trip(spark, documents, nothing, tmp_path):
         assert got == want
 
 
+def test_token_files_answer_counts_places_and_tokens(spark, documents, nothing, tmp_path):
+    path = f"file://{tmp_path}/t"
+    wavelet.write_tokens(documents, path, tokenizer_file(), segment_tokens=300, most_tied=1)
+    rows = [r for r in spark.read.parquet(path).orderBy("shard", "segment").collect()]
+    ids = np.concatenate([wavelet.WaveletMatrix(r["matrix"]).decode() for r in rows]).astype(int)
+    assert [r["doc_id"] for r in wavelet.read_documents(spark, path).orderBy("start").collect()] == sorted((r["doc_id"] for r in documents.collect()), key=lambda i: (i is not None, i))
+    asked = [1, int(ids[0]), int(ids[len(ids) // 2]), 48_999]
+    assert {r["token"]: r["n"] for r in wavelet.count_tokens(spark, path, asked).collect()} == {t: int((ids == t).sum()) for t in asked}
+    assert sorted((r["token"], r["at"]) for r in wavelet.find_tokens(spark, path, asked).collect()) == sorted((t, int(i)) for t in set(asked) for i in np.flatnonzero(ids == t))
+    at = [0, 5, len(ids) - 1, len(ids) // 3, 5, len(ids), -1]
+    got = {r["at"]: r["token"] for r in wavelet.tokens_at(spark, path, spark.createDataFrame([(i,) for i in at], "at long"), page=64).collect()}
+    assert got == {i: int(ids[i]) for i in set(at) if 0 <= i < len(ids)}
+    with pytest.raises(TypeError):
+        wavelet.write_tokens(documents.withColumn("doc_id", F.lit("a")), path + "x", tokenizer_file())
+
+
 def test_encoding_by_word_equals_encoding_whole_texts():
     texts = pa.array([t or "" for t in TEXTS] + ["don't. 'tis, x'.", "ǅ. İstanbul.,! naïve…", "<|ENDOFTEXT|> A.,", "a\x0bb\x0cc\x1cd"])
     for some in (texts, texts.slice(0, 11)):
