@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from . import wordkit as W
+from .store import tasks_for, whole_ids, written
 
 BITS = 64
 
@@ -29,92 +30,138 @@ def _strings(x: np.ndarray, extra: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first bits two strings have in common."""
+    x, out = a ^ b, np.full(len(a), BITS, np.int64)
+    for shift in (32, 16, 8, 4, 2, 1):  # the place of the highest bit that differs, by halves
+        high = x >> np.uint64(shift)
+        on = high > 0
+        out[on] -= shift
+        x = np.where(on, high, x)
+    return out - (x > 0)
+
+
 class Forest:
-    """Sorted arrays of hash strings, one a tree, over the same vectors.
+    """Sorted arrays of hash strings, one a tree, over the same vectors, and whose vectors they are."""
 
-    Lengthened by sqrt(longest^2 - |x|^2) in one more component, vectors have one length, so the largest inner product is
-    the smallest angle, which hash strings keep.
-    """
+    def __init__(self, keys: np.ndarray, order: np.ndarray):
+        self.keys, self.order = keys, order
 
-    def __init__(self, x: np.ndarray, sides: np.ndarray, longest: float):
-        self.x, self.sides = x, sides
+    @staticmethod
+    def over(x: np.ndarray, sides: np.ndarray, longest: float) -> Forest:
+        """Lengthened by sqrt(longest^2 - |x|^2) in one more component, vectors have one length, so the largest inner
+        product is the smallest angle, which hash strings keep."""
         keys = _strings(x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0.0)), sides)
-        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
+        order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
+        return Forest(np.take_along_axis(keys, order, axis=1), order)
 
     def _ranges(self, q: np.ndarray, tree: int, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where strings stand that share the first bits, so many, with each query's."""
-        rest = np.where(depth >= 64, np.uint64(0), np.uint64(2**64 - 1) >> np.minimum(depth, 63).astype(np.uint64))
+        rest = np.where(depth >= BITS, np.uint64(0), np.uint64(2**64 - 1) >> np.minimum(depth, 63).astype(np.uint64))
         lo = np.searchsorted(self.keys[tree], q & ~rest, "left")
         return lo, np.searchsorted(self.keys[tree], q | rest, "right")
 
-    def candidates(self, q: np.ndarray, least: int, deepest: int = 32) -> Iterator[np.ndarray]:
-        """Rows for each query vector: all trees are descended to the longest prefix that has any, then ascended together,
-        one bit at a time, until their ranges hold at least so many."""
-        n, trees = len(q), len(self.keys)
-        keys = _strings(q, np.zeros(n), self.sides)
-        depth, todo = np.full(n, deepest), np.arange(n)
-        while len(todo):
+    def descend(self, q: np.ndarray) -> np.ndarray:
+        """How long the longest prefix is that each query shares with any string of each tree: it ends at the query's
+        place in the sorted array, beside the string before or after."""
+        out = np.zeros(q.shape, np.int64)
+        for t, own in enumerate(self.keys):
+            at = np.searchsorted(own, q[t])
+            out[t] = np.maximum(_shared_bits(q[t], own[np.maximum(at - 1, 0)]), _shared_bits(q[t], own[np.minimum(at, len(own) - 1)]))
+        return out
+
+    def candidates(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """Marks of the rows for each query's strings (trees x queries).
+
+        Every tree is descended to its longest match; from the deepest of them all trees are ascended together, bit by
+        bit, until their ranges hold at least so many. What they hold only grows on the way up, so the level is found by
+        halving. A tree whose own match is shorter joins in at its own level.
+        """
+        trees, n = q.shape
+        low, high = np.zeros(n, np.int64), self.descend(q).max(axis=0)
+        while (todo := np.flatnonzero(low < high)).size:
+            mid = (low[todo] + high[todo] + 1) // 2
             held = np.zeros(len(todo), np.int64)
             for t in range(trees):
-                lo, hi = self._ranges(keys[t][todo], t, depth[todo])
+                lo, hi = self._ranges(q[t][todo], t, mid)
                 held += hi - lo
-            todo = todo[(held < least) & (depth[todo] > 0)]
-            depth[todo] -= 1
-        spans = [self._ranges(keys[t], t, depth) for t in range(trees)]
-        mark = np.zeros(len(self.x), bool)
+            enough = held >= least
+            low[todo[enough]], high[todo[~enough]] = mid[enough], mid[~enough] - 1
+        spans = [self._ranges(q[t], t, low) for t in range(trees)]
         for i in range(n):
-            mark[:] = False
+            mark = np.zeros(self.keys.shape[1], bool)
             for t in range(trees):
                 mark[self.order[t, spans[t][0][i] : spans[t][1][i]]] = True
-            yield np.flatnonzero(mark)
+            yield mark
+
 
+def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return np.asarray(column.flatten()).reshape(-1, size)
 
-def _vectors(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    flat = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return np.asarray(flat.flatten()).reshape(-1, size)
 
+_FOREST = "ids array<long>, vectors binary, strings binary, places binary"
 
-def _search(sent, trees: int, size: int, longest: float, k: int, share: float, least: int, seed: int) -> Callable[[pa.Table], pa.Table]:
-    """The k best of a segment for each query of the sent block, by exact products over the forest's candidates."""
+
+def _grown(trees: int, size: int, longest: float, seed: int) -> Callable[[pa.Table], pa.Table]:
+    """A segment's vectors and forest as one row."""
 
     def run(segment: pa.Table) -> pa.Table:
         ids, x = np.asarray(segment["vec_id"]), _vectors(segment["embedding"], size)
-        query_ids, q = sent.value
-        forest = Forest(x, planes(trees, size, seed), longest)
-        exact, exact_q = x.astype(np.float64), q.astype(np.float64)
-        out: tuple[list, list, list] = ([], [], [])
-        for i, rows in enumerate(forest.candidates(q, max(least, int(share * len(x))))):
-            near = exact[rows] @ exact_q[i]
-            own = ids[rows] != query_ids[i]
-            rows, near = rows[own], near[own]
-            if len(rows) > k:
-                good = near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9
-                rows = rows[good]
-            score = (exact[rows] * exact_q[i]).sum(axis=1)  # the same for equal vectors, wherever they stand
-            best = np.lexsort((ids[rows], -score))[:k]
-            out[0].append(np.full(len(best), query_ids[i]))
-            out[1].append(ids[rows[best]])
-            out[2].append(score[best])
-        parts = [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+        forest = Forest.over(x, planes(trees, size, seed), longest)
+        return pa.table({"ids": pa.array([ids], pa.list_(pa.int64())), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("vectors", x.astype(np.float32)), ("strings", forest.keys), ("places", forest.order))}})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64, share: float = 0.6, least: int = 5000, segment_size: int = 8192, block: int = 20_000, seed: int = 7) -> DataFrame:
+def _search(sent, trees: int, size: int, k: int, share: float, least: int, seed: int, together: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each forest's segment for each query of the sent block, by exact products over its candidates."""
+
+    def best(ids: np.ndarray, exact: np.ndarray, forest: Forest, query_ids: np.ndarray, exact_q: np.ndarray, strings: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(query_ids), together):
+            near = exact_q[lo : lo + together] @ exact.T  # of a block at once: candidates are many, gathering each query's costs more
+            out: tuple[list, list, list] = ([], [], [])
+            for i, mark in enumerate(forest.candidates(strings[:, lo : lo + together], max(least, int(share * len(ids))))):
+                rows = np.flatnonzero(mark & (ids != query_ids[lo + i]))
+                if len(rows) > k:
+                    own = near[i, rows]
+                    rows = rows[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-9]
+                score = (exact[rows] * exact_q[lo + i]).sum(axis=1)  # the same for equal vectors, wherever they stand
+                first = np.lexsort((ids[rows], -score))[:k]
+                for o, v in zip(out, (np.full(len(first), query_ids[lo + i]), ids[rows[first]], score[first]), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = sent.value
+        strings, exact_q = _strings(q, np.zeros(len(q)), planes(trees, size, seed)), q.astype(np.float64)
+        for b in batches:
+            for row in range(b.num_rows):
+                ids, x, keys, order = (b.column(i)[row] for i in range(4))
+                ids = np.asarray(ids.values)
+                exact = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, size).astype(np.float64)
+                forest = Forest(np.frombuffer(keys.as_buffer(), np.uint64).reshape(trees, -1), np.frombuffer(order.as_buffer(), np.int32).reshape(trees, -1))
+                yield from best(ids, exact, forest, query_ids, exact_q, strings)
+
+    return W.tidy(run)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32, share: float = 0.6, least: int = 5000, segment_size: int = 8192, block: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the largest inner product found for each query.
 
-    Both frames have vec_id and embedding. Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components take no part, nor do null ids; of rows that repeat an id the smallest embedding counts. A query
-    does not find its own id. Ties go to the smaller id. With no vectors, or no queries, no rows.
+    Both frames have vec_id (whole numbers) and embedding; other columns are not read. Vectors that are null, zero, of
+    another length than most, or hold null or non-finite components take no part, nor do null ids; of rows that repeat an
+    id the smallest embedding counts. A query does not find its own id. Ties go to the smaller id. With no vectors, or no
+    queries, no rows.
 
-    Vectors are dealt by a hash of the id into segments of about segment_size, each with its own forest, so neither a
-    crowded direction nor many copies make a task larger. Queries, a stated set, go to the segments in blocks of a bounded
-    number. A search gathers at least `least` candidates (counted in every tree), and share x the segment; the best of all
-    segments are merged. share trades work for recall: vectors without structure need a large one.
+    Vectors are dealt by a hash of the id into segments of about segment_size, so neither a crowded direction nor many
+    copies make a task larger; each segment's forest is grown and written once. Queries, a stated set, meet the forests in
+    blocks of a bounded number. A search gathers at least `least` candidates (counted in every tree), and share x the
+    segment; the best of all segments are merged. share trades work for recall: vectors without structure need a large one.
     """
     spark = vectors.sparkSession
+    whole_ids(vectors, "vec_id")
 
     def usable(df: DataFrame) -> DataFrame:
         e = F.col("embedding")
@@ -129,20 +176,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64
         return none
     size, total = int(sizes["size"]), int(sizes["count"])
     base = base.where(F.col("size") == size)
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    longest = float(np.sqrt(base.agg(F.max(square)).first()[0]))
-    segments = max(1, -(-total // segment_size))
-    dealt = base.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).alias("segment"))
     asked = written(usable(queries).where(F.size("embedding") == size), "queries")
     count = asked.count()
     if not count:
         return none
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    longest = float(np.sqrt(base.agg(F.max(square)).first()[0]))
+    segments = max(-(-total // segment_size), min(tasks_for(spark), -(-total // (4 * k))))
+    dealt = base.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).alias("segment"))
+    grown = dealt.repartition(min(segments, 20 * tasks_for(spark)), "segment").groupBy("segment").applyInArrow(_grown(trees, size, longest, seed), _FOREST)
+    forests = written(grown, "forests")
     blocks, found = -(-count // block), None
     for n in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)) == n).toArrow()
         sent = spark.sparkContext.broadcast((np.asarray(own["vec_id"]), _vectors(own["embedding"], size)))
-        part = dealt.groupBy("segment").applyInArrow(_search(sent, trees, size, longest, k, share, max(least, 4 * k), seed), "query_id long, vec_id long, score double")
-        part = _best(part, k) if blocks == 1 else written(_best(part, k), "nearest")
+        part = forests.mapInArrow(_search(sent, trees, size, k, share, max(least, 4 * k), seed), "query_id long, vec_id long, score double")
+        part = written(_best(part, k), "nearest")
+        sent.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
