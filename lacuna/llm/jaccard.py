@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordkit as W
 from .components import components
-from .store import tasks_for, written
+from .store import tasks_for, whole_ids, with_row_of, written
 
 MARK_BITS = 24
 
@@ -43,7 +43,7 @@ def _digests(k: int) -> Callable:
                     s2.append(y)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "s1", "s2"])
 
-    return run
+    return W.tidy(run)
 
 
 def _prefix(n, percent: int):  # noqa: ANN001, ANN202
@@ -56,22 +56,26 @@ def _reach(n, percent: int):  # noqa: ANN001, ANN202
     return np.minimum(n, -(-3 * _prefix(n, percent) // 2))
 
 
-def _least_shared(n: int, percent: int) -> int:
+def _least_shared(n: Column, percent: int) -> Column:
     """How many of a set's first _reach members any similar set must share, whatever its size.
 
     Of two sets the overlap is at least percent / (100 + percent) of both sizes; what lies beyond the reach of the one whose
     reach ends first can't be more than its rest. That bound is concave in the other size, so its ends are the least.
     """
+    up = lambda a, b: F.ceil(a / F.lit(b))
+    prefix = lambda m: m - up(m * percent, 100) + 1
+    reach = lambda m: F.least(m, up(prefix(m) * 3, 2))
     out = n
-    for m in {max(1, -(-n * percent // 100)), n * 100 // percent}:
-        overlap = -(-percent * (n + m) // (100 + percent))
-        out = min(out, overlap - max(n - int(_reach(n, percent)), m - int(_reach(m, percent))))
-    return max(out - 3, 1)  # rounding may move each part by one
+    for m in (F.greatest(up(n * percent, 100), F.lit(1)), F.floor(n * 100 / F.lit(percent))):
+        overlap = up((n + m) * percent, 100 + percent)
+        out = F.least(out, overlap - F.greatest(n - reach(n), m - reach(m)))
+    return F.greatest(out - 3, F.lit(1))  # rounding may move each part by one
 
 
 def _prefixes(k: int, percent: int, marks) -> Callable:
-    """Of each set met for the first time by a task, its first members in the global order: without marks by hash, as far
-    as _reach; with marks as far as _prefix, unmarked members first."""
+    """Of each set not met lately by a task, its first members in the global order: without marks by hash, as far as
+    _reach; with marks as far as _prefix, unmarked members first. (What is met again costs time only: classes are made
+    one later.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
@@ -88,8 +92,9 @@ def _prefixes(k: int, percent: int, marks) -> Callable:
                     key = (n, *_signed_sums(u))
                     if key in seen:
                         continue
-                    if len(seen) < 2_000_000:
-                        seen.add(key)
+                    if len(seen) >= 20_000:
+                        seen.clear()
+                    seen.add(key)
                     if common is None:
                         own = u[: int(_reach(n, percent))]
                     else:
@@ -101,7 +106,7 @@ def _prefixes(k: int, percent: int, marks) -> Callable:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(tokens)), pa.int64()), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))], ["token", "doc", "n"])
 
-    return run
+    return W.tidy(run)
 
 
 class SetTrie:
@@ -188,7 +193,7 @@ def _check(k: int, percent: int) -> Callable:
         if now is not None:
             yield _pairs(block(now[0], own, docs, sets))
 
-    return run
+    return W.tidy(run)
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -246,10 +251,10 @@ def _block(k: int, percent: int) -> Callable:
         if now is not None:
             yield _pairs(found(sides[0], sides[1] if now[1] != now[2] else sides[0]))
 
-    return run
+    return W.tidy(run)
 
 
-def _texts(docs: DataFrame, ids: DataFrame, few: int = 3_000_000) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, few: int = 1_000_000) -> DataFrame:
     """The documents of some ids, which go to all tasks if they are few, else are joined by shuffle."""
     ids = written(ids.distinct(), "wanted-ids")
     return written(docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi"), "wanted-texts")
@@ -266,17 +271,22 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, part_size
 
 
 def _within(members: DataFrame, texts: DataFrame, k: int, percent: int, part_size: int = 1024) -> DataFrame:
-    """Links inside hubs' groups (hub, doc, comp), between documents whose components differ so far.
+    """Links inside hubs' groups (hub, doc, n, comp), between documents whose components differ so far.
 
-    A group is cut into parts of about part_size, those of its hub's component apart; each pair of parts, but for two of
+    A group is cut by set size into classes, in steps that similar sets can't cross by more than one, and those into parts
+    of about part_size, documents of the hub's component apart; each pair of parts of one class or neighbouring ones, but for two of
     that component, makes a block of bounded size, so a large group spreads over many tasks and no pairs are listed.
     """
-    side = members.withColumn("own", F.col("comp") == F.col("hub_comp"))
-    count = side.groupBy("hub", "own").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
-    placed = side.join(count, ["hub", "own"]).withColumn("p", F.pmod(F.xxhash64("doc"), F.col("parts")) * 2 + F.col("own").cast("int")).select("hub", "doc", "comp", "p", "own")
-    parts = written(placed.select("hub", "p", "own").distinct(), "parts")
-    x, y = parts.select("hub", F.col("p").alias("i"), F.col("own").alias("oi")), parts.select("hub", F.col("p").alias("j"), F.col("own").alias("oj"))
-    blocks = written(x.join(y, "hub").where("i <= j AND NOT (oi AND oj)").select("hub", "i", "j"), "blocks")
+    step = float(np.log(100 / percent))
+    side = members.withColumns({"own": F.col("comp") == F.col("hub_comp"), "size": F.floor(F.log(F.col("n").cast("double")) / step).cast("int")})
+    count = side.groupBy("hub", "own", "size").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
+    placed = side.join(count, ["hub", "own", "size"]).withColumn("p", (F.pmod(F.xxhash64("doc"), F.col("parts")) * 2 + F.col("own").cast("int")) * 65536 + F.col("size"))
+    placed = placed.select("hub", "doc", "comp", "p", "own", "size")
+    parts = written(placed.select("hub", "p", "own", "size").distinct(), "parts")
+    x, y = (parts.select("hub", F.col("p").alias(i), F.col("own").alias(f"o{i}"), F.col("size").alias(f"s{i}")) for i in "ij")
+    near = y.withColumn("si", F.explode(F.array(F.col("sj") - 1, F.col("sj"))))
+    met = x.join(near, ["hub", "si"]).where("(si < sj OR i <= j) AND NOT (oi AND oj)")
+    blocks = written(met.select("hub", "i", "j"), "blocks")
     first = blocks.join(placed, (blocks["hub"] == placed["hub"]) & (blocks["i"] == placed["p"])).select(blocks["hub"], "i", "j", F.lit(0).alias("side"), "doc", "comp")
     second = blocks.where("i != j").join(placed, (blocks["hub"] == placed["hub"]) & (blocks["j"] == placed["p"])).select(blocks["hub"], "i", "j", F.lit(1).alias("side"), "doc", "comp")
     rows = first.unionByName(second).join(texts, F.col("doc") == F.col("doc_id")).select("hub", "i", "j", "side", "doc", "comp", "text")
@@ -284,15 +294,25 @@ def _within(members: DataFrame, texts: DataFrame, k: int, percent: int, part_siz
     return dealt.mapInArrow(_block(k, percent), "a long, b long")
 
 
-def _shared(entries: DataFrame, same: DataFrame) -> DataFrame:
+def _frequent(texts: DataFrame, total: int, k: int, percent: int, sample: int = 20_000, most: int = 5000) -> DataFrame:
+    """Tokens that a sample of the documents, picked by hash, has again and again: at most so many. They are only dealt
+    otherwise, so which they are changes no result."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // sample))) == 0)
+    seen = some.mapInArrow(_prefixes(k, percent, None), "token long, doc long, n int").groupBy("token").agg(F.count("*").alias("c"))
+    return written(seen.where("c >= 20").orderBy(F.desc("c"), "token").limit(most).select("token"), "frequent-tokens")
+
+
+def _shared(entries: DataFrame, same: DataFrame, often: DataFrame) -> DataFrame:
     """Entries (token, doc, n) of tokens that two classes or more have, documents as their classes' first, with g, how
-    many have the token."""
+    many have the token. Tokens known to be frequent (often, a bounded number) stay out of the sort by token."""
     group = Window.partitionBy("token").orderBy("doc")
-    seen = entries.withColumns({"before": F.lag("doc").over(group), "after": F.lead("doc").over(group)})
-    found = written(seen.where("before IS NOT NULL OR after IS NOT NULL").select("token", "doc", "n"), "shared-prefixes")
-    found = found.join(same.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("token", F.col("rep").alias("doc"), "n").distinct()
-    size = found.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
-    return written(found.join(size, "token"), "shared-classes")
+    flagged = entries.join(F.broadcast(often.withColumn("often", F.lit(True))), "token", "left")
+    seen = flagged.where("often IS NULL").withColumns({"before": F.lag("doc").over(group), "after": F.lead("doc").over(group)})
+    found = seen.where("before IS NOT NULL OR after IS NOT NULL").select("token", "doc", "n")
+    found = written(found.unionByName(flagged.where("often").select("token", "doc", "n")), "shared-prefixes")
+    found = written(found.join(same.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("token", F.col("rep").alias("doc"), "n").distinct(), "shared-reps")
+    size = written(found.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"), "shared-sizes")
+    return written(with_row_of(found, size, "token", "g"), "shared-classes")
 
 
 def _marks(shared: DataFrame, often: int) -> np.ndarray:
@@ -320,29 +340,34 @@ def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, of
     its own can have no link and stands alone, as most do. 3. Prefixes of the others in one global order give candidates;
     shingles that many have go last in it. 4. In groups of at most `light` documents at a shingle, pairs whose shared prefix
     parts leave the similarity possible are compared. 5. A larger group goes to its hub, the document that shares most;
-    all are compared with it, then, in blocks, those that are in different components.
+    all are compared with it, then, in blocks, those that are in different components. Chains of links settle in at most
+    60 rounds of labels, or the job stops with an error.
     """
     spark = documents.sparkSession
+    whole_ids(documents, "doc_id")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = written(docs.mapInArrow(_digests(shingle), "doc_id long, n long, s1 long, s2 long"), "set-digests")
     some = digests.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    same = written(some.join(reps, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "set-members")
+    reps = written(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
+    one = F.struct("n", "s1", "s2")
+    same = with_row_of(some.select("doc_id", one.alias("set")), reps.select(one.alias("set"), "rep", "copies"), "set", "copies")
+    same = written(same.select("doc_id", "rep").distinct(), "set-members")
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    counted = _shared(texts.mapInArrow(_prefixes(shingle, percent, None), "token long, doc long, n int"), same)
+    frequent = _frequent(texts, digests.count(), shingle, percent)
+    counted = _shared(texts.mapInArrow(_prefixes(shingle, percent, None), "token long, doc long, n int"), same, frequent)
     marks = spark.sparkContext.broadcast(_marks(counted, often))
-    enough = F.udf(lambda n: _least_shared(n, percent), "int")
     sizes = counted.groupBy("doc", "n").agg(F.count("*").alias("c"))
-    least = sizes.select("n").distinct().withColumn("least", enough("n"))
-    active = written(sizes.join(least, "n").where("c >= least").select(F.col("doc").alias("doc_id")), "active")
+    active = written(sizes.where(F.col("c") >= _least_shared(F.col("n").cast("long"), percent)).select(F.col("doc").alias("doc_id")), "active")
     wanted = _texts(docs, active)
-    shared = _shared(wanted.mapInArrow(_prefixes(shingle, percent, marks), "token long, doc long, n int"), same)
+    shared = _shared(wanted.mapInArrow(_prefixes(shingle, percent, marks), "token long, doc long, n int"), same, frequent)
+    marks.unpersist()
 
     heavy = shared.where(F.col("g") > light)
     weight = shared.groupBy("doc").agg(F.sum("g").alias("s"))
-    hubs = heavy.join(weight, "doc").groupBy("token").agg(F.max(F.struct("s", -F.col("doc"), "n")).alias("h")).select("token", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
-    starred = written(heavy.join(hubs, "token").select("hub", "doc", "n", "hub_n").distinct(), "hubs")
+    hubs = heavy.join(weight, "doc").groupBy("token").agg(F.max(F.struct("s", -F.col("doc"), "n")).alias("h"), F.count("*").alias("many"))
+    hubs = written(hubs.select("token", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"), "many"), "hub-tokens")
+    starred = written(with_row_of(heavy.drop("g"), hubs, "token", "many").select("hub", "doc", "n", "hub_n").distinct(), "hubs")
 
     prefix = lambda n: n - F.ceil(n * percent / 100) + 1
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
@@ -359,9 +384,10 @@ def jaccard_groups(documents: DataFrame, shingle: int = 5, percent: int = 80, of
     near = components(first)
 
     label = near.select(F.col("node").alias("_n"), "component")
-    members = starred.join(label, F.col("doc") == F.col("_n"), "left").select("hub", "doc", F.coalesce("component", "doc").alias("comp"))
-    of_hub = starred.select("hub").distinct().join(label, F.col("hub") == F.col("_n"), "left").select("hub", F.coalesce("component", "hub").alias("hub_comp"))
-    members = members.unionByName(of_hub.select("hub", F.col("hub").alias("doc"), F.col("hub_comp").alias("comp"))).distinct().join(of_hub, "hub")
+    members = starred.join(label, F.col("doc") == F.col("_n"), "left").select("hub", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    of_hub = starred.select("hub", "hub_n").distinct().join(label, F.col("hub") == F.col("_n"), "left").select("hub", "hub_n", F.coalesce("component", "hub").alias("hub_comp"))
+    members = members.unionByName(of_hub.select("hub", F.col("hub").alias("doc"), F.col("hub_n").alias("n"), F.col("hub_comp").alias("comp"))).distinct()
+    members = members.join(of_hub.select("hub", "hub_comp"), "hub")
     members = written(members, "members")
     apart = members.groupBy("hub").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("hub")
     second = _within(members.join(apart, "hub", "left_semi"), wanted, shingle, percent)
