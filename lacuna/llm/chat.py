@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import tasks_for
+from . import wordkit as W
+from .store import tasks_for, whole_ids
 from .wordkit import column
 
 # The control strings of the template.
@@ -157,7 +158,7 @@ def _windows(budget: int, history: int, tokenizer: str | None) -> Callable:
         if talk is not None:
             yield _batch([(now, *talk.close())])
 
-    return run
+    return W.tidy(run)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,6 +176,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, token
     their own; a null conv_id is one conversation; no rows, no windows. Conversations are sorted and read as a stream, so
     a task holds a window and its history of one, whatever its length. Other columns are not read.
     """
+    whole_ids(turns, "conv_id")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     dealt = rows.repartition(tasks_for(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(_windows(budget, history, tokenizer), SCHEMA)
@@ -212,4 +214,4 @@ def digests(windows: DataFrame) -> DataFrame:
     """What windows say, by conversation, read back from their texts and masks: counts and digests of turns and loss."""
     rows = windows.select("conv_id", "window", "text", "loss", "n_repeated")
     dealt = rows.repartition(tasks_for(windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
-    return dealt.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.mapInArrow(W.tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -30,7 +30,7 @@ def _windows(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         out_id.append(ids[lo + i])
                 yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.string())], ["item_id", "norm"])
 
-    return run
+    return W.tidy(run)
 
 
 class _Block:
@@ -115,7 +115,7 @@ def _count(sets) -> Callable:
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), g), pa.int32()), pa.array(k, pa.int64()), pa.array(n[k], pa.int64())], ["g", "k", "n"])
 
-    return run
+    return W.tidy(run)
 
 
 def _mark(block, names: list[str]) -> Callable:
@@ -155,7 +155,7 @@ def _mark(block, names: list[str]) -> Callable:
             }
             yield pa.RecordBatch.from_arrays([new.get(f.name, b.column(i)) for i, f in enumerate(b.schema)], b.schema.names)
 
-    return run
+    return W.tidy(run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 200_000) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordkit as W
-from .store import written
+from .store import whole_ids, written
 
 END = "</s>"
 
@@ -138,7 +138,7 @@ def _expect(sent) -> Callable:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.float64())], ["piece", "used"])
 
-    return run
+    return W.tidy(run)
 
 
 def _marginal(sent) -> Callable:
@@ -152,7 +152,7 @@ def _marginal(sent) -> Callable:
             log, _ = lattice.run([x.encode() for x in texts.to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(W.signed(w.hashes()), pa.int64()), b.column(1), b.column(2), pa.array(log / np.log(10), pa.float64())], ["word", "c", "n", "log"])
 
-    return run
+    return W.tidy(run)
 
 
 def _score(common, end: tuple[float, float, bool]) -> Callable:
@@ -189,7 +189,7 @@ def _score(common, end: tuple[float, float, bool]) -> Callable:
                 many = np.diff(np.append(new, len(d)))
                 yield _rows(own[d[new]], W.signed(x[new]), np.zeros(len(new)), many)
 
-    return run
+    return W.tidy(run)
 
 
 def _rows(own, word, kind, tf, ids=None, held=None, n=None, known=None, base=None, log=None) -> pa.RecordBatch:  # noqa: ANN001
@@ -231,9 +231,10 @@ def score_texts(documents: DataFrame, model_file: str, folds: int = 5, held: int
     all tasks; the others of each document are joined with the vocabulary.
     """
     spark = documents.sparkSession
+    whole_ids(documents, "doc_id")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc % folds == held).alias("held_out"))
-    words = docs.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_counts, "word string, c long, n long")
+    words = docs.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(W.tidy(_counts), "word string, c long, n long")
     counted = written(words.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "word-counts")
     ends = docs.where("NOT held_out").count()
     total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()

@@ -83,7 +83,7 @@ def _counts(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         k = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k]), pa.array(total[1, k])], ["bucket", "bad", "good"])
 
-    return run
+    return W.tidy(run)
 
 
 def _indicators(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -96,7 +96,7 @@ def _indicators(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 own = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in ("h", "y")], own], ["h", "y", "buckets"])
 
-    return run
+    return W.tidy(run)
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 4.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -171,7 +171,7 @@ def _score(sent, name: str) -> Callable:
                 out.append(chance(model.margins(doc, bucket, hi - lo), model.curve))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out), pa.float64())], [*b.schema.names, name])
 
-    return run
+    return W.tidy(run)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wordkit as W
 from .store import running, with_row_of, written
 
 
@@ -72,7 +73,7 @@ def _cells(first: np.ndarray, last: np.ndarray, bins: int) -> Callable[[Iterator
             end = np.append(at[1:], len(x)) - 1 if len(x) else at
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (spot[at], x[at], x[end], end - at + 1)], ["spot", "first", "last", "n"])
 
-    return run
+    return W.tidy(run)
 
 
 def minimax_cuts(groups: DataFrame, shards: int, start: str = "start", size: str = "size", fineness: int = 2048) -> tuple[int, list[int]]:

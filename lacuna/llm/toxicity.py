@@ -158,10 +158,10 @@ def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lexicon(bad: DataFrame, good: DataFrame, least: int, strength: float) -> tuple[W.Found, np.ndarray]:
     """Words toxic enough, and their log odds. Counts of all words are joined in tasks; only what is kept comes here."""
-    kinds = written(bad.select("text").mapInArrow(_kinds, "word long, kind long").distinct(), "toxic-kinds")
+    kinds = written(bad.select("text").mapInArrow(W.tidy(_kinds), "word long, kind long").distinct(), "toxic-kinds")
     total = kinds.select("kind").distinct().count()
     own = kinds.groupBy("word").agg(F.count("*").alias("t"))
-    seen = good.select("text").mapInArrow(_texts_with, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = good.select("text").mapInArrow(W.tidy(_texts_with), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seen = written(seen, "toxic-clean")
     clean = seen.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # both counts with a margin for chance: what is toxic for sure, against what is clean at most
@@ -201,7 +201,7 @@ def _runs(sent) -> Callable:
                 lists = [pa.ListArray.from_arrays(at, pa.array(v[cell], pa.int32())) for v in see]
                 yield pa.RecordBatch.from_arrays([pa.array(W.signed(key)), pa.array(y[lo + owner], pa.int32()), *lists], ["key", "y", "k", "before", "after", "shape", "affix"])
 
-    return run
+    return W.tidy(run)
 
 
 @dataclass
@@ -337,7 +337,7 @@ def _sums(sent) -> Callable:
             total = np.concatenate([np.zeros(0), *[_margins(texts, sent.value, lo, hi)[0] for lo, hi in W.slices(texts)]])
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in ("h", "y")], pa.array(total)], ["h", "y", "margin"])
 
-    return run
+    return W.tidy(run)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chance", pa.float64())]))
@@ -360,7 +360,7 @@ def _tag(sent, names: list[str]) -> Callable:
             score = pa.array(chance(np.concatenate(sums), field.curve), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, score, pa.array(spans, _SPANS)], [*b.schema.names, *names])
 
-    return run
+    return W.tidy(run)
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
