@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolated
+from .shared import order_statistics, sized
 
 TAUS = (0.68, 0.85, 0.95, 0.99)
 
@@ -19,72 +20,135 @@ def tau_table(spark: SparkSession, taus: Sequence[float] = TAUS) -> DataFrame:
 
 
 def quantile_table(scores: DataFrame, taus: DataFrame, cell: Sequence[str], score: str) -> DataFrame:
-    """cell, tau_bps, n and q: the score at rank ceil(tau (n + 1)), within [1, n], of each cell.
+    """cell, tau_bps, tau, n and q: the score at rank ceil(tau (n + 1)), within [1, n], of each cell.
 
-    Ranks are numbered by a sort inside each cell, not gathered into lists, so a cell may be as large as the table; one
-    row a cell and tau is left.
-    """
-    some = scores.where(F.col(score).isNotNull()).select(*cell, F.col(score).alias("_s"))
-    count = some.groupBy(*cell).agg(F.count("*").alias("n"))
-    want = count.crossJoin(F.broadcast(taus)).withColumn("_k", F.least(F.greatest(F.ceil(F.col("tau") * (F.col("n") + 1)), F.lit(1)), F.col("n")).cast("long"))
-    ranked = some.withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_s")).cast("long"))
-    on = [*cell, "_k"]
-    return want.join(ranked, on).select(*cell, "tau_bps", "tau", "n", F.col("_s").alias("q"))
+    taus is a short table (tau_bps, tau). A cell may be as large as the table; see order_statistics."""
+    levels = [(r["tau_bps"], r["tau"]) for r in taus.orderBy("tau_bps").collect()]
+    rank = lambda t: lambda n: F.least(F.greatest(F.ceil(F.lit(t) * (n + 1)), F.lit(1)), n)
+    found = order_statistics(scores, cell, score, [(t, rank(t)) for _, t in levels])
+    told = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in levels]), F.col("ask") + 1)
+    return found.select(*cell, told(0).cast("int").alias("tau_bps"), told(1).alias("tau"), "n", "q")
 
 
 def tail_quantiles(residuals: DataFrame, taus: DataFrame, cell: Sequence[str], value: str, least: int = 5) -> DataFrame:
     """Equal-tail and one-sided residual quantiles of each cell; null under `least` rows. Lower ranks are floored, upper
     ones ceiled, all within [1, n]."""
-    some = residuals.where(F.col(value).isNotNull()).select(*cell, F.col(value).alias("_s"))
-    count = some.groupBy(*cell).agg(F.count("*").alias("n")).crossJoin(F.broadcast(taus))
-    a, m = (1 - F.col("tau")) / 2, F.col("n") + 1
-    ranks = {"lower": F.floor(a * m), "upper": F.ceil((1 - a) * m), "one_lower": F.floor((1 - F.col("tau")) * m), "one_upper": F.ceil(F.col("tau") * m)}
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.least(F.greatest(r, F.lit(1)), F.col("n")).cast("long").alias("_k")) for k, r in ranks.items()]))
-    want = count.withColumn("_w", kinds).select(*cell, "tau_bps", "n", "_w.kind", "_w._k")
-    ranked = some.withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_s")).cast("long"))
-    return want.join(ranked, [*cell, "_k"]).select(*cell, "tau_bps", "n", "kind", F.when(F.col("n") >= least, F.col("_s")).alias("q"))
+    asks, names = [], []
+    for r in taus.orderBy("tau_bps").collect():
+        t = r["tau"]
+        a = (1 - t) / 2
+        within = lambda k: lambda n: F.least(F.greatest(k(n), F.lit(1)), n)
+        for kind, share, k in (
+            ("lower", a, lambda n, a=a: F.floor(F.lit(a) * (n + 1))), ("upper", 1 - a, lambda n, a=a: F.ceil(F.lit(1 - a) * (n + 1))),
+            ("one_lower", 1 - t, lambda n, t=t: F.floor(F.lit(1 - t) * (n + 1))), ("one_upper", t, lambda n, t=t: F.ceil(F.lit(t) * (n + 1))),
+        ):
+            asks.append((share, within(k)))
+            names.append((r["tau_bps"], kind))
+    found = order_statistics(residuals, cell, value, asks)
+    told = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in names]), F.col("ask") + 1)
+    return found.select(*cell, told(0).cast("int").alias("tau_bps"), "n", told(1).alias("kind"), F.when(F.col("n") >= least, F.col("q")).alias("q"))
 
 
 def fit_bump(scores: DataFrame, table: DataFrame, cell: Sequence[str], score: str, most: float = 5.0) -> DataFrame:
-    """tau_bps and c: the smallest factor of a thousandth grid from 1 to most at which q c holds at least tau of the scores.
+    """tau_bps, tau and c: the smallest factor of a thousandth grid from 1 to most at which q c holds at least tau of the
+    scores.
 
     The share is reached at one order statistic of score / q; its neighbours on the grid are tried with the very test.
     """
-    ratio = scores.join(F.broadcast(table), list(cell)).select("tau_bps", "tau", F.col(score).alias("_s"), "q").where(F.col("_s").isNotNull())
-    count = ratio.groupBy("tau_bps", "tau").agg(F.count("*").alias("_n"))
-    ranked = ratio.withColumn("_k", F.row_number().over(Window.partitionBy("tau_bps").orderBy(F.col("_s") / F.col("q"))))
-    at = ranked.join(F.broadcast(count.withColumn("_k", F.greatest(F.ceil(F.col("tau") * F.col("_n")), F.lit(1)).cast("int"))), ["tau_bps", "tau", "_k"])
-    step = F.ceil((F.col("_s") / F.col("q") - 1) * 1000)
-    near = at.select("tau_bps", "_n", F.explode(F.sequence(step - 1, step + 1)).alias("_g")).where("_g >= 0").withColumn("c", 1.0 + F.col("_g") * F.lit(0.001))
-    near = near.unionByName(count.select("tau_bps", "_n", F.lit(0).cast("long").alias("_g"), F.lit(1.0).alias("c"))).distinct().where(F.col("c") <= most)
-    tested = ratio.join(F.broadcast(near), "tau_bps").groupBy("tau_bps", "tau", "c").agg(F.avg((F.col("_s") <= F.col("q") * F.col("c")).cast("double")).alias("held"))
+    table = sized(table.select(*cell, "tau_bps", "tau", "q"))
+    ratio = scores.where(F.col(score).isNotNull()).join(table, list(cell)).select("tau_bps", "tau", F.col(score).alias("_s"), "q").withColumn("_x", F.col("_s") / F.col("q"))
+    levels = sorted({(r["tau_bps"], r["tau"]) for r in table.select("tau_bps", "tau").distinct().collect()})
+    at = order_statistics(ratio, ["tau_bps"], "_x", [(t, lambda n, t=t: F.greatest(F.ceil(F.lit(t) * n), F.lit(1))) for _, t in levels])
+    own = at.where(F.element_at(F.array(*[F.lit(b) for b, _ in levels]), F.col("ask") + 1) == F.col("tau_bps"))
+    step = F.ceil((F.col("q") - 1) * 1000)
+    near = own.select("tau_bps", F.explode(F.array(F.lit(0).cast("long"), step - 1, step, step + 1)).alias("_g")).where("_g >= 0").distinct()
+    near = near.withColumn("c", 1.0 + F.col("_g") * F.lit(0.001)).where(F.col("c") <= most)
+    tested = ratio.join(sized(near), "tau_bps").groupBy("tau_bps", "tau", "c").agg(F.avg((F.col("_s") <= F.col("q") * F.col("c")).cast("double")).alias("held"))
     return tested.groupBy("tau_bps", "tau").agg(F.coalesce(F.min(F.when(F.col("held") >= F.col("tau"), F.col("c"))), F.lit(most)).alias("c"))
 
 
 def serve(panel: DataFrame, table: DataFrame, bumps: DataFrame | None, cell: Sequence[str], scaled: bool = True) -> DataFrame:
     """A band a row and tau: point -+ c q, times sigma and the close if scaled, or the point."""
     c = table.join(bumps.select("tau_bps", "c"), "tau_bps", "left") if bumps is not None else table.withColumn("c", F.lit(1.0))
-    both = panel.join(F.broadcast(c.select(*cell, "tau_bps", "tau", "q", F.coalesce("c", F.lit(1.0)).alias("c"))), list(cell))
+    both = panel.join(sized(c.select(*cell, "tau_bps", "tau", "q", F.coalesce("c", F.lit(1.0)).alias("c"))), list(cell))
     half = F.col("c") * F.col("q") * (F.col("sigma") * F.col("fri_close") if scaled else F.col("point"))
     return both.withColumns({"half": half, "lower": F.col("point") - half, "upper": F.col("point") + half}).where("half IS NOT NULL")
 
 
+def serve_downside(panel: DataFrame, table: DataFrame, bumps: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """One-sided bands: point - c q sigma close, no upper edge, and no shift of tau. A tau without c takes 1; a cell
+    without q, or no sigma, gives a null edge."""
+    taus = sized(table.select("tau_bps", "tau").distinct())
+    rows = panel.crossJoin(taus).join(sized(table.select(*cell, "tau_bps", "q")), [*cell, "tau_bps"], "left").join(sized(bumps.select("tau_bps", "c")), "tau_bps", "left")
+    return rows.withColumn("lower", F.col("point") - F.coalesce("c", F.lit(1.0)) * F.col("q") * F.col("sigma") * F.col("fri_close"))
+
+
+def between(x: Column, anchors: Sequence[float], values: Sequence[Column]) -> Column:
+    """Linear between anchors, whose values are columns; flat beyond both ends."""
+    out = F.when(x <= anchors[0], values[0])
+    for a, b, u, v in zip(anchors[:-1], anchors[1:], values[:-1], values[1:], strict=True):
+        out = out.when(x <= b, u + (x - F.lit(a)) / F.lit(b - a) * (v - u))
+    return out.otherwise(values[-1])
+
+
+def serve_shifted(panel: DataFrame, table: DataFrame, asked: DataFrame, shift: Mapping[float, float], bump: Mapping[float, float], cell: str = "regime_pub", taus: Sequence[float] = TAUS) -> DataFrame:
+    """Bands of unscaled scores: tau plus its shift (none for a tau not in the schedule), at most the last anchor, c and q
+    there by interpolation, and point (1 -+ c q). asked has tau; a cell without a table has null edges."""
+    names = [str(int(round(t * 10_000))) for t in taus]
+    wide = table.groupBy(cell).pivot("tau_bps", [int(n) for n in names]).agg(F.first("q"))
+    moved = F.lit(0.0)
+    for t, d in shift.items():
+        moved = F.when(F.abs(F.col("tau") - t) < 1e-9, F.lit(float(d))).otherwise(moved)
+    rows = panel.crossJoin(sized(asked)).join(sized(wide), cell, "left").withColumn("served", F.least(F.col("tau") + moved, F.lit(float(taus[-1]))))
+    q = between(F.col("served"), taus, [F.col(n) for n in names])
+    rows = rows.withColumn("q_eff", interpolated(F.col("served"), bump) * q)
+    return rows.withColumns({"lower": F.col("point") * (1 - F.col("q_eff")), "upper": F.col("point") * (1 + F.col("q_eff"))}).drop(*names)
+
+
+def looked_up(requests: DataFrame, artefact: DataFrame, table: DataFrame, shift: Mapping[float, float], bump: Mapping[float, float], kind: str = "scaled", fallback: str = "high_vol", taus: Sequence[float] = TAUS) -> DataFrame:
+    """Bands for requests (symbol, fri_ts, target), a row each, with the reason where there is none.
+
+    artefact has a row a symbol and date: regime_pub, fri_close, point, sigma. The target is clipped to the fitted range
+    and shifted; an unknown regime takes the fallback's quantiles. kind: scaled (sigma times the close), raw (share of the point), lending
+    (share of the close) or downside (scaled, lower edge only, the clipped target itself is claimed, no shift).
+    """
+    names = [str(int(round(t * 10_000))) for t in taus]
+    wide = table.groupBy("regime_pub").pivot("tau_bps", [int(n) for n in names]).agg(F.first("q"))
+    back = wide.where(F.col("regime_pub") == fallback).select(*[F.col(n).alias(f"f{n}") for n in names])
+    rows = requests.join(artefact, ["symbol", "fri_ts"], "left").join(sized(wide), "regime_pub", "left").crossJoin(sized(back))
+    target = F.least(F.greatest(F.col("target"), F.lit(taus[0])), F.lit(taus[-1]))
+    served = target if kind == "downside" else F.least(target + interpolated(target, shift), F.lit(taus[-1]))
+    rows = rows.withColumns({"claimed": target, "served": served})
+    q = F.col("c") * between(F.col("served"), taus, [F.coalesce(F.col(n), F.col(f"f{n}")) for n in names])
+    rows = rows.withColumn("c", interpolated(F.col("served"), bump)).withColumn("q_eff", q)
+    unit = {"raw": F.col("point"), "lending": F.col("fri_close")}.get(kind, F.col("sigma") * F.col("fri_close"))
+    error = F.when(F.col("fri_close").isNull(), "absent")
+    if kind in ("scaled", "downside"):
+        error = error.when(F.coalesce(F.col("sigma"), F.lit(0.0)) <= 0, "no scale")
+    rows = rows.withColumn("error", error).withColumn("half", F.when(F.col("error").isNull(), F.col("q_eff") * unit))
+    upper = F.lit(None).cast("double") if kind == "downside" else F.col("point") + F.col("half")
+    rows = rows.withColumns({"lower": F.col("point") - F.col("half"), "upper": upper})
+    # two readings of a width: relative to the close (sharpness) and to the point (half width)
+    rows = rows.withColumns({"sharpness_bps": F.col("half") / F.col("fri_close") * 10_000, "half_width_bps": F.when(F.col("point") != 0, F.col("half") / F.col("point") * 10_000).when(F.col("half").isNotNull(), 0.0)})
+    return rows.drop(*names, *[f"f{n}" for n in names])
+
+
+def available(artefact: DataFrame) -> DataFrame:
+    """What can be asked for: each symbol, date and regime once."""
+    return artefact.select("symbol", "fri_ts", "regime_pub").distinct()
+
+
 def serve_requests(panel: DataFrame, table: DataFrame, asked: DataFrame, shift: Mapping[float, float], bump: Mapping[float, float], cell: str = "regime_pub", fallback: str = "high_vol") -> DataFrame:
     """Bands at any asked coverage: asked has tau; it is clipped to the fitted range, shifted, and c and q are interpolated
     between anchors. A cell without a table takes the fallback's."""
-    wide = table.groupBy(cell).pivot("tau_bps", [int(round(t * 10_000)) for t in TAUS]).agg(F.first("q"))
     names = [str(int(round(t * 10_000))) for t in TAUS]
+    wide = table.groupBy(cell).pivot("tau_bps", [int(n) for n in names]).agg(F.first("q"))
     back = wide.where(F.col(cell) == fallback).select(*[F.col(n).alias(f"f{n}") for n in names])
-    rows = panel.crossJoin(F.broadcast(asked)).join(F.broadcast(wide), cell, "left").crossJoin(F.broadcast(back))
+    rows = panel.crossJoin(sized(asked)).join(sized(wide), cell, "left").crossJoin(sized(back))
     tau = F.least(F.greatest(F.col("tau"), F.lit(TAUS[0])), F.lit(TAUS[-1]))
-    served = F.least(tau + interpolated(tau, shift), F.lit(TAUS[-1]))
-    rows = rows.withColumn("served", served)
-    at = [F.coalesce(F.col(n), F.col(f"f{n}")) for n in names]
-    q = F.when(F.col("served") <= TAUS[0], at[0])
-    for i in range(len(TAUS) - 1):
-        a, b = TAUS[i], TAUS[i + 1]
-        q = q.when(F.col("served") <= b, at[i] + (F.col("served") - a) / F.lit(b - a) * (at[i + 1] - at[i]))
-    rows = rows.withColumns({"c": interpolated(F.col("served"), bump), "q": q.otherwise(at[-1])})
+    rows = rows.withColumn("served", F.least(tau + interpolated(tau, shift), F.lit(TAUS[-1])))
+    q = between(F.col("served"), TAUS, [F.coalesce(F.col(n), F.col(f"f{n}")) for n in names])
+    rows = rows.withColumns({"c": interpolated(F.col("served"), bump), "q": q})
     half = F.col("c") * F.col("q") * F.col("sigma") * F.col("fri_close")
     return rows.withColumns({"lower": F.col("point") - half, "upper": F.col("point") + half}).drop(*names, *[f"f{n}" for n in names])
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
+
 def gap_pairs(bars: DataFrame, mode: str = "weekend", min_gap: int = 3, vol_lookback: int = 20) -> DataFrame:
     """Each bar with the one before it, where the market was closed between: weekend (min_gap days or more) or overnight
-    (one). fri_vol_20d is the spread of the last log returns up to the left edge, null before half a window."""
+    (one). fri_vol_20d is the spread of the last log returns up to the left edge; pairs before half a window have none
+    and are left out."""
     if mode not in ("weekend", "overnight"):
         raise ValueError(f"mode is weekend or overnight, not {mode!r}")
     order = Window.partitionBy("symbol").orderBy("ts")
@@ -17,6 +24,7 @@ def gap_pairs(bars: DataFrame, mode: str = "weekend", min_gap: int = 3, vol_look
     left = moved.withColumn("_vol", vol)
     pairs = left.select("symbol", F.lag("ts").over(order).alias("fri_ts"), F.col("ts").alias("mon_ts"), F.lag("close").over(order).alias("fri_close"), F.col("open").alias("mon_open"), F.lag("_vol").over(order).alias("fri_vol_20d"))
     gap = F.datediff("mon_ts", "fri_ts")
+    pairs = pairs.where("fri_vol_20d IS NOT NULL")
     return pairs.withColumn("gap_days", gap).where(F.col("gap_days") == 1 if mode == "overnight" else F.col("gap_days") >= min_gap)
 
 
@@ -45,17 +53,23 @@ def with_residual(panel: DataFrame) -> DataFrame:
 def ewma_scale(panel: DataFrame, half_life: float = 8.0, least: int = 8, keep: Column | None = None, name: str = "sigma") -> DataFrame:
     """The weighted root mean square of a symbol's strictly earlier residuals; null before `least` of them.
 
-    Ages count kept rows. Weights cancel but for a factor that all share, so two running sums do; doubles hold them for
-    series of up to about 1000 half-lives.
+    Ages count kept rows. Weights cancel but for a factor that all share, so running sums do. They run in stretches of 64
+    half-lives, the one before added at its weight; what is older weighs less than 2^-64 and is left out, so series may
+    have any length.
     """
     r2 = F.col("rel_resid") * F.col("rel_resid")
     kept = r2 if keep is None else F.when(keep, r2)
-    order = Window.partitionBy("symbol").orderBy("fri_ts")
-    grow = F.pow(F.lit(2.0), F.col("_n") / F.lit(half_life))
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    counted = panel.withColumn("_r2", kept).withColumn("_n", F.count("_r2").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ratio = F.sum(F.col("_r2") * grow).over(past) / F.sum(F.when(F.col("_r2").isNotNull(), grow)).over(past)
-    return counted.withColumn(name, F.when(F.count("_r2").over(past) >= least, F.sqrt(ratio))).drop("_r2", "_n")
+    line = Window.partitionBy("symbol").orderBy("fri_ts")
+    stretch = int(64 * half_life)
+    counted = panel.withColumn("_r2", kept).withColumn("_n", F.count("_r2").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumn("_s", F.floor(F.col("_n") / stretch))
+    grow = F.pow(F.lit(2.0), (F.col("_n") - F.col("_s") * stretch) / F.lit(half_life))
+    here = Window.partitionBy("symbol", "_s").orderBy("fri_ts").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("symbol").orderBy("_s").rangeBetween(-1, -1)
+    both = lambda v: F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(last), F.lit(0.0)) * F.lit(2.0**-64)
+    ratio = both(F.col("_r2") * grow) / both(F.when(F.col("_r2").isNotNull(), grow))
+    enough = F.count("_r2").over(line.rowsBetween(Window.unboundedPreceding, -1)) >= least
+    return counted.withColumn(name, F.when(enough, F.sqrt(ratio))).drop("_r2", "_n", "_s")
 
 
 def window_scale(panel: DataFrame, window: int = 26, least: int = 8, name: str = "sigma_k") -> DataFrame:
@@ -71,19 +85,17 @@ def with_scores(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"score_raw": miss, "score": miss / sigma, "downside": (F.col("point") - F.col("mon_open")) / (F.col("fri_close") * sigma)})
 
 
-def residual_quantiles(panel: DataFrame, taus: list[float], window: int = 104, least: int = 26) -> DataFrame:
-    """Bounds from a symbol's own log residuals two and more gaps back: one row a gap and tau."""
+def residual_quantiles(panel: DataFrame, taus: list[float], window: int = 104, least: int = 26, by: str | None = None) -> DataFrame:
+    """Bounds from a symbol's own log residuals two and more gaps back: one row a gap and tau. by, a level such as the
+    volatility index, divides residuals before the quantiles and multiplies them after."""
     past = Window.partitionBy("symbol").orderBy("fri_ts").rowsBetween(-window - 1, -2)
-    r = panel.withColumn("_r", F.log(F.col("mon_open") / F.col("point")))
-    out = []
-    for tau in taus:
-        lo, hi = (F.percentile("_r", F.lit(p)).over(past) for p in ((1 - tau) / 2, (1 + tau) / 2))
-        enough = F.count("_r").over(past) >= least
-        out.append(r.select("symbol", "fri_ts", F.lit(int(round(tau * 10_000))).alias("tau_bps"), F.when(enough, F.col("point") * F.exp(lo)).alias("lower"), F.when(enough, F.col("point") * F.exp(hi)).alias("upper"), "mon_open"))
-    done = out[0]
-    for x in out[1:]:
-        done = done.unionByName(x)
-    return done.where("lower IS NOT NULL")
+    unit = F.lit(1.0) if by is None else F.col(by)
+    r = panel.withColumn("_r", F.try_divide(F.log(F.col("mon_open") / F.col("point")), unit))
+    levels = [p for tau in taus for p in ((1 - tau) / 2, (1 + tau) / 2)]
+    seen = r.withColumns({"_q": F.percentile("_r", F.array(*[F.lit(p) for p in levels])).over(past), "_c": F.count("_r").over(past)}).where(F.col("_c") >= least)
+    edge = lambda i: F.col("point") * F.exp(F.col("_q")[i] * unit)
+    rows = F.explode(F.array(*[F.struct(F.lit(int(round(t * 10_000))).alias("tau_bps"), edge(2 * i).alias("lower"), edge(2 * i + 1).alias("upper")) for i, t in enumerate(taus)]))
+    return seen.select("symbol", "fri_ts", "mon_open", rows.alias("_b")).select("symbol", "fri_ts", "_b.tau_bps", "_b.lower", "_b.upper", "mon_open")
 
 
 def har_features(panel: DataFrame) -> DataFrame:
@@ -94,29 +106,61 @@ def har_features(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"rv_d": F.lag(a).over(order), "rv_w": mean(5), "rv_m": mean(22)})
 
 
-def expanding_quantile(panel: DataFrame, tau: float, least: int = 100) -> DataFrame:
+def expanding_quantile(panel: DataFrame, tau: float, least: int = 100, bins: int = 64) -> DataFrame:
     """The tau quantile of all symbols' absolute residuals in strictly earlier gaps, a row a gap date.
 
-    Dates are a few thousand, rows many; an exact quantile over an expanding range needs the rows in one line of time, so
-    only date and residual go there.
+    Residuals fall into bins between quantiles of a sketch; running counts of dates and bins say in which bins a date's
+    two middle ranks lie, and only those bins' rows are looked at, each bin by itself: its values are put in line date by
+    date. The more rows, the more bins one may ask for.
     """
-    a = panel.select("fri_ts", F.datediff("fri_ts", F.lit("1970-01-01")).alias("_d"), F.abs("rel_resid").alias("a"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    seen = a.select("fri_ts", F.count("a").over(before).alias("n"), F.percentile("a", F.lit(tau)).over(before).alias("q"))
-    return seen.where(F.col("n") >= least).distinct()
+    a = panel.select("fri_ts", F.abs("rel_resid").alias("a")).where("a IS NOT NULL")
+    edges = a.agg(F.percentile_approx("a", [i / bins for i in range(1, bins)], 10_000)).first()[0] or []
+    binned = written(a.withColumn("bin", sum((F.when(F.col("a") > e, 1).otherwise(0) for e in edges), F.lit(0))), "binned")
+    dates = binned.select("fri_ts").distinct()
+    grid = dates.crossJoin(panel.sparkSession.range(max(1, len(edges) + 1)).select(F.col("id").cast("int").alias("bin")))
+    counts = grid.join(binned.groupBy("fri_ts", "bin").count(), ["fri_ts", "bin"], "left")
+    past = Window.partitionBy("bin").orderBy("fri_ts").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("c", F.coalesce(F.sum("count").over(past), F.lit(0)))
+    up_to = Window.partitionBy("fri_ts").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"before": F.coalesce(F.sum("c").over(up_to), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("fri_ts"))}).where(F.col("n") >= least)
+    at = (F.col("n") - 1) * F.lit(tau)
+    asked = placed.withColumn("ask", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("k")), F.struct(F.lit(1).alias("side"), F.ceil(at).alias("k")))))
+    asked = asked.where("ask.k >= before AND ask.k < before + c").select("bin", "fri_ts", "n", "ask.side", (F.col("ask.k") - F.col("before")).alias("k"))
+
+    def ranked(key: tuple, own: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        own, want = own.sort_values("fri_ts", kind="stable"), want.sort_values("fri_ts", kind="stable")
+        when, values, line, at, out = own["fri_ts"].to_numpy(), own["a"].to_numpy(), [], 0, []
+        for t, k in zip(want["fri_ts"].to_numpy(), want["k"].to_numpy(), strict=True):
+            while at < len(when) and when[at] < t:
+                insort(line, float(values[at]))
+                at += 1
+            out.append(line[k])
+        return want[["fri_ts", "n", "side"]].assign(a=out)
+
+    asked = written(asked, "asked")
+    found = binned.groupBy("bin").cogroup(asked.groupBy("bin")).applyInPandas(ranked, "fri_ts date, n long, side int, a double")
+    pair = found.groupBy("fri_ts", "n").agg(F.max(F.when(F.col("side") == 0, F.col("a"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("a"))).alias("hi"))
+    part = (F.col("n") - 1) * F.lit(tau) - F.floor((F.col("n") - 1) * F.lit(tau))
+    return pair.select("fri_ts", "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("q"))
 
 
 def leave_one_out(panel: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The mean of the others of a group, and their median; null for a row alone."""
+    """The mean of the others of a group, and their median; null for a row alone.
+
+    The median of the others is among the group's three middle values, which one aggregate each picks; groups aren't
+    gathered.
+    """
     group = Window.partitionBy(*by)
     n, s = F.count(value).over(group), F.sum(value).over(group)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value, "symbol"))
-    out = panel.where(F.col(value).isNotNull()).withColumns({"_n": n, "_s": s, "_rank": rank, "_all": F.sort_array(F.collect_list(value).over(group))})
-    # the k-th of the others is the k-th of all, or the next one from the row's own place on
-    other = lambda k: F.element_at("_all", (F.when(k >= F.col("_rank"), k + 1).otherwise(k)).cast("int"))
+    rank = F.row_number().over(group.orderBy(value, "symbol"))
+    out = panel.where(F.col(value).isNotNull()).withColumns({"_n": n, "_s": s, "_rank": rank})
+    low = F.floor(F.col("_n") / 2)  # of the n - 1 others the middle is at low, and at low + 1 if they are even in number
+    out = out.withColumns({f"_v{i}": F.max(F.when(F.col("_rank") == low + i, F.col(value))).over(group) for i in range(3)})
     m = F.col("_n") - 1
-    median = F.when(m > 0, (other(F.floor((m + 1) / 2)) + other(F.floor((m + 2) / 2))) / 2)
-    return out.withColumns({"loo_mean": F.when(m > 0, (F.col("_s") - F.col(value)) / m), "loo_median": median}).drop("_n", "_s", "_rank", "_all")
+    first = F.when(low >= F.col("_rank"), F.col("_v1")).otherwise(F.col("_v0"))
+    second = F.when(low + 1 >= F.col("_rank"), F.col("_v2")).otherwise(F.col("_v1"))
+    median = F.when(m > 0, F.when(m % 2 == 1, first).otherwise((first + second) / 2))
+    return out.withColumns({"loo_mean": F.when(m > 0, (F.col("_s") - F.col(value)) / m), "loo_median": median}).drop("_n", "_s", "_rank", "_v0", "_v1", "_v2")
 
 
 def weekend_panel(bars: DataFrame, factor: DataFrame, mode: str = "weekend") -> DataFrame:

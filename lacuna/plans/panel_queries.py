@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import calibrate as C
 from ..operators import panel as P
+from ..operators.shared import once, running, sized, written
 from ..sources import market as M
 
 SPLIT = "1999-01-01"
@@ -22,8 +23,8 @@ f1 AS (SELECT *, ln(level / lag(level) OVER (ORDER BY ts)) AS r FROM f0),
 factor AS (SELECT ts, level, CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w * 100 * sqrt(252.0) END AS vol FROM f1 WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING))"""
 PAIRS = """b1 AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM bars),
 b2 AS (SELECT *, CASE WHEN count(r) OVER w >= 10 THEN stddev_samp(r) OVER w END AS v FROM b1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
-b3 AS (SELECT symbol, lag(ts) OVER w AS fri_ts, ts AS mon_ts, lag(close) OVER w AS fri_close, open AS mon_open, lag(v) OVER w AS fri_vol_20d FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-pairs AS (SELECT *, CAST(mon_ts - fri_ts AS INT) AS gap_days FROM b3 WHERE fri_ts IS NOT NULL AND mon_ts - fri_ts >= 3)"""
+b3 AS (SELECT symbol, lag(ts) OVER w AS fri_ts, ts AS mon_ts, lag(close) OVER w AS fri_close, open AS mon_open, lag(v) OVER w AS v, lag(v) OVER w AS fri_vol_20d FROM b2 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+pairs AS (SELECT * EXCLUDE (v), CAST(mon_ts - fri_ts AS INT) AS gap_days FROM b3 WHERE v IS NOT NULL AND mon_ts - fri_ts >= 3)"""
 PANEL = f"""{BARS}, {FACTOR}, {PAIRS},
 p1 AS (SELECT p.*, a.vol AS vix, b.level / a.level - 1 AS factor_ret, fri_close * (1 + (b.level / a.level - 1)) AS point
   FROM pairs p JOIN factor a ON p.fri_ts = a.ts JOIN factor b ON p.mon_ts = b.ts WHERE a.vol IS NOT NULL),
@@ -55,15 +56,20 @@ hits AS (SELECT *, CASE WHEN mon_open >= lower AND mon_open <= upper THEN 1 ELSE
 
 
 def panel(s: SparkSession, d: str) -> DataFrame:
-    return P.weekend_panel(M.daily_bars(s, d), M.market_factor(s, d))
+    """The gap panel, which most queries read: made once a session and folder."""
+    return once(s, "panel", d, lambda: P.weekend_panel(M.daily_bars(s, d), M.market_factor(s, d)))
 
 
 def bands(s: SparkSession, d: str, kind: str = "score") -> DataFrame:
     """Out-of-sample bands: quantiles from before the split, c and bands from after it."""
-    rows, taus = panel(s, d), C.tau_table(s)
-    table = C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), taus, ["regime_pub"], kind)
-    late = rows.where(F.col("fri_ts") >= SPLIT)
-    return C.serve(late, table, C.fit_bump(late, table, ["regime_pub"], kind), ["regime_pub"], scaled=kind == "score")
+
+    def make() -> DataFrame:
+        rows, taus = panel(s, d), C.tau_table(s)
+        table = written(C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), taus, ["regime_pub"], kind), "quantiles")
+        late = rows.where(F.col("fri_ts") >= SPLIT)
+        return C.serve(late, table, C.fit_bump(late, table, ["regime_pub"], kind), ["regime_pub"], scaled=kind == "score")
+
+    return once(s, f"bands-{kind}", d, make)
 
 
 def r(c: str, n: int = 6):  # noqa: ANN201
@@ -185,11 +191,17 @@ def q_winkler(s, d):  # noqa: ANN001, ANN201
 
 def q_leave_symbol_out(s, d):  # noqa: ANN001, ANN201
     """Each symbol served by quantiles of all the others: one plan for all held-out symbols."""
-    rows, taus = panel(s, d).where("score IS NOT NULL").select("symbol", "fri_ts", "score"), C.tau_table(s, (0.68, 0.95))
-    held = rows.select(F.col("symbol").alias("held")).distinct()
-    train = rows.where(F.col("fri_ts") < SPLIT).crossJoin(F.broadcast(held)).where("symbol != held")
-    table = C.quantile_table(train, taus, ["held"], "score")
-    test = rows.where(F.col("fri_ts") >= SPLIT).join(F.broadcast(table), F.col("symbol") == F.col("held"))
+    rows = panel(s, d).where("score IS NOT NULL").select("symbol", "fri_ts", "score")
+    train = running(rows.where(F.col("fri_ts") < SPLIT), ["score", "symbol", "fri_ts"], {"before": "1"})  # how many scores stand before each
+    line = Window.partitionBy("symbol").orderBy("before")
+    train = written(train.withColumn("own", F.row_number().over(line) - 1), "ranked-scores")
+    n = train.groupBy("symbol").agg(F.count("*").alias("n_own")).withColumn("n", F.lit(train.count()) - F.col("n_own"))
+    want = n.crossJoin(C.tau_table(s, (0.68, 0.95))).withColumn("k", F.least(F.greatest(F.ceil(F.col("tau") * (F.col("n") + 1)), F.lit(1)), F.col("n")))
+    # the k-th of the others is the (k + j)-th of all, j own scores standing before it
+    ahead = train.join(sized(want), "symbol").groupBy("symbol", "tau_bps", "k").agg(F.count_if(F.col("before") - F.col("own") < F.col("k")).alias("j"))
+    ahead = ahead.select(F.col("symbol").alias("held"), "tau_bps", (F.col("k") + F.col("j") - 1).alias("before"))
+    table = train.select("before", F.col("score").alias("q")).join(sized(ahead), "before").drop("before")
+    test = rows.where(F.col("fri_ts") >= SPLIT).join(sized(table), F.col("symbol") == F.col("held"))
     return test.groupBy("held", "tau_bps").agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") <= F.col("q")).cast("double")), 5).alias("realised"))
 
 
