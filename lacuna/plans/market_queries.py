@@ -102,17 +102,6 @@ def q_witching(s, d):  # noqa: ANN001, ANN201
     return days.groupBy(scalar.triple_witching(F.col("day")).alias("witching")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean_total"))
 
 
-def q_policy(s, d):  # noqa: ANN001, ANN201
-    rows = L.decisions(bands(s, d).where("tau_bps = 6800"), L.ltv_grid(s, 0.1, 0.7, 0.1))
-    return rows.groupBy("ltv", "regime_pub").agg(F.count("*").alias("n"), F.sum("missed").alias("missed"), F.sum("false_alarm").alias("false_alarms"), F.round(F.avg("cost"), 6).alias("mean_cost"))
-
-
-def q_confusion(s, d):  # noqa: ANN001, ANN201
-    rows = L.decisions(bands(s, d).where("tau_bps = 8500"), L.ltv_grid(s, 0.2, 0.6, 0.2))
-    g = rows.groupBy("ltv", "predicted", "right").agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("ltv", "right")), 6))
-
-
 def q_reserve(s, d):  # noqa: ANN001, ANN201
     rows = bands(s, d).withColumn("state", L.reserve_state(F.col("lower"), F.col("mon_open"), F.col("fri_close")))
     return rows.groupBy("tau_bps", "state").agg(F.count("*").alias("n"))
@@ -204,14 +193,6 @@ def q_requests(s, d):  # noqa: ANN001, ANN201
 EV = "a AS (SELECT user_id AS u, ts, event_id AS ask_id FROM events WHERE event_type = 'purchase'), k AS (SELECT user_id AS u, ts, event_id, value FROM events WHERE event_type <> 'purchase')"
 EVENTS_Q = """ev AS (SELECT DISTINCT p_brand AS symbol, CAST(o_orderdate AS DATE) AS event_date, CASE left(o_orderpriority, 1) WHEN '1' THEN 'amc' WHEN '2' THEN 'bmo' WHEN '3' THEN 'dmh' ELSE 'unknown' END AS session,
   CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS confirmed FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)"""
-_DEC = lambda p: f"CASE WHEN NOT ({p} > 0) THEN 'Liquidate' WHEN ltv * fri_close / {p} >= lim THEN 'Liquidate' WHEN ltv * fri_close / {p} > 0.75 THEN 'Caution' ELSE 'Safe' END"
-
-
-def _decisions(tau: int, grid: str) -> str:
-    costs = " ".join(f"WHEN predicted = '{p}' AND right_ = '{q}' THEN {c}" for (p, q), c in L.COSTS.items())
-    return f"""g AS (SELECT round(x, 6)::DOUBLE AS ltv FROM (VALUES {grid}) t(x)),
-e AS (SELECT *, 0.85::DOUBLE * CASE regime_pub WHEN 'normal' THEN 1.0::DOUBLE WHEN 'long_weekend' THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS lim FROM bands, g WHERE tau_bps = {tau}),
-z AS (SELECT *, {_DEC('lower')} AS predicted, {_DEC('mon_open')} AS right_ FROM e), y AS (SELECT *, CASE {costs} END AS cost FROM z)"""
 
 
 QUERIES = {
@@ -230,8 +211,6 @@ QUERIES = {
     "b21_sessions": (q_sessions, None),
     "d22_tape_stats": (q_tape_stats, "WITH x AS (SELECT event_type AS symbol, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, CASE WHEN lag(value) OVER w IS NOT NULL THEN CASE WHEN value = lag(value) OVER w THEN 1.0 ELSE 0.0 END END AS same FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT symbol, count(*) AS n, count(DISTINCT value) AS n_values, round(median(dt), 4) AS median_dt, round(avg(same), 6) AS stale FROM x GROUP BY 1"),
     "b20_triple_witching": (q_witching, "SELECT month(o_orderdate) IN (3, 6, 9, 12) AND dayofweek(o_orderdate) = 5 AND day(o_orderdate) BETWEEN 15 AND 21 AS witching, count(*) AS n, round(avg(o_totalprice), 2) AS mean_total FROM orders GROUP BY 1"),
-    "m4_policy": (q_policy, f"WITH {SERVED}, {_decisions(6800, '(0.1), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7)')} SELECT ltv, regime_pub, count(*) AS n, count(*) FILTER (right_ = 'Liquidate' AND predicted <> 'Liquidate') AS missed, count(*) FILTER (predicted = 'Liquidate' AND right_ <> 'Liquidate') AS false_alarms, round(avg(cost), 6) AS mean_cost FROM y GROUP BY 1, 2"),
-    "d10_confusion": (q_confusion, f"WITH {SERVED}, {_decisions(8500, '(0.2), (0.4), (0.6)')}, c AS (SELECT ltv, predicted, right_, count(*) AS n FROM y GROUP BY 1, 2, 3) SELECT ltv, predicted, right_ AS \"right\", n, round(n / sum(n) OVER (PARTITION BY ltv, right_), 6) AS share FROM c"),
     "m9_reserve": (q_reserve, f"WITH {SERVED}, b AS (SELECT tau_bps, lower < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS w, mon_open < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS c FROM bands) SELECT tau_bps, CASE WHEN w AND c THEN 'matched' WHEN w THEN 'preemptive' WHEN c THEN 'missed' ELSE 'silent_safe' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
     "m15_band_state": (q_band_state, f"WITH {SERVED}, b AS (SELECT tau_bps, fri_close * 0.9::DOUBLE AS p, lower, upper FROM bands) SELECT tau_bps, CASE WHEN p < lower THEN 'exit_below' WHEN p > upper THEN 'exit_above' WHEN (p - lower) / lower * 10000 <= 100 THEN 'approaching_lower' WHEN (upper - p) / upper * 10000 <= 100 THEN 'approaching_upper' ELSE 'in_band' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
     "p4_quorum": (q_quorum, "WITH x AS (SELECT l_partkey AS asset, l_shipdate AS ts, round(l_extendedprice * 100)::BIGINT AS price, CASE WHEN l_linenumber > 1 THEN round(l_extendedprice * 100)::BIGINT * l_linenumber // 200 END AS confidence FROM lineitem), f AS (SELECT *, CASE WHEN epoch(TIMESTAMP '2000-06-01 00:00:00') - epoch(ts) > 94608000 THEN 'stale' WHEN confidence IS NOT NULL AND price > 0 AND confidence * 10000 // price > 250 THEN 'unsure' END AS r1 FROM x), m AS (SELECT asset, list_sort(list(price))[(count(*) + 1) // 2] AS m FROM f WHERE r1 IS NULL GROUP BY 1), g AS (SELECT f.*, coalesce(r1, CASE WHEN abs(trunc((price - m) * 10000 / m)) > 5000 THEN 'far' END) AS reason FROM f LEFT JOIN m USING (asset)) SELECT asset, count(*) FILTER (reason IS NULL) AS n, min(price) FILTER (reason IS NULL) AS low, max(price) FILTER (reason IS NULL) AS high, (list_sort(list(price) FILTER (reason IS NULL)))[(count(*) FILTER (reason IS NULL) + 1) // 2] AS median, CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'AllStale' WHEN count(*) FILTER (reason IS NULL) < 3 THEN 'LowQuorum' ELSE 'Ok' END AS state FROM g GROUP BY 1"),

@@ -89,10 +89,6 @@ def q_bootstrap(s, d):  # noqa: ANN001, ANN201
     return R.block_bootstrap(rows, "fri_ts", ["tau_bps"], "v", draws=200, seed=11).select("tau_bps", F.round("mean", 6).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-def q_simulation(s, d):  # noqa: ANN001, ANN201
-    return R.simulate(s, reps=8, symbols=4, length=200, seed=3)
-
-
 def q_joint_tail(s, d):  # noqa: ANN001, ANN201
     """Misses a date against a binomial of its rows: mean and variance ratios, shares of dates with many."""
     c = S.breach_counts(misses(s, d), "fri_ts", "miss", "tau_bps").withColumn("p", 1 - F.col("tau_bps") / 10_000)
@@ -129,5 +125,4 @@ QUERIES = {
     "k5_berkowitz": (q_berkowitz, None),
     "k7_dynamic_quantile": (q_dynamic, None),
     "l1_block_bootstrap": (q_bootstrap, None),
-    "l6_simulation": (q_simulation, None),
 }
