@@ -163,6 +163,14 @@ def coverage_by(bands: DataFrame, *by: str) -> DataFrame:
     return with_hits(bands).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("inside").cast("double")).alias("realised"), F.avg("hw_bps").alias("mean_hw_bps"))
 
 
+def path_coverage(bands: DataFrame, *by: str) -> DataFrame:
+    """Coverage of the gap's end and of its whole path (path_lo, path_hi), and the difference in points."""
+    end = ((F.col("mon_open") >= F.col("lower")) & (F.col("mon_open") <= F.col("upper"))).cast("double")
+    path = ((F.col("path_lo") >= F.col("lower")) & (F.col("path_hi") <= F.col("upper"))).cast("double")
+    g = bands.groupBy(*by).agg(F.count("*").alias("n"), F.avg(end).alias("endpoint_cov"), F.avg(path).alias("path_cov"))
+    return g.withColumn("gap_pp", (F.col("endpoint_cov") - F.col("path_cov")) * 100)
+
+
 def shrunk_table(table: DataFrame, cell: Sequence[str], k: float = 30.0) -> DataFrame:
     """Thin cells pulled to the pool: w q + (1 - w) m q_pool, w = n / (n + k), m the cell's median ratio to the pool.
 

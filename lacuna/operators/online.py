@@ -1,75 +1,203 @@
-"""Recursions along time: adaptive multipliers, online conformal radii, drift alarms, late data."""
+"""Recursions along time: adaptive multipliers and their sealed state, online conformal radii, drift alarms, late data."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import sized
 
-def adapted(periods: pd.DataFrame, q: float, tau: float, rate: float = 0.05, low: float = 0.25, high: float = 4.0) -> pd.DataFrame:
-    """m before and after each period of one cell: m grows by exp(rate (miss share - (1 - tau))), within [low, high].
-    periods has period and scores, a list each; a period is served with the m from before it."""
-    m, out = 1.0, []
-    for p, scores in zip(periods["period"], periods["scores"], strict=True):
-        x = np.asarray(scores, float)
-        x = x[~np.isnan(x)]
-        served = m
-        if len(x):
-            m = min(max(m * math.exp(rate * (float((x > m * q).mean()) - (1 - tau))), low), high)
-        out.append((p, len(x), served, m))
-    return pd.DataFrame(out, columns=["period", "n", "m_served", "m_next"])
+# The rule of the adaptive multipliers, and the name of its state.
+RATE, LOWEST, HIGHEST = 0.05, 0.25, 4.0
+STATE = "soothsayer.adaptive_state.v1"
+# The step sizes of online methods' experts, and their horizon in periods.
+STEPS, HORIZON = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1), 100
 
 
-def adaptive_replay(scores: DataFrame, table: DataFrame, cell: str, period: str, score: str, rate: float = 0.05) -> DataFrame:
-    """The adaptive multipliers of every cell and tau over the periods in order, whatever the order of the rows.
+def _periods(batches: Iterator[pa.RecordBatch], key: Sequence[str], period: str) -> Iterator[tuple[tuple, object, pd.DataFrame]]:
+    """Rows sorted by key and period as whole periods, as they come: no more than one period is held."""
+    held: list[pd.DataFrame] = []
+    at = None
+    for b in batches:
+        p = b.to_pandas()
+        for where, own in p.groupby([*key, period], sort=False, dropna=False):
+            if at is not None and where != at:
+                yield at[:-1], at[-1], pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            at = where
+            held.append(own)
+    if at is not None:
+        yield at[:-1], at[-1], pd.concat(held) if len(held) > 1 else held[0]
 
-    Cells and taus are independent; each is one recursion over its periods.
+
+def adaptive_replay(scores: DataFrame, table: DataFrame, cell: str, period: str, score: str, rate: float = RATE, start: Mapping[tuple[str, int], float] | None = None) -> DataFrame:
+    """The adaptive multipliers of every cell and tau over the periods in order, whatever the order of the rows: cell,
+    tau_bps, period, n, m_served and m_next.
+
+    m begins at 1, or where start has it; a period is served with the m from before it, then m grows by exp(rate (miss
+    share - (1 - tau))), within its bounds. A row without a score counts as no miss; a period without any score changes
+    nothing. A cell and tau is one recursion; its rows are sorted and streamed, and a task holds one period of them.
     """
+    begin = dict(start or {})
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.groupby("period")["s"].apply(list).reset_index(name="scores").sort_values("period")
-        out = adapted(p, float(pdf["q"].iloc[0]), float(pdf["tau"].iloc[0]), rate)
-        return out.assign(cell=key[0], tau_bps=key[1])[["cell", "tau_bps", "period", "n", "m_served", "m_next"]]
-
-    rows = scores.join(F.broadcast(table), cell).select(F.col(cell).alias("cell"), "tau_bps", "tau", "q", F.col(period).cast("date").alias("period"), F.col(score).alias("s"))
-    return rows.groupBy("cell", "tau_bps").applyInPandas(one, "cell string, tau_bps int, period date, n long, m_served double, m_next double")
-
-
-def conformal_radii(scores: DataFrame, key: str, period: str, score: str, tau: float = 0.9, rate: float = 0.02, experts: Sequence[float] = (0.005, 0.02, 0.08)) -> DataFrame:
-    """Radii of three online methods along each key: aci (one adapted level), dtaci (a bank of them, weighted by loss) and
-    pi (a quantile tracker with a saturated integral)."""
-
-    def quantile(past: np.ndarray, a: float) -> float:
-        if a <= 0 or not len(past):
-            return math.inf
-        return 0.0 if a >= 1 else float(np.sort(past)[min(max(math.ceil((1 - a) * len(past)), 1), len(past)) - 1])
-
-    def one(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["period", "s"])
-        x, out, alpha = p["s"].to_numpy(float), [], 1 - tau
-        a, bank, weight, q, total = alpha, np.full(len(experts), alpha), np.full(len(experts), 1 / len(experts)), float(np.median(x[: max(1, min(8, len(x)))])), 0.0
-        for t, (when, s) in enumerate(zip(p["period"], x, strict=True)):
-            past = x[:t]
-            mixed = float(weight @ bank)
-            radii = (quantile(past, a), quantile(past, mixed), max(q + 0.1 * math.tan(min(max(total * 0.05, -1.3), 1.3)), 0.0))
-            out.append((when, float(s), *radii))
-            a = min(max(a + rate * (alpha - (s > radii[0])), -1.0), 2.0)
-            beta = float((past >= s).mean()) if t else 0.5
-            loss = np.where(beta > bank, (beta - bank) * alpha, (bank - beta) * (1 - alpha))
-            weight = weight * np.exp(-2.0 * loss)
-            weight = 0.99 * weight / weight.sum() + 0.01 / len(experts)
-            bank = np.clip(bank + np.asarray(experts) * (alpha - (beta < bank)), -1.0, 2.0)
-            miss = float(s > radii[2]) - alpha
-            q, total = q + 0.05 * miss, total + miss
-        return pd.DataFrame([(key_[0], *r) for r in out], columns=["key", "period", "s", "aci", "dtaci", "pi"])
-
-    rows = scores.select(F.col(key).alias("key"), F.col(period).cast("date").alias("period"), F.col(score).alias("s")).where("s IS NOT NULL")
-    return rows.groupBy("key").applyInPandas(one, "key string, period date, s double, aci double, dtaci double, pi double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, m, out = None, 1.0, []
+        for key, when, rows in _periods(batches, ["cell", "tau_bps"], "period"):
+            if key != now:
+                now, m = key, begin.get((key[0], int(key[1])), 1.0)
+            s, served = rows["s"].to_numpy(float), m
+            if np.isfinite(s).any():
+                miss = float((s > m * float(rows["q"].iloc[0])).mean())
+                m = min(max(m * math.exp(rate * (miss - (1 - float(rows["tau"].iloc[0])))), LOWEST), HIGHEST)
+            out.append((key[0], int(key[1]), when, int(np.isfinite(s).sum()), served, m))
+            if len(out) >= 5000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    def _batch(rows: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.date32(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["cell", "tau_bps", "period", "n", "m_served", "m_next"])
+
+    rows = scores.join(sized(table), cell).select(F.col(cell).alias("cell"), "tau_bps", "tau", "q", F.col(period).cast("date").alias("period"), F.col(score).alias("s"))
+    dealt = rows.repartition("cell", "tau_bps").sortWithinPartitions("cell", "tau_bps", "period")
+    return dealt.mapInArrow(run, "cell string, tau_bps int, period date, n long, m_served double, m_next double")
+
+
+def canonical(value: object) -> str:
+    """JSON with sorted keys and no blanks, whose hash stands for the value."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"))
+
+
+def sealed(replayed: DataFrame, profile: str, artefact: str) -> dict:
+    """A checkpoint of the multipliers after the last replayed period: one number a cell and tau, numbers as text of fixed
+    places, and the hash of it all."""
+    last = replayed.groupBy("cell", "tau_bps").agg(F.max_by("m_next", "period").alias("m")).collect()
+    whole = replayed.agg(F.max("period"), F.countDistinct("period")).first()
+    m: dict[str, dict[str, str]] = {}
+    for r in sorted(last, key=lambda r: (r["tau_bps"], r["cell"])):
+        m.setdefault(f"{r['tau_bps'] / 10_000:.4f}", {})[r["cell"]] = f"{r['m']:.10f}"
+    body = {"schema": STATE, "profile": profile, "artefact_sha256": artefact, "through_period": str(whole[0]), "gamma": f"{RATE:.10f}", "m_floor": f"{LOWEST:.10f}", "m_ceil": f"{HIGHEST:.10f}", "n_periods_replayed": whole[1], "m": m}
+    return body | {"checkpoint_sha256": hashlib.sha256(canonical(body).encode()).hexdigest()}
+
+
+def intact(checkpoint: Mapping) -> bool:
+    """Whether a checkpoint's hash is that of what it says."""
+    body = {k: v for k, v in checkpoint.items() if k != "checkpoint_sha256"}
+    return checkpoint.get("checkpoint_sha256") == hashlib.sha256(canonical(body).encode()).hexdigest()
+
+
+def resumed(checkpoint: Mapping) -> dict[tuple[str, int], float]:
+    """Where a replay of later periods begins."""
+    if not intact(checkpoint):
+        raise ValueError("the checkpoint is not what its hash says")
+    return {(cell, int(round(float(t) * 10_000))): float(v) for t, row in checkpoint["m"].items() for cell, v in row.items()}
+
+
+def multipliers(rows: DataFrame, checkpoint: Mapping) -> DataFrame:
+    """rows (cell, tau_bps) with m: that of a known cell, 1 for an unknown one; a tau that the checkpoint lacks is an
+    error."""
+    start, spark = resumed(checkpoint), rows.sparkSession
+    table = spark.createDataFrame([(c, t, v) for (c, t), v in start.items()], "cell string, tau_bps int, m double")
+    known = F.col("tau_bps").isin(sorted({t for _, t in start}))
+    return rows.join(F.broadcast(table), ["cell", "tau_bps"], "left").withColumn("m", F.when(known, F.coalesce("m", F.lit(1.0))).otherwise(F.raise_error(F.concat(F.lit("no state for tau "), F.col("tau_bps").cast("string")))))
+
+
+def _quantile(line: list[float], a: float) -> float:
+    """The 1 - a quantile of sorted values, between neighbours; a <= 0, or no values, gives infinity, a >= 1 nothing."""
+    if a <= 0 or (a < 1 and not line):
+        return math.inf
+    if a >= 1:
+        return 0.0
+    at = (len(line) - 1) * (1 - a)
+    lo = int(at)
+    hi = min(lo + 1, len(line) - 1)
+    return line[lo] + (line[hi] - line[lo]) * (at - lo)
+
+
+class _Radii:
+    """Three online methods over the periods of one key: one adapted level (aci), a bank of levels weighed by the loss of
+    their radii (dtaci), and a tracked quantile with a saturated sum of errors (pi)."""
+
+    def __init__(self, alpha: float, rate: float, warm: int):
+        self.alpha, self.rate, self.warm = alpha, rate, warm
+        k = len(STEPS)
+        self.level, self.bank, self.weight = alpha, np.full(k, alpha), np.full(k, 1 / k)
+        self.eta, self.mix = math.sqrt(3 / HORIZON * (math.log(k * HORIZON) + 2)), 1 / (2 * HORIZON)
+        self.past: list[float] = []
+        self.first: list[np.ndarray] = []
+        self.t, self.q, self.debt, self.step = 0, 0.0, 0.0, 0.01
+
+    def served(self) -> tuple[float, float, float]:
+        return _quantile(self.past, self.level), _quantile(self.past, float(self.weight @ self.bank)), max(self.q, 0.0)
+
+    def learn(self, s: np.ndarray) -> None:
+        a, bank = self.alpha, self.bank
+        own = _quantile(self.past, self.level)
+        radii = np.array([_quantile(self.past, x) for x in bank])
+        over = s[:, None] - radii[None, :]
+        loss = np.where(np.isfinite(radii), np.where(over > 0, a * over, (a - 1) * over).mean(axis=0), s.max() * a)
+        weight = self.weight * np.exp(-self.eta * loss)
+        total = weight.sum()
+        weight = weight / total if np.isfinite(total) and total > 0 else np.full(len(bank), 1 / len(bank))
+        self.weight = (1 - self.mix) * weight + self.mix / len(bank)
+        self.level = min(max(self.level + self.rate * (a - float((s > own).mean())), -1.0), 2.0)
+        self.bank = np.clip(bank + np.array(STEPS) * (a - (s[:, None] > radii[None, :]).mean(axis=0)), -1.0, 2.0)
+        if self.t < self.warm:  # the tracker begins at the warm-up's quantile, with steps of its scale
+            self.first.append(s)
+            if self.t == self.warm - 1:
+                self.replay()
+        else:
+            self.track(s, self.t)
+        for x in s:
+            insort(self.past, float(x))
+        self.t += 1
+
+    def replay(self) -> None:
+        start = np.concatenate(self.first)
+        self.q, self.step = float(np.quantile(start, 1 - self.alpha)), float(np.quantile(start, 0.95)) * 0.05
+        for t, s in enumerate(self.first):
+            self.track(s, t)
+        self.first = []
+
+    def track(self, s: np.ndarray, t: int) -> None:
+        off = float((s > self.q).mean()) - self.alpha
+        self.debt += off
+        n = max(t + 1, 2)
+        self.q += self.step * off + self.step * math.tan(min(max(self.debt * math.log(n) / (n * 5), -1.5), 1.5))
+
+
+def conformal_radii(scores: DataFrame, key: str, period: str, score: str, tau: float = 0.9, rate: float = 0.01, warm: int = 20) -> DataFrame:
+    """Radii of three online methods along the periods of each key: key, period, s, aci, dtaci and pi, a row a score from
+    after `warm` periods. A period is served by what was known before it, and moves the methods by its share of misses.
+
+    A key's rows are sorted and streamed; its scores so far are kept in order, as the methods' quantiles need them all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for k, when, rows in _periods(batches, ["key"], "period"):
+            if state is None or k != now:
+                now, state = k, _Radii(1 - tau, rate, warm)
+            s = rows["s"].to_numpy(float)
+            if state.t >= warm:
+                aci, dtaci, pi = state.served()
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0]] * n, pa.string()), pa.array([when] * n, pa.date32()), pa.array(s), *[pa.array(np.full(n, v)) for v in (aci, dtaci, pi)]], ["key", "period", "s", "aci", "dtaci", "pi"])
+            state.learn(s)
+
+    rows = scores.select(F.col(key).cast("string").alias("key"), F.col(period).cast("date").alias("period"), F.col(score).alias("s")).where("s IS NOT NULL")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "period", "s")
+    return dealt.mapInArrow(run, "key string, period date, s double, aci double, dtaci double, pi double")
 
 
 def cusum(rows: DataFrame, key: str, order: str, value: str, slack: float, alarm: float) -> DataFrame:
@@ -88,34 +216,90 @@ def monotone(updates: DataFrame, key: str, arrival: list[str], ts: str) -> DataF
     return updates.withColumn("accepted", before.isNull() | (F.col(ts) >= before))
 
 
-def garch(pdf: pd.DataFrame, value: str) -> tuple[float, float, float, float]:
-    """omega, alpha, beta and the last variance of a GARCH(1,1) with normal errors: a grid over alpha and beta, refined,
-    with omega set so that the long-run variance is the sample's."""
-    e = pdf[value].to_numpy(float)
-    e = e - e.mean()
+def garch_path(e: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
+    """Variances of a GARCH(1,1), each from the residual and variance before it; one more than residuals, the next."""
+    out = np.empty(len(e) + 1)
+    out[0] = start
+    for i, x in enumerate(e * e):
+        out[i + 1] = omega + alpha * x + beta * out[i]
+    return out
+
+
+def _likelihood(e: np.ndarray, s: np.ndarray, nu: float | None) -> float:
+    if nu is None:
+        return float(-0.5 * (np.log(2 * np.pi * s) + e * e / s).sum())
+    c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(np.pi * (nu - 2))
+    return float((c - 0.5 * np.log(s) - (nu + 1) / 2 * np.log1p(e * e / (s * (nu - 2)))).sum())
+
+
+def simplex(f, start: Sequence[float], steps: int = 400, size: float = 0.3) -> np.ndarray:  # noqa: ANN001
+    """A minimum of f by a moving simplex: reflect, stretch, pull in, shrink."""
+    pts = [np.array(start, float), *[np.array(start, float) + size * row for row in np.eye(len(start))]]
+    val = [f(p) for p in pts]
+    for _ in range(steps):
+        order = np.argsort(val)
+        pts, val = [pts[i] for i in order], [val[i] for i in order]
+        if val[-1] - val[0] < 1e-9 * (abs(val[0]) + 1e-9):
+            break
+        middle = np.mean(pts[:-1], axis=0)
+        far = middle + (middle - pts[-1])
+        v = f(far)
+        if v < val[0]:
+            beyond = middle + 2 * (middle - pts[-1])
+            w = f(beyond)
+            pts[-1], val[-1] = (beyond, w) if w < v else (far, v)
+        elif v < val[-2]:
+            pts[-1], val[-1] = far, v
+        else:
+            near = middle + 0.5 * (pts[-1] - middle)
+            w = f(near)
+            if w < val[-1]:
+                pts[-1], val[-1] = near, w
+            else:
+                pts = [pts[0], *[pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]]
+                val = [val[0], *[f(p) for p in pts[1:]]]
+    return pts[int(np.argmin(val))]
+
+
+def garch_fit(e: np.ndarray, student: bool) -> tuple[float, float, float, float]:
+    """omega, alpha, beta and degrees of freedom (infinite for normal errors) of most likelihood."""
     var = float(np.mean(e * e)) or 1e-12
 
-    def run(a: float, b: float) -> tuple[float, float]:
-        w, s, like = var * (1 - a - b), var, 0.0
-        for x in e:
-            like += math.log(s) + x * x / s
-            s = w + a * x * x + b * s
-        return like, s
-
-    best = (math.inf, 0.05, 0.9)
-    for step in (0.1, 0.02):
-        a0, b0 = best[1], best[2]
-        grid = [(a0 + i * step / 2, b0 + j * step / 2) for i in range(-4, 5) for j in range(-8 if step == 0.1 else -4, 2 if step == 0.1 else 5)]
-        for a, b in grid:
-            if 0 <= a < 1 and 0 <= b < 1 and a + b < 0.999:
-                best = min(best, (run(a, b)[0], a, b))
-    return var * (1 - best[1] - best[2]), best[1], best[2], run(best[1], best[2])[1]
-
-
-def garch_by(rows: DataFrame, key: str, order: str, value: str, least: int = 60) -> DataFrame:
-    def one(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=[value]).sort_values(order)
-        found = garch(p, value) if len(p) >= least else (float("nan"),) * 4
-        return pd.DataFrame([(key_[0], len(p), *found)], columns=["key", "n", "omega", "alpha", "beta", "next_var"])
-
-    return rows.select(F.col(key), order, value).groupBy(key).applyInPandas(one, "key string, n long, omega double, alpha double, beta double, next_var double")
+    def told(x: np.ndarray) -> tuple[float, float, float, float]:
+        share = 0.999 / (1 + math.exp(-min(max(x[1], -30.0), 30.0)))  # alpha + beta
+        alpha = share / (1 + math.exp(-min(max(x[2], -30.0), 30.0)))
+        return var * math.exp(min(max(x[0], -20.0), 5.0)), alpha, share - alpha, 2.05 + math.exp(min(max(x[3], -5.0), 5.0)) if student else math.inf
+
+    def loss(x: np.ndarray) -> float:
+        omega, alpha, beta, nu = told(x)
+        return -_likelihood(e, np.maximum(garch_path(e, omega, alpha, beta, var)[:-1], 1e-18), nu if student else None)
+
+    return told(simplex(loss, [-1.5, 1.5, -1.5, 1.5] if student else [-1.5, 1.5, -1.5]))
+
+
+def garch_bands(panel: DataFrame, split: str, taus: Mapping[float, float], student: bool = False, least: int = 60) -> DataFrame:
+    """GARCH bands of log moves against the point: fitted to a symbol's gaps before split, run on through all of them, and
+    served after it: symbol, fri_ts, tau_bps, sigma, lower, upper, mon_open. taus maps a coverage to its unit quantile;
+    with t errors those of the fitted degrees are taken. Symbols with under `least` gaps to fit have no bands.
+    """
+    from ..functions.special import student_quantile
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["symbol", "fri_ts", "tau_bps", "sigma", "lower", "upper", "mon_open"]
+        p = pdf.sort_values("fri_ts").reset_index(drop=True)
+        e = np.log(p["mon_open"].to_numpy(float) / p["point"].to_numpy(float))
+        train = (p["fri_ts"].astype(str) < split).to_numpy()
+        if train.sum() < least:
+            return pd.DataFrame({c: [] for c in names})
+        e = e - e[train].mean()
+        omega, alpha, beta, nu = garch_fit(e[train], student)
+        s = np.sqrt(garch_path(e, omega, alpha, beta, float(np.mean(e[train] ** 2)))[:-1])[~train]
+        late, out = p[~train], []
+        for t, z in taus.items():
+            z = student_quantile((1 + t) / 2, nu) * math.sqrt((nu - 2) / nu) if student else z
+            own = late[["fri_ts", "mon_open"]].assign(symbol=key[0], tau_bps=int(round(t * 10_000)), sigma=s)
+            out.append(own.assign(lower=late["point"] * np.exp(-z * s), upper=late["point"] * np.exp(z * s)))
+        return pd.concat(out)[names]
+
+    rows = panel.select("symbol", "fri_ts", "mon_open", "point")
+    return rows.groupBy("symbol").applyInPandas(one, "symbol string, fri_ts date, tau_bps int, sigma double, lower double, upper double, mon_open double")

@@ -36,13 +36,18 @@ def with_factor(pairs: DataFrame, factor: DataFrame) -> DataFrame:
     return out.drop("_l0", "_l1").dropna(subset=["factor_ret", "vix", "fri_close", "mon_open"])
 
 
-def with_regime(panel: DataFrame, window: int = 52, least: int = 20, quantile: float = 0.75, long_gap: int = 4) -> DataFrame:
+def with_regime(panel: DataFrame, window: int = 52, least: int = 20, quantile: float = 0.75, long_gap: int = 4, night: str | None = None) -> DataFrame:
     """normal, long_weekend or high_vol, known before the gap: the index stands above its own quantile over the last
-    dates. Dates are few next to rows; the flag is made for them and joined back."""
+    dates. night, a flag of overnight gaps, makes it normal, high_vol or the flag's name, which goes first. Dates are few
+    next to rows; the flag is made for them and joined back."""
     dates = panel.select("fri_ts", "vix").distinct()
     near = Window.partitionBy(F.lit(0)).orderBy("fri_ts").rowsBetween(1 - window, 0)
     flag = dates.select("fri_ts", ((F.count("vix").over(near) >= least) & (F.col("vix") > F.percentile("vix", F.lit(quantile)).over(near))).alias("high"))
-    regime = F.when(F.col("high"), "high_vol").when(F.col("gap_days") >= long_gap, "long_weekend").otherwise("normal")
+    high = F.when(F.col("high"), "high_vol")
+    if night is None:
+        regime = high.when(F.col("gap_days") >= long_gap, "long_weekend").otherwise("normal")
+    else:
+        regime = F.when(F.col(night), night).otherwise(high.otherwise("normal"))
     return panel.join(flag, "fri_ts").withColumn("regime_pub", regime).drop("high")
 
 
@@ -98,6 +103,14 @@ def residual_quantiles(panel: DataFrame, taus: list[float], window: int = 104, l
     return seen.select("symbol", "fri_ts", "mon_open", rows.alias("_b")).select("symbol", "fri_ts", "_b.tau_bps", "_b.lower", "_b.upper", "mon_open")
 
 
+def with_path_score(panel: DataFrame) -> DataFrame:
+    """score_path: the farthest a gap's path (path_lo, path_hi) or its end went from the point, by sigma and the close;
+    null without a path or a positive sigma."""
+    far = F.greatest(F.col("point") - F.col("path_lo"), F.col("path_hi") - F.col("point"), F.abs(F.col("mon_open") - F.col("point")), F.lit(0.0))
+    whole = (F.col("sigma") > 0) & F.col("path_lo").isNotNull() & F.col("path_hi").isNotNull()
+    return panel.withColumn("score_path", F.when(whole, far / (F.col("fri_close") * F.col("sigma"))))
+
+
 def har_features(panel: DataFrame) -> DataFrame:
     """Absolute residual of the last gap and its means over 5 and 22, full windows only."""
     order = Window.partitionBy("symbol").orderBy("fri_ts")

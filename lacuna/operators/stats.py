@@ -5,12 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_tail, normal_quantile
+from ..functions.special import chi2_column
 
 
 def _xlogy(x: Column, y: Column) -> Column:
@@ -41,50 +39,34 @@ def independence_lr(t: DataFrame) -> Column:
     return F.when((n00 + n01 > 0) & (n10 + n11 > 0), F.greatest(2 * (own - base), F.lit(0.0)))
 
 
-def berkowitz(pdf: pd.DataFrame) -> tuple[int, float, float]:
-    """n, LR and p that normal scores of a PIT are white noise of unit spread, against an AR(1); NaN under 30 scores."""
-    u = pdf["pit"].dropna().clip(1e-6, 1 - 1e-6)
-    z = np.array([normal_quantile(float(v)) for v in u])
-    if len(z) < 30:
-        return len(z), float("nan"), float("nan")
-    x, y = z[:-1], z[1:]
-    rho = np.cov(x, y, bias=True)[0, 1] / max(np.var(x), 1e-12)
-    e = y - y.mean() - rho * (x - x.mean())
-    var = max(float(np.mean(e * e)), 1e-12)
-    like = lambda r, v: -0.5 * len(r) * math.log(2 * math.pi * v) - 0.5 * float(r @ r) / v
-    lr = max(2 * (like(e, var) - like(y, 1.0)), 0.0)
-    return len(z), lr, chi2_tail(lr, 3)
-
-
-def berkowitz_by(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Berkowitz' test of each group's PIT column in order; groups are one symbol's gaps."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, lr, p = berkowitz(pdf.sort_values(order))
-        return pd.DataFrame({by: [key[0]], "n": [n], "lr": [lr], "p": [p]})
-
-    return rows.select(by, order, "pit").groupBy(by).applyInPandas(one, f"{by} string, n long, lr double, p double")
-
-
-def dynamic_quantile(rows: DataFrame, by: str, order: str, miss: str, tau: str, lags: int = 4) -> DataFrame:
-    """Whether centred misses can be told from a constant and their own lags: the quadratic form of the fit and its p."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order)
-        hit = p[miss].to_numpy(float) - (1 - p[tau].to_numpy(float))
-        stat = pv = float("nan")
-        if len(hit) > lags + 10:
-            y = hit[lags:]
-            x = np.column_stack([np.ones(len(y)), *[hit[lags - k : len(hit) - k] for k in range(1, lags + 1)]])
-            gram = x.T @ x
-            rank = int(np.linalg.matrix_rank(gram))
-            q = float(p[tau].iloc[0])
-            if rank == gram.shape[0]:
-                stat = float(y @ x @ np.linalg.inv(gram) @ x.T @ y / (q * (1 - q)))
-                pv = chi2_tail(stat, rank)
-        return pd.DataFrame({by: [key[0]], "n": [len(hit)], "dq": [stat], "p": [pv]})
-
-    return rows.select(by, order, miss, tau).groupBy(by).applyInPandas(one, f"{by} string, n long, dq double, p double")
+def conditional(uc: DataFrame, t: DataFrame, by: Sequence[str], claimed: str = "tau") -> DataFrame:
+    """Coverage and independence together. uc has n rows and x misses of each of by; t has transitions of its groups.
+
+    lr_ind sums the groups' ratios, k is how many have one; p_ind is on k degrees, p_cc of both on 1 + k."""
+    ind = t.withColumn("_lr", independence_lr(t)).groupBy(*by).agg(F.sum("_lr").alias("lr_ind"), F.count("_lr").cast("int").alias("k"))
+    both = uc.withColumn("lr_uc", kupiec_lr(F.col("x"), F.col("n"), 1 - F.col(claimed))).join(ind, list(by), "left")
+    both = both.withColumn("lr_cc", F.col("lr_uc") + F.coalesce("lr_ind", F.lit(0.0)))
+    k = F.coalesce("k", F.lit(0))
+    return both.withColumns({"p_uc": chi2_column(F.col("lr_uc"), F.lit(1)), "p_ind": F.when(k > 0, chi2_column(F.col("lr_ind"), k)), "p_cc": chi2_column(F.col("lr_cc"), k + 1)})
+
+
+def binomial_tails(counts: DataFrame, by: str, p: Column, thresholds: Sequence[int] = (3, 5, 7)) -> DataFrame:
+    """Misses a date (n_w, k_w) against independent ones: ratios of mean and variance, observed and binomial shares of
+    dates with at least so many, and the chi-square of the cells 0, 1, 2 and more, those expected at least once."""
+    fact = lambda x: F.factorial(x.cast("int")).cast("double")
+    n = F.col("n_w")
+    pmf = lambda k: F.when(n >= k, fact(n) / (fact(F.lit(k)) * fact(n - k)) * F.pow(F.col("_p"), F.lit(k)) * F.pow(1 - F.col("_p"), n - k)).otherwise(0.0)
+    tail = lambda k: 1 - sum((pmf(i) for i in range(k)), F.lit(0.0))
+    rows = counts.where("n_w <= 20").withColumn("_p", p)  # beyond 20 symbols a date factorials overflow: split such dates first
+    sums = [F.count("*").alias("dates"), (F.avg("k_w") / F.avg(n * F.col("_p"))).alias("mean_ratio"), (F.var_samp("k_w") / F.avg(n * F.col("_p") * (1 - F.col("_p")))).alias("var_ratio")]
+    for t in thresholds:
+        sums += [F.avg((F.col("k_w") >= t).cast("double")).alias(f"tail{t}"), F.avg(tail(t)).alias(f"binom{t}")]
+    cells = [(F.col("k_w") == 0, pmf(0)), (F.col("k_w") == 1, pmf(1)), (F.col("k_w") == 2, pmf(2)), (F.col("k_w") >= 3, tail(3))]
+    for i, (seen, want) in enumerate(cells):
+        sums += [F.count_if(seen).cast("double").alias(f"_o{i}"), F.sum(want).alias(f"_e{i}")]
+    g = rows.groupBy(by).agg(*sums)
+    chi = sum((F.when(F.col(f"_e{i}") >= 1, F.pow(F.col(f"_o{i}") - F.col(f"_e{i}"), F.lit(2.0)) / F.col(f"_e{i}")).otherwise(0.0) for i in range(4)), F.lit(0.0))
+    return g.withColumn("chi2", chi).drop(*[f"_{c}{i}" for c in "oe" for i in range(4)])
 
 
 def crps(points: Sequence[tuple[float, Column]], truth: Column) -> Column:

@@ -142,23 +142,6 @@ def q_monotone(s, d):  # noqa: ANN001, ANN201
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
 
 
-def q_adaptive(s, d):  # noqa: ANN001, ANN201
-    rows = panel(s, d)
-    table = C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), C.tau_table(s), ["regime_pub"], "score").select("regime_pub", "tau_bps", "tau", "q")
-    late = rows.where((F.col("fri_ts") >= SPLIT) & F.col("score").isNotNull())
-    return O.adaptive_replay(late, table, "regime_pub", "fri_ts", "score").select("cell", "tau_bps", "period", "n", F.round("m_served", 8).alias("m_served"), F.round("m_next", 8).alias("m_next"))
-
-
-def q_online(s, d):  # noqa: ANN001, ANN201
-    out = O.conformal_radii(panel(s, d), "symbol", "fri_ts", "score")
-    cov = lambda c: F.round(F.avg((F.col("s") <= F.col(c)).cast("double")), 5).alias(f"cov_{c}")
-    return out.groupBy("key").agg(F.count("*").alias("n"), cov("aci"), cov("dtaci"), cov("pi"))
-
-
-def q_garch(s, d):  # noqa: ANN001, ANN201
-    return O.garch_by(panel(s, d), "symbol", "fri_ts", "rel_resid").select("key", "n", r("alpha", 4), r("beta", 4))
-
-
 def q_buffer(s, d):  # noqa: ANN001, ANN201
     """The constant buffer, in a grid of 5 bps, that covers tau of the gaps' moves: an order statistic rounded up."""
     rows = panel(s, d).where("score_raw IS NOT NULL").select("regime_pub", (F.col("score_raw") * 10_000).alias("dev"))
@@ -180,16 +163,6 @@ def q_audit(s, d):  # noqa: ANN001, ANN201
     return J.commitment_audit(rows.where("dayofmonth(fri_ts) % 4 <> 0"), late, ["symbol", "fri_ts"], "half").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def q_requests(s, d):  # noqa: ANN001, ANN201
-    """Bands at coverages between and beyond the fitted ones."""
-    rows = panel(s, d)
-    table = C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), C.tau_table(s), ["regime_pub"], "score")
-    asked = s.sql("SELECT * FROM VALUES (0.5D), (0.75D), (0.9D), (0.999D) AS t(tau)")
-    shift, bump = {0.68: 0.02, 0.85: 0.01, 0.95: 0.0, 0.99: 0.0}, {0.68: 1.0, 0.85: 1.02, 0.95: 1.05, 0.99: 1.0}
-    out = C.serve_requests(rows.where((F.col("fri_ts") >= SPLIT) & F.col("sigma").isNotNull()), table, asked, shift, bump)
-    return out.groupBy("regime_pub", "tau").agg(F.count("*").alias("n"), F.round(F.avg((F.col("upper") - F.col("lower")) / F.col("fri_close")), 5).alias("mean_width"), F.round(F.max("served"), 6).alias("served"))
-
-
 EV = "a AS (SELECT user_id AS u, ts, event_id AS ask_id FROM events WHERE event_type = 'purchase'), k AS (SELECT user_id AS u, ts, event_id, value FROM events WHERE event_type <> 'purchase')"
 EVENTS_Q = """ev AS (SELECT DISTINCT p_brand AS symbol, CAST(o_orderdate AS DATE) AS event_date, CASE left(o_orderpriority, 1) WHEN '1' THEN 'amc' WHEN '2' THEN 'bmo' WHEN '3' THEN 'dmh' ELSE 'unknown' END AS session,
   CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS confirmed FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)"""
@@ -217,11 +190,7 @@ QUERIES = {
     "p9_swaps": (q_swaps, "WITH l AS (SELECT p_brand, (p_size * 1000000)::HUGEINT AS rin, (round(p_retailprice * 100)::BIGINT * 1000)::HUGEINT AS rout, round(l_extendedprice * 100)::BIGINT AS amount, round(l_discount * 1000)::BIGINT AS fee FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT *, least(greatest(500000 - amount, amount - 2000000, 0) * 100 // 1500000, 300) AS extra FROM l), n AS (SELECT *, (amount * (10000 - fee - extra) // 10000)::HUGEINT AS net FROM e) SELECT p_brand, count(*) AS n, sum(net * rout // (rin + net))::BIGINT AS paid, sum(extra)::BIGINT AS extra_bps FROM n GROUP BY 1"),
     "o7_cusum": (q_cusum, f"WITH {PANEL}, z AS (SELECT symbol, fri_ts, rel_resid / sigma AS z FROM panel WHERE score IS NOT NULL), u AS (SELECT symbol, fri_ts, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS d FROM z WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)), c AS (SELECT symbol, u - least(0, min(u) OVER w) AS a, d - least(0, min(d) OVER w) AS b FROM u WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)) SELECT symbol, count(*) AS n, count(*) FILTER (a >= 4 OR b >= 4) AS alarms, round(max(a), 5) AS top_up, round(max(b), 5) AS top_down FROM c GROUP BY 1"),
     "o13_monotone": (q_monotone, "WITH x AS (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (b IS NULL OR ts >= b) AS accepted FROM x GROUP BY 1"),
-    "o1_adaptive_replay": (q_adaptive, None),
-    "o4_online_radii": (q_online, None),
-    "i16_garch": (q_garch, None),
     "n4_buffer": (q_buffer, f"WITH {PANEL}, x AS (SELECT regime_pub, score_raw * 10000 AS dev, row_number() OVER (PARTITION BY regime_pub ORDER BY score_raw) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM panel WHERE score_raw IS NOT NULL) SELECT regime_pub, n, (ceil(dev / 5) * 5)::BIGINT AS buffer_bps FROM x WHERE k = ceil((n - 1) * 0.95::DOUBLE) + 1"),
     "n5_recency": (q_recency, f"WITH {PANEL}, x AS (SELECT *, exp(-(DATE '2001-12-31' - fri_ts) / (12 * 30.5)) AS w FROM panel WHERE score IS NOT NULL) SELECT symbol, regime_pub, round(sum(w * CASE WHEN score <= 1 THEN 1.0 ELSE 0.0 END) / sum(w), 6) AS weighted, count(*) AS n FROM x GROUP BY 1, 2"),
     "q4_commitment_audit": (q_audit, f"WITH {SERVED}, h AS (SELECT symbol, fri_ts, round((upper - lower) / 2, 6) AS half FROM bands WHERE tau_bps = 9500), a AS (SELECT * FROM h WHERE day(fri_ts) % 4 <> 0), b AS (SELECT symbol, fri_ts, CASE WHEN day(fri_ts) % 7 = 0 THEN half * 1.01 ELSE half END AS half FROM h WHERE day(fri_ts) % 5 <> 0) SELECT CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.symbol = b.symbol AND a.fri_ts = b.fri_ts GROUP BY 1"),
-    "j6_requests": (q_requests, None),
 }

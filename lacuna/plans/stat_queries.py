@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.special import chi2_even, chi2_p
+from ..functions.special import chi2_p
 from ..operators import calibrate as C
-from ..operators import panel as P
 from ..operators import resample as R
 from ..operators import stats as S
-from .panel_queries import SERVED, bands, panel
+from .panel_queries import SERVED, bands
 
 
 def misses(s, d):  # noqa: ANN001, ANN201
@@ -33,15 +32,6 @@ def q_independence(s, d):  # noqa: ANN001, ANN201
     return t.select("symbol", "tau_bps", "n00", "n01", "n10", "n11", F.round(S.independence_lr(t), 5).alias("lr_ind"))
 
 
-def q_conditional(s, d):  # noqa: ANN001, ANN201
-    """Pooled coverage and the sum of the symbols' independence ratios; the joint p of two degrees per symbol alone."""
-    rows = misses(s, d)
-    t = S.transitions(rows, ["symbol", "tau_bps"], ["fri_ts"], "miss")
-    ind = t.withColumn("lr", S.independence_lr(t)).groupBy("tau_bps").agg(F.sum("lr").alias("lr_ind"), F.count("lr").alias("k"))
-    uc = rows.groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.sum("miss").alias("x")).withColumn("lr_uc", S.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau")))
-    return uc.join(ind, "tau_bps").select("tau_bps", "n", "k", F.round("lr_uc", 5).alias("lr_uc"), F.round("lr_ind", 4).alias("lr_ind"), F.round(chi2_even(F.col("lr_uc")), 6).alias("p2_uc"))
-
-
 def q_wilson(s, d):  # noqa: ANN001, ANN201
     g = misses(s, d).groupBy("symbol", "tau_bps").agg(F.count("*").alias("n"), F.sum("inside").alias("h"))
     lo, hi = scalar.wilson(F.col("h"), F.col("n"))
@@ -72,30 +62,11 @@ def q_crps(s, d):  # noqa: ANN001, ANN201
     return wide.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(S.crps(points, F.col("mon_open")) / F.col("fri_close")), 5).alias("crps"))
 
 
-def q_berkowitz(s, d):  # noqa: ANN001, ANN201
-    """PIT from the symbol's own spread, normal: a band's sigma against what happened."""
-    rows = panel(s, d).where("score IS NOT NULL")
-    pit = F.percent_rank().over(P.Window.partitionBy("symbol").orderBy("downside"))
-    return S.berkowitz_by(rows.withColumn("pit", pit), "symbol", "fri_ts").select("symbol", "n", F.round("lr", 4).alias("lr"), F.round("p", 5).alias("p"))
-
-
-def q_dynamic(s, d):  # noqa: ANN001, ANN201
-    rows = misses(s, d).where("tau_bps = 8500")
-    return S.dynamic_quantile(rows, "symbol", "fri_ts", "miss", "tau").select("symbol", "n", F.round("dq", 4).alias("dq"), F.round("p", 5).alias("p"))
-
-
 def q_bootstrap(s, d):  # noqa: ANN001, ANN201
     rows = C.with_hits(bands(s, d)).select("fri_ts", "tau_bps", F.col("inside").cast("double").alias("v"))
     return R.block_bootstrap(rows, "fri_ts", ["tau_bps"], "v", draws=200, seed=11).select("tau_bps", F.round("mean", 6).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-def q_joint_tail(s, d):  # noqa: ANN001, ANN201
-    """Misses a date against a binomial of its rows: mean and variance ratios, shares of dates with many."""
-    c = S.breach_counts(misses(s, d), "fri_ts", "miss", "tau_bps").withColumn("p", 1 - F.col("tau_bps") / 10_000)
-    g = c.groupBy("tau_bps").agg(F.count("*").alias("dates"), (F.avg("k_w") / F.avg(F.col("n_w") * F.col("p"))).alias("m"), (F.var_samp("k_w") / F.avg(F.col("n_w") * F.col("p") * (1 - F.col("p")))).alias("v"), F.avg((F.col("k_w") >= 3).cast("double")).alias("t3"))
-    return g.select("tau_bps", "dates", F.round("m", 5).alias("mean_ratio"), F.round("v", 5).alias("var_ratio"), F.round("t3", 6).alias("tail3"))
-
-
 def _x(p: str, q: str) -> str:
     return f"CASE WHEN {p} > 0 THEN {p} * ln(greatest({q}, 1e-12)) ELSE 0 END"
 
@@ -115,14 +86,10 @@ QUERIES = {
     "k1_kupiec": (q_kupiec, f"WITH {SERVED}, g AS (SELECT regime_pub, tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2, 3) SELECT regime_pub, tau_bps, n, x, round({_LR}, 5) AS lr FROM g"),
     "k11_kupiec_by_symbol": (q_kupiec_p, None),
     "k2_independence": (q_independence, f"WITH {SERVED}, {_T} SELECT symbol, tau_bps, n00::BIGINT AS n00, n01::BIGINT AS n01, n10::BIGINT AS n10, n11::BIGINT AS n11, round({_IND}, 5) AS lr_ind FROM t"),
-    "k4_conditional_coverage": (q_conditional, f"WITH {SERVED}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND}) AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2) SELECT tau_bps, n, k, round({_LR}, 5) AS lr_uc, round(lr_ind, 4) AS lr_ind, round(exp(-({_LR}) / 2), 6) AS p2_uc FROM g JOIN i USING (tau_bps)"),
     "k17_wilson": (q_wilson, f"WITH {SERVED}, g AS (SELECT symbol, tau_bps, count(*) AS n, sum(inside)::DOUBLE / count(*) AS p FROM hits GROUP BY 1, 2), w AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS m, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM g) SELECT symbol, tau_bps, n, round(greatest(m - h, 0), 6) AS lo, round(least(m + h, 1), 6) AS hi FROM w"),
     "d12_breach_shares": (q_breach_shares, f"WITH {SERVED}, {_K} SELECT tau_bps, k, round(share, 6) AS share, round(at_least, 6) AS at_least FROM b"),
     "k14_threshold": (q_threshold, f"WITH {SERVED}, {_K} SELECT tau_bps, coalesce(min(CASE WHEN round(at_least, 9) <= 0.05 THEN k END), 10) AS k_below FROM b GROUP BY 1"),
     "k20_slices": (q_slices, f"WITH {SERVED} SELECT tau_bps, regime_pub, year(fri_ts) AS year, count(*) AS n, round(avg(inside), 5) AS realised, round(avg(hw_bps), 3) AS hw FROM hits GROUP BY GROUPING SETS ((tau_bps), (tau_bps, regime_pub), (tau_bps, year(fri_ts)))"),
     "k8_crps": (q_crps, f"WITH {SERVED}, w AS (SELECT symbol, fri_ts, mon_open, fri_close, max(CASE WHEN tau_bps = 6800 THEN lower END) AS l68, max(CASE WHEN tau_bps = 6800 THEN upper END) AS u68, max(CASE WHEN tau_bps = 9500 THEN lower END) AS l95, max(CASE WHEN tau_bps = 9500 THEN upper END) AS u95 FROM bands GROUP BY 1, 2, 3, 4), p AS (SELECT *, {_PIN(0.025, 'l95')} AS a, {_PIN(0.16, 'l68')} AS b, {_PIN(0.84, 'u68')} AS c, {_PIN(0.975, 'u95')} AS e FROM w) SELECT symbol, count(*) AS n, round(avg(2 * ((a + b) / 2 * 0.135 + (b + c) / 2 * 0.68 + (c + e) / 2 * 0.135) / fri_close), 5) AS crps FROM p GROUP BY 1"),
-    "k13_joint_tail": (q_joint_tail, f"WITH {SERVED}, c AS (SELECT tau_bps, fri_ts, count(*) AS n_w, sum(1 - inside) AS k_w, 1 - tau_bps / 10000.0::DOUBLE AS p FROM hits GROUP BY 1, 2) SELECT tau_bps, count(*) AS dates, round(avg(k_w) / avg(n_w * p), 5) AS mean_ratio, round(var_samp(k_w) / avg(n_w * p * (1 - p)), 5) AS var_ratio, round(avg(CASE WHEN k_w >= 3 THEN 1.0 ELSE 0.0 END), 6) AS tail3 FROM c GROUP BY 1"),
-    "k5_berkowitz": (q_berkowitz, None),
-    "k7_dynamic_quantile": (q_dynamic, None),
     "l1_block_bootstrap": (q_bootstrap, None),
 }
