@@ -106,12 +106,13 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     sign = np.where(y == 1, 1.0, -1.0)
     share = max(float((y == 1).mean()), 1e-3) if len(y) else 0.5
     top = cost * np.where(y == 1, 1.0, min(share / max(1 - share, 1e-3), 10.0))
-    xs = [(r, v / max(float(np.sqrt(v @ v)), 1e-9)) for r in rows for v in (ratio[r],)]
+    unit = [1 / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9) for r in rows]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
-        for i in rng.permutation(len(xs)):
-            r, v = xs[i]
+        for i in rng.permutation(len(rows)):
+            r = rows[i]
+            v = ratio[r] * unit[i]
             gradient = sign[i] * (float(w[r] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / (float(v @ v) + 1.0), 0.0), top[i])
             step = (new - alpha[i]) * sign[i]
@@ -131,7 +132,7 @@ def log_ratios(count: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     return np.log(share[1] / share[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_rows: int = 6000, smooth: float = 1.0, bits: int = 18) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_rows: int = 4500, smooth: float = 1.0, bits: int = 18) -> Model:
     """A model from the labelled rows outside the held-out fold.
 
     The class log-count ratios are sums over all of them, made by Spark, in 2^bits buckets of hashed features (a larger
@@ -147,10 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_
     picked = sampled(rows, most_rows + most_rows // 3, 11).select("h", "y", "text").mapInArrow(_indicators(bits), "h long, y int, buckets array<int>").toArrow()
     if not picked.num_rows:
         return Model(np.zeros(1 << bits), ratio, 0.0, (0.0, 0.0))
-    picked = picked.sort_by("h")
-    y, flat = np.asarray(picked["y"]).astype(np.int64), picked["buckets"].combine_chunks()
-    value, off = np.asarray(flat.values), np.asarray(flat.offsets)
-    buckets = [value[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+    order = np.argsort(np.asarray(picked["h"]), kind="stable")
+    y, buckets = np.asarray(picked["y"]).astype(np.int64)[order], []
+    for part in picked["buckets"].chunks:
+        value, off = np.asarray(part.values), np.asarray(part.offsets)
+        buckets += [value[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+    buckets = [buckets[i] for i in order]
     test = np.arange(len(y)) % 4 == 3
     weight, bias = descend([x for x, t in zip(buckets, test, strict=True) if not t], y[~test], ratio)
     model = Model(weight, ratio, bias, (1.0, 0.0))
@@ -158,6 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most_
     doc = np.repeat(np.arange(len(tried)), [len(x) for x in tried])
     m = model.margins(doc, np.concatenate([np.zeros(0, np.int64), *tried]).astype(np.int64), len(tried))
     model.curve = calibrate(m, y[test])
+    del picked, buckets, tried, doc
+    W.give_back()  # the driver goes on to other work
     return model
 
 

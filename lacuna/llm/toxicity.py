@@ -312,6 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, least
     lists = {c: runs[c].to_pylist() for c in ("k", "before", "after", "shape", "affix")}
     weights = train(Runs.of(lists, np.asarray(runs["y"])), odds)
     del runs, lists
+    W.give_back()
     found = Field(words, odds, weights.own, weights.shared, weights.step, (1.0, 0.0), weights.looks)
     tried = spark.sparkContext.broadcast(found)
     sums = sampled(rows, most_rows, 29).mapInArrow(_sums(tried), "h long, y int, margin double").toPandas().sort_values("h")

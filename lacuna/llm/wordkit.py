@@ -39,7 +39,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Returns what this process no longer uses to the machine."""
     for name in _powers:
         _powers[name] = _powers[name][: 1 << 16].copy()
     gc.collect()
@@ -56,7 +57,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidied
 
