@@ -23,6 +23,11 @@ def winkler(lower: Column, upper: Column, truth: Column, tau: Column) -> Column:
     return (upper - lower) + F.when(truth < lower, (lower - truth) * 2 / alpha).when(truth > upper, (truth - upper) * 2 / alpha).otherwise(0.0)
 
 
+def realised_z(after: Column, before: Column, vol: Column) -> Column:
+    """The size of a log move in units of the volatility before it; none, or 0, gives null."""
+    return F.try_divide(F.abs(F.log(after / before)), F.when(vol != 0, vol))
+
+
 def gap_scale(gap_days: Column) -> Column:
     return F.sqrt(F.greatest(gap_days - 3, F.lit(0)) + F.lit(1.0))
 

@@ -290,7 +290,7 @@ def garch_bands(panel: DataFrame, split: str, taus: Mapping[float, float], stude
         e = np.log(p["mon_open"].to_numpy(float) / p["point"].to_numpy(float))
         train = (p["fri_ts"].astype(str) < split).to_numpy()
         if train.sum() < least:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame(columns=names)
         e = e - e[train].mean()
         omega, alpha, beta, nu = garch_fit(e[train], student)
         s = np.sqrt(garch_path(e, omega, alpha, beta, float(np.mean(e[train] ** 2)))[:-1])[~train]

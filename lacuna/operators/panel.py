@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,6 +177,30 @@ def leave_one_out(panel: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.withColumns({"loo_mean": F.when(m > 0, (F.col("_s") - F.col(value)) / m), "loo_median": median}).drop("_n", "_s", "_rank", "_v0", "_v1", "_v2")
 
 
+def ridge_forward(dates: DataFrame, features: list[str], target: str, split: str, ridge: float) -> DataFrame:
+    """A ridge regression of target on features, standardised before the split: a row a feature with its coefficient, and
+    the shares of variance explained before the split and after it, both against the mean before it.
+
+    One row a date goes in; Spark makes the sums, and only the normal equations' small matrix comes to the driver.
+    """
+    some = dates.dropna(subset=[*features, target]).withColumn("_train", F.col("fri_ts") < split)
+    told = some.where("_train").agg(*[F.avg(c).alias(f"m_{c}") for c in [*features, target]], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    z = {c: (F.col(c) - F.lit(told[f"m_{c}"])) / F.lit(told[f"s_{c}"] or 1.0) for c in features}
+    scaled = some.select("_train", F.col(target).alias("_y"), *[v.alias(c) for c, v in z.items()])
+    names = [*features, "_one"]
+    scaled = scaled.withColumn("_one", F.lit(1.0))
+    sums = scaled.where("_train").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)], *[F.sum(F.col(a) * F.col("_y")).alias(f"y_{i}") for i, a in enumerate(names)]).first()
+    k = len(names)
+    gram = np.array([[sums[f"{i}_{j}"] for j in range(k)] for i in range(k)]) + np.diag([ridge] * len(features) + [0.0])
+    beta = np.linalg.solve(gram, np.array([sums[f"y_{i}"] for i in range(k)]))
+    fit = sum((F.col(c) * F.lit(float(b)) for c, b in zip(names, beta, strict=True)), F.lit(0.0))
+    off = lambda train, v: F.sum(F.when(F.col("_train") == train, F.pow(F.col("_y") - v, F.lit(2.0))))
+    mean = F.lit(told[f"m_{target}"])
+    share = scaled.agg((1 - off(True, fit) / off(True, mean)).alias("r2_train"), (1 - off(False, fit) / off(False, mean)).alias("r2_late"))
+    rows = dates.sparkSession.createDataFrame([(c, float(b)) for c, b in zip([*features, "intercept"], beta, strict=True)], "feature string, coefficient double")
+    return rows.crossJoin(F.broadcast(share))
+
+
 def weekend_panel(bars: DataFrame, factor: DataFrame, mode: str = "weekend") -> DataFrame:
     """Everything up to scores, in one plan."""
     return with_scores(ewma_scale(with_residual(with_regime(with_factor(gap_pairs(bars, mode), factor)))))

@@ -89,13 +89,19 @@ def scanned(spark: SparkSession, kind: str, root: str, start: dt.date | str, end
 
 
 def stored(df: DataFrame, kind: str, root: str, key: str | None = None) -> None:
-    """Writes rows as a tape's dated files, a file a day or year (for fixtures and archives): one task a file."""
+    """Writes rows as a tape's dated files, in one job; a key, or the rows' own values of the tape's key column."""
     tape = TAPES[kind]
-    days = [r[0] for r in df.select(day_of(F.col(tape.when), tape.unit).alias("d")).distinct().collect()]
-    spans = sorted({(d, d) if tape.every == "day" else (d.replace(month=1, day=1), d.replace(month=12, day=31)) for d in days})
-    for lo, hi in spans:
-        own = df.where(day_of(F.col(tape.when), tape.unit).between(F.lit(lo), F.lit(hi)))
-        own.coalesce(1).write.mode("overwrite").parquet(paths_of(tape, root, lo, hi, key)[0])
+    day = day_of(F.col(tape.when), tape.unit)
+    text = lambda f: F.date_format("_day", f)
+    rows = df.withColumn("_day", day)
+    if tape.every == "day":
+        rows, parts = rows.withColumns({"year": text("yyyy"), "month": text("MM"), "day": F.concat(text("dd"), F.lit(".parquet"))}), ["year", "month", "day"]
+    else:
+        rows, parts = rows.withColumn("year", F.concat(text("yyyy"), F.lit(".parquet"))), ["year"]
+    base = f"{root}/{tape.place}"
+    if tape.key and key is not None:
+        base += f"/{tape.key}={key}"
+    rows.drop("_day").repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(base)
 
 
 def one_tape(frames: Mapping[str, tuple[DataFrame, str, Column, Column]]) -> DataFrame:
