@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import with_row_of, written
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of pairs (a, b): the smallest node reachable.
 
     Each round every node takes the smallest label among its neighbours and itself, then that label's own label; the
-    labels are written between rounds. A node with many links is pre-aggregated by each task, not gathered.
+    labels are written between rounds. Nodes with many links, and labels of many nodes, stay spread over tasks. Links
+    that don't settle in most_rounds are an error.
     """
-    spark = pairs.sparkSession
-    both = written(pairs.select("a", "b").union(pairs.select("b", "a")).where("a != b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
-    weight = None
+    both = written(pairs.select(F.col("a").alias("node"), "b").union(pairs.select(F.col("b").alias("node"), F.col("a").alias("b"))).where("node != b").distinct(), "links")
+    labels = written(both.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("component"), F.count("*").alias("many")), "labels")
+    links, weight = both.count(), None
     for _ in range(most_rounds):
-        heard = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "component")
-        least = heard.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
-        at = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        labels = written(least.join(at, F.col("component") == F.col("_n"), "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component")), "labels")
+        heard = with_row_of(both, labels, "node", "many", total=links).select(F.col("b").alias("node"), "component", F.lit(0).cast("long").alias("many"))
+        least = heard.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"), F.max("many").alias("many"))
+        least = written(least, "least-labels")
+        sizes = least.groupBy("component").agg(F.count("*").alias("size"))
+        after = labels.select(F.col("node").alias("component"), F.col("component").alias("next")).join(sizes, "component")
+        labels = written(with_row_of(least, after, "component", "size").select("node", F.least("component", "next").alias("component"), "many"), "labels")
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == weight:
-            return labels
+            return labels.select("node", "component")
         weight = now
     raise RuntimeError("the links did not settle")

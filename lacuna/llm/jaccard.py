@@ -262,8 +262,8 @@ def _texts(docs: DataFrame, ids: DataFrame, few: int = 1_000_000) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, part_size: int = 256) -> DataFrame:
     """Those of pairs (a, b) whose texts are similar: b's text goes to its hub a, at most part_size to a task's block."""
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
-    there = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    hubs = written(pairs.groupBy("a").agg(F.count("*").alias("many")), "pair-hubs").withColumn("parts", F.ceil(F.col("many") / part_size).cast("int"))
+    there = with_row_of(pairs, hubs, "a", "many").select(F.col("a").alias("hub"), F.col("b").alias("doc"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     ours = hubs.select(F.col("a").alias("hub"), F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = there.unionByName(ours).join(texts, F.col("doc") == F.col("doc_id")).select("hub", "part", "doc", "text")
     dealt = rows.repartition(tasks_for(texts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", (F.col("doc") != F.col("hub")))

@@ -61,14 +61,14 @@ def whole_ids(df: DataFrame, *columns: str) -> None:
             raise TypeError(f"{f.name} must hold whole numbers, not {f.dataType.simpleString()}: number the rows first")
 
 
-def with_row_of(rows: DataFrame, table: DataFrame, key: str, many: str, most: int = 5000) -> DataFrame:
+def with_row_of(rows: DataFrame, table: DataFrame, key: str, many: str, most: int = 5000, total: int | None = None) -> DataFrame:
     """rows with the one row that table has for their key; rows without one go.
 
     many is the column of table that says how many of rows have the key. Keys with more than one row in most of all are
     fewer than most, whatever the input, so they go to every task; the others are joined by shuffle. So a key that holds
-    a third of all rows stays where its rows are.
+    a third of all rows stays where its rows are. total is the number of rows, if it is known.
     """
-    limit = int(table.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]) // most
+    limit = (int(table.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]) if total is None else total) // most
     often, seldom = table.where(F.col(many) > limit), table.where(F.col(many) <= limit)
     near = rows.join(F.broadcast(often), key)
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key)
