@@ -72,25 +72,35 @@ class WaveletMatrix:
         self.n, self.planes, self.zeros = head["n"], head["planes"], head["zeros"]
         table = np.frombuffer(zstandard.decompress(blob[16 + a : 16 + a + b]), np.int64).reshape(-1, 3)
         self.alphabet = np.frombuffer(zstandard.decompress(blob[16 + a + b : 16 + a + b + c]), np.uint32)
-        self.code = {int(t): i for i, t in enumerate(self.alphabet)}
+        self._code: dict[int, int] | None = None
         self.blocks = -(-self.n // BLOCK)
         self.before, self.kind = table[:, 0], table[:, 2]
         self.at = 16 + a + b + c + np.concatenate([[0], np.cumsum(table[:, 1])])
         self.blob, self.open_ = blob, {}
 
+    @property
+    def code(self) -> dict[int, int]:
+        if self._code is None:
+            self._code = {int(t): i for i, t in enumerate(self.alphabet)}
+        return self._code
+
+    def _part(self, plane: int, block: int) -> np.ndarray:
+        k = plane * self.blocks + block
+        part = self.blob[self.at[k] : self.at[k + 1]]
+        return np.frombuffer(zstandard.decompress(part, BLOCK) if self.kind[k] else part, np.uint8)
+
     def _open(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         """A block's bytes, and how many ones stand before each."""
         k = plane * self.blocks + block
         if k not in self.open_:
-            part = self.blob[self.at[k] : self.at[k + 1]]
-            part = np.frombuffer(zstandard.decompress(part, BLOCK) if self.kind[k] else part, np.uint8)
+            part = self._part(plane, block)
             if len(self.open_) > 256:
                 self.open_.clear()
             self.open_[k] = part, np.concatenate([[0], np.cumsum(_POP[part], dtype=np.int32)])
         return self.open_[k]
 
     def _bits(self, plane: int, block: int) -> np.ndarray:
-        return np.unpackbits(self._open(plane, block)[0])[: min(BLOCK, self.n - block * BLOCK)]
+        return np.unpackbits(self._part(plane, block))[: min(BLOCK, self.n - block * BLOCK)]
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones of a plane before position i: the block's count, its bytes' and the rest of one byte."""
@@ -281,7 +291,7 @@ def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, an end after each, and their n + 1 offsets.
 
     by_word: the tokenizer lower-cases and never joins text across blanks or letters with marks, so each distinct word
@@ -350,10 +360,10 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
 SCHEMA = "shard int, segment int, n_docs long, n_tokens long, doc_ids array<long>, doc_sizes array<long>, matrix binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 1_000_000, shard_bytes: int = 256 << 20, by_word: bool = True, most_tied: int = 10_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 2_000_000, shard_docs: int = 100_000, by_word: bool = True, most_tied: int = 10_000) -> None:
     """Writes documents as token files: range-partitioned by doc_id (whole numbers), one file a shard, a row a segment.
 
-    There are as many shards as shuffle partitions, or more, so that none has much over shard_bytes of text. A segment
+    There are as many shards as shuffle partitions, or more, so that none has much over shard_docs documents. A segment
     holds whole documents in ascending doc_id order (null first; ties by the text's first 64 characters, then its
     hash), at least segment_tokens ids but for a shard's last, as one wavelet matrix with the documents' ids and sizes
     beside it. Null and empty texts are a lone end; a text may have any length; equal rows are written as often as they
@@ -362,11 +372,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, se
     """
     whole_ids(docs, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).agg(F.max("n"), F.sum("b")).first()
-    shards = max(tasks_for(docs.sparkSession), -(-int(size[1] or 0) // shard_bytes))
-    order = ["doc_id", "start", "hash"]
-    rows = rows.withColumns({"start": F.substring("text", 1, 64), "hash": F.xxhash64("text")})
-    if (size[0] or 0) > most_tied:
+    often, total = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards, order = max(tasks_for(docs.sparkSession), -(-total // shard_docs)), ["doc_id"]
+    if often > 1:
+        order += ["start", "hash"]
+        rows = rows.withColumns({"start": F.substring("text", 1, 64), "hash": F.xxhash64("text")})
+    if often > most_tied:
         order.append("place")
         rows = rows.withColumn("place", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(shards, *(order if "place" in order else order[:1])).sortWithinPartitions(*order).select("doc_id", "text")
