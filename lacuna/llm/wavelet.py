@@ -342,7 +342,7 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
 
         for b in batches:
             texts, doc = W.column(b, "text"), b.column(b.schema.get_field_index("doc_id"))
-            for lo, hi in W.slices(texts, 4 << 20):
+            for lo, hi in W.slices(texts, 8 << 20):
                 flat, first = encode_texts(texts.slice(lo, hi - lo), path, end_id, by_word)
                 tokens.append(flat)
                 sizes.append(np.diff(first))
