@@ -115,10 +115,20 @@ def _grown(trees: int, size: int, longest: float, seed: int) -> Callable[[pa.Tab
     return run
 
 
+def _first(found: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The k best of each query among what some segments gave."""
+    query, vec, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return [(query[rank < k], vec[rank < k], score[rank < k])]
+
+
 def _search(sent, trees: int, size: int, k: int, share: float, least: int, seed: int, together: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k best of each forest's segment for each query of the sent block, by exact products over its candidates."""
+    """The k best of a task's segments for each query of the sent block, by exact products over the forests' candidates."""
 
-    def best(ids: np.ndarray, exact: np.ndarray, forest: Forest, query_ids: np.ndarray, exact_q: np.ndarray, strings: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def best(ids: np.ndarray, exact: np.ndarray, forest: Forest, query_ids: np.ndarray, exact_q: np.ndarray, strings: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         for lo in range(0, len(query_ids), together):
             near = exact_q[lo : lo + together] @ exact.T  # of a block at once: candidates are many, gathering each query's costs more
             out: tuple[list, list, list] = ([], [], [])
@@ -131,23 +141,26 @@ def _search(sent, trees: int, size: int, k: int, share: float, least: int, seed:
                 first = np.lexsort((ids[rows], -score))[:k]
                 for o, v in zip(out, (np.full(len(first), query_ids[lo + i]), ids[rows[first]], score[first]), strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+            yield tuple(np.concatenate(o) for o in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = sent.value
         strings, exact_q = _strings(q, np.zeros(len(q)), planes(trees, size, seed)), q.astype(np.float64)
+        found: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             for row in range(b.num_rows):
                 ids, x, keys, order = (b.column(i)[row] for i in range(4))
                 ids = np.asarray(ids.values)
                 exact = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, size).astype(np.float64)
                 forest = Forest(np.frombuffer(keys.as_buffer(), np.uint64).reshape(trees, -1), np.frombuffer(order.as_buffer(), np.int32).reshape(trees, -1))
-                yield from best(ids, exact, forest, query_ids, exact_q, strings)
+                found = _first([*found, *best(ids, exact, forest, query_ids, exact_q, strings)], k)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found[0]], ["query_id", "vec_id", "score"])
 
     return W.tidy(run)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32, share: float = 0.6, least: int = 5000, segment_size: int = 8192, block: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32, share: float = 0.6, least: int = 5000, segment_size: int = 4096, block: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the largest inner product found for each query.
 
     Both frames have vec_id (whole numbers) and embedding; other columns are not read. Vectors that are null, zero, of
@@ -182,7 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32
         return none
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     longest = float(np.sqrt(base.agg(F.max(square)).first()[0]))
-    segments = max(-(-total // segment_size), min(tasks_for(spark), -(-total // (4 * k))))
+    segments = -(-total // segment_size)
     dealt = base.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).alias("segment"))
     grown = dealt.repartition(min(segments, 20 * tasks_for(spark)), "segment").groupBy("segment").applyInArrow(_grown(trees, size, longest, seed), _FOREST)
     forests = written(grown, "forests")
