@@ -94,7 +94,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about most_bytes; a longer text stands alone."""
     off = np.asarray(raw(texts)[1])
     lo, n = 0, len(texts)
