@@ -28,10 +28,10 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str
 def session_as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], order: str, session: str, wanted: str, within_s: int) -> DataFrame:
     """as_of among right rows of the wanted session; where it has none in reach, among all."""
     best = as_of(left, right.where(F.col(session) == wanted), key, ts, values, order, within_s)
-    held = best.select(key, ts, *[c for c in left.columns if c not in (key, ts)], *[F.col(v).alias(f"_{v}") for v in values], F.col("as_of").alias("_at"))
+    held = best.select(key, ts, *[c for c in left.columns if c not in (key, ts)], *[F.col(v).alias(f"_held_{v}") for v in values], F.col("as_of").alias("_held_at"))
     both = as_of(held, right, key, ts, values, order, within_s)
-    use = F.col("_at").isNotNull()
-    return both.select(*left.columns, *[F.when(use, F.col(f"_{v}")).otherwise(F.col(v)).alias(v) for v in values], F.coalesce("_at", "as_of").alias("as_of"))
+    use = F.col("_held_at").isNotNull()
+    return both.select(*left.columns, *[F.when(use, F.col(f"_held_{v}")).otherwise(F.col(v)).alias(v) for v in values], F.coalesce("_held_at", "as_of").alias("as_of"))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, order: str, within_s: int = 1800) -> DataFrame:

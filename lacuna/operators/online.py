@@ -187,7 +187,7 @@ def conformal_radii(scores: DataFrame, key: str, period: str, score: str, tau: f
         now, state = None, None
         for k, when, rows in _periods(batches, ["key"], "period"):
             if state is None or k != now:
-                now, state = k, _Radii(1 - tau, rate, warm)
+                now, state = k, _Radii(round(1 - tau, 12), rate, warm)
             s = rows["s"].to_numpy(float)
             if state.t >= warm:
                 aci, dtaci, pi = state.served()

@@ -13,6 +13,7 @@ from ..operators import online as O
 from ..operators import panel as P
 from ..operators import resample as R
 from ..operators import stats as S
+from ..operators import tails as TL
 from ..operators.shared import order_statistics, sized
 from ..sources import market as M
 from .panel_queries import BARS, PANEL, SERVED, SPLIT, TAUS, _table_sql, bands, panel, r_signed
@@ -241,7 +242,15 @@ _PL = lambda a, q: f"(CASE WHEN mon_open >= {q} THEN (mon_open - {q}) * {a}::DOU
 _CRPS = " + ".join(f"({_PL(a, x)} + {_PL(b, y)}) / 2 * ({b}::DOUBLE - {a}::DOUBLE)" for (a, x), (b, y) in zip(_EDGES[:-1], _EDGES[1:], strict=True))
 _XS = "xs AS (SELECT fri_ts, count(*) AS n, avg(rel_resid / sigma) AS r_bar, stddev_samp(rel_resid / sigma) AS r_sd, min_by(vix, symbol) AS vix, avg(CASE WHEN regime_pub = 'high_vol' THEN 1.0 ELSE 0 END) AS share_high, sum(gap_days)::BIGINT AS days FROM panel WHERE sigma > 0 GROUP BY 1)"
 
+
+
+def q_tails(s, d):  # noqa: ANN001, ANN201
+    """The next score's quantile of each symbol by peaks over a threshold, quantile recursions and self-exciting tails."""
+    return rounded(TL.tail_quantiles(early(s, d), 0.95), 4)
+
+
 QUERIES = {
+    "i18_tail_quantiles": (q_tails, None),
     "k4_conditional_coverage": (q_conditional, f"WITH {SERVED}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND})::INT AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2) SELECT tau_bps, n, k, round({_LR}, 4) AS lr_uc, round(lr_ind, 4) AS lr_ind, round({_LR} + lr_ind, 4) AS lr_cc FROM g JOIN i USING (tau_bps)"),
     "k4_conditional_tails": (q_conditional_p, None),
     "k3_conditional_by_symbol": (q_conditional_symbol, f"WITH {SERVED}, {_T}, g AS (SELECT symbol, tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2, 3) SELECT symbol, tau_bps, round({_LR}, 5) AS lr_uc, round({_IND}, 5) AS lr_ind, round(exp(-(({_LR}) + ({_IND})) / 2), 5) AS p_cc FROM g LEFT JOIN t USING (symbol, tau_bps)"),

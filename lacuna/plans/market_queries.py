@@ -13,7 +13,7 @@ from ..operators import panel as P
 from ..operators import policy as L
 from ..operators import route as R
 from ..sources import market as M
-from .panel_queries import BARS, PAIRS, PANEL, SERVED, SPLIT, bands, panel, r
+from .panel_queries import BARS, PAIRS, PANEL, SERVED, _table_sql, bands, panel, r
 
 def asks(s, d):  # noqa: ANN001, ANN201
     """Points in time to ask at: purchases."""
@@ -30,7 +30,7 @@ def q_as_of(s, d):  # noqa: ANN001, ANN201
 
 def q_as_of_lookback(s, d):  # noqa: ANN001, ANN201
     out = J.as_of(asks(s, d), ticks(s, d), "user", "ts", ["event_id"], "event_id", within_s=86_400)
-    return out.agg(F.count("*").alias("n"), F.count("event_id").alias("found"), F.sum("event_id").alias("sum_ids"))
+    return out.select("ask_id", F.coalesce("event_id", F.lit(-1)).alias("seen_id"))
 
 
 def q_next_bar(s, d):  # noqa: ANN001, ANN201
@@ -51,13 +51,11 @@ def q_interval(s, d):  # noqa: ANN001, ANN201
 
 
 def q_event_week(s, d):  # noqa: ANN001, ANN201
-    rows = J.event_within(P.gap_pairs(M.daily_bars(s, d)), M.calendar_events(s, d))
-    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("earnings_next_week").alias("flagged"))
+    return J.event_within(P.gap_pairs(M.daily_bars(s, d)), M.calendar_events(s, d)).select("symbol", "fri_ts", "mon_ts", "earnings_next_week")
 
 
 def q_event_night(s, d):  # noqa: ANN001, ANN201
-    rows = J.event_overnight(P.gap_pairs(M.daily_bars(s, d), "overnight"), M.calendar_events(s, d))
-    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("earnings_night").alias("flagged"))
+    return J.event_overnight(P.gap_pairs(M.daily_bars(s, d), "overnight"), M.calendar_events(s, d)).select("symbol", "fri_ts", "mon_ts", "earnings_night")
 
 
 def q_confirmation_health(s, d):  # noqa: ANN001, ANN201
@@ -75,16 +73,16 @@ def q_coverage_stats(s, d):  # noqa: ANN001, ANN201
 
 
 def q_blend(s, d):  # noqa: ANN001, ANN201
-    rows = M.resampled(M.tape(s, d)).select("symbol", F.to_date("bar").alias("day"), r("close"))
-    one = rows.where("symbol = 'view' AND dayofmonth(day) % 3 <> 0").select("day", "close", F.lit("first").alias("source"))
-    two = rows.where("symbol = 'click'").select("day", "close", F.lit("second").alias("source"))
-    return M.blended(one, two, ["day"])
+    """Closes by brand and day from returned lines, and from all lines on the days that had no return."""
+    closes = lambda flag: M.daily_bars(s, d, flag).select("symbol", "ts", r("close"))
+    return M.blended(closes("R").withColumn("source", F.lit("returned")), closes(None).withColumn("source", F.lit("all")), ["symbol", "ts"])
 
 
 def q_append_dedup(s, d):  # noqa: ANN001, ANN201
+    """A customer and day's first order, from an archive up to 1996 and then from all orders."""
     rows = M.table(s, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey")
-    old = rows.where("o_orderkey % 3 = 0").groupBy("o_custkey", "day").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return M.append_new(old, rows.where("o_orderkey % 3 <> 0"), ["o_custkey", "day"])
+    old = rows.where("day < '1997-01-01'").groupBy("o_custkey", "day").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return M.append_new(old, rows, ["o_custkey", "day"])
 
 
 def q_sessions(s, d):  # noqa: ANN001, ANN201
@@ -134,12 +132,11 @@ def q_swaps(s, d):  # noqa: ANN001, ANN201
 
 def q_cusum(s, d):  # noqa: ANN001, ANN201
     rows = panel(s, d).where("score IS NOT NULL").withColumn("z", F.col("rel_resid") / F.col("sigma"))
-    return O.cusum(rows, "symbol", "fri_ts", "z", 0.5, 4.0).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("alarm").alias("alarms"), F.round(F.max("s_up"), 5).alias("top_up"), F.round(F.max("s_down"), 5).alias("top_down"))
+    return O.cusum(rows, "symbol", "fri_ts", "z", 0.5, 4.0).select("symbol", "fri_ts", r("s_up", 5), r("s_down", 5), "alarm")
 
 
 def q_monotone(s, d):  # noqa: ANN001, ANN201
-    rows = O.monotone(M.table(s, d, "events").select("event_type", "event_id", "ts"), "event_type", ["event_id"], "ts")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
+    return O.monotone(M.table(s, d, "events").select("event_type", "event_id", "ts"), "event_type", ["event_id"], "ts").select("event_id", "accepted")
 
 
 def q_buffer(s, d):  # noqa: ANN001, ANN201
@@ -158,9 +155,12 @@ def q_recency(s, d):  # noqa: ANN001, ANN201
 
 
 def q_audit(s, d):  # noqa: ANN001, ANN201
-    rows = bands(s, d).where("tau_bps = 9500").select("symbol", "fri_ts", F.round("half", 6).alias("half"))
-    late = rows.where("dayofmonth(fri_ts) % 5 <> 0").withColumn("half", F.when(F.dayofmonth("fri_ts") % 7 == 0, F.col("half") * 1.01).otherwise(F.col("half")))
-    return J.commitment_audit(rows.where("dayofmonth(fri_ts) % 4 <> 0"), late, ["symbol", "fri_ts"], "half").groupBy("verdict").agg(F.count("*").alias("n"))
+    """Served bands as commitments against publications by quantiles of a longer history, all taus."""
+    committed = bands(s, d).select("symbol", "fri_ts", "tau_bps", "half")
+    table = C.quantile_table(panel(s, d).where("fri_ts < '2000-01-01'"), C.tau_table(s), ["regime_pub"], "score")
+    made = C.serve(panel(s, d).where("fri_ts >= '2000-01-01' OR fri_ts < '1999-01-15'"), table, None, ["regime_pub"]).where("fri_ts >= '1998-12-01'")
+    out = J.commitment_audit(committed, made.select("symbol", "fri_ts", "tau_bps", "half"), ["symbol", "fri_ts", "tau_bps"], "half")
+    return out.groupBy("tau_bps", "verdict").agg(F.count("*").alias("n"))
 
 
 EV = "a AS (SELECT user_id AS u, ts, event_id AS ask_id FROM events WHERE event_type = 'purchase'), k AS (SELECT user_id AS u, ts, event_id, value FROM events WHERE event_type <> 'purchase')"
@@ -168,19 +168,21 @@ EVENTS_Q = """ev AS (SELECT DISTINCT p_brand AS symbol, CAST(o_orderdate AS DATE
   CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS confirmed FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
+AUDIT = "fri_ts < DATE '2000-01-01'"
+
 QUERIES = {
     "c7_as_of": (q_as_of, f"WITH {EV} SELECT ask_id, max_by(event_id, (k.ts, event_id)) AS seen_id, round(max_by(value, (k.ts, event_id)), 6) AS value FROM a LEFT JOIN k ON a.u = k.u AND k.ts <= a.ts GROUP BY 1"),
-    "n1_as_of_lookback": (q_as_of_lookback, f"WITH {EV}, z AS (SELECT ask_id, max_by(event_id, (k.ts, event_id)) AS e FROM a LEFT JOIN k ON a.u = k.u AND k.ts <= a.ts AND k.ts >= a.ts - INTERVAL 1 DAY GROUP BY 1) SELECT count(*) AS n, count(e) AS found, sum(e)::BIGINT AS sum_ids FROM z"),
+    "n1_as_of_lookback": (q_as_of_lookback, f"WITH {EV} SELECT ask_id, coalesce(max_by(event_id, (k.ts, event_id)), -1) AS seen_id FROM a LEFT JOIN k ON a.u = k.u AND k.ts <= a.ts AND k.ts >= a.ts - INTERVAL 1 DAY GROUP BY 1"),
     "c8_next_within": (q_next_bar, f"WITH {EV} SELECT ask_id, coalesce(min_by(event_id, (k.ts, event_id)), -1) AS next_id FROM a LEFT JOIN k ON a.u = k.u AND k.ts > a.ts AND k.ts <= a.ts + INTERVAL 7 DAY GROUP BY 1"),
     "c9_nearest": (q_nearest, f"WITH {EV} SELECT ask_id, coalesce(min(abs(epoch_us(k.ts) - epoch_us(a.ts))), -1)::BIGINT AS off_us FROM a LEFT JOIN k ON a.u = k.u AND abs(epoch_us(k.ts) - epoch_us(a.ts)) <= 43200000000 GROUP BY 1"),
     "c11_interval_extrema": (q_interval, f"WITH {EV} SELECT ask_id, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM a JOIN k ON a.u = k.u AND k.ts BETWEEN a.ts AND a.ts + INTERVAL 2 DAY GROUP BY 1"),
-    "c4_event_week": (q_event_week, f"WITH {BARS}, {PAIRS}, {EVENTS_Q} SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ev WHERE ev.symbol = pairs.symbol AND event_date BETWEEN mon_ts AND mon_ts + 4)) AS flagged FROM pairs GROUP BY 1"),
-    "c5_event_night": (q_event_night, f"WITH {BARS}, {PAIRS.replace('>= 3)', '= 1)')}, {EVENTS_Q} SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ev WHERE ev.symbol = pairs.symbol AND coalesce(confirmed, true) AND ((session = 'amc' AND event_date = fri_ts) OR (session = 'bmo' AND event_date = mon_ts)))) AS flagged FROM pairs GROUP BY 1"),
+    "c4_event_week": (q_event_week, f"WITH {BARS}, {PAIRS}, {EVENTS_Q} SELECT symbol, fri_ts, mon_ts, EXISTS (SELECT 1 FROM ev WHERE ev.symbol = pairs.symbol AND event_date BETWEEN mon_ts AND mon_ts + 4) AS earnings_next_week FROM pairs"),
+    "c5_event_night": (q_event_night, f"WITH {BARS}, {PAIRS.replace('>= 3)', '= 1)')}, {EVENTS_Q} SELECT symbol, fri_ts, mon_ts, EXISTS (SELECT 1 FROM ev WHERE ev.symbol = pairs.symbol AND coalesce(confirmed, true) AND ((session = 'amc' AND event_date = fri_ts) OR (session = 'bmo' AND event_date = mon_ts))) AS earnings_night FROM pairs"),
     "d20_confirmation_health": (q_confirmation_health, f"WITH {EVENTS_Q} SELECT session, count(*) AS n, count(*) FILTER (coalesce(confirmed, false)) AS confirmed, max(CASE WHEN confirmed THEN event_date END) AS last_confirmed FROM ev GROUP BY 1"),
     "a6_resample": (q_resample, "SELECT event_type AS symbol, CAST(ts AS DATE) AS day, round(min_by(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(max_by(value, (ts, event_id)), 6) AS close, count(*) AS n FROM events GROUP BY 1, 2"),
     "a17_coverage_stats": (q_coverage_stats, "SELECT event_type AS symbol, count(*) AS n_rows, count(DISTINCT CAST(ts AS DATE)) AS n_days, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1"),
-    "a18_source_blend": (q_blend, "WITH x AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, round(max_by(value, (ts, event_id)), 6) AS close FROM events GROUP BY 1, 2), o AS (SELECT day, close, 'first' AS source FROM x WHERE symbol = 'view' AND day(day) % 3 <> 0) SELECT * FROM o UNION ALL SELECT day, close, 'second' FROM x WHERE symbol = 'click' AND day NOT IN (SELECT day FROM o)"),
-    "a22_append_dedup": (q_append_dedup, "WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders), o AS (SELECT o_custkey, day, min(o_orderkey) AS o_orderkey FROM x WHERE o_orderkey % 3 = 0 GROUP BY 1, 2) SELECT * FROM o UNION ALL SELECT o_custkey, day, min(o_orderkey) FROM x WHERE o_orderkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = x.o_custkey AND o.day = x.day) GROUP BY 1, 2"),
+    "a18_source_blend": (q_blend, f"WITH {BARS.replace('WHERE dayofweek', chr(87)+'HERE l_returnflag = ' + chr(39) + 'R' + chr(39) + ' AND dayofweek').replace('bars AS', 'rb AS')}, {BARS} SELECT symbol, ts, round(close, 6) AS close, 'returned' AS source FROM rb UNION ALL SELECT symbol, ts, round(close, 6), 'all' FROM bars WHERE NOT EXISTS (SELECT 1 FROM rb WHERE rb.symbol = bars.symbol AND rb.ts = bars.ts)"),
+    "a22_append_dedup": (q_append_dedup, "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2"),
     "b21_sessions": (q_sessions, None),
     "d22_tape_stats": (q_tape_stats, "WITH x AS (SELECT event_type AS symbol, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, CASE WHEN lag(value) OVER w IS NOT NULL THEN CASE WHEN value = lag(value) OVER w THEN 1.0 ELSE 0.0 END END AS same FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT symbol, count(*) AS n, count(DISTINCT value) AS n_values, round(median(dt), 4) AS median_dt, round(avg(same), 6) AS stale FROM x GROUP BY 1"),
     "b20_triple_witching": (q_witching, "SELECT month(o_orderdate) IN (3, 6, 9, 12) AND dayofweek(o_orderdate) = 5 AND day(o_orderdate) BETWEEN 15 AND 21 AS witching, count(*) AS n, round(avg(o_totalprice), 2) AS mean_total FROM orders GROUP BY 1"),
@@ -188,9 +190,9 @@ QUERIES = {
     "m15_band_state": (q_band_state, f"WITH {SERVED}, b AS (SELECT tau_bps, fri_close * 0.9::DOUBLE AS p, lower, upper FROM bands) SELECT tau_bps, CASE WHEN p < lower THEN 'exit_below' WHEN p > upper THEN 'exit_above' WHEN (p - lower) / lower * 10000 <= 100 THEN 'approaching_lower' WHEN (upper - p) / upper * 10000 <= 100 THEN 'approaching_upper' ELSE 'in_band' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
     "p4_quorum": (q_quorum, "WITH x AS (SELECT l_partkey AS asset, l_shipdate AS ts, round(l_extendedprice * 100)::BIGINT AS price, CASE WHEN l_linenumber > 1 THEN round(l_extendedprice * 100)::BIGINT * l_linenumber // 200 END AS confidence FROM lineitem), f AS (SELECT *, CASE WHEN epoch(TIMESTAMP '2000-06-01 00:00:00') - epoch(ts) > 94608000 THEN 'stale' WHEN confidence IS NOT NULL AND price > 0 AND confidence * 10000 // price > 250 THEN 'unsure' END AS r1 FROM x), m AS (SELECT asset, list_sort(list(price))[(count(*) + 1) // 2] AS m FROM f WHERE r1 IS NULL GROUP BY 1), g AS (SELECT f.*, coalesce(r1, CASE WHEN abs(trunc((price - m) * 10000 / m)) > 5000 THEN 'far' END) AS reason FROM f LEFT JOIN m USING (asset)) SELECT asset, count(*) FILTER (reason IS NULL) AS n, min(price) FILTER (reason IS NULL) AS low, max(price) FILTER (reason IS NULL) AS high, (list_sort(list(price) FILTER (reason IS NULL)))[(count(*) FILTER (reason IS NULL) + 1) // 2] AS median, CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'AllStale' WHEN count(*) FILTER (reason IS NULL) < 3 THEN 'LowQuorum' ELSE 'Ok' END AS state FROM g GROUP BY 1"),
     "p9_swaps": (q_swaps, "WITH l AS (SELECT p_brand, (p_size * 1000000)::HUGEINT AS rin, (round(p_retailprice * 100)::BIGINT * 1000)::HUGEINT AS rout, round(l_extendedprice * 100)::BIGINT AS amount, round(l_discount * 1000)::BIGINT AS fee FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT *, least(greatest(500000 - amount, amount - 2000000, 0) * 100 // 1500000, 300) AS extra FROM l), n AS (SELECT *, (amount * (10000 - fee - extra) // 10000)::HUGEINT AS net FROM e) SELECT p_brand, count(*) AS n, sum(net * rout // (rin + net))::BIGINT AS paid, sum(extra)::BIGINT AS extra_bps FROM n GROUP BY 1"),
-    "o7_cusum": (q_cusum, f"WITH {PANEL}, z AS (SELECT symbol, fri_ts, rel_resid / sigma AS z FROM panel WHERE score IS NOT NULL), u AS (SELECT symbol, fri_ts, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS d FROM z WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)), c AS (SELECT symbol, u - least(0, min(u) OVER w) AS a, d - least(0, min(d) OVER w) AS b FROM u WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)) SELECT symbol, count(*) AS n, count(*) FILTER (a >= 4 OR b >= 4) AS alarms, round(max(a), 5) AS top_up, round(max(b), 5) AS top_down FROM c GROUP BY 1"),
-    "o13_monotone": (q_monotone, "WITH x AS (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT event_type, count(*) AS n, count(*) FILTER (b IS NULL OR ts >= b) AS accepted FROM x GROUP BY 1"),
+    "o7_cusum": (q_cusum, f"WITH {PANEL}, z AS (SELECT symbol, fri_ts, rel_resid / sigma AS z FROM panel WHERE score IS NOT NULL), u AS (SELECT symbol, fri_ts, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS d FROM z WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)), c AS (SELECT symbol, fri_ts, u - least(0, min(u) OVER w) AS a, d - least(0, min(d) OVER w) AS b FROM u WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)) SELECT symbol, fri_ts, round(a, 5) AS s_up, round(b, 5) AS s_down, a >= 4 OR b >= 4 AS alarm FROM c"),
+    "o13_monotone": (q_monotone, "WITH x AS (SELECT event_id, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT event_id, b IS NULL OR ts >= b AS accepted FROM x"),
     "n4_buffer": (q_buffer, f"WITH {PANEL}, x AS (SELECT regime_pub, score_raw * 10000 AS dev, row_number() OVER (PARTITION BY regime_pub ORDER BY score_raw) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM panel WHERE score_raw IS NOT NULL) SELECT regime_pub, n, (ceil(dev / 5) * 5)::BIGINT AS buffer_bps FROM x WHERE k = ceil((n - 1) * 0.95::DOUBLE) + 1"),
     "n5_recency": (q_recency, f"WITH {PANEL}, x AS (SELECT *, exp(-(DATE '2001-12-31' - fri_ts) / (12 * 30.5)) AS w FROM panel WHERE score IS NOT NULL) SELECT symbol, regime_pub, round(sum(w * CASE WHEN score <= 1 THEN 1.0 ELSE 0.0 END) / sum(w), 6) AS weighted, count(*) AS n FROM x GROUP BY 1, 2"),
-    "q4_commitment_audit": (q_audit, f"WITH {SERVED}, h AS (SELECT symbol, fri_ts, round((upper - lower) / 2, 6) AS half FROM bands WHERE tau_bps = 9500), a AS (SELECT * FROM h WHERE day(fri_ts) % 4 <> 0), b AS (SELECT symbol, fri_ts, CASE WHEN day(fri_ts) % 7 = 0 THEN half * 1.01 ELSE half END AS half FROM h WHERE day(fri_ts) % 5 <> 0) SELECT CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.symbol = b.symbol AND a.fri_ts = b.fri_ts GROUP BY 1"),
+    "q4_commitment_audit": (q_audit, f"WITH {SERVED}, {_table_sql('q2', 'score', where=AUDIT)}, a AS (SELECT symbol, fri_ts, tau_bps, (upper - lower) / 2 AS half FROM bands), b AS (SELECT symbol, fri_ts, tau_bps, q * sigma * fri_close AS half FROM panel JOIN q2 USING (regime_pub) WHERE sigma IS NOT NULL AND (fri_ts >= DATE '2000-01-01' OR (fri_ts >= DATE '1998-12-01' AND fri_ts < DATE '1999-01-15'))) SELECT tau_bps, CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, count(*) AS n FROM a FULL JOIN b USING (symbol, fri_ts, tau_bps) GROUP BY 1, 2"),
 }

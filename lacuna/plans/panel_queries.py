@@ -9,6 +9,7 @@ from ..functions import scalar
 from ..operators import calibrate as C
 from ..operators import panel as P
 from ..operators.shared import once, running, sized, written
+from ..operators.stats import kupiec_lr
 from ..sources import market as M
 
 SPLIT = "1999-01-01"
@@ -206,26 +207,31 @@ def q_leave_symbol_out(s, d):  # noqa: ANN001, ANN201
 
 
 def q_delta_sweep(s, d):  # noqa: ANN001, ANN201
-    """Expanding splits by year: coverage of q at tau shifted by each delta, as deficits."""
+    """Six expanding splits by year and a grid of shifts of tau: coverage of q at the shifted tau, deficits, Kupiec's ratio."""
     rows = panel(s, d).where("score IS NOT NULL").select("regime_pub", "fri_ts", "score")
-    splits = s.sql("SELECT * FROM VALUES (1998), (1999), (2000) AS t(split_year)")
-    grid = s.sql("SELECT CAST(t.b * 10000 AS INT) AS base_bps, CAST(t.b * 10000 + g.d * 50 AS INT) AS tau_bps, CAST(t.b * 10000 + g.d * 50 AS INT) / 10000D AS tau, g.d * 50 AS delta_bps FROM VALUES (0.85D), (0.95D) AS t(b) CROSS JOIN VALUES (0), (1), (2) AS g(d)")
+    splits = s.sql("SELECT * FROM VALUES (1996), (1997), (1998), (1999), (2000), (2001) AS t(split_year)")
+    grid = s.sql("SELECT CAST(b AS INT) AS base_bps, CAST(least(b + d * 50, 9990) AS INT) AS tau_bps, least(b + d * 50, 9990) / 10000D AS tau, CAST(d * 50 AS INT) AS delta_bps FROM VALUES (6800), (8500), (9500), (9900) AS t(b) CROSS JOIN VALUES (0), (1), (2), (3), (4), (6), (8) AS g(d)")
     train = rows.crossJoin(F.broadcast(splits)).where(F.year("fri_ts") < F.col("split_year"))
     table = C.quantile_table(train, grid.select("tau_bps", "tau").distinct(), ["split_year", "regime_pub"], "score").drop("tau", "n").join(F.broadcast(grid.select("base_bps", "tau_bps", "delta_bps")), "tau_bps")
-    test = rows.crossJoin(F.broadcast(splits)).where(F.year("fri_ts") == F.col("split_year")).join(F.broadcast(table), ["split_year", "regime_pub"])
-    out = test.groupBy("split_year", "base_bps", "delta_bps").agg(F.count("*").alias("n"), F.avg((F.col("score") <= F.col("q")).cast("double")).alias("realised"))
-    return out.select("split_year", "base_bps", "delta_bps", "n", r("realised", 5), F.round(F.greatest(F.col("base_bps") / 10_000 - F.col("realised"), F.lit(0.0)), 5).alias("deficit"))
+    test = rows.crossJoin(F.broadcast(splits)).where(F.year("fri_ts") == F.col("split_year")).join(sized(table), ["split_year", "regime_pub"])
+    out = test.groupBy("split_year", "base_bps", "delta_bps").agg(F.count("*").alias("n"), F.count_if(F.col("score") > F.col("q")).alias("x"))
+    realised, tau = 1 - F.col("x") / F.col("n"), F.col("base_bps") / 10_000
+    return out.select("split_year", "base_bps", "delta_bps", "n", F.round(realised, 5).alias("realised"), F.round(F.greatest(tau - realised, F.lit(0.0)), 5).alias("deficit"), F.round(kupiec_lr(F.col("x"), F.col("n"), 1 - tau), 4).alias("lr_uc"))
 
 
 def q_ablation(s, d):  # noqa: ANN001, ANN201
-    """Partition (all or regime) by scale (raw or by sigma), out of sample."""
+    """Partition (all or regime) by scale (raw or by sigma), out of sample: shares, Kupiec's ratio, and how many symbols
+    alone would pass it at 5%."""
     rows, taus = panel(s, d).where("score IS NOT NULL").withColumn("everything", F.lit("_all")), C.tau_table(s)
     out = None
     for cell in ("everything", "regime_pub"):
         for score in ("score_raw", "score"):
             table = C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), taus, [cell], score)
-            test = rows.where(F.col("fri_ts") >= SPLIT).join(F.broadcast(table), cell).groupBy("tau_bps").agg(F.count("*").alias("n"), F.round(F.avg((F.col(score) <= F.col("q")).cast("double")), 5).alias("realised"))
-            part = test.select(F.lit(cell).alias("cell"), F.lit(score).alias("scale"), "tau_bps", "n", "realised")
+            test = rows.where(F.col("fri_ts") >= SPLIT).join(sized(table), cell).withColumn("miss", (F.col(score) > F.col("q")).cast("int"))
+            own = test.groupBy("symbol", "tau_bps", "tau").agg(F.count("*").alias("m"), F.sum("miss").alias("y"))
+            own = own.withColumn("pass", kupiec_lr(F.col("y"), F.col("m"), 1 - F.col("tau")) < 3.841458820694124)
+            g = own.groupBy("tau_bps", "tau").agg(F.sum("m").alias("n"), F.sum("y").alias("x"), F.count_if("pass").alias("symbols_pass"))
+            part = g.select(F.lit(cell).alias("cell"), F.lit(score).alias("scale"), "tau_bps", "n", F.round(1 - F.col("x") / F.col("n"), 5).alias("realised"), F.round(kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau")), 4).alias("lr_uc"), "symbols_pass")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -249,8 +255,13 @@ h2 AS (SELECT symbol, fri_ts, lag(a) OVER w AS rv_d, CASE WHEN count(a) OVER w5
   WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts), w5 AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w22 AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING))"""
 LOO = """o AS (SELECT a.symbol, a.fri_ts, any_value(a.rel_resid) AS rel_resid, avg(b.rel_resid) AS loo_mean, median(b.rel_resid) AS loo_median FROM panel a JOIN panel b ON a.fri_ts = b.fri_ts AND a.symbol <> b.symbol GROUP BY 1, 2)"""
 
+def _lr(x: str, n: str, p: str) -> str:
+    own = f"CASE WHEN {n} - {x} > 0 THEN ({n} - {x}) * ln(greatest(1 - {x} / {n}, 1e-12)) ELSE 0 END + CASE WHEN {x} > 0 THEN {x} * ln(greatest({x} / {n}, 1e-12)) ELSE 0 END"
+    return f"greatest(2 * ({own} - ({n} - {x}) * ln(1 - ({p})) - {x} * ln({p})), 0)"
+
+
 _ABLATION = " UNION ALL ".join(
-    f"SELECT '{cell}' AS cell, '{score}' AS scale, tau_bps, count(*) AS n, round(avg(CASE WHEN {score} <= q THEN 1.0 ELSE 0.0 END), 5) AS realised FROM (SELECT *, '_all' AS everything FROM panel WHERE score IS NOT NULL) JOIN t_{cell}_{score} USING ({cell}) WHERE fri_ts >= DATE '{SPLIT}' GROUP BY tau_bps"
+    f"SELECT '{cell}' AS cell, '{score}' AS scale, tau_bps, sum(m)::BIGINT AS n, round(1 - sum(y) / sum(m), 5) AS realised, round({_lr('sum(y)', 'sum(m)', '1 - any_value(tau)')}, 4) AS lr_uc, count(*) FILTER ({_lr('y', 'm', '1 - tau')} < 3.841458820694124) AS symbols_pass FROM (SELECT symbol, tau_bps, tau, count(*)::DOUBLE AS m, sum(CASE WHEN {score} > q THEN 1.0 ELSE 0 END)::DOUBLE AS y FROM (SELECT *, '_all' AS everything FROM panel WHERE score IS NOT NULL) JOIN t_{cell}_{score} USING ({cell}) WHERE fri_ts >= DATE '{SPLIT}' GROUP BY 1, 2, 3) GROUP BY tau_bps"
     for cell in ("everything", "regime_pub") for score in ("score_raw", "score")
 )
 _ABLATION_TABLES = ", ".join(
@@ -282,7 +293,7 @@ QUERIES = {
     "d18_exceedance": (q_exceedance, f"WITH {SERVED}, e AS (SELECT tau_bps, greatest(lower - mon_open, mon_open - upper) / fri_close * 10000 AS o FROM bands) SELECT tau_bps, count(*) AS n, round(avg(o), 3) AS mean_bps, round(median(o), 3) AS median_bps, round(quantile_cont(o, 0.95), 3) AS p95_bps, round(max(o), 3) AS max_bps FROM e WHERE o > 0 GROUP BY 1"),
     "b24_winkler": (q_winkler, f"WITH {SERVED} SELECT symbol, tau_bps, count(*) AS n, round(avg(((upper - lower) + CASE WHEN mon_open < lower THEN (lower - mon_open) * 2 / (1 - tau) WHEN mon_open > upper THEN (mon_open - upper) * 2 / (1 - tau) ELSE 0 END) / fri_close), 5) AS winkler FROM bands GROUP BY 1, 2"),
     "g8_leave_symbol_out": (q_leave_symbol_out, f"WITH {PANEL}, t AS (SELECT * FROM (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau)), h AS (SELECT DISTINCT symbol AS held FROM panel WHERE score IS NOT NULL), x AS (SELECT held, score AS s, row_number() OVER (PARTITION BY held ORDER BY score) AS k, count(*) OVER (PARTITION BY held) AS n FROM panel, h WHERE symbol <> held AND score IS NOT NULL AND fri_ts < DATE '{SPLIT}'), q AS (SELECT held, tau_bps, s AS q FROM x, t WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT held, tau_bps, count(*) AS n, round(avg(CASE WHEN score <= q THEN 1.0 ELSE 0.0 END), 5) AS realised FROM panel JOIN q ON symbol = held WHERE score IS NOT NULL AND fri_ts >= DATE '{SPLIT}' GROUP BY 1, 2"),
-    "i6_delta_sweep": (q_delta_sweep, f"WITH {PANEL}, y AS (SELECT * FROM (VALUES (1998), (1999), (2000)) t(split_year)), g AS (SELECT b AS base_bps, d * 50 AS delta_bps, b + d * 50 AS tau_bps, (b + d * 50) / 10000.0::DOUBLE AS tau FROM (VALUES (8500), (9500)) t(b), (VALUES (0), (1), (2)) u(d)), x AS (SELECT split_year, regime_pub, score AS s, row_number() OVER (PARTITION BY split_year, regime_pub ORDER BY score) AS k, count(*) OVER (PARTITION BY split_year, regime_pub) AS n FROM panel, y WHERE score IS NOT NULL AND year(fri_ts) < split_year), q AS (SELECT split_year, regime_pub, base_bps, delta_bps, s AS q FROM x, g WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)), a AS (SELECT split_year, base_bps, delta_bps, count(*) AS n, avg(CASE WHEN score <= q THEN 1.0 ELSE 0.0 END) AS realised FROM panel JOIN q ON year(fri_ts) = split_year AND panel.regime_pub = q.regime_pub WHERE score IS NOT NULL GROUP BY 1, 2, 3) SELECT split_year, base_bps, delta_bps, n, round(realised, 5) AS realised, round(greatest(base_bps / 10000.0 - realised, 0), 5) AS deficit FROM a"),
+    "i6_delta_sweep": (q_delta_sweep, f"WITH {PANEL}, y AS (SELECT unnest(range(1996, 2002))::INT AS split_year), g AS (SELECT b AS base_bps, d * 50 AS delta_bps, least(b + d * 50, 9990) / 10000.0::DOUBLE AS tau FROM (VALUES (6800), (8500), (9500), (9900)) t(b), (VALUES (0), (1), (2), (3), (4), (6), (8)) u(d)), x AS (SELECT split_year, regime_pub, score AS s, row_number() OVER (PARTITION BY split_year, regime_pub ORDER BY score) AS k, count(*) OVER (PARTITION BY split_year, regime_pub) AS n FROM panel, y WHERE score IS NOT NULL AND year(fri_ts) < split_year), q AS (SELECT split_year, regime_pub, base_bps, delta_bps, s AS q FROM x, g WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)), a AS (SELECT split_year, base_bps, delta_bps, count(*) AS n, count(*) FILTER (score > q)::DOUBLE AS x FROM panel JOIN q ON year(fri_ts) = split_year AND panel.regime_pub = q.regime_pub WHERE score IS NOT NULL GROUP BY 1, 2, 3) SELECT split_year, base_bps, delta_bps, n, round(1 - x / n, 5) AS realised, round(greatest(base_bps / 10000.0 - (1 - x / n), 0), 5) AS deficit, round({_lr('x', 'n', '1 - base_bps / 10000.0::DOUBLE')}, 4) AS lr_uc FROM a"),
     "i11_ablation": (q_ablation, f"WITH {PANEL}, {TAUS}, {_ABLATION_TABLES} {_ABLATION}"),
     "i27_vol_split": (q_vol_split, f"WITH {PANEL}, c AS (SELECT quantile_cont(vix, 1.0 / 3) AS a, quantile_cont(vix, 2.0 / 3) AS b FROM panel WHERE regime_pub = 'normal' AND fri_ts < DATE '{SPLIT}') SELECT CASE WHEN regime_pub <> 'normal' THEN regime_pub WHEN vix <= a THEN 'normal_calm' WHEN vix < b THEN 'normal_mid' ELSE 'normal_heavy' END AS cell, count(*) AS n, round(avg(score), 5) AS mean_score FROM panel, c GROUP BY 1"),
     "e17_lag_correlation": (q_lag_correlation, f"WITH {PANEL}, z AS (SELECT symbol, rel_resid / sigma AS z, lag(rel_resid / sigma) OVER (PARTITION BY symbol ORDER BY fri_ts) AS lz FROM panel WHERE score IS NOT NULL) SELECT symbol, count(*) AS n, round(corr(z, lz), 5) AS rho FROM z WHERE lz IS NOT NULL GROUP BY 1 HAVING count(*) >= 30"),

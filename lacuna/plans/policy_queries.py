@@ -90,7 +90,7 @@ def originated(s, d):  # noqa: ANN001, ANN201
     rows = L.haircuts(bands(s, d).drop("q", "c"), haircut_table(s, d))
     ref = F.col("reference")
     policies = {"freeze": F.lit(0.0), "fixed_frozen": ref * (1 - F.col("haircut_bps") / 10_000), "band": ref - F.col("half")}
-    policies |= {f"fixed_{b}": ref * F.lit(1 - b / 10_000) for b in (300, 1000, 3000, 9000)}
+    policies |= {f"fixed_{b}": ref * F.lit(1 - b / 10_000) for b in (300, 1000, 3000, 9990)}
     return L.origination(rows, policies, {"friday": F.col("fri_close"), "preopen": F.col("point")})
 
 
@@ -162,7 +162,7 @@ _HAIR = f"""hx AS (SELECT symbol, (fri_close - mon_open) / fri_close * 10000 AS
 hc AS (SELECT symbol, tau_bps, n, greatest(s, 0) AS haircut_bps FROM hx, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n))"""
 _ORIG = f"""{_HAIR}, o1 AS (SELECT b.*, (upper - lower) / 2 AS half, haircut_bps, timing, CASE timing WHEN 'friday' THEN fri_close ELSE point END AS reference FROM bands b LEFT JOIN hc USING (symbol, tau_bps), (VALUES ('friday'), ('preopen')) t(timing)),
 o2 AS (SELECT 'freeze' AS policy, 0.0::DOUBLE AS low, * FROM o1 UNION ALL SELECT 'fixed_frozen', reference * (1 - haircut_bps / 10000), * FROM o1 UNION ALL SELECT 'band', reference - half, * FROM o1
-UNION ALL SELECT 'fixed_' || b, reference * (1 - b / 10000.0::DOUBLE), o1.* FROM o1, (VALUES (300), (1000), (3000), (9000)) u(b)),
+UNION ALL SELECT 'fixed_' || b, reference * (1 - b / 10000.0::DOUBLE), o1.* FROM o1, (VALUES (300), (1000), (3000), (9990)) u(b)),
 o3 AS (SELECT *, greatest(low, 0.0) AS fl, greatest(low, 0.0) * (1000000.0 / fri_close) * 0.75::DOUBLE AS permitted, mon_open * (1000000.0 / fri_close) * 0.85::DOUBLE AS ceiling FROM o2),
 o4 AS (SELECT policy, timing, tau_bps, count(*) AS n, count(DISTINCT fri_ts) AS n_weekends, avg(permitted) AS mean_capacity, median(permitted) AS median_capacity, count(*) FILTER (permitted > ceiling) AS unsafe_n, avg(CASE WHEN permitted > ceiling THEN 1.0::DOUBLE ELSE 0 END) AS unsafe_rate,
   avg(greatest(permitted - ceiling, 0)) AS mean_shortfall, max(greatest(permitted - ceiling, 0)) AS max_shortfall, avg(CASE WHEN mon_open < fl THEN 1.0::DOUBLE ELSE 0 END) AS breach_rate, avg(CASE WHEN reference > 0 THEN (reference - fl) / reference * 10000 END) AS mean_buffer_bps FROM o3 GROUP BY 1, 2, 3)"""

@@ -12,11 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, open, high, low, close, volume: trades of a brand's parts on weekdays. First and last go by order, line
-    and price, as lines repeat."""
+def daily_bars(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+    """symbol, ts, open, high, low, close, volume: trades of a brand's parts on weekdays, or those with one return flag.
+    First and last go by order, line and price, as lines repeat."""
     trade = F.struct(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("price").alias("p"))
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity")
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines if flag is None else lines.where(F.col("l_returnflag") == flag)).select("l_partkey", "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     both = lines.where(~F.dayofweek("ts").isin(1, 7)).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return both.groupBy("symbol", "ts").agg(F.min(trade)["p"].alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(trade)["p"].alias("close"), F.sum("l_quantity").alias("volume"))
