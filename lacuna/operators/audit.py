@@ -99,6 +99,17 @@ def freshness(runs: DataFrame, by: str, now: Column, hours: float) -> DataFrame:
     return g.withColumn("fresh", F.coalesce(age <= int(hours * 3_600_000_000), F.lit(False))).drop("_now")
 
 
+def differing(a: DataFrame, b: DataFrame, key: Sequence[str], fields: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Two answers to the same questions, field by field: rows of both, of one side only, and those that differ by more
+    than a relative tolerance."""
+    both = a.select(*key, F.lit(1).alias("_a"), *[F.col(f).alias(f"a_{f}") for f in fields]).join(b.select(*key, F.lit(1).alias("_b"), *[F.col(f).alias(f"b_{f}") for f in fields]), list(key), "full")
+    alone = F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("one_side")
+    off = lambda f: F.abs(F.col(f"a_{f}") - F.col(f"b_{f}")) > tolerance * F.greatest(F.abs(f"a_{f}"), F.abs(f"b_{f}"), F.lit(1.0))
+    one = both.agg(F.count("*").alias("n"), alone, *[F.count_if(off(f)).alias(f) for f in fields])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("differing")) for f in fields]))
+    return one.withColumn("_f", rows).select("_f.field", "n", "one_side", "_f.differing")
+
+
 def buffer_pick(rows: DataFrame, score: str, grid: Sequence[float], tau: float) -> DataFrame:
     """For each year the smallest buffer of a grid whose band covers tau less half a point of the year's scores and passes
     its tests (Kupiec's p over 0.10, independence over 0.05), else covers with p over 0.05, else covers, else the

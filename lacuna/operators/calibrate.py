@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolated
-from .shared import order_statistics, sized
+from .shared import order_statistics, sized, written
 
 TAUS = (0.68, 0.85, 0.95, 0.99)
 
@@ -75,6 +75,21 @@ def serve(panel: DataFrame, table: DataFrame, bumps: DataFrame | None, cell: Seq
     return both.withColumns({"half": half, "lower": F.col("point") - half, "upper": F.col("point") + half}).where("half IS NOT NULL")
 
 
+def one_shot(panel: DataFrame, taus: DataFrame, split: str, kind: str = "score", cell: Sequence[str] = ("regime_pub",)) -> DataFrame:
+    """Bands of the gaps from split on: quantiles of the scores before it, c of those after it. kind: score (scaled by
+    sigma), score_raw (share of the point) or score_path; rows without that score teach nothing."""
+    table = written(quantile_table(panel.where(F.col("fri_ts") < split), taus, list(cell), kind), "quantiles")
+    late = panel.where(F.col("fri_ts") >= split)
+    return serve(late, table, fit_bump(late, table, list(cell), kind), list(cell), scaled=kind != "score_raw")
+
+
+def melted(wide: DataFrame, taus: Sequence[int]) -> DataFrame:
+    """A row a gap and tau from columns <tau>_lo and <tau>_hi."""
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("tau_bps"), F.col(f"{t}_lo").alias("lower"), F.col(f"{t}_hi").alias("upper")) for t in taus]))
+    keep = [c for c in wide.columns if c not in {f"{t}_{x}" for t in taus for x in ("lo", "hi")}]
+    return wide.withColumn("_b", rows).select(*keep, "_b.*").where("lower IS NOT NULL OR upper IS NOT NULL")
+
+
 def serve_downside(panel: DataFrame, table: DataFrame, bumps: DataFrame, cell: Sequence[str]) -> DataFrame:
     """One-sided bands: point - c q sigma close, no upper edge, and no shift of tau. A tau without c takes 1; a cell
     without q, or no sigma, gives a null edge."""

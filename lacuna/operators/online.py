@@ -18,7 +18,7 @@ from .shared import sized
 
 # The rule of the adaptive multipliers, and the name of its state.
 RATE, LOWEST, HIGHEST = 0.05, 0.25, 4.0
-STATE = "soothsayer.adaptive_state.v1"
+STATE = "adaptive_state.v1"
 # The step sizes of online methods' experts, and their horizon in periods.
 STEPS, HORIZON = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1), 100
 

@@ -53,11 +53,16 @@ def conditional(uc: DataFrame, t: DataFrame, by: Sequence[str], claimed: str = "
 def binomial_tails(counts: DataFrame, by: str, p: Column, thresholds: Sequence[int] = (3, 5, 7)) -> DataFrame:
     """Misses a date (n_w, k_w) against independent ones: ratios of mean and variance, observed and binomial shares of
     dates with at least so many, and the chi-square of the cells 0, 1, 2 and more, those expected at least once."""
-    fact = lambda x: F.factorial(x.cast("int")).cast("double")
     n = F.col("n_w")
-    pmf = lambda k: F.when(n >= k, fact(n) / (fact(F.lit(k)) * fact(n - k)) * F.pow(F.col("_p"), F.lit(k)) * F.pow(1 - F.col("_p"), n - k)).otherwise(0.0)
+
+    def pmf(k: int) -> Column:  # the chance of k, from that of none by the ratio of neighbours
+        out = F.pow(1 - F.col("_p"), n)
+        for i in range(1, k + 1):
+            out = out * F.greatest(n - i + 1, F.lit(0)) / i * F.col("_p") / (1 - F.col("_p"))
+        return out
+
     tail = lambda k: 1 - sum((pmf(i) for i in range(k)), F.lit(0.0))
-    rows = counts.where("n_w <= 20").withColumn("_p", p)  # beyond 20 symbols a date factorials overflow: split such dates first
+    rows = counts.withColumn("_p", p)
     sums = [F.count("*").alias("dates"), (F.avg("k_w") / F.avg(n * F.col("_p"))).alias("mean_ratio"), (F.var_samp("k_w") / F.avg(n * F.col("_p") * (1 - F.col("_p")))).alias("var_ratio")]
     for t in thresholds:
         sums += [F.avg((F.col("k_w") >= t).cast("double")).alias(f"tail{t}"), F.avg(tail(t)).alias(f"binom{t}")]

@@ -16,7 +16,7 @@ from ..operators import stats as S
 from ..operators import tails as TL
 from ..operators.shared import order_statistics, sized
 from ..sources import market as M
-from .panel_queries import BARS, PANEL, SERVED, SPLIT, TAUS, _table_sql, bands, panel, r_signed
+from .panel_queries import BARS, PANEL, SERVED, SPLIT, TAUS, _bump_sql, _table_sql, bands, panel, r_signed
 from .policy_queries import rounded
 from .serve_queries import early, late, table
 from .stat_queries import _IND, _LR, _T, misses
@@ -240,6 +240,7 @@ _COV = lambda src, point, sigma, kind: f"SELECT tau_bps, count(*) AS n, round(av
 _EDGES = [(0.005, "l99"), (0.025, "l95"), (0.075, "l85"), (0.16, "l68"), (0.5, "point"), (0.84, "u68"), (0.925, "u85"), (0.975, "u95"), (0.995, "u99")]
 _PL = lambda a, q: f"(CASE WHEN mon_open >= {q} THEN (mon_open - {q}) * {a}::DOUBLE ELSE ({q} - mon_open) * (1 - {a}::DOUBLE) END)"
 _CRPS = " + ".join(f"({_PL(a, x)} + {_PL(b, y)}) / 2 * ({b}::DOUBLE - {a}::DOUBLE)" for (a, x), (b, y) in zip(_EDGES[:-1], _EDGES[1:], strict=True))
+_BINOM = ", ".join(f"pow(1 - p, n) * " + " * ".join(f"greatest(n - {i - 1}, 0) / {i} * p / (1 - p)" for i in range(1, k + 1)) + f" AS b{k}" for k in range(1, 7))
 _XS = "xs AS (SELECT fri_ts, count(*) AS n, avg(rel_resid / sigma) AS r_bar, stddev_samp(rel_resid / sigma) AS r_sd, min_by(vix, symbol) AS vix, avg(CASE WHEN regime_pub = 'high_vol' THEN 1.0 ELSE 0 END) AS share_high, sum(gap_days)::BIGINT AS days FROM panel WHERE sigma > 0 GROUP BY 1)"
 
 
@@ -259,7 +260,7 @@ QUERIES = {
     "k5_berkowitz": (_tested("symbol"), None),
     "k6_berkowitz_pooled": (_tested("pooled"), None),
     "k7_dynamic_quantile": (q_dynamic, None),
-    "k13_joint_tail": (q_joint_tail, None),
+    "k13_joint_tail": (q_joint_tail, f"WITH {SERVED}, c AS (SELECT tau_bps, fri_ts, count(*)::DOUBLE AS n, sum(1 - inside)::DOUBLE AS k, 1 - tau_bps / 10000.0::DOUBLE AS p FROM hits GROUP BY 1, 2), b AS (SELECT *, pow(1 - p, n) AS b0, {_BINOM} FROM c) SELECT tau_bps, count(*) AS dates, round(avg(k) / avg(n * p), 5) AS mean_ratio, round(var_samp(k) / avg(n * p * (1 - p)), 5) AS var_ratio, round(avg(CASE WHEN k >= 3 THEN 1.0 ELSE 0 END), 5) AS tail3, round(avg(1 - b0 - b1 - b2), 5) AS binom3, round(avg(CASE WHEN k >= 5 THEN 1.0 ELSE 0 END), 5) AS tail5, round(avg(1 - b0 - b1 - b2 - b3 - b4), 5) AS binom5, round(avg(CASE WHEN k >= 7 THEN 1.0 ELSE 0 END), 5) AS tail7, round(avg(1 - b0 - b1 - b2 - b3 - b4 - b5 - b6), 5) AS binom7, round(CASE WHEN sum(b0) >= 1 THEN pow(count(*) FILTER (k = 0) - sum(b0), 2) / sum(b0) ELSE 0 END + CASE WHEN sum(b1) >= 1 THEN pow(count(*) FILTER (k = 1) - sum(b1), 2) / sum(b1) ELSE 0 END + CASE WHEN sum(b2) >= 1 THEN pow(count(*) FILTER (k = 2) - sum(b2), 2) / sum(b2) ELSE 0 END + CASE WHEN sum(1 - b0 - b1 - b2) >= 1 THEN pow(count(*) FILTER (k >= 3) - sum(1 - b0 - b1 - b2), 2) / sum(1 - b0 - b1 - b2) ELSE 0 END, 5) AS chi2 FROM b GROUP BY 1"),
     "d2_gaussian_coverage": (q_gaussian, f"WITH {PANEL}, {_SIG}, {_ZT} {_COV('sg', 'fri_close', 'sigma_f0', 'f0')} UNION ALL {_COV('sg', 'fri_close', 'sv', 'vix')} UNION ALL {_COV('sg', 'point', 'sigma_f1', 'f1')}"),
     "d4_gaussian_curve": (q_gaussian_curve, f"WITH {PANEL}, {_SIG}, zt AS (SELECT * FROM (VALUES " + ", ".join(f"({int(round(t * 10_000))}, {D.normal_quantile((1 + t) / 2)!r}::DOUBLE)" for t in GRID) + ") t(tau_bps, z)) SELECT tau_bps, count(*) AS n, round(avg(CASE WHEN mon_open BETWEEN fri_close - z * sigma_f0 AND fri_close + z * sigma_f0 THEN 1.0 ELSE 0 END), 5) AS realised FROM sg, zt WHERE sigma_f0 > 0 GROUP BY 1"),
     "b10_sigmas": (q_sigmas, f"WITH {PANEL}, {_SIG} SELECT symbol, fri_ts, round(sigma_f0, 4) AS sigma_f0, round(CASE WHEN symbol IN ({', '.join(repr(f'Brand#{i}') for i in range(1, 14))}) THEN sv END, 4) AS sigma_vix, round(sigma_f1, 4) AS sigma_f1, round(CASE WHEN fri_vol_20d <> 0 THEN abs(ln(mon_open / fri_close)) / fri_vol_20d END, 4) AS z FROM sg"),
@@ -277,8 +278,8 @@ QUERIES = {
     "k15_permutations": (q_permutations, None),
     "l3_tail_bootstrap": (q_tail_bootstrap, None),
     "l5_moving_blocks": (q_moving_blocks, None),
-    "k19_method_grid": (q_method_grid, None),
-    "i21_mondrian_correction": (q_mondrian_correction, None),
+    "k19_method_grid": (q_method_grid, f"WITH {SERVED}, {_table_sql('qr', 'score_raw')}, {_bump_sql('br', 'qr', 'score_raw')}, m AS (SELECT 'score' AS method, symbol, tau_bps, tau, inside, hw_bps AS hw FROM hits UNION ALL SELECT 'score_raw', symbol, tau_bps, tau, CASE WHEN mon_open BETWEEN point - c * q * point AND point + c * q * point THEN 1 ELSE 0 END, ((point + c * q * point) - (point - c * q * point)) / 2 / fri_close * 10000 FROM panel JOIN qr USING (regime_pub) JOIN br USING (tau_bps, tau) WHERE fri_ts >= DATE '{SPLIT}'), g AS (SELECT method, symbol, tau_bps, tau, count(*) AS n, avg(inside) AS r, avg(hw) AS hw, sum(1 - inside)::BIGINT AS x FROM m GROUP BY 1, 2, 3, 4) SELECT method, symbol, tau_bps, n, round(r, 4) AS realised, round(hw, 4) AS mean_hw, round({_LR}, 4) AS lr_uc FROM g"),
+    "i21_mondrian_correction": (q_mondrian_correction, f"WITH {PANEL}, {_SIG}, e AS (SELECT symbol, t.b AS tau_bps, t.t AS tau, greatest(point - t.z * sigma_f1 - mon_open, 0) AS below, greatest(mon_open - (point + t.z * sigma_f1), 0) AS above FROM sg, (VALUES (6800, 0.68::DOUBLE, {D.normal_quantile(0.84)!r}::DOUBLE), (9500, 0.95::DOUBLE, {D.normal_quantile(0.975)!r}::DOUBLE)) t(b, t, z) WHERE fri_ts < DATE '{SPLIT}' AND sigma_f1 > 0), u AS (SELECT symbol, tau_bps, tau, 'below' AS side, below AS v FROM e UNION ALL SELECT symbol, tau_bps, tau, 'above', above FROM e), x AS (SELECT *, row_number() OVER (PARTITION BY symbol, tau_bps, side ORDER BY v) AS k, count(*) OVER (PARTITION BY symbol, tau_bps, side) AS n FROM u) SELECT symbol, tau_bps, side, n, round(v, 4) AS q FROM x WHERE k = least(ceil((1 - (1 - tau) / 2) * (n + 1)), n)"),
     "d17_cross_section": (q_cross_section_out, f"WITH {PANEL}, {_XS} SELECT fri_ts, n, round(r_bar, 5) AS r_bar, round(r_sd, 5) AS r_sd, round(vix, 5) AS vix, round(share_high, 5) AS share_high, days, round(lag(r_bar) OVER (ORDER BY fri_ts), 5) AS r_bar_lag1, round(vix - lag(vix) OVER (ORDER BY fri_ts), 5) AS delta_vix FROM xs"),
     "i17_ridge_forward": (q_ridge, None),
 }

@@ -183,7 +183,7 @@ QUERIES = {
     "a17_coverage_stats": (q_coverage_stats, "SELECT event_type AS symbol, count(*) AS n_rows, count(DISTINCT CAST(ts AS DATE)) AS n_days, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1"),
     "a18_source_blend": (q_blend, f"WITH {BARS.replace('WHERE dayofweek', chr(87)+'HERE l_returnflag = ' + chr(39) + 'R' + chr(39) + ' AND dayofweek').replace('bars AS', 'rb AS')}, {BARS} SELECT symbol, ts, round(close, 6) AS close, 'returned' AS source FROM rb UNION ALL SELECT symbol, ts, round(close, 6), 'all' FROM bars WHERE NOT EXISTS (SELECT 1 FROM rb WHERE rb.symbol = bars.symbol AND rb.ts = bars.ts)"),
     "a22_append_dedup": (q_append_dedup, "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2"),
-    "b21_sessions": (q_sessions, None),
+    "b21_sessions": (q_sessions, "WITH x AS (SELECT event_type AS symbol, value, ts - INTERVAL 5 HOUR AS lt, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m FROM events) SELECT symbol, CASE WHEN dayofweek(lt) IN (0, 6) THEN 'weekend' WHEN m >= 570 AND m < 960 THEN 'rth' WHEN m >= 240 AND m < 570 THEN 'premarket' WHEN m >= 960 AND m < 1200 THEN 'afterhours' ELSE 'overnight' END AS session, count(*) AS n, round(avg(value), 5) AS mean FROM x GROUP BY 1, 2"),
     "d22_tape_stats": (q_tape_stats, "WITH x AS (SELECT event_type AS symbol, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, CASE WHEN lag(value) OVER w IS NOT NULL THEN CASE WHEN value = lag(value) OVER w THEN 1.0 ELSE 0.0 END END AS same FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT symbol, count(*) AS n, count(DISTINCT value) AS n_values, round(median(dt), 4) AS median_dt, round(avg(same), 6) AS stale FROM x GROUP BY 1"),
     "b20_triple_witching": (q_witching, "SELECT month(o_orderdate) IN (3, 6, 9, 12) AND dayofweek(o_orderdate) = 5 AND day(o_orderdate) BETWEEN 15 AND 21 AS witching, count(*) AS n, round(avg(o_totalprice), 2) AS mean_total FROM orders GROUP BY 1"),
     "m9_reserve": (q_reserve, f"WITH {SERVED}, b AS (SELECT tau_bps, lower < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS w, mon_open < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS c FROM bands) SELECT tau_bps, CASE WHEN w AND c THEN 'matched' WHEN w THEN 'preemptive' WHEN c THEN 'missed' ELSE 'silent_safe' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),

@@ -62,15 +62,8 @@ def panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def bands(s: SparkSession, d: str, kind: str = "score") -> DataFrame:
-    """Out-of-sample bands: quantiles from before the split, c and bands from after it."""
-
-    def make() -> DataFrame:
-        rows, taus = panel(s, d), C.tau_table(s)
-        table = written(C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), taus, ["regime_pub"], kind), "quantiles")
-        late = rows.where(F.col("fri_ts") >= SPLIT)
-        return C.serve(late, table, C.fit_bump(late, table, ["regime_pub"], kind), ["regime_pub"], scaled=kind == "score")
-
-    return once(s, f"bands-{kind}", d, make)
+    """Out-of-sample bands: quantiles from before the split, c and bands from after it; made once a session and folder."""
+    return once(s, f"bands-{kind}", d, lambda: C.one_shot(panel(s, d), C.tau_table(s), SPLIT, kind))
 
 
 def r(c: str, n: int = 6):  # noqa: ANN201

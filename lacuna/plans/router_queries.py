@@ -184,7 +184,7 @@ P4 = _MARKET["p4_quorum"][1]
 
 QUERIES = {
     "h10_calendar": (q_calendar, f"WITH {_CAL} SELECT CAST(ts AS DATE) AS day, calendar, count(*) AS n FROM cal GROUP BY 1, 2"),
-    "h10_holidays": (q_holidays, None),
+    "h10_holidays": (q_holidays, "SELECT unnest(['2024-01-01', '2024-01-15', '2024-02-19', '2024-03-29', '2024-05-27', '2024-06-19', '2024-07-04', '2024-09-02', '2024-11-28', '2024-12-25', '2025-01-01', '2025-01-09', '2025-01-20', '2025-02-17', '2025-04-18', '2025-05-26', '2025-06-19', '2025-07-04', '2025-09-01', '2025-11-27', '2025-12-25', '2026-01-01', '2026-01-19', '2026-02-16', '2026-04-03', '2026-05-25', '2026-06-19', '2026-07-03', '2026-09-07', '2026-11-26', '2026-12-25', '2027-01-01', '2027-01-18', '2027-02-15', '2027-03-26', '2027-05-31', '2027-06-18', '2027-07-05', '2027-09-06', '2027-11-25', '2027-12-24'])::DATE AS day, false AS early UNION ALL SELECT unnest(['2024-07-03', '2024-11-29', '2024-12-24', '2025-07-03', '2025-11-28', '2025-12-24', '2026-11-27', '2026-12-24', '2027-11-26'])::DATE, true"),
     "p5_regimes": (q_regimes, f"WITH {_CAL}, o AS (SELECT CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'extended' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'halted' ELSE 'unknown' END AS oracle, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE calendar END AS calendar FROM cal) SELECT oracle, calendar, CASE WHEN oracle = 'halted' THEN 'halted' WHEN oracle = 'unknown' THEN CASE calendar WHEN 'n/a' THEN 'unknown' ELSE calendar END WHEN calendar = 'n/a' THEN CASE oracle WHEN 'closed' THEN 'closed' ELSE 'open' END WHEN (oracle = 'closed') = (calendar = 'closed') THEN calendar ELSE 'unknown' END AS regime, count(*) AS n FROM o GROUP BY 1, 2, 3"),
     "p1_upstreams": (q_upstreams, "SELECT l_linenumber - 1 AS kind, CASE l_linenumber WHEN 1 THEN 'pyth' WHEN 2 THEN 'chainlink_relay' WHEN 3 THEN 'switchboard' WHEN 4 THEN 'redstone' END AS upstream, CASE WHEN l_linenumber IN (1, 3) THEN NULL WHEN l_linenumber IN (2, 4) THEN 'not implemented' ELSE 'unknown kind' END AS unread, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"),
     "p6_receipts": (q_receipts, f"WITH agg AS ({P4}), r AS (SELECT agg.*, ['open', 'closed', 'halted', 'unknown'][asset % 4 + 1] AS regime, round(p_retailprice * 100)::BIGINT AS pt, p_size FROM agg LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON asset = p_partkey) SELECT asset, regime, CASE WHEN regime = 'open' AND state = 'Ok' THEN median END AS aggregate, CASE WHEN regime = 'open' THEN n END AS contributions, CASE WHEN regime = 'open' AND state <> 'Ok' THEN state WHEN regime = 'closed' AND pt IS NULL THEN 'BandUnavailable' WHEN regime = 'halted' THEN 'Halted' WHEN regime = 'unknown' THEN 'RegimeAmbiguous' END AS error, CASE WHEN regime = 'closed' THEN pt END AS band_point, CASE WHEN regime = 'closed' THEN pt - p_size END AS band_lower, CASE WHEN regime = 'closed' THEN pt + p_size END AS band_upper FROM r"),

@@ -337,7 +337,7 @@ QUERIES = {
     "a4_bars_scan": (q_bars_scan, f"WITH {BARS} SELECT symbol, ts, round(close, 6) AS close, round(volume, 2) AS volume FROM bars WHERE symbol = 'Brand#12' AND ts BETWEEN DATE '1994-03-01' AND DATE '1996-06-30'"),
     "a5_index_scan": (q_index_scan, f"WITH {FACTOR} SELECT 'VIX' AS symbol, ts, round(vol, 4) AS close FROM factor WHERE ts BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'"),
     "a7_earnings_scan": (q_earnings_scan, "SELECT DISTINCT p_brand AS symbol, CAST(o_orderdate AS DATE) AS earnings_date, CASE left(o_orderpriority, 1) WHEN '1' THEN 'amc' WHEN '2' THEN 'bmo' WHEN '3' THEN 'dmh' ELSE 'unknown' END AS session, CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS session_confirmed FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1994-03-01' AND DATE '1996-06-30'"),
-    "a8_empty_scans": (q_empty_scans, None),
+    "a8_empty_scans": (q_empty_scans, "SELECT * FROM (VALUES ('actions', 0::BIGINT, 12), ('bars', 0, 12), ('earnings', 0, 8), ('indices', 0, 10), ('joined', 0, 18), ('legacy_bars', 0, 12), ('minutes', 0, 11), ('perps', 0, 17), ('pyth', 0, 21), ('redstone', 0, 15), ('scope', 0, 15), ('swaps', 0, 16), ('trades', 0, 14)) t(tape, n, n_columns)"),
     "g7_one_tape": (q_one_tape, "SELECT 'ticks' AS source, event_type AS symbol, count(*) AS n, round(avg(value), 3) AS mean FROM events GROUP BY 2 UNION ALL SELECT 'marks', event_type, count(*), round(avg(value * 2), 3) FROM events WHERE value < 50 GROUP BY 2 UNION ALL SELECT 'lines', l_returnflag, count(*), round(avg(l_extendedprice), 3) FROM lineitem GROUP BY 2 UNION ALL SELECT 'orders', o_orderstatus, count(*), round(avg(o_totalprice), 3) FROM orders GROUP BY 2 UNION ALL SELECT 'status', l_linestatus, count(*), round(avg(l_quantity), 3) FROM lineitem GROUP BY 2"),
     "d15_path_summary": (q_path_summary, "SELECT event_type AS symbol, count(*) AS n, round(min(value), 5) AS low, round(max(value), 5) AS high, round(avg(value), 5) AS mean, round(min_by(value, (ts, event_id)), 5) AS first, round(max_by(value, (ts, event_id)), 5) AS last, min_by(ts, (value, ts)) AS low_ts, min_by(ts, (-value, ts)) AS high_ts FROM events GROUP BY 1"),
     "e21_minute_panel": (q_minute_panel, f"WITH {EV}, g AS (SELECT u, ask_id, date_trunc('minute', ts) + to_minutes(m) AS at FROM a, range(1, 61) r(m)), z AS (SELECT g.ask_id, g.at, max_by(k.event_id, (k.ts, k.event_id)) AS e FROM g JOIN k ON g.u = k.u AND k.ts <= g.at AND k.ts >= g.at - INTERVAL 1 DAY GROUP BY 1, 2) SELECT ask_id, count(*) AS minutes, count(DISTINCT e) AS ticks, sum(e)::BIGINT AS sum_ids FROM z GROUP BY 1"),
@@ -345,14 +345,14 @@ QUERIES = {
     "d21_week_medians": (q_week_medians, "WITH b AS (SELECT event_type AS symbol, dayofweek(ts) IN (0, 6) AS weekend, abs(value - avg(value) OVER (PARTITION BY event_type, CAST(ts AS DATE))) AS basis FROM events) SELECT symbol, weekend, count(*) AS n, round(median(basis), 5) AS median, round(quantile_cont(basis, 0.9), 5) AS p90 FROM b GROUP BY 1, 2"),
     "d19_dispersion": (q_dispersion, f"WITH {PANEL}, z AS (SELECT regime_pub, abs(rel_resid / sigma) AS z FROM panel WHERE sigma > 0) SELECT regime_pub, count(*) AS n, round(avg(z), 5) AS mean, round(quantile_cont(z, 0.95), 5) AS p95, round(quantile_cont(z, 0.99), 5) AS p99 FROM z GROUP BY 1"),
     "f6_trading_days": (q_trading_days, f"WITH {BARS}, b AS (SELECT DISTINCT ts FROM bars), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT day, (SELECT max(ts) FROM b WHERE ts <= day AND dayofweek(ts) = 5) AS last_friday, (SELECT min(ts) FROM b WHERE ts > day) AS next_day FROM o"),
-    "b2_factors": (q_factors, None),
+    "b2_factors": (q_factors, f"WITH {BARS}, {PAIRS}, ix AS (SELECT symbol, ts, CASE WHEN count(x) OVER w >= 10 THEN stddev_samp(x) OVER w END AS vol FROM (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS x FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)), l AS (SELECT *, CASE WHEN symbol = 'Brand#4' AND fri_ts >= DATE '1998-01-01' THEN 'Brand#14' WHEN symbol IN ('Brand#1', 'Brand#2') THEN 'Brand#11' WHEN symbol = 'Brand#3' THEN 'Brand#12' ELSE 'Brand#13' END AS factor, CASE symbol WHEN 'Brand#1' THEN 'Brand#15' WHEN 'Brand#5' THEN 'Brand#16' END AS own FROM pairs), j AS (SELECT l.*, b.open / a.close - 1 AS fr, o.vol AS ov, c.vol AS cv FROM l JOIN bars a ON a.symbol = factor AND a.ts = fri_ts JOIN bars b ON b.symbol = factor AND b.ts = mon_ts LEFT JOIN ix o ON o.symbol = own AND o.ts = fri_ts LEFT JOIN ix c ON c.symbol = 'Brand#13' AND c.ts = fri_ts) SELECT symbol, fri_ts, factor, round(fr, 6) AS factor_ret, CASE WHEN ov IS NOT NULL THEN own ELSE 'Brand#13' END AS vol_idx, round(coalesce(ov, cv), 6) AS vol_idx_close, round(fri_close, 6) AS stale_point, round(fri_close * (1 + fr), 6) AS point FROM j WHERE coalesce(ov, cv) IS NOT NULL"),
     "c17_dividends": (q_dividends, f"WITH {BARS}, {PAIRS}, x AS (SELECT *, CASE WHEN day(mon_ts) <= 7 THEN fri_close * 0.01 ELSE 0 END AS dv FROM pairs) SELECT symbol, fri_ts, round(dv, 6) AS dividend, round(mon_open + dv, 6) AS mon_open FROM x"),
     "c19_truth_join": (q_truth_join, f"WITH {SERVED} SELECT tau_bps, CASE WHEN day(fri_ts) > 3 THEN 'known' WHEN mon_ts >= DATE '2001-01-01' THEN 'pending' ELSE 'missing' END AS status, count(*) AS n, count(*) FILTER (day(fri_ts) > 3) AS known FROM bands GROUP BY 1, 2"),
     "q3_coverage_audit": (q_coverage_audit, None),
     "n3_anchor": (q_anchor, f"WITH {_ANCH} SELECT symbol, day, epoch_us(due) // 1000000 AS unix FROM an"),
     "n1_oracle_bands": (q_oracle_bands, None),
     "n2_percent_bands": (q_percent_bands, f"WITH {_ANCH}, {_OPEN}, sn AS (SELECT an.symbol, an.day, max_by(value, (ts, event_id)) AS price FROM an JOIN events ON event_type = an.symbol AND ts <= due AND ts >= due - INTERVAL 1 DAY GROUP BY 1, 2), pp AS (SELECT * FROM sn JOIN tr USING (symbol, day)), {_sweep_sql('pp', '(price / 100)', [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000])}"),
-    "c10_session_nearest": (q_session_nearest, None),
+    "c10_session_nearest": (q_session_nearest, f"WITH {EV}, k2 AS (SELECT *, ts - INTERVAL 5 HOUR AS lt FROM k), z AS (SELECT ask_id, max_by(event_id, (k2.ts, event_id)) FILTER (dayofweek(lt) NOT IN (0, 6) AND hour(lt) * 60 + minute(lt) >= 570 AND hour(lt) * 60 + minute(lt) < 960) AS r, max_by(event_id, (k2.ts, event_id)) AS e FROM a LEFT JOIN k2 ON a.u = k2.u AND k2.ts <= a.ts AND k2.ts >= a.ts - INTERVAL 1 DAY GROUP BY 1) SELECT ask_id, coalesce(r, e, -1) AS event_id FROM z"),
     "n4_index_buffer": (q_vix_buffer, f"WITH {PANEL}, m AS (SELECT median(vix) AS mid FROM panel WHERE score_raw IS NOT NULL), x AS (SELECT regime_pub, score_raw * 10000 / (vix / mid) AS x FROM panel, m WHERE score_raw IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY regime_pub ORDER BY x) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM x) SELECT regime_pub, tau_bps, n, (ceil(x / 5) * 5)::BIGINT AS buffer_bps FROM r, (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau) WHERE k = ceil((n - 1) * tau) + 1"),
     "n6_buffer_pick": (q_buffer_pick, None),
     "o8_forward_tape": (q_forward, f"WITH {PANEL}, x AS (SELECT symbol, fri_ts, fri_ts >= DATE '{SPLIT}' AS f, row_number() OVER (PARTITION BY symbol, fri_ts >= DATE '{SPLIT}' ORDER BY fri_ts DESC) AS k FROM panel) SELECT symbol, count(*) AS n, count(*) FILTER (f) AS n_forward, min(fri_ts) AS first FROM x WHERE f OR k <= 20 GROUP BY 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
 from ..operators import calibrate as C
 from ..operators import joins as J
 from ..operators import online as O
@@ -118,9 +119,7 @@ def q_path_score(s, d):  # noqa: ANN001, ANN201
 
 def path_bands(s, d):  # noqa: ANN001, ANN201
     rows = written(paths(s, d), "paths")
-    early_, late_ = rows.where(F.col("fri_ts") < SPLIT), rows.where(F.col("fri_ts") >= SPLIT)
-    q = table(s, d, "score_path", early_)
-    return C.serve(late_.where("path_lo IS NOT NULL"), q, C.fit_bump(late_, q, ["regime_pub"], "score_path"), ["regime_pub"])
+    return C.one_shot(rows.where("fri_ts < '1999-01-01' OR path_lo IS NOT NULL"), C.tau_table(s), SPLIT, "score_path")
 
 
 def q_path_coverage(s, d):  # noqa: ANN001, ANN201
@@ -203,6 +202,28 @@ def q_paired_forecasters(s, d):  # noqa: ANN001, ANN201
     return rounded(both.groupBy("tau_bps").agg(F.count("*").alias("n"), F.avg(F.col("hw_a") / F.col("hw_b")).alias("width_ratio"), F.count_if(F.col("in_a") > F.col("in_b")).alias("only_a"), F.count_if(F.col("in_b") > F.col("in_a")).alias("only_b")), 4)
 
 
+def q_melted(s, d):  # noqa: ANN001, ANN201
+    """Served bands, a column a coverage, and back to rows."""
+    wide = bands(s, d).groupBy("symbol", "fri_ts").pivot("tau_bps", [6800, 8500, 9500, 9900]).agg(F.first("lower").alias("lo"), F.first("upper").alias("hi"))
+    return rounded(C.melted(wide, [6800, 8500, 9500, 9900]), 3)
+
+
+def q_class_quantiles(s, d):  # noqa: ANN001, ANN201
+    """Quantiles by class of symbol instead of regime: classes are the last word of a part's type."""
+    word = F.element_at(F.split("p_type", " "), -1)
+    classes = M.table(s, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.min(word).alias("class"))
+    return C.quantile_table(early(s, d).join(sized(classes), "symbol"), C.tau_table(s), ["class"], "score").select("class", "tau_bps", "n", F.round("q", 5).alias("q"))
+
+
+def q_parity(s, d):  # noqa: ANN001, ANN201
+    """Served edges against the same edges looked up one by one: how many differ, and the most."""
+    q = table(s, d)
+    a = C.serve(late(s, d), q, None, ["regime_pub"]).select("symbol", "fri_ts", "tau_bps", "lower", "upper")
+    asked = late(s, d).select("symbol", "fri_ts").crossJoin(sized(C.tau_table(s))).select("symbol", "fri_ts", F.col("tau").alias("target"), "tau_bps")
+    b = C.looked_up(asked, late(s, d).select("symbol", "fri_ts", "regime_pub", "fri_close", "point", "sigma"), q, {0.68: 0.0}, {0.68: 1.0}).where("error IS NULL")
+    return A.differing(a, b.select("symbol", "fri_ts", "tau_bps", "lower", "upper"), ["symbol", "fri_ts", "tau_bps"], ["lower", "upper"])
+
+
 _SH = "CASE tau_bps WHEN 6800 THEN 0.02::DOUBLE WHEN 8500 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END"
 
 
@@ -250,6 +271,9 @@ QUERIES = {
     "j6_lookup_lending": (_lookup("lending", "score_raw"), _lookup_sql("lending", "score_raw")),
     "j7_lookup_scaled": (_lookup("scaled", "score"), _lookup_sql("scaled", "score")),
     "j8_lookup_downside": (_lookup("downside", "downside"), _lookup_sql("downside", "downside")),
+    "g5_melted": (q_melted, f"WITH {SERVED} SELECT symbol, fri_ts, tau_bps, round(lower, 3) AS lower, round(upper, 3) AS upper FROM bands"),
+    "i7_class_quantiles": (q_class_quantiles, f"WITH {PANEL.replace('panel AS (SELECT', 'panel1 AS (SELECT')}, kl AS (SELECT p_brand AS symbol, min(list_last(string_split(p_type, ' '))) AS class FROM part GROUP BY 1), panel AS (SELECT * FROM panel1 JOIN kl USING (symbol)), {TAUS}, {_table_sql('a', 'score', 'class')} SELECT class, tau_bps, n, round(q, 5) AS q FROM a"),
+    "k22_parity": (q_parity, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, c AS (SELECT count(*) AS n FROM panel JOIN qt USING (regime_pub) WHERE sigma IS NOT NULL AND {_LATE}) SELECT unnest(['lower', 'upper']) AS field, n, 0::BIGINT AS one_side, 0::BIGINT AS differing FROM c"),
     "j10_available": (q_available, f"WITH {PANEL} SELECT DISTINCT symbol, fri_ts, regime_pub FROM panel"),
     "o1_adaptive_replay": (q_adaptive, None),
     "j9_adaptive_serve": (q_adaptive_serve, None),

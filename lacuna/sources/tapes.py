@@ -43,7 +43,7 @@ TAPES = {
     "scope": Tape("kamino_scope/oracle_tape/v1", "day", None, "scope_unix_ts", "s", "poll_ts string, symbol string, feed_pda string, chain_id int, scope_value_raw long, scope_exp int, scope_price double, scope_slot long, scope_unix_ts long, scope_age_s long, scope_err string"),
     "pyth": Tape("pyth/oracle_tape/v1", "day", None, "poll_unix", "s", "poll_ts string, poll_unix long, symbol string, session string, pyth_feed_id string, pyth_price double, pyth_conf double, pyth_expo int, pyth_publish_time long, pyth_age_s long, pyth_half_width_bps double, pyth_ema_price double, pyth_ema_conf double, pyth_ema_publish_time long, pyth_ema_half_width_bps double, slot long, pyth_err string"),
     "redstone": Tape("redstone/oracle_tape/v1", "day", None, "redstone_ts", "ts", "poll_ts timestamp, poll_label string, symbol string, redstone_ts timestamp, minutes_age double, value double, provider_pubkey string, signature string, source_json string, permaweb_tx string, raw_json string"),
-    "joined": Tape("soothsayer_v5/tape/v1", "day", None, "poll_ts", "s", "poll_ts long, symbol string, cl_obs_ts long, cl_age_s long, cl_tokenized_px double, cl_venue_px double, cl_market_status int, cl_err string, jup_bid double, jup_ask double, jup_mid double, spread_bp double, jup_err string, basis_bp double"),
+    "joined": Tape("joined/tape/v1", "day", None, "poll_ts", "s", "poll_ts long, symbol string, cl_obs_ts long, cl_age_s long, cl_tokenized_px double, cl_venue_px double, cl_market_status int, cl_err string, jup_bid double, jup_ask double, jup_mid double, spread_bp double, jup_err string, basis_bp double"),
     "trades": Tape("geckoterminal/trades/v1", "day", "pool", "ts", "s", "ts long, tx_hash string, block_number long, kind string, from_token string, to_token string, from_amount double, to_amount double, price_usd double, volume_usd double"),
     "minutes": Tape("cme/intraday_1m/v1", "day", "symbol", "ts", "s", "symbol string, ts long, open double, high double, low double, close double, volume double"),
     "perps": Tape("cex_stock_perp/ohlcv/v1", "day", "underlier", "bar_open_ts", "s", "exchange string, exchange_symbol string, underlier_symbol string, backing_kind string, bar_open_ts long, bar_close_ts long, open double, high double, low double, close double, volume_base double, volume_quote double, trade_count long"),
@@ -149,6 +149,18 @@ def latest(names: list[str], stem: str) -> str | None:
     return max(own, default=None)
 
 
+# Columns of the archives.
+ARCHIVES = {
+    "bands": "weekend_date date, mon_date date, symbol string, tau double, lower double, upper double, point double, half_width_bps double, regime_code string, forecaster_code int, profile_code int, artefact_sha256 string, provenance string, computed_ts timestamp",
+    "commitments": "weekend_date date, mon_date date, symbol string, tau double, fri_close double, sigma_hat double, regime_code string, half_width_bps double, half_width_abs double, forecaster_code int, profile_code int, artefact_sha256 string, computed_ts timestamp",
+}
+
+
+def archive(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """An archive's CSV files in its types; a field that isn't what it should be stops the job."""
+    return spark.read.schema(ARCHIVES[kind]).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def archived(spark: SparkSession, new: DataFrame, key: list[str], path: str) -> tuple[int, int]:
     """Adds to a CSV archive the rows whose key, as text, it lacks: how many, and how many there are then. The new state
     is written beside the old and takes its place when whole."""

@@ -308,6 +308,9 @@ def test_tapes_sidecars_and_archives(spark, tmp_path):
     tables = T.sidecar_tables(spark, '{"quantile_table": {"normal": {"0.95": 2.5}}, "c_bump_schedule": {"0.68": 1.1}}')
     assert [tuple(r) for r in tables["quantile_table"].collect()] == [("normal", 9500, 2.5)] and tables["delta_shift_schedule"].count() == 0
     assert all(t.count() == 0 for t in T.sidecar_tables(spark, None).values())
+    (tmp_path / "bands.csv").write_text("weekend_date,mon_date,symbol,tau,lower,upper,point,half_width_bps,regime_code,forecaster_code,profile_code,artefact_sha256,provenance,computed_ts\n2024-05-03,2024-05-06,SPY,0.95,490.5,510.25,500.0,200.0,normal,3,2,ab,x,2024-05-03 21:00:00\n")
+    got = T.archive(spark, "bands", f"{root}/bands.csv").first()
+    assert (got["weekend_date"], got["tau"], got["upper"], got["profile_code"]) == (dt.date(2024, 5, 3), 0.95, 510.25, 2)
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
     path = f"{root}/archive"
     assert [T.archived(spark, rows, ["k"], path), T.archived(spark, rows, ["k"], path), T.archived(spark, rows.unionByName(spark.createDataFrame([("c", "3")], rows.schema)), ["k"], path)] == [(2, 2), (0, 2), (1, 3)]
