@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -85,10 +86,43 @@ class Lattice:
             beta[i] = np.logaddexp.reduce([beta[i + s] + w[:, i] for s, w in weights.items() if i + s <= m], axis=0)
         return beta
 
-    def run(self, words: list[bytes], counts: np.ndarray | None = None, cells: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    def _stretches(self, word: np.ndarray, size: int, back: bool) -> Iterator[tuple[int, int, int, dict[int, np.ndarray]]]:
+        """A long word in stretches: their positions [lo, hi), where their bytes begin, and the arcs that end (or, going
+        back, begin) in them."""
+        m = len(word)
+        for lo in range(0, m, size) if not back else range((m - 1) // size * size, -1, -size):
+            hi = min(lo + size, m)
+            a, b = (lo, min(hi + self.longest, m)) if back else (max(lo - self.longest, 0), hi)
+            yield lo, hi, a, self._arcs(word[None, a:b])[1]
+
+    def _long(self, word: np.ndarray, lp: np.ndarray, count: float | None, used: np.ndarray, size: int) -> float:
+        """run for one word of any length: arcs are held for a stretch at a time, and of the recursions a number a
+        position (forward), or as many as the longest piece has (backward)."""
+        m = len(word)
+        alpha = np.full(m + 1, -np.inf)
+        alpha[0] = 0.0
+        for lo, hi, a, arcs in self._stretches(word, size, False):
+            weights = {s: lp[k[0]] for s, k in arcs.items()}
+            for j in range(lo + 1, hi + 1):
+                alpha[j] = np.logaddexp.reduce([alpha[j - s] + w[j - s - a] for s, w in weights.items() if s <= j - a])
+        if count is None:
+            return float(alpha[m])
+        beta = {m: 0.0}
+        for lo, hi, a, arcs in self._stretches(word, size, True):
+            weights = {s: lp[k[0]] for s, k in arcs.items()}
+            for i in range(hi - 1, lo - 1, -1):
+                on = [(s, w[i - a] + beta[i + s]) for s, w in weights.items() if i - a < len(w) and np.isfinite(w[i - a])]
+                beta[i] = float(np.logaddexp.reduce([v for _, v in on]))
+                for s, v in on:
+                    used[arcs[s][0][i - a]] += count * math.exp(alpha[i] + v - alpha[m])
+                beta.pop(i + self.longest + 1, None)
+        return float(alpha[m])
+
+    def run(self, words: list[bytes], counts: np.ndarray | None = None, cells: int = 200_000, long: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of each word's marginal probability; with counts, also the pieces' expected counts.
 
-        Words of one length go together. Recursions are in log space, so long words don't underflow.
+        Words of one length go together; one of `long` bytes or more goes alone, a stretch at a time. Recursions are in
+        log space, so long words don't underflow.
         """
         size = np.array([len(w) for w in words], np.int64)
         out, used = np.zeros(len(words)), np.zeros(len(self.log_p))
@@ -97,6 +131,11 @@ class Lattice:
         at = 0
         while at < len(order):
             m = int(size[order[at]])
+            if m >= long:
+                i = order[at]
+                out[i] = self._long(np.frombuffer(b" " + words[i], np.uint8), lp, None if counts is None else float(counts[i]), used, long)
+                at += 1
+                continue
             to = min(int(np.searchsorted(size[order], m, "right")), at + max(1, cells // (m + 1)))
             pick = order[at:to]
             at = to

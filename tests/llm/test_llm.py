@@ -197,6 +197,21 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(np.exp(out), [brute(b" " + w) for w in words]) and used.sum() > 0
 
 
+def test_lattice_of_long_words_goes_by_stretches():
+    rng = np.random.default_rng(2)
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"abba", b"bbbab"]
+    p = rng.dirichlet(np.ones(len(pieces)))
+    words = [bytes(rng.choice(list(b"ab"), n).tolist()) for n in (1, 5, 40, 41, 95)]
+    trie, n = lattice.Lattice(pieces, np.log(p)), np.arange(1.0, 6.0)
+    (a, x), (b, y) = trie.run(words, n), trie.run(words, n, long=7)
+    assert np.allclose(a, b) and np.allclose(x, y) and np.allclose(trie.run(words, long=11)[0], a)
+
+
+def test_start_weights_alone_score_texts(spark, documents):
+    got = lattice.score_texts(documents, tokenizer_file("piece_bpe_32k.model"), rounds=0)
+    assert got.count() == documents.count() and got.where("score IS NULL OR score >= 0").count() == 0
+
+
 @pytest.mark.parametrize("common", [200_000, 3, 0])
 def test_lm_scores_against_brute_force(spark, documents, nothing, common):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
