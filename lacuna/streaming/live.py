@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.market import append_new
-
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Ticks (symbol, ts, value, event_id, user_id) of an events file or folder, as a stream in the file's own schema."""
@@ -62,13 +60,11 @@ def forward_only(updates: DataFrame, path: str, checkpoint: str) -> None:
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: list[str] | None = None) -> None:
     """Runs a stream over all that is there, then stops. Batches go to path/batch=N, replaced if run again; with a key,
-    rows whose key older batches hold are left out."""
-    spark = stream.sparkSession
+    rows whose key came before are left out: the stream's own state keeps the keys, so no batch is read again."""
+    if key is not None:
+        stream = stream.dropDuplicates(key)
 
     def write(batch: DataFrame, n: int) -> None:
-        if key is not None and n > 0:
-            old = spark.read.parquet(*[f"{path}/batch={i}" for i in range(n)])
-            batch = append_new(old.limit(0), batch, key).join(old.select(*key).distinct(), key, "left_anti").select(*batch.columns)
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
