@@ -492,3 +492,104 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
     assert seen[1] < seen[0] and seen[2] <= seen[1]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert last.count() == seen[-1] and last.agg(F.max(F.col("start") + F.col("n_tokens")) == F.sum("n_tokens")).first()[0]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    def text(i):
+        words = prose(30 + i % 17, i).split()
+        return " ".join(w.upper() + "!!" for w in words) if i % 4 == 0 else " ".join(words)
+
+    item = prose(40, 900)
+    rows = [(i, text(i), f"s{i % 3}" if i % 11 else None, f"x{i}") for i in range(120)]
+    rows += [(200 + i, text(4 * i + 1) + " tail", "s1", "near") for i in range(12)] + [(300, text(1), "s2", "copy"), (5, text(5), "s2", "x5")]
+    rows += [(400 + i, f"{prose(10, 950 + i)} {' '.join(item.split()[i : i + 15])}", "s0", "bench") for i in range(5)]
+    rows += [(500, None, "s0", "null"), (501, "", "s1", "empty"), (None, prose(50, 77), "s1", "no id"), (502, prose(9000, 78), "s2", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")  # copies: a name that mixing uses too
+    at = f"file://{tmp_path}/in"
+    docs.repartition(3).write.parquet(f"{at}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+    scored = quality.score(docs, quality.fit(docs, labels), "s").collect()
+    kept = [tuple(r)[:4] for r in scored if r["s"] >= 0.3]
+    assert 60 < len(kept) < len(rows)
+    _, root = linked([r[:2] for r in kept if r[0] is not None], 5, 80)
+    kept = list({r[0]: r for r in kept if r[0] is not None and root[r[0]] == r[0]}.values()) + [r for r in kept if r[0] is None]
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(item))
+    windows = {tuple(own[i : i + 13]) for i in range(len(own) - 12)}
+
+    def clean(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        hit = {k for j in range(len(w) - 12) if tuple(w[j : j + 13]) in windows for k in range(j, j + 13)}
+        return not (hit and 20 * len(hit) >= len(w))
+
+    kept = [r for r in kept if clean(r[1])]
+    size = {s: sum(len(blank_words(r[1])) for r in kept if r[2] == s) for s in {r[2] for r in kept}}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, target = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}
+    open_, rest = set(order), float(sum(size.values()))
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * size[s]}
+        for s in full or open_:
+            target[s] = 3.0 * size[s] if full else level * weight[s]
+            rest -= target[s]
+        open_ -= full or set(open_)
+    tk, want = Tokenizer.from_file(tokenizer_file()), Counter()
+    for s in order:
+        line = sorted((r for r in kept if r[2] == s), key=lambda r: (hashlib.md5(f"17:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0))
+        epochs, start, last, n = int(target[s] // size[s]), 0, -1, []
+        for i, r in enumerate(line):
+            n.append(len(blank_words(r[1])))
+            if n[i] and epochs < 3 and target[s] - epochs * size[s] - start >= n[i] / 2:
+                last = i
+            start += n[i]
+        for i, r in enumerate(line):
+            ids = np.array(tk.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4")
+            want[r[0], len(ids), zlib.crc32(ids.tobytes())] += epochs + (i <= last)
+    got = corpus_pipeline.run(spark, at).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == +want
+    ends = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + b == c for (a, b), (c, _) in zip(ends[:-1], ends[1:], strict=True))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), at).count() == 0
+
+
+def test_queries_on_the_smallest_tables(spark):
+    import os
+
+    import duckdb
+
+    from lacuna.llm import queries
+
+    at = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for f in os.listdir(at):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{at}/{f}'")
+    n = {t: c.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("documents", "conversations")}
+    for name, query in queries.queries().items():
+        got = query(spark, at).toPandas()
+        assert len(got) and got.columns.is_unique, name
+        if name in queries.oracle_sql():
+            want = c.execute(queries.oracle_sql()[name]).df()
+            assert len(got) == len(want)
+            keys = ["doc_id", *[k for k in got.columns if k != "doc_id"]]
+            a, b = (df[keys].sort_values(keys).reset_index(drop=True) for df in (got, want))
+            assert ((a == b) | (a.isna() & b.isna())).all().all() or np.allclose(a.select_dtypes("number"), b.select_dtypes("number"))
+        if name not in ("op3_nearest", "op5_chat"):
+            assert len(got) == n["documents"], name
+        if "held_out" in got and "predicted" in got:
+            folds, held = (5, 0) if name == "op4_quality" else (3, 1)
+            assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(int(i)).encode()) % folds == held)).all()
+            assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= (0.3 if name == "op4_quality" else 0.7))).all()
+        if name == "op5_chat":
+            one = got[got["conv_id"] == -1].iloc[0]
+            said = "</s>[INST] ok [/INST]"
+            assert one["n_turns"] == 2 and one["loss_chars"] == len(said) and one["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        if name == "op8_sharding":
+            assert set(got["law"]) == {"bytes"} and all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
