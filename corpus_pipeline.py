@@ -14,11 +14,12 @@ from lacuna.llm.queries import table, tokenizer_file
 from lacuna.llm.store import fresh_path, written
 
 KEEP_AT = 0.3  # documents whose quality score is lower are rejected
-FEW = 3_000_000  # ids that may go to all tasks
+FEW = 1_000_000  # ids that may go to all tasks
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects. Null and empty texts get the score of the bare curve;
+    equal texts fare alike, whatever their ids; rows without an id teach nothing but are scored; no rows, no rows."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, "_score").where(F.col("_score") >= KEEP_AT).select(*docs.columns)
 
@@ -38,17 +39,20 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold too much of the benchmark."""
+    """Without the documents that hold too much of the benchmark. Null and empty texts have no words and stay; repeated rows
+    fare alike; an empty benchmark rejects nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. A null source is one of its own; rows without words stand in
+    their source's line like others; rows without an id come by id, size and hashes; no rows, no rows."""
     return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, read back: a row a document."""
+    """Token files of all documents, read back: a row a document, ascending by id, those without an id first. Null and
+    empty texts are a lone end; repeated rows are written as often as they come; no rows, no files to read back."""
     path = fresh_path(spark, "tokens")
     wavelet.write_tokens(docs, path, tokenizer_file())
     return wavelet.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "segment")
