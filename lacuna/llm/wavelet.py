@@ -45,7 +45,7 @@ def encode_matrix(tokens: np.ndarray) -> bytes:
         bit = (x >> wide(level)) & wide(1)
         one = bit.astype(bool)
         packed = np.packbits(one)
-        ones = np.add.reduceat(one, np.arange(0, len(one), BLOCK), dtype=np.int64)
+        ones = np.add.reduceat(_POP[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.int64)
         before = np.concatenate([[0], np.cumsum(ones)[:-1]])
         for b, o in enumerate(before):
             part = packed[b * BLOCK // 8 : (b + 1) * BLOCK // 8].tobytes()
@@ -54,7 +54,9 @@ def encode_matrix(tokens: np.ndarray) -> bytes:
             body.append(small)
             table.append((int(o), len(small), kind))
         zeros.append(len(one) - int(ones.sum()))
-        x = np.concatenate([x[~one], x[one]])
+        below = np.empty_like(x)
+        below[: zeros[-1]], below[zeros[-1] :] = x[~one], x[one]
+        x = below
     head = zstandard.compress(json.dumps({"n": len(tokens), "planes": planes, "zeros": zeros}).encode())
     index = zstandard.compress(np.array(table, np.int64).tobytes())
     letters = zstandard.compress(alphabet[order].astype(np.uint32).tobytes())
@@ -230,8 +232,12 @@ def _pool(own: pa.Array, tokenizer, kept: dict[str, bytes], plain: bool) -> tupl
     core, had, tails = _cut(own, tokenizer) if plain else (own.dictionary_encode(), np.zeros(0, np.int64), [])
     names = core.dictionary.to_pylist()
     ends = list(dict.fromkeys(tails))
-    _learn([w for w in names if w not in kept] + [w for w in ends if w not in kept], tokenizer, kept)
-    parts = [*map(kept.__getitem__, names), *map(kept.__getitem__, ends)]
+    looked = names + ends
+    parts = list(map(kept.get, looked))
+    new = [i for i, p in enumerate(parts) if p is None]
+    _learn([looked[i] for i in new], tokenizer, kept)
+    for i in new:
+        parts[i] = kept[looked[i]]
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     flat, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)])
     place = {w: len(names) + i for i, w in enumerate(ends)}
