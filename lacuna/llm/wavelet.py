@@ -297,7 +297,7 @@ def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, an end after each, and their n + 1 offsets.
 
     by_word: the tokenizer lower-cases and never joins text across blanks or letters with marks, so each distinct word
