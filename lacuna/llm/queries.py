@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, lattice, mixing, quality, sharding, toxicity, wavelet
+from . import ann, chat, decontaminate, jaccard, lattice, mixing, quality, sanitise, sharding, toxicity, turntrie, variants, wavelet
 from .labelled import fold
 from .store import fresh_path
 
@@ -81,6 +81,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.private_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(turntrie.rebuilt(turntrie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
@@ -124,6 +136,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
+        "op11_private_data": op11_private_data,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
