@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordkit as W
 from .store import tasks_for, whole_ids, written
@@ -41,6 +42,11 @@ def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out - (x > 0)
 
 
+def usual(squares: np.ndarray) -> float:
+    """The squared length that all but a fiftieth of some vectors keep to; those few are compared with every query."""
+    return float(np.quantile(squares, 0.98, method="lower")) if len(squares) else 0.0
+
+
 class Forest:
     """Sorted arrays of hash strings, one a tree, over the same vectors, and whose vectors they are."""
 
@@ -48,10 +54,11 @@ class Forest:
         self.keys, self.order = keys, order
 
     @staticmethod
-    def over(x: np.ndarray, sides: np.ndarray, longest: float) -> Forest:
-        """Lengthened by sqrt(longest^2 - |x|^2) in one more component, vectors have one length, so the largest inner
-        product is the smallest angle, which hash strings keep."""
-        keys = _strings(x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0.0)), sides)
+    def over(x: np.ndarray, sides: np.ndarray) -> Forest:
+        """Lengthened by sqrt(usual^2 - |x|^2) in one more component, vectors have one length, so the largest inner
+        product is the smallest angle, which hash strings keep; but for the few longer than usual."""
+        length = (x.astype(np.float64) ** 2).sum(axis=1)
+        keys = _strings(x, np.sqrt(np.maximum(usual(length) - length, 0.0)), sides)
         order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         return Forest(np.take_along_axis(keys, order, axis=1), order)
 
@@ -70,8 +77,8 @@ class Forest:
             out[t] = np.maximum(_shared_bits(q[t], own[np.maximum(at - 1, 0)]), _shared_bits(q[t], own[np.minimum(at, len(own) - 1)]))
         return out
 
-    def candidates(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """Marks of the rows for each query's strings (trees x queries).
+    def votes(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each query's strings (trees x queries), in how many trees each row was met.
 
         Every tree is descended to its longest match; from the deepest of them all trees are ascended together, bit by
         bit, until their ranges hold at least so many. What they hold only grows on the way up, so the level is found by
@@ -89,10 +96,16 @@ class Forest:
             low[todo[enough]], high[todo[~enough]] = mid[enough], mid[~enough] - 1
         spans = [self._ranges(q[t], t, low) for t in range(trees)]
         for i in range(n):
-            mark = np.zeros(self.keys.shape[1], bool)
-            for t in range(trees):
-                mark[self.order[t, spans[t][0][i] : spans[t][1][i]]] = True
-            yield mark
+            met = np.concatenate([self.order[t, spans[t][0][i] : spans[t][1][i]] for t in range(trees)])
+            yield np.bincount(met, minlength=self.keys.shape[1])
+
+
+def chosen(votes: np.ndarray, most: int, least: int = 1) -> np.ndarray:
+    """The rows that the most trees met, as many whole ranks of votes as hold at most so many rows, but at least so many."""
+    above = np.cumsum(np.bincount(votes)[::-1])[::-1]  # rows with so many votes or more
+    few = np.flatnonzero(above <= most)
+    enough = int(np.flatnonzero(above >= min(least, len(votes)))[-1])
+    return np.flatnonzero(votes >= min(int(few[0]) if len(few) else len(above), enough))
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -101,109 +114,112 @@ def _vectors(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, size)
 
 
-_FOREST = "ids array<long>, vectors binary, strings binary, places binary"
+_FOREST = "rows array<long>, ids array<long>, vectors binary, strings binary, places binary"
 
 
-def _grown(trees: int, size: int, longest: float, seed: int) -> Callable[[pa.Table], pa.Table]:
+def _grown(trees: int, size: int, seed: int) -> Callable[[pa.Table], pa.Table]:
     """A segment's vectors and forest as one row."""
 
     def run(segment: pa.Table) -> pa.Table:
-        ids, x = np.asarray(segment["vec_id"]), _vectors(segment["embedding"], size)
-        forest = Forest.over(x, planes(trees, size, seed), longest)
-        return pa.table({"ids": pa.array([ids], pa.list_(pa.int64())), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("vectors", x.astype(np.float32)), ("strings", forest.keys), ("places", forest.order))}})
+        x = _vectors(segment["embedding"], size)
+        forest = Forest.over(x, planes(trees, size, seed))
+        whole = {c: pa.array([np.asarray(segment[o])], pa.list_(pa.int64())) for c, o in (("rows", "row"), ("ids", "vec_id"))}
+        return pa.table(whole | {c: pa.array([v.tobytes()], pa.binary()) for c, v in (("vectors", x), ("strings", forest.keys), ("places", forest.order))})
 
     return run
 
 
 def _first(found: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
-    """The k best of each query among what some segments gave."""
-    query, vec, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+    """The k best of each query among what some segments gave: query, its id, vec_id, score."""
+    query, own, vec, score = (np.concatenate([f[i] for f in found]) for i in range(4))
     order = np.lexsort((vec, -score, query))
-    query, vec, score = query[order], vec[order], score[order]
+    query, own, vec, score = query[order], own[order], vec[order], score[order]
     start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
     rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
-    return [(query[rank < k], vec[rank < k], score[rank < k])]
+    return [(query[rank < k], own[rank < k], vec[rank < k], score[rank < k])]
 
 
-def _search(sent, trees: int, size: int, k: int, share: float, least: int, seed: int, together: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(sent, trees: int, size: int, k: int, share: float, compared: float, seed: int, together: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The k best of a task's segments for each query of the sent block, by exact products over the forests' candidates."""
 
-    def best(ids: np.ndarray, exact: np.ndarray, forest: Forest, query_ids: np.ndarray, exact_q: np.ndarray, strings: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        for lo in range(0, len(query_ids), together):
-            near = exact_q[lo : lo + together] @ exact.T  # of a block at once: candidates are many, gathering each query's costs more
-            out: tuple[list, list, list] = ([], [], [])
-            for i, mark in enumerate(forest.candidates(strings[:, lo : lo + together], max(least, int(share * len(ids))))):
-                rows = np.flatnonzero(mark & (ids != query_ids[lo + i]))
-                if len(rows) > k:
-                    own = near[i, rows]
-                    rows = rows[own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-9]
-                score = (exact[rows] * exact_q[lo + i]).sum(axis=1)  # the same for equal vectors, wherever they stand
-                first = np.lexsort((ids[rows], -score))[:k]
-                for o, v in zip(out, (np.full(len(first), query_ids[lo + i]), ids[rows[first]], score[first]), strict=True):
+    def best(rows: np.ndarray, ids: np.ndarray, exact: np.ndarray, forest: Forest, queries: tuple[np.ndarray, ...], strings: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        own, own_ids, exact_q = queries
+        n, squares = len(ids), (exact**2).sum(axis=1)
+        long = squares > usual(squares)
+        for lo in range(0, len(own), together):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for i, votes in enumerate(forest.votes(strings[:, lo : lo + together], max(1, int(share * trees * n / 2))), lo):
+                votes[long] = trees
+                at = chosen(votes, max(int(compared * n), 8 * k), k + 1)
+                at = at[rows[at] != own[i]]
+                score = (exact[at] * exact_q[i]).sum(axis=1)  # the same for equal vectors, wherever they stand
+                first = np.lexsort((ids[at], -score))[:k]
+                for o, v in zip(out, (np.full(len(first), own[i]), np.full(len(first), own_ids[i]), ids[at[first]], score[first]), strict=True):
                     o.append(v)
             yield tuple(np.concatenate(o) for o in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q = sent.value
-        strings, exact_q = _strings(q, np.zeros(len(q)), planes(trees, size, seed)), q.astype(np.float64)
+        own, own_ids, q = sent.value
+        strings, kind, exact_q = _strings(q, np.zeros(len(q)), planes(trees, size, seed)), q.dtype, q.astype(np.float64)
         found: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             for row in range(b.num_rows):
-                ids, x, keys, order = (b.column(i)[row] for i in range(4))
-                ids = np.asarray(ids.values)
-                exact = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, size).astype(np.float64)
-                forest = Forest(np.frombuffer(keys.as_buffer(), np.uint64).reshape(trees, -1), np.frombuffer(order.as_buffer(), np.int32).reshape(trees, -1))
-                found = _first([*found, *best(ids, exact, forest, query_ids, exact_q, strings)], k)
+                rows, ids, x, keys, order = (b.column(i)[row] for i in range(5))
+                exact = np.frombuffer(x.as_buffer(), kind).reshape(-1, size).astype(np.float64)
+                forest = Forest(np.frombuffer(keys.as_buffer(), np.uint64).reshape(trees, -1), np.frombuffer(order.as_buffer(), np.int32).reshape(trees, -1).astype(np.intp))
+                found = _first([*found, *best(np.asarray(rows.values), np.asarray(ids.values), exact, forest, (own, own_ids, exact_q), strings)], k)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found[0]], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found[0]], ["query", "query_id", "vec_id", "score"])
 
     return W.tidy(run)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32, share: float = 0.6, least: int = 5000, segment_size: int = 4096, block: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, asked: Column, k: int = 20, trees: int = 128, share: float = 1 / 8, compared: float = 0.3, segment_size: int = 4096, block: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id and score of the k vectors with the largest inner product found for each query.
 
-    Both frames have vec_id (whole numbers) and embedding; other columns are not read. Vectors that are null, zero, of
-    another length than most, or hold null or non-finite components take no part, nor do null ids; of rows that repeat an
-    id the smallest embedding counts. A query does not find its own id. Ties go to the smaller id. With no vectors, or no
-    queries, no rows.
+    vectors has vec_id (whole numbers) and embedding (of floats, kept as such, or of doubles or other numbers, as doubles);
+    asked, a condition on them, says which rows are queries. Vectors that are null, zero, of another length than most, or
+    hold null or non-finite components take no part, nor do null ids. Rows that repeat an id are rows of their own, as
+    candidates and as queries; a query does not find its own row. Ties go to the smaller id. With no vectors, or no queries, no rows.
 
-    Vectors are dealt by a hash of the id into segments of about segment_size, so neither a crowded direction nor many
-    copies make a task larger; each segment's forest is grown and written once. Queries, a stated set, meet the forests in
-    blocks of a bounded number. A search gathers at least `least` candidates (counted in every tree), and share x the
-    segment; the best of all segments are merged. share trades work for recall: vectors without structure need a large one.
+    Vectors are dealt by bands of length (64 at most) and a hash into segments of about segment_size, so neither a crowded
+    direction nor many copies make a task larger; each segment's forest is grown and written once. Queries, a stated set, meet the forests in
+    blocks of a bounded number. A search ascends until a tree holds between half and the whole of `share` of the segment on average;
+    of what it met, the rows in most trees are compared exactly, at most `compared` of the segment (8 k rows at least;
+    rows that all trees alike hold, such as copies of the query, all), and the longest fiftieth of a segment always. The best of all segments are merged.
     """
     spark = vectors.sparkSession
     whole_ids(vectors, "vec_id")
-
-    def usable(df: DataFrame) -> DataFrame:
-        e = F.col("embedding")
-        fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-        some = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull()).where(fine)
-        return some.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-    base = written(usable(vectors).withColumn("size", F.size("embedding")), "vectors")
+    e = F.col("embedding")
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast(f"array<{kind}>").alias("embedding"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    usable = some.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(fine)
+    base = written(usable.withColumns({"size": F.size("embedding"), "row": F.monotonically_increasing_id()}), "vectors")
     sizes = base.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return none
     size, total = int(sizes["size"]), int(sizes["count"])
     base = base.where(F.col("size") == size)
-    asked = written(usable(queries).where(F.size("embedding") == size), "queries")
-    count = asked.count()
+    count = base.where("asked").count()
     if not count:
         return none
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    longest = float(np.sqrt(base.agg(F.max(square)).first()[0]))
     segments = -(-total // segment_size)
-    dealt = base.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(segments)).alias("segment"))
-    grown = dealt.repartition(min(segments, 20 * tasks_for(spark)), "segment").groupBy("segment").applyInArrow(_grown(trees, size, longest, seed), _FOREST)
+    lengths = base.select("row", "vec_id", "embedding", square.alias("square"))
+    edges = lengths.agg(F.percentile_approx("square", [i / min(segments, 64) for i in range(1, min(segments, 64))], 10_000)).first()[0] if segments > 1 else []
+    band = F.size(F.filter(F.array(*[F.lit(float(v)) for v in edges]), lambda v: v < F.col("square"))) if edges else F.lit(0)
+    lengths = lengths.withColumn("band", band)
+    parts = F.broadcast(lengths.groupBy("band").agg(F.ceil(F.count("*") / segment_size).cast("int").alias("parts")))  # 64 rows at most
+    dealt = lengths.join(parts, "band").withColumn("segment", F.col("band") + 64 * F.pmod(F.xxhash64("row"), F.col("parts"))).select("row", "vec_id", "embedding", "segment")
+    grown = dealt.repartition(min(segments, 20 * tasks_for(spark)), "segment").groupBy("segment").applyInArrow(_grown(trees, size, seed), _FOREST)
     forests = written(grown, "forests")
     blocks, found = -(-count // block), None
     for n in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)) == n).toArrow()
-        sent = spark.sparkContext.broadcast((np.asarray(own["vec_id"]), _vectors(own["embedding"], size)))
-        part = forests.mapInArrow(_search(sent, trees, size, k, share, max(least, 4 * k), seed), "query_id long, vec_id long, score double")
+        own = base.where("asked").where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)) == n).select("row", "vec_id", "embedding").toArrow()
+        sent = spark.sparkContext.broadcast((np.asarray(own["row"]), np.asarray(own["vec_id"]), _vectors(own["embedding"], size)))
+        part = forests.mapInArrow(_search(sent, trees, size, k, share, compared, seed), "query long, query_id long, vec_id long, score double")
         part = written(_best(part, k), "nearest")
         sent.unpersist()
         found = part if found is None else found.unionByName(part)
@@ -211,5 +227,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 32
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

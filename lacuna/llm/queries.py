@@ -34,7 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
