@@ -44,8 +44,8 @@ def adaptive_replay(scores: DataFrame, table: DataFrame, cell: str, period: str,
     tau_bps, period, n, m_served and m_next.
 
     m begins at 1, or where start has it; a period is served with the m from before it, then m grows by exp(rate (miss
-    share - (1 - tau))), within its bounds. A row without a score counts as no miss; a period without any score changes
-    nothing. A cell and tau is one recursion; its rows are sorted and streamed, and a task holds one period of them.
+    share - (1 - tau))), within its bounds. Rows without a score take no part; a caller's score of a row whose half-width
+    is nothing, such as one with a scale of 0, is infinite, a sure miss, if it moved at all. A cell and tau is one recursion; its rows are sorted and streamed, and a task holds one period of them.
     """
     begin = dict(start or {})
 
@@ -55,10 +55,9 @@ def adaptive_replay(scores: DataFrame, table: DataFrame, cell: str, period: str,
             if key != now:
                 now, m = key, begin.get((key[0], int(key[1])), 1.0)
             s, served = rows["s"].to_numpy(float), m
-            if np.isfinite(s).any():
-                miss = float((s > m * float(rows["q"].iloc[0])).mean())
-                m = min(max(m * math.exp(rate * (miss - (1 - float(rows["tau"].iloc[0])))), LOWEST), HIGHEST)
-            out.append((key[0], int(key[1]), when, int(np.isfinite(s).sum()), served, m))
+            miss = float((s > m * float(rows["q"].iloc[0])).mean())
+            m = min(max(m * math.exp(rate * (miss - (1 - float(rows["tau"].iloc[0])))), LOWEST), HIGHEST)
+            out.append((key[0], int(key[1]), when, len(s), served, m))
             if len(out) >= 5000:
                 yield _batch(out)
                 out = []
@@ -68,7 +67,8 @@ def adaptive_replay(scores: DataFrame, table: DataFrame, cell: str, period: str,
         kinds = (pa.string(), pa.int32(), pa.date32(), pa.int64(), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["cell", "tau_bps", "period", "n", "m_served", "m_next"])
 
-    rows = scores.join(sized(table), cell).select(F.col(cell).alias("cell"), "tau_bps", "tau", "q", F.col(period).cast("date").alias("period"), F.col(score).alias("s"))
+    known = scores.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(period).isNotNull())
+    rows = known.join(sized(table.where("q IS NOT NULL")), cell).select(F.col(cell).alias("cell"), "tau_bps", "tau", "q", F.col(period).cast("date").alias("period"), F.col(score).alias("s"))
     dealt = rows.repartition("cell", "tau_bps").sortWithinPartitions("cell", "tau_bps", "period")
     return dealt.mapInArrow(run, "cell string, tau_bps int, period date, n long, m_served double, m_next double")
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import insort
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .prefix import prefix_quantiles
 
 
 def gap_pairs(bars: DataFrame, mode: str = "weekend", min_gap: int = 3, vol_lookback: int = 20) -> DataFrame:
@@ -120,42 +117,14 @@ def har_features(panel: DataFrame) -> DataFrame:
     return panel.withColumns({"rv_d": F.lag(a).over(order), "rv_w": mean(5), "rv_m": mean(22)})
 
 
-def expanding_quantile(panel: DataFrame, tau: float, least: int = 100, bins: int = 64) -> DataFrame:
-    """The tau quantile of all symbols' absolute residuals in strictly earlier gaps, a row a gap date.
-
-    Residuals fall into bins between quantiles of a sketch; running counts of dates and bins say in which bins a date's
-    two middle ranks lie, and only those bins' rows are looked at, each bin by itself: its values are put in line date by
-    date. The more rows, the more bins one may ask for.
-    """
-    a = panel.select("fri_ts", F.abs("rel_resid").alias("a")).where("a IS NOT NULL")
-    edges = a.agg(F.percentile_approx("a", [i / bins for i in range(1, bins)], 10_000)).first()[0] or []
-    binned = written(a.withColumn("bin", sum((F.when(F.col("a") > e, 1).otherwise(0) for e in edges), F.lit(0))), "binned")
-    dates = binned.select("fri_ts").distinct()
-    grid = dates.crossJoin(panel.sparkSession.range(max(1, len(edges) + 1)).select(F.col("id").cast("int").alias("bin")))
-    counts = grid.join(binned.groupBy("fri_ts", "bin").count(), ["fri_ts", "bin"], "left")
-    past = Window.partitionBy("bin").orderBy("fri_ts").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("c", F.coalesce(F.sum("count").over(past), F.lit(0)))
-    up_to = Window.partitionBy("fri_ts").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumns({"before": F.coalesce(F.sum("c").over(up_to), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("fri_ts"))}).where(F.col("n") >= least)
-    at = (F.col("n") - 1) * F.lit(tau)
-    asked = placed.withColumn("ask", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("k")), F.struct(F.lit(1).alias("side"), F.ceil(at).alias("k")))))
-    asked = asked.where("ask.k >= before AND ask.k < before + c").select("bin", "fri_ts", "n", "ask.side", (F.col("ask.k") - F.col("before")).alias("k"))
-
-    def ranked(key: tuple, own: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        own, want = own.sort_values("fri_ts", kind="stable"), want.sort_values("fri_ts", kind="stable")
-        when, values, line, at, out = own["fri_ts"].to_numpy(), own["a"].to_numpy(), [], 0, []
-        for t, k in zip(want["fri_ts"].to_numpy(), want["k"].to_numpy(), strict=True):
-            while at < len(when) and when[at] < t:
-                insort(line, float(values[at]))
-                at += 1
-            out.append(line[k])
-        return want[["fri_ts", "n", "side"]].assign(a=out)
-
-    asked = written(asked, "asked")
-    found = binned.groupBy("bin").cogroup(asked.groupBy("bin")).applyInPandas(ranked, "fri_ts date, n long, side int, a double")
-    pair = found.groupBy("fri_ts", "n").agg(F.max(F.when(F.col("side") == 0, F.col("a"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("a"))).alias("hi"))
+def expanding_quantile(panel: DataFrame, tau: float, least: int = 100) -> DataFrame:
+    """The tau quantile of all symbols' absolute residuals in strictly earlier gaps, a row a gap date: fri_ts, n and q."""
+    a = panel.select("fri_ts", F.abs("rel_resid").alias("a"), F.lit("all").alias("cell")).where("a IS NOT NULL")
+    at = lambda up: lambda n: (F.ceil if up else F.floor)((n - 1) * F.lit(tau)) + 1
+    found = prefix_quantiles(a, "cell", "fri_ts", "a", a.select(F.col("fri_ts").alias("as_of")), [at(False), at(True)], least)
+    pair = found.groupBy("as_of", "n").agg(F.max(F.when(F.col("ask") == 0, F.col("q"))).alias("lo"), F.max(F.when(F.col("ask") == 1, F.col("q"))).alias("hi"))
     part = (F.col("n") - 1) * F.lit(tau) - F.floor((F.col("n") - 1) * F.lit(tau))
-    return pair.select("fri_ts", "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("q"))
+    return pair.select(F.col("as_of").alias("fri_ts"), "n", (F.col("lo") + (F.col("hi") - F.col("lo")) * part).alias("q"))
 
 
 def leave_one_out(panel: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import sized
+from .shared import percentiles, sized
 
 # Threshold multipliers by regime, and the cost of a decision (first) when another was right (second).
 MULTIPLIERS = {"normal": 1.00, "long_weekend": 0.95, "high_vol": 0.85}
@@ -180,10 +180,11 @@ def origination(rows: DataFrame, policies: Mapping[str, Column], timings: Mappin
 def origination_summary(rows: DataFrame, by: Sequence[str], yearly: float = 0.05, days: float = 2.0) -> DataFrame:
     """What policies lend, lose and earn, by any columns."""
     g = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.countDistinct("fri_ts").alias("n_weekends"), F.avg("permitted").alias("mean_capacity"), F.percentile("permitted", F.lit(0.5)).alias("median_capacity"),
+        F.count("*").alias("n"), F.countDistinct("fri_ts").alias("n_weekends"), F.avg("permitted").alias("mean_capacity"),
         F.count_if("unsafe").alias("unsafe_n"), F.avg(F.col("unsafe").cast("double")).alias("unsafe_rate"), F.avg("shortfall").alias("mean_shortfall"), F.max("shortfall").alias("max_shortfall"),
         F.avg(F.col("breached").cast("double")).alias("breach_rate"), F.avg("buffer_bps").alias("mean_buffer_bps"),
     )
+    g = g.join(percentiles(rows, by, F.col("permitted"), {"median_capacity": 0.5}), list(by))
     return g.withColumns({"year_income": F.col("mean_capacity") * yearly, "weekend_income": F.col("mean_capacity") * yearly * days / 365})
 
 

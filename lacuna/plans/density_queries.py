@@ -14,7 +14,7 @@ from ..operators import panel as P
 from ..operators import resample as R
 from ..operators import stats as S
 from ..operators import tails as TL
-from ..operators.shared import order_statistics, sized
+from ..operators.shared import order_statistics, percentiles, sized
 from ..sources import market as M
 from .panel_queries import BARS, PANEL, SERVED, SPLIT, TAUS, _bump_sql, _table_sql, bands, panel, r_signed
 from .policy_queries import rounded
@@ -110,7 +110,7 @@ def q_sigmas(s, d):  # noqa: ANN001, ANN201
 
 def q_realised_bucket(s, d):  # noqa: ANN001, ANN201
     rows = panel(s, d).withColumn("z", scalar.realised_z(F.col("mon_open"), F.col("fri_close"), F.col("fri_vol_20d")))
-    cut = rows.agg(F.percentile("z", F.lit(0.33)).alias("a"), F.percentile("z", F.lit(0.67)).alias("b"))
+    cut = percentiles(rows, [], F.col("z"), {"a": 0.33, "b": 0.67})
     bucket = F.when(F.col("z") <= F.col("a"), "calm").when(F.col("z") <= F.col("b"), "normal").otherwise("shock")
     return rows.where("z IS NOT NULL").crossJoin(sized(cut)).groupBy("regime_pub", bucket.alias("realized_bucket")).agg(F.count("*").alias("n"), F.round(F.avg("z"), 5).alias("mean_z"))
 

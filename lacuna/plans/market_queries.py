@@ -12,8 +12,9 @@ from ..operators import online as O
 from ..operators import panel as P
 from ..operators import policy as L
 from ..operators import route as R
+from ..operators.shared import order_statistics, percentiles
 from ..sources import market as M
-from .panel_queries import BARS, PAIRS, PANEL, SERVED, _table_sql, bands, panel, r
+from .panel_queries import BARS, PAIRS, PANEL, SERVED, TAUS, _table_sql, bands, panel, r
 
 def asks(s, d):  # noqa: ANN001, ANN201
     """Points in time to ask at: purchases."""
@@ -92,7 +93,8 @@ def q_sessions(s, d):  # noqa: ANN001, ANN201
 def q_tape_stats(s, d):  # noqa: ANN001, ANN201
     line = Window.partitionBy("symbol").orderBy("ts", "event_id")
     rows = M.tape(s, d).withColumns({"dt": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(line))) / 1e6, "same": (F.col("value") == F.lag("value").over(line)).cast("double")})
-    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.round(F.percentile("dt", F.lit(0.5)), 4).alias("median_dt"), F.round(F.avg("same"), 6).alias("stale"))
+    g = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.round(F.avg("same"), 6).alias("stale"))
+    return g.join(percentiles(rows, ["symbol"], F.col("dt"), {"median_dt": 0.5}), "symbol").withColumn("median_dt", F.round("median_dt", 4))
 
 
 def q_witching(s, d):  # noqa: ANN001, ANN201
@@ -142,9 +144,9 @@ def q_monotone(s, d):  # noqa: ANN001, ANN201
 def q_buffer(s, d):  # noqa: ANN001, ANN201
     """The constant buffer, in a grid of 5 bps, that covers tau of the gaps' moves: an order statistic rounded up."""
     rows = panel(s, d).where("score_raw IS NOT NULL").select("regime_pub", (F.col("score_raw") * 10_000).alias("dev"))
-    n = Window.partitionBy("regime_pub")
-    ranked = rows.withColumns({"k": F.row_number().over(n.orderBy("dev")), "n": F.count("*").over(n)})
-    return ranked.where("k = ceil((n - 1) * 0.95D) + 1").select("regime_pub", "n", (F.ceil(F.col("dev") / 5) * 5).alias("buffer_bps"))
+    found = order_statistics(rows, ["regime_pub"], "dev", [(t, lambda n, t=t: F.ceil((n - 1) * F.lit(t)) + 1) for t in (0.68, 0.85, 0.95, 0.99)])
+    tau = F.element_at(F.array(*[F.lit(t) for t in (6800, 8500, 9500, 9900)]), F.col("ask") + 1)
+    return found.select("regime_pub", tau.alias("tau_bps"), "n", (F.ceil(F.col("q") / 5) * 5).cast("long").alias("buffer_bps"))
 
 
 def q_recency(s, d):  # noqa: ANN001, ANN201
@@ -192,7 +194,7 @@ QUERIES = {
     "p9_swaps": (q_swaps, "WITH l AS (SELECT p_brand, (p_size * 1000000)::HUGEINT AS rin, (round(p_retailprice * 100)::BIGINT * 1000)::HUGEINT AS rout, round(l_extendedprice * 100)::BIGINT AS amount, round(l_discount * 1000)::BIGINT AS fee FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT *, least(greatest(500000 - amount, amount - 2000000, 0) * 100 // 1500000, 300) AS extra FROM l), n AS (SELECT *, (amount * (10000 - fee - extra) // 10000)::HUGEINT AS net FROM e) SELECT p_brand, count(*) AS n, sum(net * rout // (rin + net))::BIGINT AS paid, sum(extra)::BIGINT AS extra_bps FROM n GROUP BY 1"),
     "o7_cusum": (q_cusum, f"WITH {PANEL}, z AS (SELECT symbol, fri_ts, rel_resid / sigma AS z FROM panel WHERE score IS NOT NULL), u AS (SELECT symbol, fri_ts, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS d FROM z WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)), c AS (SELECT symbol, fri_ts, u - least(0, min(u) OVER w) AS a, d - least(0, min(d) OVER w) AS b FROM u WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts)) SELECT symbol, fri_ts, round(a, 5) AS s_up, round(b, 5) AS s_down, a >= 4 OR b >= 4 AS alarm FROM c"),
     "o13_monotone": (q_monotone, "WITH x AS (SELECT event_id, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT event_id, b IS NULL OR ts >= b AS accepted FROM x"),
-    "n4_buffer": (q_buffer, f"WITH {PANEL}, x AS (SELECT regime_pub, score_raw * 10000 AS dev, row_number() OVER (PARTITION BY regime_pub ORDER BY score_raw) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM panel WHERE score_raw IS NOT NULL) SELECT regime_pub, n, (ceil(dev / 5) * 5)::BIGINT AS buffer_bps FROM x WHERE k = ceil((n - 1) * 0.95::DOUBLE) + 1"),
+    "n4_buffer": (q_buffer, f"WITH {PANEL}, {TAUS}, x AS (SELECT regime_pub, score_raw * 10000 AS dev, row_number() OVER (PARTITION BY regime_pub ORDER BY score_raw) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM panel WHERE score_raw IS NOT NULL) SELECT regime_pub, tau_bps, n, (ceil(dev / 5) * 5)::BIGINT AS buffer_bps FROM x, taus WHERE k = ceil((n - 1) * tau) + 1"),
     "n5_recency": (q_recency, f"WITH {PANEL}, x AS (SELECT *, exp(-(DATE '2001-12-31' - fri_ts) / (12 * 30.5)) AS w FROM panel WHERE score IS NOT NULL) SELECT symbol, regime_pub, round(sum(w * CASE WHEN score <= 1 THEN 1.0 ELSE 0.0 END) / sum(w), 6) AS weighted, count(*) AS n FROM x GROUP BY 1, 2"),
     "q4_commitment_audit": (q_audit, f"WITH {SERVED}, {_table_sql('q2', 'score', where=AUDIT)}, a AS (SELECT symbol, fri_ts, tau_bps, (upper - lower) / 2 AS half FROM bands), b AS (SELECT symbol, fri_ts, tau_bps, q * sigma * fri_close AS half FROM panel JOIN q2 USING (regime_pub) WHERE sigma IS NOT NULL AND (fri_ts >= DATE '2000-01-01' OR (fri_ts >= DATE '1998-12-01' AND fri_ts < DATE '1999-01-15'))) SELECT tau_bps, CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, count(*) AS n FROM a FULL JOIN b USING (symbol, fri_ts, tau_bps) GROUP BY 1, 2"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import calibrate as C
 from ..operators import panel as P
-from ..operators.shared import once, running, sized, written
+from ..operators.shared import once, percentiles, running, sized, written
 from ..operators.stats import kupiec_lr
 from ..sources import market as M
 
@@ -120,7 +120,7 @@ def q_partial_out(s, d):  # noqa: ANN001, ANN201
 def q_regime_counts(s, d):  # noqa: ANN001, ANN201
     rows = panel(s, d)
     z = F.abs("rel_resid")
-    cut = rows.agg(F.percentile(z, F.lit(0.33)).alias("a"), F.percentile(z, F.lit(0.67)).alias("b"))
+    cut = percentiles(rows, [], z, {"a": 0.33, "b": 0.67})
     bucket = F.when(z <= F.col("a"), "calm").when(z <= F.col("b"), "normal").otherwise("shock")
     return rows.crossJoin(F.broadcast(cut)).groupBy("regime_pub", bucket.alias("realized_bucket")).agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("fri_ts").alias("n_dates"))
 
@@ -169,13 +169,16 @@ def q_coverage_wide(s, d):  # noqa: ANN001, ANN201
 
 def q_point_accuracy(s, d):  # noqa: ANN001, ANN201
     e = (F.col("mon_open") - F.col("point")) / F.col("point") * 10_000
-    return panel(s, d).groupBy("regime_pub").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae_bps"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse_bps"), F.round(F.percentile(e, F.lit(0.5)), 4).alias("median_bias_bps"))
+    g = panel(s, d).groupBy("regime_pub").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae_bps"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse_bps"))
+    return g.join(percentiles(panel(s, d), ["regime_pub"], e, {"m": 0.5}), "regime_pub").withColumn("median_bias_bps", F.round("m", 4)).drop("m")
 
 
 def q_exceedance(s, d):  # noqa: ANN001, ANN201
     over = F.greatest(F.col("lower") - F.col("mon_open"), F.col("mon_open") - F.col("upper")) / F.col("fri_close") * 10_000
-    out = bands(s, d).withColumn("over", over).where("over > 0").groupBy("tau_bps")
-    return out.agg(F.count("*").alias("n"), F.round(F.avg("over"), 3).alias("mean_bps"), F.round(F.percentile("over", F.lit(0.5)), 3).alias("median_bps"), F.round(F.percentile("over", F.lit(0.95)), 3).alias("p95_bps"), F.round(F.max("over"), 3).alias("max_bps"))
+    out = bands(s, d).withColumn("over", over).where("over > 0")
+    told = out.groupBy("tau_bps").agg(F.count("*").alias("n"), F.round(F.avg("over"), 3).alias("mean_bps"), F.round(F.max("over"), 3).alias("max_bps"))
+    at = percentiles(out, ["tau_bps"], F.col("over"), {"median_bps": 0.5, "p95_bps": 0.95})
+    return told.join(at, "tau_bps").select("tau_bps", "n", "mean_bps", r("median_bps", 3), r("p95_bps", 3), "max_bps")
 
 
 def q_winkler(s, d):  # noqa: ANN001, ANN201
@@ -232,7 +235,8 @@ def q_ablation(s, d):  # noqa: ANN001, ANN201
 def q_vol_split(s, d):  # noqa: ANN001, ANN201
     """Normal rows split in three by the index's train-side tertiles; other regimes as they are."""
     rows = panel(s, d)
-    cut = rows.where((F.col("regime_pub") == "normal") & (F.col("fri_ts") < SPLIT)).agg(F.percentile("vix", F.lit(1 / 3)).alias("a"), F.percentile("vix", F.lit(2 / 3)).alias("b"))
+    cut = rows.where((F.col("regime_pub") == "normal") & (F.col("fri_ts") < SPLIT))
+    cut = percentiles(cut, [], F.col("vix"), {"a": 1 / 3, "b": 2 / 3})
     cell = F.when(F.col("regime_pub") != "normal", F.col("regime_pub")).when(F.col("vix") <= F.col("a"), "normal_calm").when(F.col("vix") < F.col("b"), "normal_mid").otherwise("normal_heavy")
     return rows.crossJoin(F.broadcast(cut)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
 

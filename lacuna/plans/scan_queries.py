@@ -13,7 +13,7 @@ from ..operators import calibrate as C
 from ..operators import factors as X
 from ..operators import joins as J
 from ..operators import panel as P
-from ..operators.shared import fresh_path, once, order_statistics, sized
+from ..operators.shared import fresh_path, once, order_statistics, percentiles, sized
 from ..sources import market as M
 from ..sources import tapes as T
 from .market_queries import EV, asks, ticks
@@ -143,13 +143,15 @@ def q_week_medians(s, d):  # noqa: ANN001, ANN201
     """Sizes of basis on weekends and weekdays: median and 90th."""
     basis = F.abs(F.col("value") - F.avg("value").over(Window.partitionBy("symbol", F.to_date("ts"))))
     rows = M.tape(s, d).withColumn("basis", basis).withColumn("weekend", F.dayofweek("ts").isin(1, 7))
-    return rounded(rows.groupBy("symbol", "weekend").agg(F.count("*").alias("n"), F.percentile("basis", F.lit(0.5)).alias("median"), F.percentile("basis", F.lit(0.9)).alias("p90")), 5)
+    g = rows.groupBy("symbol", "weekend").agg(F.count("*").alias("n"))
+    return rounded(g.join(percentiles(rows, ["symbol", "weekend"], F.col("basis"), {"median": 0.5, "p90": 0.9}), ["symbol", "weekend"]), 5)
 
 
 def q_dispersion(s, d):  # noqa: ANN001, ANN201
     z = F.abs(F.col("rel_resid") / F.col("sigma"))
-    g = panel(s, d).where("sigma > 0").groupBy("regime_pub").agg(F.count("*").alias("n"), F.avg(z).alias("mean"), F.percentile(z, F.lit(0.95)).alias("p95"), F.percentile(z, F.lit(0.99)).alias("p99"))
-    return rounded(g, 5)
+    rows = panel(s, d).where("sigma > 0")
+    g = rows.groupBy("regime_pub").agg(F.count("*").alias("n"), F.avg(z).alias("mean"))
+    return rounded(g.join(percentiles(rows, ["regime_pub"], z, {"p95": 0.95, "p99": 0.99}), "regime_pub"), 5)
 
 
 def q_trading_days(s, d):  # noqa: ANN001, ANN201
@@ -224,7 +226,7 @@ def q_session_nearest(s, d):  # noqa: ANN001, ANN201
 def q_vix_buffer(s, d):  # noqa: ANN001, ANN201
     """Constant buffers that grow with the index: the order statistic of moves over index by its median, rounded up."""
     rows = panel(s, d).where("score_raw IS NOT NULL")
-    mid = rows.agg(F.percentile("vix", F.lit(0.5)).alias("mid"))
+    mid = percentiles(rows, [], F.col("vix"), {"mid": 0.5})
     scaled = rows.crossJoin(sized(mid)).withColumn("x", F.col("score_raw") * 10_000 / (F.col("vix") / F.col("mid")))
     found = order_statistics(scaled, ["regime_pub"], "x", [(t, lambda n, t=t: F.ceil((n - 1) * F.lit(t)) + 1) for t in (0.68, 0.95)])
     return found.select("regime_pub", F.element_at(F.array(F.lit(6800), F.lit(9500)), F.col("ask") + 1).alias("tau_bps"), "n", (F.ceil(F.col("q") / 5) * 5).cast("long").alias("buffer_bps"))

@@ -11,15 +11,16 @@ from ..operators import joins as J
 from ..operators import online as O
 from ..operators import panel as P
 from ..operators import stats as S
-from ..operators.shared import order_statistics, sized, written
+from ..operators.prefix import prefix_quantiles
+from ..operators.shared import percentiles, sized, written
 from ..sources import market as M
 from .market_queries import EVENTS_Q
 from .panel_queries import PANEL, SERVED, SPLIT, TAUS, _bump_sql, _table_sql, bands, panel
 from .policy_queries import rounded
 
-# Served schedules by coverage (shift of tau, bump of q).
-SHIFT = {0.68: 0.02, 0.85: 0.01, 0.95: 0.0, 0.99: 0.0}
-BUMP = {0.68: 1.0, 0.85: 1.02, 0.95: 1.05, 0.99: 1.0}
+# The published schedules by coverage (shift of tau, bump of q).
+SHIFT = {0.68: 0.05, 0.85: 0.02, 0.95: 0.0, 0.99: 0.0}
+BUMP = {0.68: 1.498, 0.85: 1.455, 0.95: 1.3, 0.99: 1.076}
 
 
 def early(s, d):  # noqa: ANN001, ANN201
@@ -71,7 +72,10 @@ def q_available(s, d):  # noqa: ANN001, ANN201
 
 
 def replayed(s, d):  # noqa: ANN001, ANN201
-    return O.adaptive_replay(late(s, d), table(s, d).select("regime_pub", "tau_bps", "tau", "q"), "regime_pub", "fri_ts", "score")
+    """Moves of the open from the point, over what the scale makes of the close; without a scale, no row."""
+    unit, move = F.col("sigma") * F.col("fri_close"), F.abs(F.col("mon_open") - F.col("point"))
+    score = F.when(unit > 0, move / unit).when((unit == 0) & (move > 0), F.lit(float("inf"))).when(unit == 0, F.lit(0.0))
+    return O.adaptive_replay(late(s, d).withColumn("score", score), table(s, d).select("regime_pub", "tau_bps", "tau", "q"), "regime_pub", "fri_ts", "score")
 
 
 def q_adaptive(s, d):  # noqa: ANN001, ANN201
@@ -138,19 +142,21 @@ def q_nested_holdout(s, d):  # noqa: ANN001, ANN201
     c = C.fit_bump(tune, q, ["regime_pub"], "score")
     test = panel(s, d).where("fri_ts >= '2000-01-01' AND score IS NOT NULL").join(sized(q.join(c.select("tau_bps", "c"), "tau_bps")), "regime_pub")
     rows = test.withColumns({"miss": (F.col("score") > F.col("q") * F.col("c")).cast("int"), "hw": F.col("q") * F.col("c") * F.col("sigma") * 10_000})
-    g = rows.groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.sum("miss").alias("x"), F.avg("hw").alias("mean_hw"), F.percentile("hw", F.lit(0.5)).alias("median_hw"))
+    g = rows.groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.sum("miss").alias("x"), F.avg("hw").alias("mean_hw"))
+    g = g.join(percentiles(rows, ["tau_bps"], F.col("hw"), {"median_hw": 0.5}), "tau_bps")
     return rounded(g.withColumn("lr_uc", S.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau"))).drop("tau"), 4)
 
 
 def q_matched_history(s, d):  # noqa: ANN001, ANN201
-    """A refit for every late date on the scores strictly before it: the quantile, and whether its rank was saturated."""
-    rows = panel(s, d).where("score IS NOT NULL").select("fri_ts", "score")
-    evals = late(s, d).select(F.col("fri_ts").alias("eval_ts")).distinct()
-    months = evals.select(F.trunc("eval_ts", "month").alias("as_of")).distinct()
-    cal = rows.join(sized(months), F.col("fri_ts") < F.col("as_of"))
-    found = order_statistics(cal, ["as_of"], "score", [(t, lambda n, t=t: F.least(F.ceil(F.lit(t) * (n + 1)), n)) for t in (0.68, 0.95)])
-    tau = F.element_at(F.array(F.lit(0.68), F.lit(0.95)), F.col("ask") + 1)
-    return found.select("as_of", F.round(tau * 10_000).cast("int").alias("tau_bps"), "n", F.round("q", 5).alias("q"), (F.ceil(tau * (F.col("n") + 1)) > F.col("n")).alias("saturated"))
+    """A refit for every late date with at least four earlier ones, on the scores strictly before it, by regime and pooled:
+    the quantile, and whether its rank was saturated."""
+    taus = (0.68, 0.85, 0.95, 0.99)
+    rows = panel(s, d).where("score IS NOT NULL").withColumn("cell", F.explode(F.array(F.col("regime_pub"), F.lit("pooled"))))
+    dates = panel(s, d).select("fri_ts").distinct().withColumn("past", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("fri_ts")) - 1)  # a row a date
+    dates = dates.where((F.col("past") >= 4) & (F.col("fri_ts") >= SPLIT)).select(F.col("fri_ts").alias("as_of"))
+    found = prefix_quantiles(rows, "cell", "fri_ts", "score", dates, [lambda n, t=t: F.least(F.greatest(F.ceil(F.lit(t) * (n + 1)), F.lit(1)), n) for t in taus])
+    tau = F.element_at(F.array(*[F.lit(t) for t in taus]), F.col("ask") + 1)
+    return found.select("as_of", F.col("cell").alias("scope"), F.round(tau * 10_000).cast("int").alias("tau_bps"), "n", F.round("q", 5).alias("q"), (F.ceil(tau * (F.col("n") + 1)) > F.col("n")).alias("saturated"))
 
 
 def q_scale_sweep(s, d):  # noqa: ANN001, ANN201
@@ -224,7 +230,7 @@ def q_parity(s, d):  # noqa: ANN001, ANN201
     return A.differing(a, b.select("symbol", "fri_ts", "tau_bps", "lower", "upper"), ["symbol", "fri_ts", "tau_bps"], ["lower", "upper"])
 
 
-_SH = "CASE tau_bps WHEN 6800 THEN 0.02::DOUBLE WHEN 8500 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END"
+_SH = "CASE tau_bps WHEN 6800 THEN 0.05::DOUBLE WHEN 8500 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END"
 
 
 def _interp(x: str, points: list[tuple[float, str]]) -> str:
@@ -283,7 +289,7 @@ QUERIES = {
     "d13_path_coverage": (q_path_coverage, f"WITH {_PATH_BANDS} SELECT regime_pub, tau_bps, count(*) AS n, round(avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END), 4) AS endpoint_cov, round(avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END), 4) AS path_cov, round((avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END) - avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END)) * 100, 4) AS gap_pp FROM bands GROUP BY 1, 2"),
     "j11_path_wide": (q_path_wide, f"WITH {_PATH_BANDS} SELECT symbol, fri_ts, " + ", ".join(f'round(max(lower) FILTER (tau_bps = {b}), 3) AS "{b}_lo", round(max(upper) FILTER (tau_bps = {b}), 3) AS "{b}_hi"' for b in (6800, 8500, 9500, 9900)) + " FROM bands GROUP BY 1, 2"),
     "i25_nested_holdout": (q_nested_holdout, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, {_TUNE}, t AS (SELECT tau_bps, tau, CASE WHEN score > q * c THEN 1 ELSE 0 END AS miss, q * c * sigma * 10000 AS hw FROM panel JOIN qt USING (regime_pub) JOIN bump USING (tau_bps, tau) WHERE fri_ts >= DATE '2000-01-01' AND score IS NOT NULL), g AS (SELECT tau_bps, tau, count(*) AS n, sum(miss)::BIGINT AS x, avg(hw) AS mean_hw, median(hw) AS median_hw FROM t GROUP BY 1, 2) SELECT tau_bps, n, x, round(mean_hw, 4) AS mean_hw, round(median_hw, 4) AS median_hw, round(greatest(2 * ({_LRX} - (n - x) * ln(tau) - x * ln(1 - tau)), 0), 4) AS lr_uc FROM g"),
-    "i22_matched_history": (q_matched_history, f"WITH {PANEL}, m AS (SELECT DISTINCT date_trunc('month', fri_ts)::DATE AS as_of FROM panel WHERE {_LATE}), x AS (SELECT as_of, score AS q, row_number() OVER (PARTITION BY as_of ORDER BY score) AS k, count(*) OVER (PARTITION BY as_of) AS n FROM panel JOIN m ON fri_ts < as_of WHERE score IS NOT NULL) SELECT as_of, tau_bps, n, round(q, 5) AS q, ceil(tau * (n + 1)) > n AS saturated FROM x, (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau) WHERE k = least(ceil(tau * (n + 1)), n)"),
+    "i22_matched_history": (q_matched_history, f"WITH {PANEL}, {TAUS}, m AS (SELECT fri_ts AS as_of FROM (SELECT fri_ts, row_number() OVER (ORDER BY fri_ts) - 1 AS past FROM (SELECT DISTINCT fri_ts FROM panel)) WHERE past >= 4 AND {_LATE}), c AS (SELECT fri_ts, score, unnest([regime_pub, 'pooled']) AS scope FROM panel WHERE score IS NOT NULL), x AS (SELECT as_of, scope, score AS q, row_number() OVER (PARTITION BY as_of, scope ORDER BY score) AS k, count(*) OVER (PARTITION BY as_of, scope) AS n FROM c JOIN m ON fri_ts < as_of) SELECT as_of, scope, tau_bps, n, round(q, 5) AS q, ceil(tau * (n + 1)) > n AS saturated FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)"),
     "b18_scale_power": (q_scale_sweep, f"WITH {PANEL}, {TAUS}, e AS (SELECT *, pow(sigma, rho) AS unit, score_raw / pow(sigma, rho) AS s FROM panel, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) r(rho) WHERE sigma > 0), x AS (SELECT rho, regime_pub, s, row_number() OVER (PARTITION BY rho, regime_pub ORDER BY s) AS k, count(*) OVER (PARTITION BY rho, regime_pub) AS n FROM e WHERE NOT ({_LATE})), q AS (SELECT rho, regime_pub, tau_bps, s AS q FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT rho, tau_bps, count(*) AS n, round(avg(CASE WHEN s <= q THEN 1.0 ELSE 0 END), 4) AS realised, round(avg(q * unit * 10000), 4) AS mean_hw_bps FROM e JOIN q USING (rho, regime_pub) WHERE {_LATE} GROUP BY 1, 2"),
     "i28_scale_variants": (q_scale_variants, f"WITH {PANEL}, {TAUS}, n0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fri_ts) AS rn FROM panel), s0 AS (SELECT *, {_EW(6)} AS s6, {_EW(12)} AS s12, CASE WHEN count(*) OVER v >= 8 THEN stddev_samp(rel_resid) OVER v END AS sk FROM n0 WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)), f AS (SELECT * FROM s0 WHERE sigma > 0 AND sk > 0 AND s6 > 0 AND s12 > 0), e AS (SELECT 'k26' AS variant, fri_ts, regime_pub, score_raw, sk AS scale FROM f UNION ALL SELECT 'hl6', fri_ts, regime_pub, score_raw, s6 FROM f UNION ALL SELECT 'hl8', fri_ts, regime_pub, score_raw, sigma FROM f UNION ALL SELECT 'hl12', fri_ts, regime_pub, score_raw, s12 FROM f UNION ALL SELECT 'blend', fri_ts, regime_pub, score_raw, 0.5 * sigma + 0.5 * sk FROM f), x AS (SELECT variant, regime_pub, score_raw / scale AS s, row_number() OVER (PARTITION BY variant, regime_pub ORDER BY score_raw / scale) AS k, count(*) OVER (PARTITION BY variant, regime_pub) AS n FROM e WHERE NOT ({_LATE})), q AS (SELECT variant, regime_pub, tau_bps, s AS q FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT variant, tau_bps, count(*) AS n, round(avg(CASE WHEN score_raw / scale <= q THEN 1.0 ELSE 0 END), 4) AS realised, round(avg(q * scale * 10000), 4) AS mean_hw_bps FROM e JOIN q USING (variant, regime_pub) WHERE {_LATE} GROUP BY 1, 2"),
     "i26_regime_sensitivity": (q_regime_sensitivity, f"WITH {PANEL}, {', '.join(_REGIME(q) for q in (0.6, 0.75, 0.9))}, u AS (SELECT 0.6::DOUBLE AS quantile, * FROM r60 UNION ALL SELECT 0.75, * FROM r75 UNION ALL SELECT 0.9, * FROM r90) SELECT CASE WHEN high THEN 'high_vol' WHEN gap_days >= 4 THEN 'long_weekend' ELSE 'normal' END AS regime_pub, count(*) AS n, round(avg(score), 5) AS mean_score, quantile FROM panel JOIN u USING (fri_ts) GROUP BY 1, 4"),

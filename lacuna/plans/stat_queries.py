@@ -64,7 +64,7 @@ def q_crps(s, d):  # noqa: ANN001, ANN201
 
 def q_bootstrap(s, d):  # noqa: ANN001, ANN201
     rows = C.with_hits(bands(s, d)).select("fri_ts", "tau_bps", F.col("inside").cast("double").alias("v"))
-    return R.block_bootstrap(rows, "fri_ts", ["tau_bps"], "v", draws=200, seed=11).select("tau_bps", F.round("mean", 6).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return R.block_bootstrap(rows, "fri_ts", ["tau_bps"], "v", draws=200, seed=11, kind="multinomial").select("tau_bps", F.round("mean", 6).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 def _x(p: str, q: str) -> str:

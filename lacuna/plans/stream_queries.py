@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..operators.shared import fresh_path
 from ..streaming import live
 
 
-def _shared(s) -> str:  # noqa: ANN001
-    """A fresh folder in the one that executors share; a local session without one takes a temporary folder."""
-    at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def q_live_bars(s, d):  # noqa: ANN001, ANN201
-    at = _shared(s)
+    at = fresh_path(s, "stream")
     live.drain(live.live_bars(live.event_stream(s, f"{d}/events.parquet"), late="400 days"), f"{at}/out", f"{at}/checkpoint", "update")
     rows = s.read.parquet(f"{at}/out")
     last = rows.groupBy("symbol", "bar").agg(F.max_by(F.struct("open", "high", "low", "close", "n"), "batch").alias("v"))
@@ -25,7 +17,7 @@ def q_live_bars(s, d):  # noqa: ANN001, ANN201
 
 
 def q_forward_only(s, d):  # noqa: ANN001, ANN201
-    at = _shared(s)
+    at = fresh_path(s, "stream")
     live.forward_only(live.event_stream(s, f"{d}/events.parquet"), f"{at}/out", f"{at}/checkpoint")
     return s.read.parquet(f"{at}/out").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("accepted").alias("accepted"))
 

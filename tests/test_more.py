@@ -21,7 +21,8 @@ from lacuna.operators import policy as L
 from lacuna.operators import resample as R
 from lacuna.operators import route as X
 from lacuna.operators import tails as TL
-from lacuna.operators.shared import order_statistics, running
+from lacuna.operators.prefix import prefix_quantiles
+from lacuna.operators.shared import order_statistics, percentiles, running
 from lacuna.sources import tapes as T
 from lacuna.streaming import live
 
@@ -41,6 +42,40 @@ def test_order_statistics_in_brackets(spark):
             assert (r["n"], r["q"]) == (len(x), x[min(math.ceil((0.01, 0.5, 0.95, 0.999)[r["ask"]] * (len(x) + 1)), len(x)) - 1])
 
 
+def test_order_statistics_of_many_ties(spark):
+    rows = spark.range(400_000, numPartitions=8).select(F.lit("a").alias("cell"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") / 7).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1.0), ("a", None)], "cell string, v double"))
+    asks = [(t, lambda n, t=t: F.ceil(F.lit(t) * n)) for t in (0.25, 0.5, 0.500001, 0.75, 1.0)]
+    got = order_statistics(rows, ["cell"], "v", asks)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.rindex("HashAggregate")  # equal values are counted before they are put in line
+    want = np.sort(np.where(np.arange(400_000) % 2 == 0, 0.0, np.arange(400_000) / 7))
+    assert {r["ask"]: r["q"] for r in got.collect()} == {i: pytest.approx(want[math.ceil(t * 400_000) - 1]) for i, t in enumerate((0.25, 0.5, 0.500001, 0.75, 1.0))}
+    one = percentiles(rows, ["cell"], F.col("v"), {"m": 0.9, "lo": 0.0}).first()
+    assert one["m"] == pytest.approx(np.quantile(want, 0.9)) and one["lo"] == 0.0
+
+
+@pytest.mark.parametrize("bits", [2, 8])
+def test_prefix_quantiles_are_those_of_all_earlier_rows(spark, bits):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[int(rng.integers(0, 2))], day(int(rng.integers(0, 60))), float(rng.choice([0.0, 1.0, round(rng.exponential(), 3)]))) for _ in range(900)]
+    rows += [("a", day(3), None), (None, day(3), 1.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "cell string, d date, v double").repartition(5)
+    dates = spark.createDataFrame([(day(i),) for i in (0, 1, 7, 7, 33, 59, 90)], "as_of date")
+    shares = (0.1, 0.5, 0.95)
+    asks = [lambda n, t=t: F.least(F.greatest(F.ceil(F.lit(t) * (n + 1)), F.lit(1)), n) for t in shares]
+    got = {(r["cell"], r["as_of"], r["ask"]): (r["n"], r["q"]) for r in prefix_quantiles(df, "cell", "d", "v", dates, asks, least=5, bits=bits).collect()}
+    want = {}
+    for c in "ab":
+        for i in (0, 1, 7, 33, 59, 90):
+            x = np.sort([r[2] for r in rows if r[0] == c and r[1] is not None and r[2] is not None and r[1] < day(i)])
+            for k, t in enumerate(shares):
+                if len(x) >= 5:
+                    want[c, day(i), k] = (len(x), x[min(max(math.ceil(t * (len(x) + 1)), 1), len(x)) - 1])
+    assert got == want
+    assert prefix_quantiles(df.limit(0), "cell", "d", "v", dates, asks).count() == 0
+
+
 def test_running_sums(spark):
     df = spark.createDataFrame([("ab"[i % 2], i * 7 % 50, i) for i in range(200)], "g string, o int, v int").repartition(4)
     got = {r["v"]: (r["s"], r["k"]) for r in running(df, ["g", "o", "v"], {"s": "v", "k": "1"}, ["g"]).collect()}
@@ -72,9 +107,9 @@ def adaptive(rows, table):
     out = {}
     for (cell, tau), q in table.items():
         m = 1.0
-        for p in sorted({r[0] for r in rows if r[1] == cell}):
-            s = np.array([np.nan if r[2] is None else r[2] for r in rows if r[0] == p and r[1] == cell], float)
-            if np.isfinite(s).any():
+        for p in sorted({r[0] for r in rows if r[1] == cell and r[2] is not None}):
+            s = np.array([r[2] for r in rows if r[0] == p and r[1] == cell and r[2] is not None], float)
+            if len(s):
                 m = min(max(m * math.exp(0.05 * ((s > m * q).mean() - (1 - tau))), 0.25), 4.0)
             out[cell, tau, p] = m
     return out

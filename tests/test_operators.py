@@ -77,8 +77,11 @@ def test_adaptive_replay_ignores_row_order(spark):
     table = calibrate.quantile_table(df, calibrate.tau_table(spark, (0.68, 0.95)), ["cell"], "s").select("cell", "tau_bps", "tau", "q")
     run = lambda d: sorted(map(tuple, online.adaptive_replay(d, table, "cell", "day", "s").collect()))
     assert run(df) == run(df.orderBy(F.desc("s")).repartition(5))
-    p = online.adapted(pd.DataFrame({"period": [1, 2], "scores": [[2.0], [float("nan")]]}), 1.0, 0.95)
-    assert p["m_next"].tolist() == pytest.approx([math.exp(0.05 * 0.95)] * 2)
+    one = spark.createDataFrame([("c", dt.date(2024, 1, d), s) for d, s in ((1, 2.0), (1, None), (1, float("nan")), (2, None), (3, float("inf")), (3, 0.5))], "cell string, day date, s double")
+    got = online.adaptive_replay(one, spark.sql("SELECT 'c' AS cell, 9500 AS tau_bps, 0.95D AS tau, 1.0D AS q"), "cell", "day", "s").orderBy("period").collect()
+    first = math.exp(0.05 * 0.95)  # rows without a score don't dilute the share, a period without any isn't there
+    assert [(r["period"].day, r["n"]) for r in got] == [(1, 1), (3, 2)]
+    assert [r["m_next"] for r in got] == pytest.approx([first, first * math.exp(0.05 * 0.45)])
 
 
 def test_cusum_equals_the_recursion(spark):
