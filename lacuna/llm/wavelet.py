@@ -7,7 +7,6 @@ import os
 import struct
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -193,6 +192,50 @@ _kept: dict[str, tuple] = {}
 _end_marks: dict[str, np.ndarray] = {}
 
 
+class _Known:
+    """The ids of words met lately, in arrays: two hashes of each word, where its ids lie, when and how often it was met."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.turn = most, 0
+        self.a, self.b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # a ascends
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.last, self.often = np.zeros(0, np.int32), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.uint32)
+
+    def ids(self, words: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Ids of distinct words of small letters, as runs of one array: that array, starts and sizes. New words are learned."""
+        data, off = W.raw(words)
+        own = W.Words(data[off[0] : off[-1]], off[:-1] - off[0], off[1:] - off[0], off, off)
+        a, b = own.hashes(), own.hashes(other=True)
+        self.turn += 1
+        at, size = np.empty(len(a), np.int64), np.empty(len(a), np.int32)
+        hit = np.zeros(len(a), bool)
+        if len(self.a):
+            k = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+            hit = (self.a[k] == a) & (self.b[k] == b)
+            k = k[hit]
+            at[hit], size[hit] = self.at[k], self.size[k]
+            self.last[k], self.often[k] = self.turn, True
+        new = np.flatnonzero(~hit)
+        flat, n = _learned(words.take(pa.array(new)), tokenizer)
+        at[new], size[new] = len(self.flat) + np.cumsum(n) - n, n
+        flat = np.concatenate([self.flat, flat])
+        self.keep(flat, a[new], b[new], at[new], n)
+        return flat, at, size
+
+    def keep(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Words met more than once stay before others, and later ones before earlier."""
+        both = [np.concatenate(x) for x in ((self.a, a), (self.b, b), (self.at, at), (self.size, size), (self.last, np.full(len(a), self.turn, np.int32)), (self.often, np.zeros(len(a), bool)))]
+        if len(both[0]) > self.most:
+            worth = both[4].astype(np.int64) + (both[5].astype(np.int64) << 32)
+            stay = np.argpartition(-worth, self.most // 2)[: self.most // 2]
+            both = [x[stay] for x in both]
+        order = np.argsort(both[0])
+        self.a, self.b, at, self.size, self.last, self.often = (x[order] for x in both)
+        self.flat = _gathered(flat, at, self.size, np.arange(len(at)))
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+
+
 def _tokenizer(path: str):  # noqa: ANN202
     """The tokenizer of a file and the ids of words met so far, kept by a Python worker."""
     if path not in _kept:
@@ -200,12 +243,12 @@ def _tokenizer(path: str):  # noqa: ANN202
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        _kept[path] = (Tokenizer.from_file(path), {})
+        _kept[path] = (Tokenizer.from_file(path), _Known())
     return _kept[path]
 
 
-def _cut(own: pa.Array, tokenizer) -> tuple[pa.Array, np.ndarray, list[str]]:  # noqa: ANN001
-    """Distinct words without the marks after their last letter, as a dictionary array; which words had some; and those.
+def _cut(own: pa.Array, tokenizer) -> tuple[pa.DictionaryArray, np.ndarray, pa.DictionaryArray]:  # noqa: ANN001
+    """Distinct words without the marks after their last letter; which words had some; and those.
 
     The split pattern sees words as the normalizer leaves them, and some letters become a letter and a combining mark,
     which goes with the marks after it; so only words that still end in a letter then are cut.
@@ -221,57 +264,69 @@ def _cut(own: pa.Array, tokenizer) -> tuple[pa.Array, np.ndarray, list[str]]:  #
     cut = np.zeros(len(own), bool)
     cut[had] = True
     core = pc.if_else(pa.array(cut), bare, own)
-    size = np.asarray(pc.binary_length(core))[had]
-    tails = [w.encode()[n:].decode() for w, n in zip(own.take(pa.array(had)).to_pylist(), size.tolist(), strict=True)]
-    return core.dictionary_encode(), had, tails
+    data, off = W.raw(own)
+    stop = off[1:][had]
+    size = np.asarray(pc.binary_length(own))[had] - np.asarray(pc.binary_length(core))[had]
+    tails = _gathered(data, stop - size, size, np.arange(len(had)))
+    ends = pa.StringArray.from_buffers(len(had), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tails)))
+    return core.dictionary_encode(), had, ends.dictionary_encode()
 
 
-def _pool(own: pa.Array, tokenizer, kept: dict[str, bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+def _pool(own: pa.Array, tokenizer, known: _Known, plain: bool) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
     """The ids of distinct words, end to end, and their offsets. Marks after a letter that the normalizer leaves as
     a letter are pieces of their own, so they and what stands before them are looked up apart: fewer new words."""
-    core, had, tails = _cut(own, tokenizer) if plain else (own.dictionary_encode(), np.zeros(0, np.int64), [])
-    names = core.dictionary.to_pylist()
-    ends = list(dict.fromkeys(tails))
-    looked = names + ends
-    parts = list(map(kept.get, looked))
-    new = [i for i, p in enumerate(parts) if p is None]
-    _learn([looked[i] for i in new], tokenizer, kept)
-    for i in new:
-        parts[i] = kept[looked[i]]
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    flat, at = np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum(size)])
-    place = {w: len(names) + i for i, w in enumerate(ends)}
-    many = np.ones(len(own), np.int64)
-    many[had] = 2
-    first = np.cumsum(many) - many
-    parts_of = np.empty(int(many.sum()), np.int64)
-    parts_of[first] = np.asarray(core.indices)
-    parts_of[first[had] + 1] = [place[w] for w in tails]
+    if plain:
+        core, had, tails = _cut(own, tokenizer)
+        flat, at, size = known.ids(pa.concat_arrays([core.dictionary, tails.dictionary]), tokenizer)
+        many = np.ones(len(own), np.int64)
+        many[had] = 2
+        first = np.cumsum(many) - many
+        parts_of = np.empty(int(many.sum()), np.int64)
+        parts_of[first] = np.asarray(core.indices)
+        parts_of[first[had] + 1] = len(core.dictionary) + np.asarray(tails.indices)
+        first = np.append(first, len(parts_of))
+    else:
+        flat, size = _learned(own, tokenizer)
+        at, parts_of, first = np.cumsum(size) - size, np.arange(len(own)), np.arange(len(own) + 1)
     out = _gathered(flat, at, size, parts_of)
-    total = np.concatenate([[0], np.cumsum(size[parts_of])])
-    return out, total[np.append(first, len(parts_of))]
+    return out, np.concatenate([[0], np.cumsum(size[parts_of], dtype=np.int64)])[first]
 
 
-def _learn(new: list[str], tokenizer, kept: dict[str, bytes], run: int = 500) -> None:  # noqa: ANN001
-    """Encodes new words. Where the tokenizer marks a word's last piece, words of letters go in runs, and those marks
-    tell them apart; a run whose marks don't add up is done word by word."""
+def _learned(words: pa.Array, tokenizer, run: int = 500) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Ids of words, end to end, and how many each has. Where the tokenizer marks a word's last piece, words of letters go
+    in runs, and those marks tell them apart; a run whose marks don't add up is done word by word."""
     last = _ends(tokenizer)
-    letters = [w for w in new if w.isalpha()] if last is not None else []
-    rest = [w for w in new if not w.isalpha()] if last is not None else new
-    for i in range(0, len(letters), run):
-        some = letters[i : i + run]
-        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-        stop = np.flatnonzero(last[ids]) + 1
-        if len(stop) != len(some) or stop[-1] != len(ids):
-            rest += some
-            continue
-        raw, stop = ids.tobytes(), (stop * 4).tolist()
-        for w, a, b in zip(some, [0, *stop[:-1]], stop, strict=True):
-            kept[w] = raw[a:b]
-    for i in range(0, len(rest), 1000):
-        some = rest[i : i + 1000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            kept[w] = array("I", e.ids).tobytes()
+    size = np.zeros(len(words), np.int32)
+    flats: list[np.ndarray] = []
+    order: list[np.ndarray] = []
+    alone = np.arange(len(words))
+    if last is not None and len(words):
+        is_word = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        letters, alone = np.flatnonzero(is_word), [np.flatnonzero(~is_word)]
+        cuts = np.append(np.arange(0, len(letters), run), len(letters))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(letters))), " ") if len(letters) else []
+        for line, lo, hi in zip(lines, cuts[:-1], cuts[1:], strict=True):
+            ids = np.array(tokenizer.encode(line.as_py(), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(last[ids]) + 1
+            if len(stop) != hi - lo or stop[-1] != len(ids):
+                alone.append(letters[lo:hi])
+                continue
+            size[letters[lo:hi]] = np.diff(stop, prepend=0)
+            flats.append(ids)
+            order.append(letters[lo:hi])
+        alone = np.concatenate(alone)
+    for i in range(0, len(alone), 1000):
+        some = alone[i : i + 1000]
+        for at, e in zip(some.tolist(), tokenizer.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False), strict=True):
+            size[at] = len(e.ids)
+            flats.append(np.array(e.ids, np.uint32))
+        order.append(some)
+    if not order:
+        return np.zeros(0, np.uint32), size
+    by, flat = np.concatenate(order), np.concatenate(flats)
+    start = np.empty(len(words), np.int64)
+    start[by] = np.cumsum(size[by], dtype=np.int64) - size[by]
+    return _gathered(flat, start, size, np.arange(len(words))), size
 
 
 def _ends(tokenizer) -> np.ndarray | None:  # noqa: ANN001
@@ -297,13 +352,15 @@ def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[np.repeat(shift, n) + np.arange(ends[-1], dtype=np.int32)]
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True, most_kept: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, an end after each, and their n + 1 offsets.
 
     by_word: the tokenizer lower-cases and never joins text across blanks or letters with marks, so each distinct word
     of a column is encoded once, and those met lately not again. Otherwise whole texts are encoded.
     """
-    tokenizer, kept = _tokenizer(path)
+    tokenizer, known = _tokenizer(path)
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
     if not by_word:
         ids = [e.ids for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         n = np.array([len(x) for x in ids], np.int64)
@@ -311,11 +368,9 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None, by_word: bool =
     else:
         plain = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a text may spell a special token
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
-        known = split.flatten().dictionary_encode()
-        if len(kept) > most_kept:
-            kept.clear()
-        pool, at = _pool(known.dictionary, tokenizer, kept, plain)
-        index, size = np.asarray(known.indices), np.diff(at)
+        words = split.flatten().dictionary_encode()
+        pool, at = _pool(words.dictionary, tokenizer, known, plain)
+        index, size = np.asarray(words.indices), np.diff(at)
         flat = _gathered(pool, at, size, index)
         total = np.concatenate([[0], np.cumsum(size[index])])
         n = np.diff(total[np.asarray(split.offsets)])
@@ -339,16 +394,16 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
         sizes: list[np.ndarray] = []
 
         def made() -> pa.RecordBatch:
-            n = np.concatenate(sizes)
-            listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            own = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), listed(pa.concat_arrays(ids)), listed(pa.array(n)), pa.array([encode_matrix(np.concatenate(tokens))], pa.binary())]
+            n, all_ids, flat = np.concatenate(sizes), pa.concat_arrays(ids), np.concatenate(tokens)
             for held_ in (ids, tokens, sizes):
                 held_.clear()
+            listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            own = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), listed(all_ids), listed(pa.array(n)), pa.array([encode_matrix(flat)], pa.binary())]
             return pa.RecordBatch.from_arrays(own, ["shard", "segment", "n_docs", "n_tokens", "doc_ids", "doc_sizes", "matrix"])
 
         for b in batches:
             texts, doc = W.column(b, "text"), b.column(b.schema.get_field_index("doc_id"))
-            for lo, hi in W.slices(texts, 8 << 20):
+            for lo, hi in W.slices(texts, 4 << 20):
                 flat, first = encode_texts(texts.slice(lo, hi - lo), path, end_id, by_word)
                 tokens.append(flat)
                 sizes.append(np.diff(first))

@@ -15,6 +15,7 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240607)
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -81,13 +82,13 @@ class Words:
     first: np.ndarray
     base: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, the same for the same bytes (A-Z as a-z)."""
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """64-bit hash of each word, the same for the same bytes (A-Z as a-z); other: of another kind."""
         n = len(self.data)
         up, down = _power(n + 1)
         sums = np.empty(n + 1, U64)
         sums[0] = 0
-        np.cumsum(_CODE[_LOWER[self.data]] * up[:n], out=sums[1:])
+        np.cumsum((_OTHER if other else _CODE)[_LOWER[self.data]] * up[:n], out=sums[1:])
         return mixed((sums[self.end] - sums[self.start]) * down[self.start] + U64(7919) * (self.end - self.start).astype(U64))
 
     def owner(self) -> np.ndarray:
