@@ -120,18 +120,23 @@ def disclosures(documents: DataFrame, base: DataFrame, support: int = 3, share:
 
 
 def term_spans(documents: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, start, end and label of each place where a term stands as a word outside base spans, in any text."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    """key, start, end and label of each place where a term stands as a word outside base spans, in any text. Only lines
+    that hold a term are taken apart."""
+    lines = F.posexplode(F.split("text", "\n")).alias("n", "line")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
     side = _small(terms.select("term"))
-    keys = _text(documents).select("key", F.explode(words).alias("term")).join(side, "term", "left_semi").select("key").distinct()
-    keys = written(keys, "telling-keys")
-    texts = _text(documents).join(_small(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    hits, pieces = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
-    each = texts.select("key", F.posexplode(F.arrays_zip(hits.alias("hits"), pieces.alias("pieces")))).where("col.hits IS NOT NULL")
+    seen = _text(documents).select("key", lines).select("key", "n", F.explode(words).alias("term")).join(side, "term", "left_semi")
+    seen = written(seen.select("key", "n").distinct(), "telling-lines")
+    texts = _text(documents).join(_small(written(seen.select("key").distinct(), "telling-keys")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    past = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = texts.select("key", lines).withColumn("at", F.coalesce(F.sum(F.char_length("line") + 1).over(past), F.lit(0)))
+    placed = placed.join(_small(seen), ["key", "n"], "left_semi")
+    hits, pieces = F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), F.split("line", WORD, -1)
+    each = placed.select("key", "n", "at", F.posexplode(F.arrays_zip(hits.alias("hits"), pieces.alias("pieces")))).where("col.hits IS NOT NULL")
     size = F.char_length("word")
-    line = Window.partitionBy("key").orderBy("pos")
-    each = each.select("key", "pos", F.col("col.hits").alias("word"), F.char_length("col.pieces").alias("gap"))
-    each = each.withColumn("end", F.sum(F.col("gap") + size).over(line).cast("long")).withColumn("start", F.col("end") - size)
+    line = Window.partitionBy("key", "n").orderBy("pos")
+    each = each.select("key", "n", "at", "pos", F.col("col.hits").alias("word"), F.char_length("col.pieces").alias("gap"))
+    each = each.withColumn("end", F.col("at") + F.sum(F.col("gap") + size).over(line)).withColumn("start", F.col("end") - size)
     found = each.withColumn("term", F.lower("word")).join(_small(terms.select("term", "label")), "term").select("key", "start", "end", "label")
     own = base.select("key", "start", "end", F.lit(None).cast("string").alias("label"))
     here = Window.partitionBy("key").orderBy("start", "end")
