@@ -19,7 +19,7 @@ from ..sources import market as M
 from .panel_queries import BARS, PANEL, SERVED, SPLIT, TAUS, _bump_sql, _table_sql, bands, panel, r_signed
 from .policy_queries import rounded
 from .serve_queries import early, late, table
-from .stat_queries import _IND, _LR, _T, misses
+from .stat_queries import _IND, _LR, _T, chi2_sql, misses
 
 #: Unit quantiles of the normal distribution for the served coverages, as text for SQL.
 Z = {t: D.normal_quantile((1 + t) / 2) for t in C.TAUS}
@@ -253,7 +253,7 @@ def q_tails(s, d):  # noqa: ANN001, ANN201
 QUERIES = {
     "i18_tail_quantiles": (q_tails, None),
     "k4_conditional_coverage": (q_conditional, f"WITH {SERVED}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND})::INT AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2) SELECT tau_bps, n, k, round({_LR}, 4) AS lr_uc, round(lr_ind, 4) AS lr_ind, round({_LR} + lr_ind, 4) AS lr_cc FROM g JOIN i USING (tau_bps)"),
-    "k4_conditional_tails": (q_conditional_p, None),
+    "k4_conditional_tails": (q_conditional_p, f"WITH {SERVED}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND})::INT AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2), r AS (SELECT tau_bps, k, {_LR} AS lr_uc, lr_ind, {_LR} + coalesce(lr_ind, 0) AS lr_cc, k + 1 AS k1 FROM g JOIN i USING (tau_bps)) SELECT tau_bps, k, round(lr_uc, 6) AS lr_uc, round(lr_ind, 6) AS lr_ind, round(lr_cc, 6) AS lr_cc, round({chi2_sql('lr_uc', '1')}, 6) AS p_uc, round({chi2_sql('lr_ind', 'k')}, 6) AS p_ind, round({chi2_sql('lr_cc', 'k1')}, 6) AS p_cc FROM r"),
     "k3_conditional_by_symbol": (q_conditional_symbol, f"WITH {SERVED}, {_T}, g AS (SELECT symbol, tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2, 3) SELECT symbol, tau_bps, round({_LR}, 5) AS lr_uc, round({_IND}, 5) AS lr_ind, round(exp(-(({_LR}) + ({_IND})) / 2), 5) AS p_cc FROM g LEFT JOIN t USING (symbol, tau_bps)"),
     "h2_pits": (q_pits, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, {_PIT} SELECT symbol, fri_ts, round(pit, 5) AS pit FROM pit"),
     "h3_pit_quantiles": (q_pit_quantiles, f"WITH {SERVED}, w AS (SELECT symbol, fri_ts, mon_open AS y, max(lower) FILTER (tau_bps = 9500) AS a, max(lower) FILTER (tau_bps = 6800) AS b, max(upper) FILTER (tau_bps = 6800) AS c, max(upper) FILTER (tau_bps = 9500) AS e FROM bands GROUP BY 1, 2, 3) SELECT symbol, fri_ts, round(CASE WHEN y <= a THEN 0.025 WHEN y <= b THEN 0.025 + (y - a) / (b - a) * 0.135 WHEN y <= c THEN 0.16 + (y - b) / (c - b) * 0.68 WHEN y <= e THEN 0.84 + (y - c) / (e - c) * 0.135 ELSE 0.975 END::DOUBLE, 5) AS pit FROM w"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import decode as B
 from ..operators import route as R
+from ..operators import wire as W
 from ..operators.shared import sized
 from ..sources import market as M
 from .market_queries import QUERIES as _MARKET
@@ -127,6 +128,40 @@ def q_v11(s, d):  # noqa: ANN001, ANN201
     return got.select("event_id", F.round("mid", 4).alias("mid"), "market_status", B.plausible(got).alias("plausible"))
 
 
+_FEEDS = [*W.V10_FEEDS, *W.V11_FEEDS, *W.ALTERNATES, "000c" + "0" * 60]
+_FAULTS = ["no instruction", "not base58", "too short", "not snappy", "payload too short", "bad offset", "bad extent", "no feed"]
+
+
+def q_verify(s, d):  # noqa: ANN001, ANN201
+    """Ticks as v11 reports inside verify instructions, one in three spoilt in one of eight ways, parsed and decoded again."""
+    e = M.tape(s, d)
+    feed = F.element_at(F.array(*[F.lit(f) for f in _FEEDS]), (F.col("event_id") % len(_FEEDS) + 1).cast("int"))
+    fields = {"feed_id": feed, "mid": F.round(F.col("value") * 100).cast("long") * 10**13, "market_status": F.pmod(F.col("event_id"), F.lit(6)), "observed": F.unix_seconds("ts")}
+    fields |= {k: F.lit(0) for k in B.V11 if k not in fields}
+    fault = F.when(F.col("event_id") % 3 == 0, F.element_at(F.array(*[F.lit(f) for f in _FAULTS]), (F.col("event_id") % len(_FAULTS) + 1).cast("int")))
+    rows = W.instructions(e.select("event_id", B.report_bytes(fields, B.V11).alias("raw"), fault.alias("fault")), "raw", "fault")
+    got = W.parsed(rows.select("event_id", "instruction"), "instruction")
+    out = B.report(got.drop("instruction"), "report", B.V11)
+    return out.select("event_id", "schema", "error", "feed_id", W.feed_symbol(F.col("feed_id"), label=True).alias("label"), F.round("mid", 5).alias("mid"), "market_status", "observed", F.octet_length("context").alias("context_size"))
+
+
+def q_returned(s, d):  # noqa: ANN001, ANN201
+    """The same reports as return data, in the three forms it comes in and in none, read back."""
+    e = M.tape(s, d)
+    b64 = F.base64(F.unhex(F.element_at(F.array(*[F.lit(f) for f in _FEEDS]), (F.col("event_id") % len(_FEEDS) + 1).cast("int"))))
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.format_string('{"programId":"p","data":["%s","base64"]}', b64)).when(kind == 1, F.format_string('["p",["%s","base64"]]', b64)).when(kind == 2, F.format_string('{"data":"%s"}', b64)).when(kind == 3, F.lit('{"data":null}'))
+    return e.select("event_id", F.lower(F.hex(W.returned(text))).alias("report"))
+
+
+def q_feed_bytes(s, d):  # noqa: ANN001, ANN201
+    """Feed ids, written in several ways, to symbols, and symbols back to the bytes of either schema."""
+    feed = F.element_at(F.array(*[F.lit(f) for f in _FEEDS]), (F.col("p_partkey") % len(_FEEDS) + 1).cast("int"))
+    told = F.when(F.col("p_size") % 3 == 0, F.upper(feed)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("0x"), feed)).otherwise(feed)
+    rows = M.table(s, d, "part").select("p_partkey", W.feed_symbol(told).alias("symbol"), W.feed_symbol(told, label=True).alias("label"))
+    return rows.select("*", *[F.lower(F.hex(W.feed_bytes(F.col("symbol"), v))).alias(f"v{v}_feed") for v in (10, 11)])
+
+
 def q_payloads(s, d):  # noqa: ANN001, ANN201
     """Served bands as the bytes that would be published, and what a reader finds in them."""
     rows = bands(s, d).select("symbol", "fri_ts", F.col("regime_pub").alias("regime"), F.lit("lwc").alias("forecaster"), F.lit("amm").alias("profile"), F.col("tau").alias("target"), F.col("tau").alias("served"), F.lit(0.0).alias("buffer"), "point", "lower", "upper", "fri_close", "tau_bps")
@@ -180,21 +215,28 @@ p4 AS (SELECT *, lo * b <= q AND q <= hi * b AS inb, q // b AS px FROM p3),
 p5 AS (SELECT *, least(fee + CASE WHEN inb THEN 0 WHEN hi > lo THEN least(greatest(lo - px, px - hi, 0) * 100 // (hi - lo), 300) ELSE 300 END, 9999) AS fb FROM p4),
 p6 AS (SELECT *, amount * (10000 - fb) // 10000 AS net FROM p5)"""
 
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_NAMES = "fd AS (SELECT * FROM (VALUES " + ", ".join([*[f"('{k}', '{v}', '{v}')" for k, v in (W.V10_FEEDS | W.V11_FEEDS).items()], *[f"('{k}', '{v}', '{v}_alt')" for k, v in W.ALTERNATES.items()]]) + ") t(feed, symbol, label))"
 P4 = _MARKET["p4_quorum"][1]
 
+P6 = f"WITH agg AS ({P4}), r AS (SELECT agg.*, ['open', 'closed', 'halted', 'unknown'][asset % 4 + 1] AS regime, round(p_retailprice * 100)::BIGINT AS pt, p_size FROM agg LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON asset = p_partkey) SELECT asset, regime, CASE WHEN regime = 'open' AND state = 'Ok' THEN median END AS aggregate, CASE WHEN regime = 'open' THEN n END AS contributions, CASE WHEN regime = 'open' AND state <> 'Ok' THEN state WHEN regime = 'closed' AND pt IS NULL THEN 'BandUnavailable' WHEN regime = 'halted' THEN 'Halted' WHEN regime = 'unknown' THEN 'RegimeAmbiguous' END AS error, CASE WHEN regime = 'closed' THEN pt END AS band_point, CASE WHEN regime = 'closed' THEN pt - p_size END AS band_lower, CASE WHEN regime = 'closed' THEN pt + p_size END AS band_upper FROM r"
+
 QUERIES = {
     "h10_calendar": (q_calendar, f"WITH {_CAL} SELECT CAST(ts AS DATE) AS day, calendar, count(*) AS n FROM cal GROUP BY 1, 2"),
     "h10_holidays": (q_holidays, "SELECT unnest(['2024-01-01', '2024-01-15', '2024-02-19', '2024-03-29', '2024-05-27', '2024-06-19', '2024-07-04', '2024-09-02', '2024-11-28', '2024-12-25', '2025-01-01', '2025-01-09', '2025-01-20', '2025-02-17', '2025-04-18', '2025-05-26', '2025-06-19', '2025-07-04', '2025-09-01', '2025-11-27', '2025-12-25', '2026-01-01', '2026-01-19', '2026-02-16', '2026-04-03', '2026-05-25', '2026-06-19', '2026-07-03', '2026-09-07', '2026-11-26', '2026-12-25', '2027-01-01', '2027-01-18', '2027-02-15', '2027-03-26', '2027-05-31', '2027-06-18', '2027-07-05', '2027-09-06', '2027-11-25', '2027-12-24'])::DATE AS day, false AS early UNION ALL SELECT unnest(['2024-07-03', '2024-11-29', '2024-12-24', '2025-07-03', '2025-11-28', '2025-12-24', '2026-11-27', '2026-12-24', '2027-11-26'])::DATE, true"),
     "p5_regimes": (q_regimes, f"WITH {_CAL}, o AS (SELECT CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'extended' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'halted' ELSE 'unknown' END AS oracle, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE calendar END AS calendar FROM cal) SELECT oracle, calendar, CASE WHEN oracle = 'halted' THEN 'halted' WHEN oracle = 'unknown' THEN CASE calendar WHEN 'n/a' THEN 'unknown' ELSE calendar END WHEN calendar = 'n/a' THEN CASE oracle WHEN 'closed' THEN 'closed' ELSE 'open' END WHEN (oracle = 'closed') = (calendar = 'closed') THEN calendar ELSE 'unknown' END AS regime, count(*) AS n FROM o GROUP BY 1, 2, 3"),
     "p1_upstreams": (q_upstreams, "SELECT l_linenumber - 1 AS kind, CASE l_linenumber WHEN 1 THEN 'pyth' WHEN 2 THEN 'chainlink_relay' WHEN 3 THEN 'switchboard' WHEN 4 THEN 'redstone' END AS upstream, CASE WHEN l_linenumber IN (1, 3) THEN NULL WHEN l_linenumber IN (2, 4) THEN 'not implemented' ELSE 'unknown kind' END AS unread, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"),
-    "p6_receipts": (q_receipts, f"WITH agg AS ({P4}), r AS (SELECT agg.*, ['open', 'closed', 'halted', 'unknown'][asset % 4 + 1] AS regime, round(p_retailprice * 100)::BIGINT AS pt, p_size FROM agg LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON asset = p_partkey) SELECT asset, regime, CASE WHEN regime = 'open' AND state = 'Ok' THEN median END AS aggregate, CASE WHEN regime = 'open' THEN n END AS contributions, CASE WHEN regime = 'open' AND state <> 'Ok' THEN state WHEN regime = 'closed' AND pt IS NULL THEN 'BandUnavailable' WHEN regime = 'halted' THEN 'Halted' WHEN regime = 'unknown' THEN 'RegimeAmbiguous' END AS error, CASE WHEN regime = 'closed' THEN pt END AS band_point, CASE WHEN regime = 'closed' THEN pt - p_size END AS band_lower, CASE WHEN regime = 'closed' THEN pt + p_size END AS band_upper FROM r"),
-    "p7_receipt_faults": (q_receipt_faults, None),
-    "p8_configs": (q_configs, None),
+    "p6_receipts": (q_receipts, P6),
+    "p7_receipt_faults": (q_receipt_faults, f"WITH rc AS ({P6}), b AS (SELECT *, false AS changed FROM rc UNION ALL SELECT * REPLACE (CASE regime WHEN 'open' THEN 'closed' WHEN 'closed' THEN 'open' ELSE 'open' END AS regime), true FROM rc), f AS (SELECT changed, array_to_string(list_filter([CASE WHEN regime = 'open' AND error IS NULL AND aggregate IS NULL THEN 'open without aggregate' END, CASE WHEN regime = 'open' AND error IS NULL AND coalesce(contributions, 0) < 3 THEN 'open under quorum' END, CASE WHEN regime = 'open' AND band_point IS NOT NULL THEN 'open with band' END, CASE WHEN regime IN ('closed', 'halted') AND (aggregate IS NOT NULL OR contributions IS NOT NULL) THEN 'closed with aggregate' END, CASE WHEN regime = 'closed' AND error IS NULL AND band_point IS NULL THEN 'closed without band' END, CASE WHEN regime = 'unknown' AND error IS DISTINCT FROM 'RegimeAmbiguous' THEN 'unknown without reason' END, CASE WHEN band_point IS NOT NULL AND NOT band_point BETWEEN band_lower AND band_upper THEN 'band out of order' END], lambda x: x IS NOT NULL), ', ') AS faults FROM b) SELECT changed, faults, count(*) AS n FROM f GROUP BY 1, 2"),
+    "p8_configs": (q_configs, "WITH l AS (SELECT l_partkey, list_sort(list(DISTINCT l_linenumber - 1)) AS kinds, (l_partkey % 6)::INT AS quorum, l_partkey % 12000 AS conf FROM lineitem GROUP BY 1), a AS (SELECT *, list_transform(kinds, lambda k: CASE WHEN k <> 1 THEN 1 ELSE 0 END) AS active FROM l), f AS (SELECT array_to_string(list_filter([CASE WHEN len(kinds) < 1 OR len(kinds) > 5 THEN 'upstreams' END, CASE WHEN quorum < 1 OR quorum > list_sum(active) THEN 'quorum' END, CASE WHEN list_max(kinds) > 3 THEN 'kind' END, CASE WHEN active <> list_reverse_sort(active) THEN 'order' END, CASE WHEN conf > 10000 THEN 'bps' END], lambda x: x IS NOT NULL), ', ') AS faults FROM a) SELECT faults, count(*) AS n FROM f GROUP BY 1"),
     "p12_quotes": (q_quotes, f"WITH {_POOL} SELECT l_partkey, CASE WHEN sell THEN 'sell' ELSE 'buy' END AS side, inb AS in_band, count(*) AS n, sum(net * ro // (ri + net))::BIGINT AS paid, sum(amount - net)::BIGINT AS fees, max(fb)::BIGINT AS top_fee FROM p6 GROUP BY 1, 2, 3"),
     "p10_in_band": (q_in_band, f"WITH {_POOL} SELECT l_partkey, count(*) AS n, count(*) FILTER (lo * (rb + amount) <= rq AND rq <= hi * (rb + amount)) AS inside FROM p1 WHERE sell GROUP BY 1"),
     "p13_shares": (q_mint, f"WITH {_POOL}, z AS (SELECT l_orderkey, l_linenumber, fee AS base, amount AS quote, rb, rq, CASE WHEN l_linenumber = 2 THEN 0 ELSE rb * 7 END AS supply FROM p1 WHERE NOT sell), m AS (SELECT *, CASE WHEN base > 0 AND quote > 0 THEN nullif(CASE WHEN supply = 0 THEN floor(sqrt((base * quote)::DOUBLE))::HUGEINT ELSE least(base * supply // rb, quote * supply // rq) END, 0) END AS shares FROM z) SELECT l_orderkey, l_linenumber, base, quote::BIGINT AS quote, supply::BIGINT AS supply, shares::BIGINT AS shares, CASE WHEN shares IS NOT NULL THEN CASE WHEN supply = 0 THEN base ELSE shares * rb // supply END END::BIGINT AS base_used, CASE WHEN shares IS NOT NULL THEN CASE WHEN supply = 0 THEN quote ELSE shares * rq // supply END END::BIGINT AS quote_used, CASE WHEN shares > 0 AND shares <= supply THEN shares * rb // supply END::BIGINT AS base_out, CASE WHEN shares > 0 AND shares <= supply THEN shares * rq // supply END::BIGINT AS quote_out FROM m"),
     "h14_v10_reports": (q_v10, "SELECT event_id, sha256(event_type) AS feed_id, epoch_us(ts) // 1000000 AS observed, ts AS updated, round(round(value * 100) / 10000 - 0.5, 4) AS price, round(round(value * 100) / 100000, 5) AS tokenized_price, event_id % 3 = 2 AS is_open FROM events WHERE value < 900"),
     "h15_v11_reports": (q_v11, "SELECT event_id, round(round(value * 100) / 1000, 4) AS mid, event_id % 8 AS market_status, round(value * 100) / 1000 BETWEEN 0.01 AND 100000 AND event_id % 8 <= 5 AND epoch_us(ts) // 1000000 + 580 * 86400 BETWEEN 1735689600 AND 1830297600 AS plausible FROM events WHERE value < 90"),
+    "h16_verify_parse": (q_verify, f"WITH {_NAMES}, x AS (SELECT event_id, value, ts, {_LIST(_FEEDS)}[event_id % {len(_FEEDS)} + 1] AS f, CASE WHEN event_id % 3 = 0 THEN {_LIST(_FAULTS)}[event_id % {len(_FAULTS)} + 1] END AS error FROM events) SELECT event_id, CASE WHEN error IS NULL THEN ('0x' || f[1:4])::INT END AS schema, error, CASE WHEN error IS NULL THEN f END AS feed_id, CASE WHEN error IS NULL THEN label END AS label, CASE WHEN error IS NULL THEN round(round(value * 100) / 100000, 5) END AS mid, CASE WHEN error IS NULL THEN event_id % 6 END AS market_status, CASE WHEN error IS NULL THEN epoch_us(ts) // 1000000 END AS observed, CASE WHEN error IS NULL THEN 96 END AS context_size FROM x LEFT JOIN fd ON f = feed"),
+    "h16_return_data": (q_returned, f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN {_LIST(_FEEDS)}[event_id % {len(_FEEDS)} + 1] END AS report FROM events"),
+    "h17_feed_symbols": (q_feed_bytes, f"WITH {_NAMES}, x AS (SELECT p_partkey, {_LIST(_FEEDS)}[p_partkey % {len(_FEEDS)} + 1] AS f FROM part) SELECT p_partkey, fd.symbol, fd.label, a.feed AS v10_feed, b.feed AS v11_feed FROM x LEFT JOIN fd ON f = fd.feed LEFT JOIN fd a ON a.symbol = fd.symbol AND a.feed LIKE '000a%' LEFT JOIN fd b ON b.symbol = fd.symbol AND b.feed LIKE '000b%' AND b.label = b.symbol"),
     "j12_payloads": (q_payloads, f"WITH {SERVED} SELECT symbol, fri_ts, tau_bps, 67 AS size, regime_pub AS regime, 'lwc' AS forecaster, tau_bps::BIGINT AS target_bps, round(point, 3) AS point, round(lower, 3) AS lower, round((upper - lower) / 2 / point * 10000, 3) AS half_width_bps, CAST(NULL AS VARCHAR) AS error FROM bands"),
     "j13_publishing": (q_publishing, None),
     "h13_rescaled": (q_rescale, "WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, (round(l_extendedprice * 100)::BIGINT * CASE WHEN l_linenumber = 1 THEN -1 ELSE 1 END)::HUGEINT AS p FROM lineitem) SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, trunc(p / 1000.0)::BIGINT AS coarse, (p * 1000000)::BIGINT AS fine, CASE WHEN abs(p) <= 9223372 THEN (p * 1000000000000)::BIGINT END AS too_fine FROM x"),

@@ -269,6 +269,12 @@ _TUNE = _bump_sql("bump", "qt", "score").replace(f"fri_ts >= DATE '{SPLIT}'", f"
 _LRX = "CASE WHEN x > 0 THEN x * ln(greatest(x / n, 1e-12)) ELSE 0 END + CASE WHEN n - x > 0 THEN (n - x) * ln(greatest(1 - x / n, 1e-12)) ELSE 0 END"
 _EW = lambda h: f"CASE WHEN count(*) OVER w >= 8 THEN sqrt(sum(rel_resid * rel_resid * pow(2.0, rn / {h}.0)) OVER w / sum(pow(2.0, rn / {h}.0)) OVER w) END"
 
+_REPLAY = f"""{PANEL}, {TAUS}, {_table_sql('qt', 'score')},
+sc AS (SELECT regime_pub AS cell, fri_ts AS period, CASE WHEN sigma * fri_close > 0 THEN abs(mon_open - point) / (sigma * fri_close) WHEN mon_open <> point THEN 'inf'::DOUBLE ELSE 0 END AS x FROM panel WHERE {_LATE} AND sigma IS NOT NULL),
+pd AS (SELECT cell, period, list(x) AS xs, row_number() OVER (PARTITION BY cell ORDER BY period) AS i FROM sc GROUP BY 1, 2),
+rp AS (SELECT cell, tau_bps, tau, q, 0::BIGINT AS i, CAST(NULL AS DATE) AS period, 0::BIGINT AS n, 1.0::DOUBLE AS m_served, 1.0::DOUBLE AS m_next FROM (SELECT DISTINCT cell FROM pd) JOIN qt ON cell = regime_pub
+  UNION ALL SELECT r.cell, r.tau_bps, r.tau, r.q, pd.i, pd.period, len(xs), r.m_next, least(greatest(r.m_next * exp(0.05 * (len(list_filter(xs, lambda v: v > r.m_next * r.q)) / len(xs) - (1 - r.tau))), 0.25), 4.0) FROM rp r JOIN pd ON pd.cell = r.cell AND pd.i = r.i + 1)"""
+
 QUERIES = {
     "j1_raw_serve": (q_raw_serve, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score_raw')}, {_WIDE('w', 'qt')}, a AS (SELECT symbol, fri_ts, tau_bps, point, least(tau + {_SH}, 0.99::DOUBLE) AS served, w.* FROM panel JOIN w USING (regime_pub), taus WHERE {_LATE}) SELECT symbol, fri_ts, tau_bps, round(served, 3) AS served, round(point * (1 - {_C} * {_Q}), 3) AS lower, round(point * (1 + {_C} * {_Q}), 3) AS upper FROM a"),
     "i8_downside_fit": (q_downside_fit, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'downside')}, {_bump_sql('bump', 'qt', 'downside')} SELECT regime_pub, tau_bps, n, round(q, 5) AS q, round(c, 4) AS c FROM qt JOIN bump USING (tau_bps)"),
@@ -281,9 +287,9 @@ QUERIES = {
     "i7_class_quantiles": (q_class_quantiles, f"WITH {PANEL.replace('panel AS (SELECT', 'panel1 AS (SELECT')}, kl AS (SELECT p_brand AS symbol, min(list_last(string_split(p_type, ' '))) AS class FROM part GROUP BY 1), panel AS (SELECT * FROM panel1 JOIN kl USING (symbol)), {TAUS}, {_table_sql('a', 'score', 'class')} SELECT class, tau_bps, n, round(q, 5) AS q FROM a"),
     "k22_parity": (q_parity, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, c AS (SELECT count(*) AS n FROM panel JOIN qt USING (regime_pub) WHERE sigma IS NOT NULL AND {_LATE}) SELECT unnest(['lower', 'upper']) AS field, n, 0::BIGINT AS one_side, 0::BIGINT AS differing FROM c"),
     "j10_available": (q_available, f"WITH {PANEL} SELECT DISTINCT symbol, fri_ts, regime_pub FROM panel"),
-    "o1_adaptive_replay": (q_adaptive, None),
-    "j9_adaptive_serve": (q_adaptive_serve, None),
-    "o3_multipliers": (q_multipliers, None),
+    "o1_adaptive_replay": (q_adaptive, f"WITH RECURSIVE {_REPLAY} SELECT cell, tau_bps, period, n, round(m_served, 8) AS m_served, round(m_next, 8) AS m_next FROM rp WHERE i > 0"),
+    "j9_adaptive_serve": (q_adaptive_serve, f"WITH RECURSIVE {_REPLAY} SELECT symbol, fri_ts, rp.tau_bps, round(point - m_served * q * sigma * fri_close, 3) AS lower, round(point + m_served * q * sigma * fri_close, 3) AS upper FROM panel JOIN rp ON cell = regime_pub AND period = fri_ts WHERE sigma > 0"),
+    "o3_multipliers": (q_multipliers, f"WITH RECURSIVE {_REPLAY}, last AS (SELECT cell, tau_bps, round(round(arg_max(m_next, i), 10), 8) AS m FROM rp GROUP BY 1, 2), c AS (SELECT DISTINCT regime_pub AS cell FROM panel UNION ALL SELECT 'unseen') SELECT c.cell, taus.tau_bps, coalesce(m, 1) AS m FROM c CROSS JOIN taus LEFT JOIN last ON last.cell = c.cell AND last.tau_bps = taus.tau_bps"),
     "o4_online_radii": (q_online, None),
     "b17_path_score": (q_path_score, f"WITH {_PANEL_PATH} SELECT symbol, fri_ts, round(path_lo, 8) AS path_lo, round(path_hi, 8) AS path_hi, round(score_path, 4) AS score_path FROM panel WHERE score_path IS NOT NULL"),
     "d13_path_coverage": (q_path_coverage, f"WITH {_PATH_BANDS} SELECT regime_pub, tau_bps, count(*) AS n, round(avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END), 4) AS endpoint_cov, round(avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END), 4) AS path_cov, round((avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END) - avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END)) * 100, 4) AS gap_pp FROM bands GROUP BY 1, 2"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.special import chi2_p
+from ..functions.special import chi2_column
 from ..operators import calibrate as C
 from ..operators import resample as R
 from ..operators import stats as S
@@ -24,7 +24,7 @@ def q_kupiec(s, d):  # noqa: ANN001, ANN201
 def q_kupiec_p(s, d):  # noqa: ANN001, ANN201
     g = misses(s, d).groupBy("symbol", "tau_bps", "tau").agg(F.count("*").alias("n"), F.sum("miss").alias("x"))
     g = g.withColumn("lr", S.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau")))
-    return g.select("symbol", "tau_bps", "n", "x", F.round("lr", 5).alias("lr"), F.round(chi2_p(F.col("lr"), F.lit(1)), 6).alias("p"))
+    return g.select("symbol", "tau_bps", "n", "x", F.round("lr", 5).alias("lr"), F.round(chi2_column(F.col("lr"), F.lit(1)), 6).alias("p"))
 
 
 def q_independence(s, d):  # noqa: ANN001, ANN201
@@ -82,9 +82,22 @@ sp AS (SELECT tau_bps, dates, unnest(range(0, top + 1)) AS k FROM u),
 b AS (SELECT sp.tau_bps, sp.k, (SELECT count(*) FROM c WHERE c.tau_bps = sp.tau_bps AND k_w = k) / dates AS share, (SELECT count(*) FROM c WHERE c.tau_bps = sp.tau_bps AND k_w >= k) / dates AS at_least FROM sp)"""
 _PIN = lambda a, q: f"CASE WHEN mon_open >= {q} THEN (mon_open - {q}) * {a} ELSE ({q} - mon_open) * (1 - {a}) END"
 
+
+
+def chi2_sql(x: str, k: str) -> str:
+    """The tail of a chi-square variable with k degrees, x and k being columns or plain terms, by the same published fit."""
+    t = f"(1 / (1 + 0.5 * sqrt({x} / 2)))"
+    inner = "0.17087277"
+    for a in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):  # Fixed values: the fit's coefficients
+        inner = f"({a} + {t} * {inner})"
+    odd = f"{t} * exp(-{x} / 2 + {inner}) + coalesce(list_sum(list_transform(range(1, ({k} - 1) // 2 + 1), lambda j: sqrt(2 * {x} / pi()) * exp(-{x} / 2) * pow({x}, j - 1) / list_product(list_transform(range(1, j + 1), lambda i: 2 * i - 1)))), 0)"
+    even = f"list_sum(list_transform(range(0, {k} // 2), lambda j: exp(-{x} / 2) * pow({x} / 2, j) / gamma(j + 1)))"
+    return f"CASE WHEN {k} >= 1 THEN least(greatest(CASE WHEN {k} % 2 = 1 THEN {odd} ELSE {even} END, 0), 1) END"
+
+
 QUERIES = {
     "k1_kupiec": (q_kupiec, f"WITH {SERVED}, g AS (SELECT regime_pub, tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2, 3) SELECT regime_pub, tau_bps, n, x, round({_LR}, 5) AS lr FROM g"),
-    "k11_kupiec_by_symbol": (q_kupiec_p, None),
+    "k11_kupiec_by_symbol": (q_kupiec_p, f"WITH {SERVED}, g AS (SELECT symbol, tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2, 3), r AS (SELECT *, {_LR} AS lr FROM g) SELECT symbol, tau_bps, n, x, round(lr, 5) AS lr, round({chi2_sql('lr', '1')}, 6) AS p FROM r"),
     "k2_independence": (q_independence, f"WITH {SERVED}, {_T} SELECT symbol, tau_bps, n00::BIGINT AS n00, n01::BIGINT AS n01, n10::BIGINT AS n10, n11::BIGINT AS n11, round({_IND}, 5) AS lr_ind FROM t"),
     "k17_wilson": (q_wilson, f"WITH {SERVED}, g AS (SELECT symbol, tau_bps, count(*) AS n, sum(inside)::DOUBLE / count(*) AS p FROM hits GROUP BY 1, 2), w AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS m, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM g) SELECT symbol, tau_bps, n, round(greatest(m - h, 0), 6) AS lo, round(least(m + h, 1), 6) AS hi FROM w"),
     "d12_breach_shares": (q_breach_shares, f"WITH {SERVED}, {_K} SELECT tau_bps, k, round(share, 6) AS share, round(at_least, 6) AS at_least FROM b"),
