@@ -123,6 +123,47 @@ SELECT doc_id, size, source_size, target,
   (size * (epochs + CASE WHEN target - epochs * source_size - start >= size / 2 AND epochs < 3 AND size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
 """
 
+def _crc32(codes: str) -> str:
+    """SQL of the crc32 of a list of byte values, bit by bit."""
+    steps = f"flatten(list_transform({codes}, lambda c: [c, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda a, c: CASE WHEN c >= 0 THEN xor(a, c) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
+#: UTF-8 of text that has ASCII and Latin-1 letters only
+_BYTES = lambda t: f"flatten(list_transform(string_split({t}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))"
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM d WHERE len(w) >= 6 GROUP BY 1, 2),
+k AS (SELECT w, n, {_crc32(_BYTES("coalesce(doc_id::VARCHAR, '') || ':' || w"))} AS h FROM c),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, (h % len(w))::BIGINT) || substring(w, (h % len(w) + 2)::BIGINT) ELSE w END AS word, n FROM k),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE len(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v),
+x AS (SELECT word, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS gap, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM i),
+p AS (SELECT a.word, b.word AS o FROM x a JOIN x b ON a.gap = b.gap AND a.word <> b.word UNION SELECT a.word, b.word FROM x a JOIN v b ON a.cut = b.word UNION SELECT b.word, a.word FROM x a JOIN v b ON a.cut = b.word),
+t AS (SELECT p.word, count(*) AS n_near, arg_min(o, (-v.n, o)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = o GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN t USING (word)),
+r AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL),
+l AS (SELECT r.word, r.at AS root FROM r JOIN f ON f.word = r.at WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN l USING (word)
+"""
+
+OP13_SQL = f"""
+WITH e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, role, md5(strlen(role) || ':' || role || text) AS k, length(text) AS n FROM e),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, role, k) AS ks, list(n ORDER BY turn NULLS FIRST, role, k) AS ns FROM g GROUP BY 1),
+c AS (SELECT *, {_crc32(_BYTES("conv_id::VARCHAR"))} % 6 AS h FROM own),
+f AS (SELECT c.conv_id, coalesce(b.ks[1:h], []) || c.ks[h + 1:] AS ks, coalesce(b.ns[1:h], []) || c.ns[h + 1:] AS ns FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, ks, ns, unnest(range(0, len(ks) + 1)) AS d FROM f),
+m AS (SELECT ks[1:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN ns[d] ELSE 0 END) AS chars, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(ks)), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+q AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k USING (path, d)),
+u AS (SELECT path, n_children, (n_convs - 1) * chars AS own, unnest(range(0, d + 1)) AS a FROM q),
+t AS (SELECT path[1:a] AS path, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM u GROUP BY 1, 2)
+SELECT q.conv_id, q.d AS depth, o.conv_id AS parent_conv_id, q.n_convs, q.n_children::BIGINT AS n_children, n_leaves, saved_tokens, q.ends_sha256
+FROM q JOIN t USING (path, d) LEFT JOIN q o ON o.d = q.d - 1 AND o.path = q.path[1:q.d - 1]
+"""
+
 
 def queries() -> dict:
     return {
@@ -143,4 +184,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_mixing": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_conversation_trie": OP13_SQL}
