@@ -77,9 +77,13 @@ def event_overnight(panel: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def commitment_audit(committed: DataFrame, published: DataFrame, key: list[str], width: str, tolerance: float = 1e-6) -> DataFrame:
-    """Each commitment or publication: matched, width_mismatch, unbacked (published alone) or lapsed (committed alone)."""
-    a = committed.select(*key, F.col(width).alias("_cw"))
-    b = published.select(*key, F.col(width).alias("_pw"))
+    """Each commitment or publication: matched, width_mismatch, unbacked (published alone) or lapsed (committed alone); of a
+    publication with a commitment whether its middle lies off its point, and what factor the point implies on the
+    committed close. published has lower, upper and point, committed fri_close."""
+    a = committed.select(*key, F.col(width).alias("_cw"), "fri_close")
+    b = published.select(*key, F.col(width).alias("_pw"), "point", ((F.col("lower") + F.col("upper")) / 2).alias("_mid"))
     off = F.abs(F.col("_cw") - F.col("_pw")) > tolerance * F.greatest(F.abs("_cw"), F.abs("_pw"))
     verdict = F.when(F.col("_cw").isNull(), "unbacked").when(F.col("_pw").isNull(), "lapsed").when(off, "width_mismatch").otherwise("matched")
-    return a.join(b, key, "full").select(*key, verdict.alias("verdict"))
+    both = F.col("_cw").isNotNull() & F.col("_pw").isNotNull()
+    skew = F.abs(F.col("_mid") - F.col("point")) > tolerance * F.greatest(F.abs("point"), F.lit(1e-12))
+    return a.join(b, key, "full").select(*key, verdict.alias("verdict"), F.when(both, skew).alias("asymmetric"), F.when(both, F.col("point") / F.col("fri_close") - 1).alias("implied_factor"))

@@ -121,8 +121,8 @@ def variant_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def paired(rows: DataFrame, base: str, other: str, values: Sequence[str]) -> DataFrame:
-    """Each loan once, with the values of both variants (value, base_value): the same loan under two policies."""
-    key = ["symbol", "fri_ts", "ltv"]
+    """Each loan once a coverage, with the values of both variants (value, base_value): the same loan under two policies."""
+    key = ["symbol", "fri_ts", "ltv", "tau_bps"]
     one = rows.where(F.col("variant") == base).select(*key, *[F.col(v).alias(f"base_{v}") for v in values])
     return rows.where(F.col("variant") == other).join(one, key)
 

@@ -30,6 +30,17 @@ def transitions(rows: DataFrame, by: Sequence[str], order: Sequence[str], miss:
     return line.groupBy(*by).agg(*[F.count_if((F.col("_p") == a) & (F.col(miss) == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
 
 
+def pooled_transitions(rows: DataFrame, by: Sequence[str], date: str, order: str, miss: str) -> DataFrame:
+    """transitions of each of by over all its rows in one line, by date and then order: inside dates by a window, and from
+    the last row of a date to the first of the next by one over dates, so no task needs the whole line."""
+    day = Window.partitionBy(*by, date)
+    here = rows.withColumns({"_p": F.lag(miss).over(day.orderBy(order)), "_at": F.row_number().over(day.orderBy(order))})
+    last = rows.groupBy(*by, date).agg(F.max_by(miss, order).alias("_l"))
+    last = last.withColumn("_l", F.lag("_l").over(Window.partitionBy(*by).orderBy(date)))
+    both = here.join(last, [*by, date]).withColumn("_p", F.when(F.col("_at") == 1, F.col("_l")).otherwise(F.col("_p"))).where("_p IS NOT NULL")
+    return both.groupBy(*by).agg(*[F.count_if((F.col("_p") == a) & (F.col(miss) == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
+
+
 def independence_lr(t: DataFrame) -> Column:
     """Whether misses follow misses: the transition likelihood ratio; null if no row left one of the two states."""
     n00, n01, n10, n11 = (t[f"n{a}{b}"] for a in (0, 1) for b in (0, 1))
@@ -89,8 +100,8 @@ def breach_counts(rows: DataFrame, date: str, miss: str, by: str) -> DataFrame:
 
 
 def breach_shares(counts: DataFrame, by: str) -> DataFrame:
-    """The share of dates at each number of misses, 0 to the most seen, zeros filled; and of at least so many."""
-    total = counts.groupBy(by).agg(F.count("*").alias("dates"), F.max("k_w").alias("top"))
+    """The share of dates at each number of misses, 0 to the most rows of a date, zeros filled; and of at least so many."""
+    total = counts.groupBy(by).agg(F.count("*").alias("dates"), F.max("n_w").alias("top"))
     spine = total.select(by, "dates", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("k"))
     seen = counts.groupBy(by, F.col("k_w").alias("k")).agg(F.count("*").alias("c"))
     both = spine.join(seen, [by, "k"], "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -160,8 +160,11 @@ def q_crps_grid(s, d):  # noqa: ANN001, ANN201
 
 
 def q_metrics_row(s, d):  # noqa: ANN001, ANN201
-    g = C.with_hits(bands(s, d)).groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.avg(F.col("inside").cast("double")).alias("realised"), F.avg("hw_bps").alias("mean_hw"), F.sum(1 - F.col("inside")).alias("x"))
-    return rounded(g.withColumn("lr_uc", S.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau"))).drop("tau", "x"), 4)
+    """A row a coverage: what was realised, at what width, and all three ratios."""
+    rows = misses(s, d)
+    g = rows.groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.avg(F.col("inside").cast("double")).alias("realised"), F.avg("hw_bps").alias("mean_hw"), F.sum("miss").alias("x"))
+    out = S.conditional(g, S.transitions(rows, ["symbol", "tau_bps"], ["fri_ts"], "miss"), ["tau_bps"])
+    return rounded(out.select("tau_bps", "n", "realised", "mean_hw", "k", "lr_uc", "lr_ind", "lr_cc", "p_uc", "p_ind"), 4)
 
 
 def q_residual_t(s, d):  # noqa: ANN001, ANN201
@@ -272,7 +275,7 @@ QUERIES = {
     "i15_forecasters": (q_forecasters, None),
     "i16_garch": (q_garch, None),
     "k9_crps_grid": (q_crps_grid, f"WITH {SERVED}, w AS (SELECT symbol, fri_ts, mon_open, fri_close, point, " + ", ".join(f"max(lower) FILTER (tau_bps = {t}00) AS l{t}, max(upper) FILTER (tau_bps = {t}00) AS u{t}" for t in (68, 85, 95, 99)) + f" FROM bands GROUP BY ALL) SELECT symbol, count(*) AS n, round(avg(2 * ({_CRPS}) / fri_close), 5) AS crps FROM w GROUP BY 1"),
-    "k12_metrics_row": (q_metrics_row, f"WITH {SERVED}, g AS (SELECT tau_bps, tau, count(*) AS n, avg(inside) AS realised, avg(hw_bps) AS mean_hw, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2) SELECT tau_bps, n, round(realised, 4) AS realised, round(mean_hw, 4) AS mean_hw, round({_LR}, 4) AS lr_uc FROM g"),
+    "k12_metrics_row": (q_metrics_row, f"WITH {SERVED}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND})::INT AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, avg(inside) AS realised, avg(hw_bps) AS mean_hw, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2), r AS (SELECT *, {_LR} AS lr_uc FROM g JOIN i USING (tau_bps)) SELECT tau_bps, n, round(realised, 4) AS realised, round(mean_hw, 4) AS mean_hw, k, round(lr_uc, 4) AS lr_uc, round(lr_ind, 4) AS lr_ind, round(lr_uc + lr_ind, 4) AS lr_cc, round({chi2_sql('lr_uc', '1')}, 4) AS p_uc, round({chi2_sql('lr_ind', 'k')}, 4) AS p_ind FROM r"),
     "k18_residual_t": (q_residual_t, f"WITH {PANEL}, g AS (SELECT symbol, count(*) AS n, avg(ln(mon_open / point)) AS m, stddev_samp(ln(mon_open / point)) AS s, avg(ln(mon_open / point) / sqrt({_DAYS}::DOUBLE)) AS ms FROM panel GROUP BY 1) SELECT symbol, n, round(m, 5) AS mean, round(s, 5) AS sd, round(ms, 5) AS mean_scaled, round(m / (s / sqrt(n)), 5) AS t, round(1.96 * s / sqrt(n), 5) AS half FROM g"),
     "k18_residual_p": (q_residual_p, None),
     "k15_permutations": (q_permutations, None),

@@ -91,10 +91,18 @@ def q_sessions(s, d):  # noqa: ANN001, ANN201
 
 
 def q_tape_stats(s, d):  # noqa: ANN001, ANN201
-    line = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    rows = M.tape(s, d).withColumns({"dt": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(line))) / 1e6, "same": (F.col("value") == F.lag("value").over(line)).cast("double")})
-    g = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.round(F.avg("same"), 6).alias("stale"))
-    return g.join(percentiles(rows, ["symbol"], F.col("dt"), {"median_dt": 0.5}), "symbol").withColumn("median_dt", F.round("median_dt", 4))
+    """Each symbol's ticks by month: number, different values, median seconds between, spread of log moves in bps and share of
+    repeats; and over symbols, as "all": sums, medians and the mean."""
+    key = ["window", "symbol"]
+    line = Window.partitionBy(*key).orderBy("ts", "event_id")
+    rows = M.tape(s, d).withColumn("window", F.date_trunc("month", "ts").cast("date"))
+    rows = rows.withColumns({"dt": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(line))) / 1e6, "before": F.lag("value").over(line)})
+    rows = rows.withColumns({"same": (F.col("value") == F.col("before")).cast("double"), "move": F.when((F.col("value") > 0) & (F.col("before") > 0), F.log(F.col("value") / F.col("before")))})
+    g = rows.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("value").cast("double").alias("n_values"), F.avg("same").alias("stale"), (F.stddev_pop("move") * 1e4).alias("move_bps"))
+    own = g.join(percentiles(rows, key, F.col("dt"), {"median_dt": 0.5}), key, "left")
+    mid = lambda c: F.percentile(c, F.lit(0.5)).alias(c)  # noqa: E731  of a row a symbol
+    pooled = own.groupBy("window").agg(F.sum("n").alias("n"), mid("n_values"), F.avg("stale").alias("stale"), mid("move_bps"), mid("median_dt")).withColumn("symbol", F.lit("all"))
+    return own.unionByName(pooled).select(*key, "n", "n_values", r("stale"), r("move_bps", 4), r("median_dt", 4))
 
 
 def q_witching(s, d):  # noqa: ANN001, ANN201
@@ -158,11 +166,12 @@ def q_recency(s, d):  # noqa: ANN001, ANN201
 
 def q_audit(s, d):  # noqa: ANN001, ANN201
     """Served bands as commitments against publications by quantiles of a longer history, all taus."""
-    committed = bands(s, d).select("symbol", "fri_ts", "tau_bps", "half")
+    committed = bands(s, d).select("symbol", "fri_ts", "tau_bps", "half", "fri_close")
     table = C.quantile_table(panel(s, d).where("fri_ts < '2000-01-01'"), C.tau_table(s), ["regime_pub"], "score")
     made = C.serve(panel(s, d).where("fri_ts >= '2000-01-01' OR fri_ts < '1999-01-15'"), table, None, ["regime_pub"]).where("fri_ts >= '1998-12-01'")
-    out = J.commitment_audit(committed, made.select("symbol", "fri_ts", "tau_bps", "half"), ["symbol", "fri_ts", "tau_bps"], "half")
-    return out.groupBy("tau_bps", "verdict").agg(F.count("*").alias("n"))
+    made = made.withColumn("upper", F.when(F.dayofmonth("fri_ts") == 7, F.col("upper") * 1.01).otherwise(F.col("upper")))  # some are skewed after
+    out = J.commitment_audit(committed, made.select("symbol", "fri_ts", "tau_bps", "half", "lower", "upper", "point"), ["symbol", "fri_ts", "tau_bps"], "half")
+    return out.select("symbol", "fri_ts", "tau_bps", "verdict", "asymmetric", F.round("implied_factor", 8).alias("implied_factor"))
 
 
 EV = "a AS (SELECT user_id AS u, ts, event_id AS ask_id FROM events WHERE event_type = 'purchase'), k AS (SELECT user_id AS u, ts, event_id, value FROM events WHERE event_type <> 'purchase')"
@@ -186,7 +195,7 @@ QUERIES = {
     "a18_source_blend": (q_blend, f"WITH {BARS.replace('WHERE dayofweek', chr(87)+'HERE l_returnflag = ' + chr(39) + 'R' + chr(39) + ' AND dayofweek').replace('bars AS', 'rb AS')}, {BARS} SELECT symbol, ts, round(close, 6) AS close, 'returned' AS source FROM rb UNION ALL SELECT symbol, ts, round(close, 6), 'all' FROM bars WHERE NOT EXISTS (SELECT 1 FROM rb WHERE rb.symbol = bars.symbol AND rb.ts = bars.ts)"),
     "a22_append_dedup": (q_append_dedup, "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2"),
     "b21_sessions": (q_sessions, "WITH x AS (SELECT event_type AS symbol, value, ts - INTERVAL 5 HOUR AS lt, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m FROM events) SELECT symbol, CASE WHEN dayofweek(lt) IN (0, 6) THEN 'weekend' WHEN m >= 570 AND m < 960 THEN 'rth' WHEN m >= 240 AND m < 570 THEN 'premarket' WHEN m >= 960 AND m < 1200 THEN 'afterhours' ELSE 'overnight' END AS session, count(*) AS n, round(avg(value), 5) AS mean FROM x GROUP BY 1, 2"),
-    "d22_tape_stats": (q_tape_stats, "WITH x AS (SELECT event_type AS symbol, value, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, CASE WHEN lag(value) OVER w IS NOT NULL THEN CASE WHEN value = lag(value) OVER w THEN 1.0 ELSE 0.0 END END AS same FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT symbol, count(*) AS n, count(DISTINCT value) AS n_values, round(median(dt), 4) AS median_dt, round(avg(same), 6) AS stale FROM x GROUP BY 1"),
+    "d22_tape_stats": (q_tape_stats, "WITH y AS (SELECT event_type AS symbol, date_trunc('month', ts)::DATE AS window, value, ts, event_id FROM events), x AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, lag(value) OVER w AS before FROM y WINDOW w AS (PARTITION BY symbol, \"window\" ORDER BY ts, event_id)), g AS (SELECT \"window\", symbol, count(*) AS n, count(DISTINCT value)::DOUBLE AS n_values, avg(CASE WHEN before IS NOT NULL THEN CASE WHEN value = before THEN 1.0 ELSE 0.0 END END) AS stale, stddev_pop(CASE WHEN value > 0 AND before > 0 THEN ln(value / before) END) * 1e4 AS move_bps, median(dt) AS median_dt FROM x GROUP BY 1, 2), a AS (SELECT * FROM g UNION ALL SELECT \"window\", 'all', sum(n)::BIGINT, median(n_values), avg(stale), median(move_bps), median(median_dt) FROM g GROUP BY 1) SELECT \"window\", symbol, n, n_values, round(stale, 6) AS stale, round(move_bps, 4) AS move_bps, round(median_dt, 4) AS median_dt FROM a"),
     "b20_triple_witching": (q_witching, "SELECT month(o_orderdate) IN (3, 6, 9, 12) AND dayofweek(o_orderdate) = 5 AND day(o_orderdate) BETWEEN 15 AND 21 AS witching, count(*) AS n, round(avg(o_totalprice), 2) AS mean_total FROM orders GROUP BY 1"),
     "m9_reserve": (q_reserve, f"WITH {SERVED}, b AS (SELECT tau_bps, lower < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS w, mon_open < fri_close * (0.75::DOUBLE / 0.85::DOUBLE) AS c FROM bands) SELECT tau_bps, CASE WHEN w AND c THEN 'matched' WHEN w THEN 'preemptive' WHEN c THEN 'missed' ELSE 'silent_safe' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
     "m15_band_state": (q_band_state, f"WITH {SERVED}, b AS (SELECT tau_bps, fri_close * 0.9::DOUBLE AS p, lower, upper FROM bands) SELECT tau_bps, CASE WHEN p < lower THEN 'exit_below' WHEN p > upper THEN 'exit_above' WHEN (p - lower) / lower * 10000 <= 100 THEN 'approaching_lower' WHEN (upper - p) / upper * 10000 <= 100 THEN 'approaching_upper' ELSE 'in_band' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
@@ -196,5 +205,5 @@ QUERIES = {
     "o13_monotone": (q_monotone, "WITH x AS (SELECT event_id, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) SELECT event_id, b IS NULL OR ts >= b AS accepted FROM x"),
     "n4_buffer": (q_buffer, f"WITH {PANEL}, {TAUS}, x AS (SELECT regime_pub, score_raw * 10000 AS dev, row_number() OVER (PARTITION BY regime_pub ORDER BY score_raw) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM panel WHERE score_raw IS NOT NULL) SELECT regime_pub, tau_bps, n, (ceil(dev / 5) * 5)::BIGINT AS buffer_bps FROM x, taus WHERE k = ceil((n - 1) * tau) + 1"),
     "n5_recency": (q_recency, f"WITH {PANEL}, x AS (SELECT *, exp(-(DATE '2001-12-31' - fri_ts) / (12 * 30.5)) AS w FROM panel WHERE score IS NOT NULL) SELECT symbol, regime_pub, round(sum(w * CASE WHEN score <= 1 THEN 1.0 ELSE 0.0 END) / sum(w), 6) AS weighted, count(*) AS n FROM x GROUP BY 1, 2"),
-    "q4_commitment_audit": (q_audit, f"WITH {SERVED}, {_table_sql('q2', 'score', where=AUDIT)}, a AS (SELECT symbol, fri_ts, tau_bps, (upper - lower) / 2 AS half FROM bands), b AS (SELECT symbol, fri_ts, tau_bps, q * sigma * fri_close AS half FROM panel JOIN q2 USING (regime_pub) WHERE sigma IS NOT NULL AND (fri_ts >= DATE '2000-01-01' OR (fri_ts >= DATE '1998-12-01' AND fri_ts < DATE '1999-01-15'))) SELECT tau_bps, CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, count(*) AS n FROM a FULL JOIN b USING (symbol, fri_ts, tau_bps) GROUP BY 1, 2"),
+    "q4_commitment_audit": (q_audit, f"WITH {SERVED}, {_table_sql('q2', 'score', where=AUDIT)}, a AS (SELECT symbol, fri_ts, tau_bps, (upper - lower) / 2 AS half, fri_close FROM bands), b AS (SELECT symbol, fri_ts, tau_bps, q * sigma * fri_close AS half, point, point + CASE WHEN day(fri_ts) = 7 THEN 0.01 * (point + q * sigma * fri_close) / 2 ELSE 0 END AS mid FROM panel JOIN q2 USING (regime_pub) WHERE sigma IS NOT NULL AND (fri_ts >= DATE '2000-01-01' OR (fri_ts >= DATE '1998-12-01' AND fri_ts < DATE '1999-01-15'))) SELECT symbol, fri_ts, tau_bps, CASE WHEN a.half IS NULL THEN 'unbacked' WHEN b.half IS NULL THEN 'lapsed' WHEN abs(a.half - b.half) > 1e-6 * greatest(abs(a.half), abs(b.half)) THEN 'width_mismatch' ELSE 'matched' END AS verdict, CASE WHEN a.half IS NOT NULL AND b.half IS NOT NULL THEN abs(mid - point) > 1e-6 * greatest(abs(point), 1e-12) END AS asymmetric, CASE WHEN a.half IS NOT NULL AND b.half IS NOT NULL THEN round(point / fri_close - 1, 8) END AS implied_factor FROM a FULL JOIN b USING (symbol, fri_ts, tau_bps)"),
 }

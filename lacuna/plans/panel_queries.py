@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.special import erfc_column
 from ..operators import calibrate as C
 from ..operators import panel as P
 from ..operators.shared import once, percentiles, running, sized, written
-from ..operators.stats import kupiec_lr
+from ..operators.stats import conditional, kupiec_lr, transitions
 from ..sources import market as M
 
 SPLIT = "1999-01-01"
@@ -216,8 +217,8 @@ def q_delta_sweep(s, d):  # noqa: ANN001, ANN201
 
 
 def q_ablation(s, d):  # noqa: ANN001, ANN201
-    """Partition (all or regime) by scale (raw or by sigma), out of sample: shares, Kupiec's ratio, and how many symbols
-    alone would pass it at 5%."""
+    """Partition (all or regime) by scale (raw or by sigma), out of sample: shares, Kupiec's ratio, the symbols' ratios of
+    independence together, and how many symbols, and regimes, alone would pass Kupiec's at 5%."""
     rows, taus = panel(s, d).where("score IS NOT NULL").withColumn("everything", F.lit("_all")), C.tau_table(s)
     out = None
     for cell in ("everything", "regime_pub"):
@@ -225,9 +226,11 @@ def q_ablation(s, d):  # noqa: ANN001, ANN201
             table = C.quantile_table(rows.where(F.col("fri_ts") < SPLIT), taus, [cell], score)
             test = rows.where(F.col("fri_ts") >= SPLIT).join(sized(table), cell).withColumn("miss", (F.col(score) > F.col("q")).cast("int"))
             own = test.groupBy("symbol", "tau_bps", "tau").agg(F.count("*").alias("m"), F.sum("miss").alias("y"))
-            own = own.withColumn("pass", kupiec_lr(F.col("y"), F.col("m"), 1 - F.col("tau")) < 3.841458820694124)
-            g = own.groupBy("tau_bps", "tau").agg(F.sum("m").alias("n"), F.sum("y").alias("x"), F.count_if("pass").alias("symbols_pass"))
-            part = g.select(F.lit(cell).alias("cell"), F.lit(score).alias("scale"), "tau_bps", "n", F.round(1 - F.col("x") / F.col("n"), 5).alias("realised"), F.round(kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau")), 4).alias("lr_uc"), "symbols_pass")
+            passed = kupiec_lr(F.col("y"), F.col("m"), 1 - F.col("tau")) < 3.841458820694124
+            g = own.withColumn("pass", passed).groupBy("tau_bps", "tau").agg(F.sum("m").alias("n"), F.sum("y").alias("x"), F.count_if("pass").alias("symbols_pass"))
+            regimes = test.groupBy("regime_pub", "tau_bps", "tau").agg(F.count("*").alias("m"), F.sum("miss").alias("y")).withColumn("pass", passed).groupBy("tau_bps").agg(F.count_if("pass").alias("regimes_pass"))
+            out_of = conditional(g, transitions(test, ["symbol", "tau_bps"], ["fri_ts"], "miss"), ["tau_bps"]).join(regimes, "tau_bps")
+            part = out_of.select(F.lit(cell).alias("cell"), F.lit(score).alias("scale"), "tau_bps", "n", F.round(1 - F.col("x") / F.col("n"), 5).alias("realised"), F.round("lr_uc", 4).alias("lr_uc"), F.round("lr_ind", 4).alias("lr_ind"), "k", "symbols_pass", "regimes_pass")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -242,9 +245,15 @@ def q_vol_split(s, d):  # noqa: ANN001, ANN201
 
 
 def q_lag_correlation(s, d):  # noqa: ANN001, ANN201
-    order = Window.partitionBy("symbol").orderBy("fri_ts")
-    z = panel(s, d).where("score IS NOT NULL").withColumn("z", F.col("rel_resid") / F.col("sigma")).withColumn("lz", F.lag("z").over(order)).where("lz IS NOT NULL")
-    return z.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.corr("z", "lz"), 5).alias("rho")).where("n >= 30")
+    """Correlation of a scaled residual with the one before it: of each symbol's gaps, of all pairs inside symbols, and of all
+    pairs of neighbouring symbols inside a gap's date; its error, and a two-sided tail. Thirty pairs at least."""
+    z = panel(s, d).where("score IS NOT NULL").withColumn("z", F.col("rel_resid") / F.col("sigma"))
+    inside = lambda by, order: z.withColumn("lz", F.lag("z").over(Window.partitionBy(by).orderBy(order))).where("lz IS NOT NULL")
+    own, week = inside("symbol", "fri_ts"), inside("fri_ts", "symbol")
+    pairs = own.select(F.explode(F.array("symbol", F.lit("within symbols"))).alias("scope"), "z", "lz").unionByName(week.select(F.lit("within dates").alias("scope"), "z", "lz"))
+    g = pairs.groupBy("scope").agg(F.count("*").alias("n"), F.corr("z", "lz").alias("rho")).where("n >= 30")
+    g = g.withColumn("se", (1 - F.col("rho") * F.col("rho")) / F.sqrt(F.col("n") - 2))
+    return g.select("scope", "n", F.round("rho", 5).alias("rho"), F.round("se", 5).alias("se"), F.round(erfc_column(F.abs(F.col("rho") / F.col("se")) / 2**0.5), 5).alias("p"))
 
 
 HAR = """h AS (SELECT symbol, fri_ts, abs(rel_resid) AS a FROM panel),
@@ -252,15 +261,37 @@ h2 AS (SELECT symbol, fri_ts, lag(a) OVER w AS rv_d, CASE WHEN count(a) OVER w5
   WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts), w5 AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w22 AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING))"""
 LOO = """o AS (SELECT a.symbol, a.fri_ts, any_value(a.rel_resid) AS rel_resid, avg(b.rel_resid) AS loo_mean, median(b.rel_resid) AS loo_median FROM panel a JOIN panel b ON a.fri_ts = b.fri_ts AND a.symbol <> b.symbol GROUP BY 1, 2)"""
 
+def _x(p: str, q: str) -> str:
+    return f"CASE WHEN {p} > 0 THEN {p} * ln(greatest({q}, 1e-12)) ELSE 0 END"
+
+
+_IND = f"""CASE WHEN n00 + n01 > 0 AND n10 + n11 > 0 THEN greatest(2 * ({_x('n00', '1 - n01 / (n00 + n01)')} + {_x('n01', 'n01 / (n00 + n01)')} + {_x('n10', '1 - n11 / nullif(n10 + n11, 0)')} + {_x('n11', 'n11 / nullif(n10 + n11, 0)')}
+  - {_x('(n00 + n10)', '1 - (n01 + n11) / (n00 + n01 + n10 + n11)')} - {_x('(n01 + n11)', '(n01 + n11) / (n00 + n01 + n10 + n11)')}), 0) END"""
+
+
+def erfc_sql(x: str) -> str:
+    """The complementary error function of x >= 0 by its published fit."""
+    t, inner = f"(1 / (1 + 0.5 * ({x})))", "0.17087277"
+    for a in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):  # Fixed values: the fit's coefficients
+        inner = f"({a} + {t} * {inner})"
+    return f"{t} * exp(-({x}) * ({x}) + {inner})"
+
+
 def _lr(x: str, n: str, p: str) -> str:
     own = f"CASE WHEN {n} - {x} > 0 THEN ({n} - {x}) * ln(greatest(1 - {x} / {n}, 1e-12)) ELSE 0 END + CASE WHEN {x} > 0 THEN {x} * ln(greatest({x} / {n}, 1e-12)) ELSE 0 END"
     return f"greatest(2 * ({own} - ({n} - {x}) * ln(1 - ({p})) - {x} * ln({p})), 0)"
 
 
-_ABLATION = " UNION ALL ".join(
-    f"SELECT '{cell}' AS cell, '{score}' AS scale, tau_bps, sum(m)::BIGINT AS n, round(1 - sum(y) / sum(m), 5) AS realised, round({_lr('sum(y)', 'sum(m)', '1 - any_value(tau)')}, 4) AS lr_uc, count(*) FILTER ({_lr('y', 'm', '1 - tau')} < 3.841458820694124) AS symbols_pass FROM (SELECT symbol, tau_bps, tau, count(*)::DOUBLE AS m, sum(CASE WHEN {score} > q THEN 1.0 ELSE 0 END)::DOUBLE AS y FROM (SELECT *, '_all' AS everything FROM panel WHERE score IS NOT NULL) JOIN t_{cell}_{score} USING ({cell}) WHERE fri_ts >= DATE '{SPLIT}' GROUP BY 1, 2, 3) GROUP BY tau_bps"
-    for cell in ("everything", "regime_pub") for score in ("score_raw", "score")
-)
+
+
+def _ablation_sql(cell: str, score: str, ind: str) -> str:
+    rows = f"SELECT symbol, regime_pub, fri_ts, tau_bps, tau, CASE WHEN {score} > q THEN 1.0::DOUBLE ELSE 0 END AS miss FROM (SELECT *, '_all' AS everything FROM panel WHERE score IS NOT NULL) JOIN t_{cell}_{score} USING ({cell}) WHERE fri_ts >= DATE '{SPLIT}'"
+    by = lambda k: f"(SELECT tau_bps, count(*) FILTER ({_lr('y', 'm', '1 - tau')} < 3.841458820694124) AS pass FROM (SELECT {k}, tau_bps, tau, count(*)::DOUBLE AS m, sum(miss) AS y FROM x GROUP BY 1, 2, 3) GROUP BY 1)"
+    t = "(SELECT symbol, tau_bps, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM (SELECT symbol, tau_bps, miss AS m, lag(miss) OVER (PARTITION BY symbol, tau_bps ORDER BY fri_ts) AS p FROM x) WHERE p IS NOT NULL GROUP BY 1, 2)"
+    return f"""(WITH x AS ({rows}) SELECT '{cell}' AS cell, '{score}' AS scale, g.tau_bps, n::BIGINT AS n, round(1 - y / n, 5) AS realised, round({_lr('y', 'n', '1 - tau')}, 4) AS lr_uc, round(lr_ind, 4) AS lr_ind, k, a.pass AS symbols_pass, b.pass AS regimes_pass
+FROM (SELECT tau_bps, tau, count(*)::DOUBLE AS n, sum(miss) AS y FROM x GROUP BY 1, 2) g JOIN {by('symbol')} a USING (tau_bps) JOIN {by('regime_pub')} b USING (tau_bps) JOIN (SELECT tau_bps, sum({ind}) AS lr_ind, count({ind})::INT AS k FROM {t} GROUP BY 1) i USING (tau_bps))"""
+
+
 _ABLATION_TABLES = ", ".join(
     f"""t_{cell}_{score}_r AS (SELECT {cell}, {score} AS s, row_number() OVER (PARTITION BY {cell} ORDER BY {score}) AS k, count(*) OVER (PARTITION BY {cell}) AS n FROM (SELECT *, '_all' AS everything FROM panel) WHERE score IS NOT NULL AND fri_ts < DATE '{SPLIT}'),
 t_{cell}_{score} AS (SELECT {cell}, tau_bps, tau, s AS q FROM t_{cell}_{score}_r, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n))"""
@@ -291,7 +322,7 @@ QUERIES = {
     "b24_winkler": (q_winkler, f"WITH {SERVED} SELECT symbol, tau_bps, count(*) AS n, round(avg(((upper - lower) + CASE WHEN mon_open < lower THEN (lower - mon_open) * 2 / (1 - tau) WHEN mon_open > upper THEN (mon_open - upper) * 2 / (1 - tau) ELSE 0 END) / fri_close), 5) AS winkler FROM bands GROUP BY 1, 2"),
     "g8_leave_symbol_out": (q_leave_symbol_out, f"WITH {PANEL}, t AS (SELECT * FROM (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau)), h AS (SELECT DISTINCT symbol AS held FROM panel WHERE score IS NOT NULL), x AS (SELECT held, score AS s, row_number() OVER (PARTITION BY held ORDER BY score) AS k, count(*) OVER (PARTITION BY held) AS n FROM panel, h WHERE symbol <> held AND score IS NOT NULL AND fri_ts < DATE '{SPLIT}'), q AS (SELECT held, tau_bps, s AS q FROM x, t WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT held, tau_bps, count(*) AS n, round(avg(CASE WHEN score <= q THEN 1.0 ELSE 0.0 END), 5) AS realised FROM panel JOIN q ON symbol = held WHERE score IS NOT NULL AND fri_ts >= DATE '{SPLIT}' GROUP BY 1, 2"),
     "i6_delta_sweep": (q_delta_sweep, f"WITH {PANEL}, y AS (SELECT unnest(range(1996, 2002))::INT AS split_year), g AS (SELECT b AS base_bps, d * 50 AS delta_bps, least(b + d * 50, 9990) / 10000.0::DOUBLE AS tau FROM (VALUES (6800), (8500), (9500), (9900)) t(b), (VALUES (0), (1), (2), (3), (4), (6), (8)) u(d)), x AS (SELECT split_year, regime_pub, score AS s, row_number() OVER (PARTITION BY split_year, regime_pub ORDER BY score) AS k, count(*) OVER (PARTITION BY split_year, regime_pub) AS n FROM panel, y WHERE score IS NOT NULL AND year(fri_ts) < split_year), q AS (SELECT split_year, regime_pub, base_bps, delta_bps, s AS q FROM x, g WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)), a AS (SELECT split_year, base_bps, delta_bps, count(*) AS n, count(*) FILTER (score > q)::DOUBLE AS x FROM panel JOIN q ON year(fri_ts) = split_year AND panel.regime_pub = q.regime_pub WHERE score IS NOT NULL GROUP BY 1, 2, 3) SELECT split_year, base_bps, delta_bps, n, round(1 - x / n, 5) AS realised, round(greatest(base_bps / 10000.0 - (1 - x / n), 0), 5) AS deficit, round({_lr('x', 'n', '1 - base_bps / 10000.0::DOUBLE')}, 4) AS lr_uc FROM a"),
-    "i11_ablation": (q_ablation, f"WITH {PANEL}, {TAUS}, {_ABLATION_TABLES} {_ABLATION}"),
+    "i11_ablation": (q_ablation, f"WITH {PANEL}, {TAUS}, {_ABLATION_TABLES} " + " UNION ALL ".join(_ablation_sql(c, x, _IND) for c in ("everything", "regime_pub") for x in ("score_raw", "score"))),
     "i27_vol_split": (q_vol_split, f"WITH {PANEL}, c AS (SELECT quantile_cont(vix, 1.0 / 3) AS a, quantile_cont(vix, 2.0 / 3) AS b FROM panel WHERE regime_pub = 'normal' AND fri_ts < DATE '{SPLIT}') SELECT CASE WHEN regime_pub <> 'normal' THEN regime_pub WHEN vix <= a THEN 'normal_calm' WHEN vix < b THEN 'normal_mid' ELSE 'normal_heavy' END AS cell, count(*) AS n, round(avg(score), 5) AS mean_score FROM panel, c GROUP BY 1"),
-    "e17_lag_correlation": (q_lag_correlation, f"WITH {PANEL}, z AS (SELECT symbol, rel_resid / sigma AS z, lag(rel_resid / sigma) OVER (PARTITION BY symbol ORDER BY fri_ts) AS lz FROM panel WHERE score IS NOT NULL) SELECT symbol, count(*) AS n, round(corr(z, lz), 5) AS rho FROM z WHERE lz IS NOT NULL GROUP BY 1 HAVING count(*) >= 30"),
+    "e17_lag_correlation": (q_lag_correlation, f"WITH {PANEL}, z AS (SELECT symbol, fri_ts, rel_resid / sigma AS z FROM panel WHERE score IS NOT NULL), o AS (SELECT symbol, z, lag(z) OVER (PARTITION BY symbol ORDER BY fri_ts) AS lz FROM z), p AS (SELECT unnest([symbol, 'within symbols']) AS scope, z, lz FROM o WHERE lz IS NOT NULL UNION ALL SELECT 'within dates', z, lz FROM (SELECT z, lag(z) OVER (PARTITION BY fri_ts ORDER BY symbol) AS lz FROM z) WHERE lz IS NOT NULL), g AS (SELECT scope, count(*) AS n, corr(z, lz) AS rho FROM p GROUP BY 1 HAVING count(*) >= 30), e AS (SELECT *, (1 - rho * rho) / sqrt(n - 2) AS se, abs(rho / ((1 - rho * rho) / sqrt(n - 2))) / sqrt(2) AS x FROM g) SELECT scope, n, round(rho, 5) AS rho, round(se, 5) AS se, round({erfc_sql('x')}, 5) AS p FROM e"),
 }

@@ -55,9 +55,9 @@ def q_variants(s, d):  # noqa: ANN001, ANN201
 
 def q_paired(s, d):  # noqa: ANN001, ANN201
     values = ["half_width_bps", "fp_liq", "miss_liq", "cost"]
-    rows = L.paired(compared(s, d, "economic_flat85").where("tau_bps = 9500"), "flat", "band", values)
+    rows = L.paired(compared(s, d, "economic_flat85"), "flat", "band", values)
     w = F.col("row_weight")
-    return rounded(rows.groupBy("regime_pub").agg(F.count("*").alias("n"), *[(L.weighted_mean(F.col(v), w) - L.weighted_mean(F.col(f"base_{v}"), w)).alias(f"delta_{v}") for v in values]), 5)
+    return rounded(rows.groupBy("tau_bps", "regime_pub").agg(F.count("*").alias("n"), *[(L.weighted_mean(F.col(v), w) - L.weighted_mean(F.col(f"base_{v}"), w)).alias(f"delta_{v}") for v in values]), 5)
 
 
 def q_delta_bootstrap(s, d):  # noqa: ANN001, ANN201
@@ -176,7 +176,7 @@ QUERIES = {
     "m4_policy": (q_policy, f"WITH {SERVED}, {_decisions(0.05, 0.05, 18)} SELECT tau_bps, ltv, regime_pub, count(*) AS n, sum(miss_liq)::BIGINT AS missed, sum(fp_liq)::BIGINT AS false_alarms, sum(false_caution)::BIGINT AS false_cautions, sum(missed_caution)::BIGINT AS missed_cautions, round(avg(cost), 6) AS mean_cost FROM y GROUP BY 1, 2, 3"),
     "d10_confusion": (q_confusion, f"WITH {SERVED}, {_decisions(0.1, 0.1, 9)}, c AS (SELECT tau_bps, ltv, predicted, \"right\", count(*) AS n FROM y GROUP BY 1, 2, 3, 4) SELECT *, round(n / sum(n) OVER (PARTITION BY tau_bps, ltv, \"right\"), 6) AS share FROM c"),
     "m7_variants": (q_variants, f"WITH {SERVED}, {_VARIANTS} SELECT variant, tau_bps, regime_pub, truth, count(*) AS n, round(sum(w), 5) AS weight_sum, {_WM('half_width_bps', 'mean_half_width_bps')}, " + ", ".join(_WM(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0 END", a) for c, v, a in (("predicted", "Liquidate", "liquidation_rate"), ("predicted", "Caution", "caution_rate"), ("predicted", "Safe", "safe_rate"), ('"right"', "Liquidate", "realized_liquidation_rate"))) + f", {_WM('fp_liq', 'fp_liq_rate')}, {_WM('miss_liq', 'miss_liq_rate')}, {_WM('false_caution', 'false_caution_rate')}, {_WM('missed_caution', 'missed_caution_rate')}, {_WM('cost', 'expected_loss')} FROM x GROUP BY 1, 2, 3, 4"),
-    "c14_paired_variants": (q_paired, f"WITH {SERVED}, {_VARIANTS}, e AS (SELECT * FROM x WHERE truth = 'economic_flat85' AND tau_bps = 9500), p AS (SELECT a.*, b.half_width_bps AS bh, b.fp_liq AS bf, b.miss_liq AS bm, b.cost AS bc FROM e a JOIN e b ON a.symbol = b.symbol AND a.fri_ts = b.fri_ts AND a.ltv = b.ltv AND a.variant = 'band' AND b.variant = 'flat') SELECT regime_pub, count(*) AS n, round(sum(half_width_bps * w) / sum(w) - sum(bh * w) / sum(w), 5) AS delta_half_width_bps, round(sum(fp_liq * w) / sum(w) - sum(bf * w) / sum(w), 5) AS delta_fp_liq, round(sum(miss_liq * w) / sum(w) - sum(bm * w) / sum(w), 5) AS delta_miss_liq, round(sum(cost * w) / sum(w) - sum(bc * w) / sum(w), 5) AS delta_cost FROM p GROUP BY 1"),
+    "c14_paired_variants": (q_paired, f"WITH {SERVED}, {_VARIANTS}, e AS (SELECT * FROM x WHERE truth = 'economic_flat85'), p AS (SELECT a.*, b.half_width_bps AS bh, b.fp_liq AS bf, b.miss_liq AS bm, b.cost AS bc FROM e a JOIN e b ON a.symbol = b.symbol AND a.fri_ts = b.fri_ts AND a.ltv = b.ltv AND a.tau_bps = b.tau_bps AND a.variant = 'band' AND b.variant = 'flat') SELECT tau_bps, regime_pub, count(*) AS n, round(sum(half_width_bps * w) / sum(w) - sum(bh * w) / sum(w), 5) AS delta_half_width_bps, round(sum(fp_liq * w) / sum(w) - sum(bf * w) / sum(w), 5) AS delta_fp_liq, round(sum(miss_liq * w) / sum(w) - sum(bm * w) / sum(w), 5) AS delta_miss_liq, round(sum(cost * w) / sum(w) - sum(bc * w) / sum(w), 5) AS delta_cost FROM p GROUP BY 1, 2"),
     "l2_delta_bootstrap": (q_delta_bootstrap, None),
     "m11_reserve_borrowers": (q_reserve_borrowers, f"""WITH {SERVED}, l AS (SELECT tau_bps, lower, (75 - 0.5) / 100::DOUBLE * fri_close / lower * 100 AS a, (85 - 0.05::DOUBLE) / 100 * fri_close / lower * 100 AS b FROM bands) SELECT tau_bps, CASE WHEN lower > 0 THEN CASE WHEN a >= 85 THEN 'Liquidate' WHEN a >= 75 THEN 'Caution' ELSE 'Safe' END ELSE 'n/a' END AS near_origination, CASE WHEN lower > 0 THEN CASE WHEN b >= 85 THEN 'Liquidate' WHEN b >= 75 THEN 'Caution' ELSE 'Safe' END ELSE 'n/a' END AS near_liquidation, count(*) AS n FROM l GROUP BY 1, 2, 3"""),
     "m10_path_exhaustion": (q_exhaustion, "WITH t AS (SELECT event_type AS symbol, ts, event_id, value FROM events WHERE value > 0), f AS (SELECT symbol, min_by(value, (ts, event_id)) AS reference FROM t GROUP BY 1), b AS (SELECT t.*, reference, reference * (0.75::DOUBLE / 0.85::DOUBLE) AS breach FROM t JOIN f USING (symbol)) SELECT symbol, round(reference, 6) AS reference, round(breach, 6) AS breach, round(min(value), 6) AS path_min, count(*) FILTER (value <= breach) AS breaches, min(ts) FILTER (value <= breach) AS first_breach, round((min(value) - reference) / reference * 10000, 6) AS drawdown_bps, count(*) FILTER (value <= breach) > 0 AS breached FROM b GROUP BY symbol, b.reference, b.breach"),

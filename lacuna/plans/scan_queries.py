@@ -30,21 +30,25 @@ def meta(df, *key):  # noqa: ANN001, ANN201
     return df.withColumns({"_schema_version": F.lit("v1"), "_fetched_at": F.lit("2024-03-01").cast("timestamp"), "_source": F.lit("made"), "_dedup_key": F.concat_ws("|", *key)})
 
 
-def typed(df, kind: str):  # noqa: ANN001, ANN201
-    """df in a tape's columns: those it lacks are null."""
+def typed(df, kind: str, *more):  # noqa: ANN001, ANN201
+    """df in a tape's columns, those it lacks null, and more."""
     fields = df.sparkSession.createDataFrame([], T.TAPES[kind].schema).schema
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    return df.select(*more, *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def stored_once(s, d, kind: str, make, key: str | None = None) -> str:  # noqa: ANN001
-    """The root of a tape made of the driver's tables, written once a session."""
+def stored_once(s, d, kind: str, make, key: str | None = None, by: str | None = None) -> str:  # noqa: ANN001
+    """The root of a tape made of the driver's tables, written once a session, under a key, or all keys that a column has."""
 
     def write():  # noqa: ANN202
         root = fresh_path(s, f"tape-{kind}")
-        T.stored(typed(make(), kind), kind, root, key)
+        rows = make()
+        if by is None:
+            T.stored(typed(rows, kind), kind, root, key)
+        else:
+            T.stored(typed(rows, kind, F.col(by).alias("_by")), kind, root, F.col("_by"))
         return s.createDataFrame([(root,)], "root string")
 
-    return once(s, f"root-{kind}-{key}", d, write).first()["root"]
+    return once(s, f"root-{kind}-{key}-{by}", d, write).first()["root"]
 
 
 def _ticks(s, d):  # noqa: ANN001, ANN202
@@ -78,15 +82,15 @@ def q_joined_scan(s, d):  # noqa: ANN001, ANN201
 
 def _keyed(kind: str, key: str, when: str, price: str):  # noqa: ANN202
     def run(s, d):  # noqa: ANN001, ANN202
-        root = stored_once(s, d, kind, lambda: _ticks(s, d).where(F.col("symbol") == key).select(F.col("unix").alias(when), F.col("value").alias(price), F.col("event_id").cast("string").alias("_dedup_key")), key)
+        root = stored_once(s, d, kind, lambda: _ticks(s, d).select("symbol", F.col("unix").alias(when), F.col("value").alias(price), F.col("event_id").cast("string").alias("_dedup_key")), by="symbol")
         return T.scanned(s, kind, root, FROM, TO, key).select(F.col(when).alias("unix"), F.round(price, 6).alias("price"), F.col("_dedup_key").alias("event_id"))
 
     return run
 
 
 def q_bars_scan(s, d):  # noqa: ANN001, ANN201
-    """Daily bars of one symbol from yearly files of the older place, both ends in."""
-    root = stored_once(s, d, "legacy_bars", lambda: M.daily_bars(s, d).where("symbol = 'Brand#12'"), "Brand#12")
+    """Daily bars of one symbol from yearly files of the older place, where all symbols lie, both ends in."""
+    root = stored_once(s, d, "legacy_bars", lambda: M.daily_bars(s, d), by="symbol")
     return T.scanned(s, "bars", root, "1994-03-01", dt.date(1996, 6, 30), "Brand#12").select("symbol", "ts", F.round("close", 6).alias("close"), F.round("volume", 2).alias("volume"))
 
 
@@ -96,7 +100,7 @@ def q_index_scan(s, d):  # noqa: ANN001, ANN201
 
 
 def q_earnings_scan(s, d):  # noqa: ANN001, ANN201
-    root = stored_once(s, d, "earnings", lambda: M.calendar_events(s, d).where("symbol = 'Brand#12'").select("symbol", F.col("event_date").alias("earnings_date"), "session", F.col("confirmed").alias("session_confirmed")), "Brand#12")
+    root = stored_once(s, d, "earnings", lambda: M.calendar_events(s, d).select("symbol", F.col("event_date").alias("earnings_date"), "session", F.col("confirmed").alias("session_confirmed")), by="symbol")
     return T.scanned(s, "earnings", root, "1994-03-01", "1996-06-30", "Brand#12").select("symbol", "earnings_date", "session", "session_confirmed")
 
 

@@ -17,6 +17,7 @@ from ..sources import market as M
 from .market_queries import EVENTS_Q
 from .panel_queries import PANEL, SERVED, SPLIT, TAUS, _bump_sql, _table_sql, bands, panel
 from .policy_queries import rounded
+from .stat_queries import _IND
 
 # The published schedules by coverage (shift of tau, bump of q).
 SHIFT = {0.68: 0.05, 0.85: 0.02, 0.95: 0.0, 0.99: 0.0}
@@ -143,7 +144,8 @@ def q_nested_holdout(s, d):  # noqa: ANN001, ANN201
     test = panel(s, d).where("fri_ts >= '2000-01-01' AND score IS NOT NULL").join(sized(q.join(c.select("tau_bps", "c"), "tau_bps")), "regime_pub")
     rows = test.withColumns({"miss": (F.col("score") > F.col("q") * F.col("c")).cast("int"), "hw": F.col("q") * F.col("c") * F.col("sigma") * 10_000})
     g = rows.groupBy("tau_bps", "tau").agg(F.count("*").alias("n"), F.sum("miss").alias("x"), F.avg("hw").alias("mean_hw"))
-    g = g.join(percentiles(rows, ["tau_bps"], F.col("hw"), {"median_hw": 0.5}), "tau_bps")
+    t = S.pooled_transitions(rows, ["tau_bps"], "fri_ts", "symbol", "miss")
+    g = g.join(percentiles(rows, ["tau_bps"], F.col("hw"), {"median_hw": 0.5}), "tau_bps").join(t.select("tau_bps", S.independence_lr(t).alias("lr_ind")), "tau_bps")
     return rounded(g.withColumn("lr_uc", S.kupiec_lr(F.col("x"), F.col("n"), 1 - F.col("tau"))).drop("tau"), 4)
 
 
@@ -294,7 +296,7 @@ QUERIES = {
     "b17_path_score": (q_path_score, f"WITH {_PANEL_PATH} SELECT symbol, fri_ts, round(path_lo, 8) AS path_lo, round(path_hi, 8) AS path_hi, round(score_path, 4) AS score_path FROM panel WHERE score_path IS NOT NULL"),
     "d13_path_coverage": (q_path_coverage, f"WITH {_PATH_BANDS} SELECT regime_pub, tau_bps, count(*) AS n, round(avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END), 4) AS endpoint_cov, round(avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END), 4) AS path_cov, round((avg(CASE WHEN mon_open BETWEEN lower AND upper THEN 1.0 ELSE 0 END) - avg(CASE WHEN path_lo >= lower AND path_hi <= upper THEN 1.0 ELSE 0 END)) * 100, 4) AS gap_pp FROM bands GROUP BY 1, 2"),
     "j11_path_wide": (q_path_wide, f"WITH {_PATH_BANDS} SELECT symbol, fri_ts, " + ", ".join(f'round(max(lower) FILTER (tau_bps = {b}), 3) AS "{b}_lo", round(max(upper) FILTER (tau_bps = {b}), 3) AS "{b}_hi"' for b in (6800, 8500, 9500, 9900)) + " FROM bands GROUP BY 1, 2"),
-    "i25_nested_holdout": (q_nested_holdout, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, {_TUNE}, t AS (SELECT tau_bps, tau, CASE WHEN score > q * c THEN 1 ELSE 0 END AS miss, q * c * sigma * 10000 AS hw FROM panel JOIN qt USING (regime_pub) JOIN bump USING (tau_bps, tau) WHERE fri_ts >= DATE '2000-01-01' AND score IS NOT NULL), g AS (SELECT tau_bps, tau, count(*) AS n, sum(miss)::BIGINT AS x, avg(hw) AS mean_hw, median(hw) AS median_hw FROM t GROUP BY 1, 2) SELECT tau_bps, n, x, round(mean_hw, 4) AS mean_hw, round(median_hw, 4) AS median_hw, round(greatest(2 * ({_LRX} - (n - x) * ln(tau) - x * ln(1 - tau)), 0), 4) AS lr_uc FROM g"),
+    "i25_nested_holdout": (q_nested_holdout, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, {_TUNE}, t0 AS (SELECT symbol, fri_ts, tau_bps, tau, CASE WHEN score > q * c THEN 1 ELSE 0 END AS miss, q * c * sigma * 10000 AS hw FROM panel JOIN qt USING (regime_pub) JOIN bump USING (tau_bps, tau) WHERE fri_ts >= DATE '2000-01-01' AND score IS NOT NULL), l AS (SELECT tau_bps, miss AS m, lag(miss) OVER (PARTITION BY tau_bps ORDER BY fri_ts, symbol) AS p FROM t0), w AS (SELECT tau_bps, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(miss)::BIGINT AS x, avg(hw) AS mean_hw, median(hw) AS median_hw FROM t0 GROUP BY 1, 2) SELECT tau_bps, n, x, round(mean_hw, 4) AS mean_hw, round(median_hw, 4) AS median_hw, round(greatest(2 * ({_LRX} - (n - x) * ln(tau) - x * ln(1 - tau)), 0), 4) AS lr_uc, round({_IND}, 4) AS lr_ind FROM g JOIN w USING (tau_bps)"),
     "i22_matched_history": (q_matched_history, f"WITH {PANEL}, {TAUS}, m AS (SELECT fri_ts AS as_of FROM (SELECT fri_ts, row_number() OVER (ORDER BY fri_ts) - 1 AS past FROM (SELECT DISTINCT fri_ts FROM panel)) WHERE past >= 4 AND {_LATE}), c AS (SELECT fri_ts, score, unnest([regime_pub, 'pooled']) AS scope FROM panel WHERE score IS NOT NULL), x AS (SELECT as_of, scope, score AS q, row_number() OVER (PARTITION BY as_of, scope ORDER BY score) AS k, count(*) OVER (PARTITION BY as_of, scope) AS n FROM c JOIN m ON fri_ts < as_of) SELECT as_of, scope, tau_bps, n, round(q, 5) AS q, ceil(tau * (n + 1)) > n AS saturated FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)"),
     "b18_scale_power": (q_scale_sweep, f"WITH {PANEL}, {TAUS}, e AS (SELECT *, pow(sigma, rho) AS unit, score_raw / pow(sigma, rho) AS s FROM panel, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) r(rho) WHERE sigma > 0), x AS (SELECT rho, regime_pub, s, row_number() OVER (PARTITION BY rho, regime_pub ORDER BY s) AS k, count(*) OVER (PARTITION BY rho, regime_pub) AS n FROM e WHERE NOT ({_LATE})), q AS (SELECT rho, regime_pub, tau_bps, s AS q FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT rho, tau_bps, count(*) AS n, round(avg(CASE WHEN s <= q THEN 1.0 ELSE 0 END), 4) AS realised, round(avg(q * unit * 10000), 4) AS mean_hw_bps FROM e JOIN q USING (rho, regime_pub) WHERE {_LATE} GROUP BY 1, 2"),
     "i28_scale_variants": (q_scale_variants, f"WITH {PANEL}, {TAUS}, n0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fri_ts) AS rn FROM panel), s0 AS (SELECT *, {_EW(6)} AS s6, {_EW(12)} AS s12, CASE WHEN count(*) OVER v >= 8 THEN stddev_samp(rel_resid) OVER v END AS sk FROM n0 WINDOW w AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY symbol ORDER BY fri_ts ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)), f AS (SELECT * FROM s0 WHERE sigma > 0 AND sk > 0 AND s6 > 0 AND s12 > 0), e AS (SELECT 'k26' AS variant, fri_ts, regime_pub, score_raw, sk AS scale FROM f UNION ALL SELECT 'hl6', fri_ts, regime_pub, score_raw, s6 FROM f UNION ALL SELECT 'hl8', fri_ts, regime_pub, score_raw, sigma FROM f UNION ALL SELECT 'hl12', fri_ts, regime_pub, score_raw, s12 FROM f UNION ALL SELECT 'blend', fri_ts, regime_pub, score_raw, 0.5 * sigma + 0.5 * sk FROM f), x AS (SELECT variant, regime_pub, score_raw / scale AS s, row_number() OVER (PARTITION BY variant, regime_pub ORDER BY score_raw / scale) AS k, count(*) OVER (PARTITION BY variant, regime_pub) AS n FROM e WHERE NOT ({_LATE})), q AS (SELECT variant, regime_pub, tau_bps, s AS q FROM x, taus WHERE k = least(greatest(ceil(tau * (n + 1)), 1), n)) SELECT variant, tau_bps, count(*) AS n, round(avg(CASE WHEN score_raw / scale <= q THEN 1.0 ELSE 0 END), 4) AS realised, round(avg(q * scale * 10000), 4) AS mean_hw_bps FROM e JOIN q USING (variant, regime_pub) WHERE {_LATE} GROUP BY 1, 2"),

@@ -9,7 +9,7 @@ from ..functions.special import chi2_column
 from ..operators import calibrate as C
 from ..operators import resample as R
 from ..operators import stats as S
-from .panel_queries import SERVED, bands
+from .panel_queries import _IND, SERVED, _x, bands, erfc_sql
 
 
 def misses(s, d):  # noqa: ANN001, ANN201
@@ -44,9 +44,11 @@ def q_breach_shares(s, d):  # noqa: ANN001, ANN201
 
 
 def q_threshold(s, d):  # noqa: ANN001, ANN201
-    """The fewest misses a date that at most one date in twenty reaches; 10 if none."""
-    out = S.breach_shares(S.breach_counts(misses(s, d), "fri_ts", "miss", "tau_bps"), "tau_bps")
-    return out.groupBy("tau_bps").agg(F.coalesce(F.min(F.when(F.round("at_least", 9) <= 0.05, F.col("k"))), F.lit(10)).alias("k_below"))
+    """The fewest misses a date that at most one date in twenty reaches, 10 if none; and, of those that at most half reach, the
+    number whose share comes nearest to one in twenty."""
+    out = S.breach_shares(S.breach_counts(misses(s, d), "fri_ts", "miss", "tau_bps"), "tau_bps").withColumn("p", F.round("at_least", 9)).where("p <= 0.5")
+    near = F.min(F.struct(F.round(F.abs(F.col("p") - 0.05), 9).alias("off"), "k"))["k"]
+    return out.groupBy("tau_bps").agg(F.coalesce(F.min(F.when(F.col("p") <= 0.05, F.col("k"))), F.lit(10)).alias("k_below"), near.alias("k_close"))
 
 
 def q_slices(s, d):  # noqa: ANN001, ANN201
@@ -67,17 +69,11 @@ def q_bootstrap(s, d):  # noqa: ANN001, ANN201
     return R.block_bootstrap(rows, "fri_ts", ["tau_bps"], "v", draws=200, seed=11, kind="multinomial").select("tau_bps", F.round("mean", 6).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-def _x(p: str, q: str) -> str:
-    return f"CASE WHEN {p} > 0 THEN {p} * ln(greatest({q}, 1e-12)) ELSE 0 END"
-
-
 _LR = f"greatest(2 * ({_x('(n - x)', '1 - x / n')} + {_x('x', 'x / n')} - (n - x) * ln(1 - (1 - tau)) - x * ln(1 - tau)), 0)"
-_IND = f"""CASE WHEN n00 + n01 > 0 AND n10 + n11 > 0 THEN greatest(2 * ({_x('n00', '1 - n01 / (n00 + n01)')} + {_x('n01', 'n01 / (n00 + n01)')} + {_x('n10', '1 - n11 / nullif(n10 + n11, 0)')} + {_x('n11', 'n11 / nullif(n10 + n11, 0)')}
-  - {_x('(n00 + n10)', '1 - (n01 + n11) / (n00 + n01 + n10 + n11)')} - {_x('(n01 + n11)', '(n01 + n11) / (n00 + n01 + n10 + n11)')}), 0) END"""
 _T = """l AS (SELECT symbol, tau_bps, 1 - inside AS m, lag(1 - inside) OVER (PARTITION BY symbol, tau_bps ORDER BY fri_ts) AS p FROM hits),
 t AS (SELECT symbol, tau_bps, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY 1, 2)"""
 _K = """c AS (SELECT tau_bps, fri_ts, count(*) AS n_w, sum(1 - inside)::BIGINT AS k_w FROM hits GROUP BY 1, 2),
-u AS (SELECT tau_bps, count(*) AS dates, max(k_w) AS top FROM c GROUP BY 1),
+u AS (SELECT tau_bps, count(*) AS dates, max(n_w) AS top FROM c GROUP BY 1),
 sp AS (SELECT tau_bps, dates, unnest(range(0, top + 1)) AS k FROM u),
 b AS (SELECT sp.tau_bps, sp.k, (SELECT count(*) FROM c WHERE c.tau_bps = sp.tau_bps AND k_w = k) / dates AS share, (SELECT count(*) FROM c WHERE c.tau_bps = sp.tau_bps AND k_w >= k) / dates AS at_least FROM sp)"""
 _PIN = lambda a, q: f"CASE WHEN mon_open >= {q} THEN (mon_open - {q}) * {a} ELSE ({q} - mon_open) * (1 - {a}) END"
@@ -86,11 +82,7 @@ _PIN = lambda a, q: f"CASE WHEN mon_open >= {q} THEN (mon_open - {q}) * {a} ELSE
 
 def chi2_sql(x: str, k: str) -> str:
     """The tail of a chi-square variable with k degrees, x and k being columns or plain terms, by the same published fit."""
-    t = f"(1 / (1 + 0.5 * sqrt({x} / 2)))"
-    inner = "0.17087277"
-    for a in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):  # Fixed values: the fit's coefficients
-        inner = f"({a} + {t} * {inner})"
-    odd = f"{t} * exp(-{x} / 2 + {inner}) + coalesce(list_sum(list_transform(range(1, ({k} - 1) // 2 + 1), lambda j: sqrt(2 * {x} / pi()) * exp(-{x} / 2) * pow({x}, j - 1) / list_product(list_transform(range(1, j + 1), lambda i: 2 * i - 1)))), 0)"
+    odd = f"{erfc_sql(f'sqrt({x} / 2)')} + coalesce(list_sum(list_transform(range(1, ({k} - 1) // 2 + 1), lambda j: sqrt(2 * {x} / pi()) * exp(-{x} / 2) * pow({x}, j - 1) / list_product(list_transform(range(1, j + 1), lambda i: 2 * i - 1)))), 0)"
     even = f"list_sum(list_transform(range(0, {k} // 2), lambda j: exp(-{x} / 2) * pow({x} / 2, j) / gamma(j + 1)))"
     return f"CASE WHEN {k} >= 1 THEN least(greatest(CASE WHEN {k} % 2 = 1 THEN {odd} ELSE {even} END, 0), 1) END"
 
@@ -101,7 +93,7 @@ QUERIES = {
     "k2_independence": (q_independence, f"WITH {SERVED}, {_T} SELECT symbol, tau_bps, n00::BIGINT AS n00, n01::BIGINT AS n01, n10::BIGINT AS n10, n11::BIGINT AS n11, round({_IND}, 5) AS lr_ind FROM t"),
     "k17_wilson": (q_wilson, f"WITH {SERVED}, g AS (SELECT symbol, tau_bps, count(*) AS n, sum(inside)::DOUBLE / count(*) AS p FROM hits GROUP BY 1, 2), w AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS m, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM g) SELECT symbol, tau_bps, n, round(greatest(m - h, 0), 6) AS lo, round(least(m + h, 1), 6) AS hi FROM w"),
     "d12_breach_shares": (q_breach_shares, f"WITH {SERVED}, {_K} SELECT tau_bps, k, round(share, 6) AS share, round(at_least, 6) AS at_least FROM b"),
-    "k14_threshold": (q_threshold, f"WITH {SERVED}, {_K} SELECT tau_bps, coalesce(min(CASE WHEN round(at_least, 9) <= 0.05 THEN k END), 10) AS k_below FROM b GROUP BY 1"),
+    "k14_threshold": (q_threshold, f"WITH {SERVED}, {_K} SELECT tau_bps, coalesce(min(CASE WHEN round(at_least, 9) <= 0.05 THEN k END), 10) AS k_below, arg_min(k, (round(abs(round(at_least, 9) - 0.05), 9), k)) AS k_close FROM b WHERE round(at_least, 9) <= 0.5 GROUP BY 1"),
     "k20_slices": (q_slices, f"WITH {SERVED} SELECT tau_bps, regime_pub, year(fri_ts) AS year, count(*) AS n, round(avg(inside), 5) AS realised, round(avg(hw_bps), 3) AS hw FROM hits GROUP BY GROUPING SETS ((tau_bps), (tau_bps, regime_pub), (tau_bps, year(fri_ts)))"),
     "k8_crps": (q_crps, f"WITH {SERVED}, w AS (SELECT symbol, fri_ts, mon_open, fri_close, max(CASE WHEN tau_bps = 6800 THEN lower END) AS l68, max(CASE WHEN tau_bps = 6800 THEN upper END) AS u68, max(CASE WHEN tau_bps = 9500 THEN lower END) AS l95, max(CASE WHEN tau_bps = 9500 THEN upper END) AS u95 FROM bands GROUP BY 1, 2, 3, 4), p AS (SELECT *, {_PIN(0.025, 'l95')} AS a, {_PIN(0.16, 'l68')} AS b, {_PIN(0.84, 'u68')} AS c, {_PIN(0.975, 'u95')} AS e FROM w) SELECT symbol, count(*) AS n, round(avg(2 * ((a + b) / 2 * 0.135 + (b + c) / 2 * 0.68 + (c + e) / 2 * 0.135) / fri_close), 5) AS crps FROM p GROUP BY 1"),
     "l1_block_bootstrap": (q_bootstrap, None),

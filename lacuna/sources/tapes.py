@@ -65,9 +65,16 @@ def as_date(x: dt.date | dt.datetime | str) -> dt.date:
     return x
 
 
+def escaped(key: str) -> str:
+    """A key as writers by partition put it into a path."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or c < " " else c for c in key)
+
+
 def paths_of(tape: Tape, root: str, start: dt.date, end: dt.date, key: str | None) -> list[str]:
-    base = f"{root}/{tape.place}"
-    return (daily_paths if tape.every == "day" else yearly_paths)(base, start, end, (tape.key, key) if tape.key and key is not None else None)
+    """Where a tape's files of some dates may lie; a key whose name paths don't take, as it is or escaped."""
+    base, of = f"{root}/{tape.place}", daily_paths if tape.every == "day" else yearly_paths
+    names = [(tape.key, k) for k in dict.fromkeys((key, escaped(key)))] if tape.key and key is not None else [None]
+    return [p for name in names for p in of(base, start, end, name)]
 
 
 def scanned(spark: SparkSession, kind: str, root: str, start: dt.date | str, end: dt.date | str, key: str | None = None) -> DataFrame:
@@ -78,6 +85,8 @@ def scanned(spark: SparkSession, kind: str, root: str, start: dt.date | str, end
     if kind == "bars" and not found.inputFiles():
         found = read_existing(spark, paths_of(TAPES["legacy_bars"], root, start, end, key), tape.schema)
     rows = found.where(day_of(F.col(tape.when), tape.unit).between(F.lit(start), F.lit(end)))
+    if tape.key in rows.columns and key is not None:
+        rows = rows.withColumn(tape.key, F.coalesce(F.col(tape.key), F.lit(key)))
     if kind == "joined":
         failed = F.coalesce(F.col("jup_err"), F.lit("")) != ""
         rows = rows.withColumns({c: F.when(~failed, F.col(c)) for c in ("jup_bid", "jup_ask", "jup_mid", "spread_bp", "basis_bp")})
@@ -88,8 +97,9 @@ def scanned(spark: SparkSession, kind: str, root: str, start: dt.date | str, end
     return rows
 
 
-def stored(df: DataFrame, kind: str, root: str, key: str | None = None) -> None:
-    """Writes rows as a tape's dated files, in one job; a key, or the rows' own values of the tape's key column."""
+def stored(df: DataFrame, kind: str, root: str, key: str | Column | None = None) -> None:
+    """Writes rows as a tape's dated files, in one job, under one key, or, if it is a column, each under its own: that
+    column goes into the path alone, and whoever reads a key fills it in."""
     tape = TAPES[kind]
     day = day_of(F.col(tape.when), tape.unit)
     text = lambda f: F.date_format("_day", f)
@@ -99,7 +109,9 @@ def stored(df: DataFrame, kind: str, root: str, key: str | None = None) -> None:
     else:
         rows, parts = rows.withColumn("year", F.concat(text("yyyy"), F.lit(".parquet"))), ["year"]
     base = f"{root}/{tape.place}"
-    if tape.key and key is not None:
+    if tape.key and isinstance(key, Column):
+        rows, parts = rows.withColumn(tape.key, key), [tape.key, *parts]
+    elif tape.key and key is not None:
         base += f"/{tape.key}={key}"
     rows.drop("_day").repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(base)
 
