@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from bisect import insort
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import sized
+from .shared import running, sized, written
 
 # The rule of the adaptive multipliers, and the name of its state.
 RATE, LOWEST, HIGHEST = 0.05, 0.25, 4.0
@@ -112,38 +111,65 @@ def multipliers(rows: DataFrame, checkpoint: Mapping) -> DataFrame:
     return rows.join(F.broadcast(table), ["cell", "tau_bps"], "left").withColumn("m", F.when(known, F.coalesce("m", F.lit(1.0))).otherwise(F.raise_error(F.concat(F.lit("no state for tau "), F.col("tau_bps").cast("string")))))
 
 
-def _quantile(line: list[float], a: float) -> float:
-    """The 1 - a quantile of sorted values, between neighbours; a <= 0, or no values, gives infinity, a >= 1 nothing."""
-    if a <= 0 or (a < 1 and not line):
-        return math.inf
-    if a >= 1:
-        return 0.0
-    at = (len(line) - 1) * (1 - a)
-    lo = int(at)
-    hi = min(lo + 1, len(line) - 1)
-    return line[lo] + (line[hi] - line[lo]) * (at - lo)
+class _Line:
+    """Scores seen so far, by their rank among all that a key will have: a value and a count a rank, twelve bytes a score.
+    Counts stand in a tree of partial sums, so adding and finding the k-th take as many steps as ranks have bits."""
+
+    def __init__(self, n: int):
+        self.n, self.values, self.tree = 0, np.zeros(n), np.zeros(n + 1, np.int32)
+        self.top = 1 << n.bit_length() - 1 if n else 0
+
+    def add(self, ranks: np.ndarray, scores: np.ndarray) -> None:
+        self.values[ranks] = scores
+        at = ranks.astype(np.int64) + 1
+        while len(at):
+            np.add.at(self.tree, at, 1)
+            at = at + (at & -at)
+            at = at[at < len(self.tree)]
+        self.n += len(ranks)
+
+    def kth(self, k: int) -> float:
+        """The k-th smallest, from 0."""
+        at, step, left = 0, self.top, k
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] <= left:
+                at += step
+                left -= int(self.tree[at])
+            step >>= 1
+        return float(self.values[at])
+
+    def quantile(self, a: float) -> float:
+        """The 1 - a quantile, between neighbours; a <= 0, or no values, gives infinity, a >= 1 nothing."""
+        if a <= 0 or (a < 1 and not self.n):
+            return math.inf
+        if a >= 1:
+            return 0.0
+        at = (self.n - 1) * (1 - a)
+        lo = int(at)
+        first = self.kth(lo)
+        return first + (self.kth(min(lo + 1, self.n - 1)) - first) * (at - lo) if at > lo else first
 
 
 class _Radii:
     """Three online methods over the periods of one key: one adapted level (aci), a bank of levels weighed by the loss of
     their radii (dtaci), and a tracked quantile with a saturated sum of errors (pi)."""
 
-    def __init__(self, alpha: float, rate: float, warm: int):
+    def __init__(self, alpha: float, rate: float, warm: int, n: int):
         self.alpha, self.rate, self.warm = alpha, rate, warm
         k = len(STEPS)
         self.level, self.bank, self.weight = alpha, np.full(k, alpha), np.full(k, 1 / k)
         self.eta, self.mix = math.sqrt(3 / HORIZON * (math.log(k * HORIZON) + 2)), 1 / (2 * HORIZON)
-        self.past: list[float] = []
+        self.past = _Line(n)
         self.first: list[np.ndarray] = []
         self.t, self.q, self.debt, self.step = 0, 0.0, 0.0, 0.01
 
     def served(self) -> tuple[float, float, float]:
-        return _quantile(self.past, self.level), _quantile(self.past, float(self.weight @ self.bank)), max(self.q, 0.0)
+        return self.past.quantile(self.level), self.past.quantile(float(self.weight @ self.bank)), max(self.q, 0.0)
 
-    def learn(self, s: np.ndarray) -> None:
+    def learn(self, s: np.ndarray, ranks: np.ndarray) -> None:
         a, bank = self.alpha, self.bank
-        own = _quantile(self.past, self.level)
-        radii = np.array([_quantile(self.past, x) for x in bank])
+        own = self.past.quantile(self.level)
+        radii = np.array([self.past.quantile(x) for x in bank])
         over = s[:, None] - radii[None, :]
         loss = np.where(np.isfinite(radii), np.where(over > 0, a * over, (a - 1) * over).mean(axis=0), s.max() * a)
         weight = self.weight * np.exp(-self.eta * loss)
@@ -158,8 +184,7 @@ class _Radii:
                 self.replay()
         else:
             self.track(s, self.t)
-        for x in s:
-            insort(self.past, float(x))
+        self.past.add(ranks, s)
         self.t += 1
 
     def replay(self) -> None:
@@ -180,23 +205,26 @@ def conformal_radii(scores: DataFrame, key: str, period: str, score: str, tau: f
     """Radii of three online methods along the periods of each key: key, period, s, aci, dtaci and pi, a row a score from
     after `warm` periods. A period is served by what was known before it, and moves the methods by its share of misses.
 
-    A key's rows are sorted and streamed; its scores so far are kept in order, as the methods' quantiles need them all.
+    One distributed sort ranks each key's scores. A key's rows then come by period, and a task keeps a value and a count a
+    rank of one key, as the methods' quantiles need all scores so far: 120 MB for a key of ten million.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for k, when, rows in _periods(batches, ["key"], "period"):
             if state is None or k != now:
-                now, state = k, _Radii(round(1 - tau, 12), rate, warm)
+                now, state = k, _Radii(round(1 - tau, 12), rate, warm, int(rows["n"].iloc[0]))
             s = rows["s"].to_numpy(float)
             if state.t >= warm:
                 aci, dtaci, pi = state.served()
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0]] * n, pa.string()), pa.array([when] * n, pa.date32()), pa.array(s), *[pa.array(np.full(n, v)) for v in (aci, dtaci, pi)]], ["key", "period", "s", "aci", "dtaci", "pi"])
-            state.learn(s)
+            state.learn(s, rows["rank"].to_numpy(np.int64))
 
-    rows = scores.select(F.col(key).cast("string").alias("key"), F.col(period).cast("date").alias("period"), F.col(score).alias("s")).where("s IS NOT NULL")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "period", "s")
+    rows = scores.select(F.col(key).cast("string").alias("key"), F.col(period).cast("date").alias("period"), F.col(score).alias("s")).where("s IS NOT NULL AND key IS NOT NULL")
+    ranked = written(running(rows, ["key", "s", "period"], {"rank": "1"}, ["key"]), "ranked-scores")
+    sizes = ranked.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = ranked.join(sized(sizes), "key").repartition("key").sortWithinPartitions("key", "period", "s", "rank")
     return dealt.mapInArrow(run, "key string, period date, s double, aci double, dtaci double, pi double")
 
 

@@ -22,7 +22,7 @@ def moved(s, d):  # noqa: ANN001, ANN201
 
 def q_calendar(s, d):  # noqa: ANN001, ANN201
     out = R.calendar_signal(moved(s, d), "ts", R.holidays(s, range(2020, 2030)))
-    return out.groupBy(F.to_date("ts").alias("day"), "calendar").agg(F.count("*").alias("n"))
+    return out.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "calendar")
 
 
 def q_holidays(s, d):  # noqa: ANN001, ANN201
@@ -38,7 +38,7 @@ def signalled(s, d):  # noqa: ANN001, ANN201
 
 def q_regimes(s, d):  # noqa: ANN001, ANN201
     rows = signalled(s, d)
-    return rows.withColumn("regime", R.regime_of(F.col("oracle"), F.col("calendar"))).groupBy("oracle", "calendar", "regime").agg(F.count("*").alias("n"))
+    return rows.select("event_id", "oracle", "calendar", R.regime_of(F.col("oracle"), F.col("calendar")).alias("regime"))
 
 
 def q_upstreams(s, d):  # noqa: ANN001, ANN201
@@ -90,7 +90,7 @@ def pools(s, d):  # noqa: ANN001, ANN201
 
 def q_quotes(s, d):  # noqa: ANN001, ANN201
     out = R.quoted(pools(s, d), 0, 0, 0, 100, 300)
-    return out.groupBy("l_partkey", "side", "in_band").agg(F.count("*").alias("n"), F.sum("out").alias("paid"), F.sum("fee_paid").alias("fees"), F.max("fee_bps").alias("top_fee"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "side", "in_band", F.col("out").cast("long").alias("paid"), F.col("fee_paid").cast("long").alias("fee_paid"), F.col("fee_bps").cast("long").alias("fee_bps"))
 
 
 def q_in_band(s, d):  # noqa: ANN001, ANN201
@@ -222,14 +222,14 @@ P4 = _MARKET["p4_quorum"][1]
 P6 = f"WITH agg AS ({P4}), r AS (SELECT agg.*, ['open', 'closed', 'halted', 'unknown'][asset % 4 + 1] AS regime, round(p_retailprice * 100)::BIGINT AS pt, p_size FROM agg LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON asset = p_partkey) SELECT asset, regime, CASE WHEN regime = 'open' AND state = 'Ok' THEN median END AS aggregate, CASE WHEN regime = 'open' THEN n END AS contributions, CASE WHEN regime = 'open' AND state <> 'Ok' THEN state WHEN regime = 'closed' AND pt IS NULL THEN 'BandUnavailable' WHEN regime = 'halted' THEN 'Halted' WHEN regime = 'unknown' THEN 'RegimeAmbiguous' END AS error, CASE WHEN regime = 'closed' THEN pt END AS band_point, CASE WHEN regime = 'closed' THEN pt - p_size END AS band_lower, CASE WHEN regime = 'closed' THEN pt + p_size END AS band_upper FROM r"
 
 QUERIES = {
-    "h10_calendar": (q_calendar, f"WITH {_CAL} SELECT CAST(ts AS DATE) AS day, calendar, count(*) AS n FROM cal GROUP BY 1, 2"),
+    "h10_calendar": (q_calendar, f"WITH {_CAL} SELECT event_id, ts, calendar FROM cal"),
     "h10_holidays": (q_holidays, "SELECT unnest(['2024-01-01', '2024-01-15', '2024-02-19', '2024-03-29', '2024-05-27', '2024-06-19', '2024-07-04', '2024-09-02', '2024-11-28', '2024-12-25', '2025-01-01', '2025-01-09', '2025-01-20', '2025-02-17', '2025-04-18', '2025-05-26', '2025-06-19', '2025-07-04', '2025-09-01', '2025-11-27', '2025-12-25', '2026-01-01', '2026-01-19', '2026-02-16', '2026-04-03', '2026-05-25', '2026-06-19', '2026-07-03', '2026-09-07', '2026-11-26', '2026-12-25', '2027-01-01', '2027-01-18', '2027-02-15', '2027-03-26', '2027-05-31', '2027-06-18', '2027-07-05', '2027-09-06', '2027-11-25', '2027-12-24'])::DATE AS day, false AS early UNION ALL SELECT unnest(['2024-07-03', '2024-11-29', '2024-12-24', '2025-07-03', '2025-11-28', '2025-12-24', '2026-11-27', '2026-12-24', '2027-11-26'])::DATE, true"),
-    "p5_regimes": (q_regimes, f"WITH {_CAL}, o AS (SELECT CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'extended' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'halted' ELSE 'unknown' END AS oracle, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE calendar END AS calendar FROM cal) SELECT oracle, calendar, CASE WHEN oracle = 'halted' THEN 'halted' WHEN oracle = 'unknown' THEN CASE calendar WHEN 'n/a' THEN 'unknown' ELSE calendar END WHEN calendar = 'n/a' THEN CASE oracle WHEN 'closed' THEN 'closed' ELSE 'open' END WHEN (oracle = 'closed') = (calendar = 'closed') THEN calendar ELSE 'unknown' END AS regime, count(*) AS n FROM o GROUP BY 1, 2, 3"),
+    "p5_regimes": (q_regimes, f"WITH {_CAL}, o AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'extended' WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'halted' ELSE 'unknown' END AS oracle, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE calendar END AS calendar FROM cal) SELECT event_id, oracle, calendar, CASE WHEN oracle = 'halted' THEN 'halted' WHEN oracle = 'unknown' THEN CASE calendar WHEN 'n/a' THEN 'unknown' ELSE calendar END WHEN calendar = 'n/a' THEN CASE oracle WHEN 'closed' THEN 'closed' ELSE 'open' END WHEN (oracle = 'closed') = (calendar = 'closed') THEN calendar ELSE 'unknown' END AS regime FROM o"),
     "p1_upstreams": (q_upstreams, "SELECT l_linenumber - 1 AS kind, CASE l_linenumber WHEN 1 THEN 'pyth' WHEN 2 THEN 'chainlink_relay' WHEN 3 THEN 'switchboard' WHEN 4 THEN 'redstone' END AS upstream, CASE WHEN l_linenumber IN (1, 3) THEN NULL WHEN l_linenumber IN (2, 4) THEN 'not implemented' ELSE 'unknown kind' END AS unread, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"),
     "p6_receipts": (q_receipts, P6),
     "p7_receipt_faults": (q_receipt_faults, f"WITH rc AS ({P6}), b AS (SELECT *, false AS changed FROM rc UNION ALL SELECT * REPLACE (CASE regime WHEN 'open' THEN 'closed' WHEN 'closed' THEN 'open' ELSE 'open' END AS regime), true FROM rc), f AS (SELECT changed, array_to_string(list_filter([CASE WHEN regime = 'open' AND error IS NULL AND aggregate IS NULL THEN 'open without aggregate' END, CASE WHEN regime = 'open' AND error IS NULL AND coalesce(contributions, 0) < 3 THEN 'open under quorum' END, CASE WHEN regime = 'open' AND band_point IS NOT NULL THEN 'open with band' END, CASE WHEN regime IN ('closed', 'halted') AND (aggregate IS NOT NULL OR contributions IS NOT NULL) THEN 'closed with aggregate' END, CASE WHEN regime = 'closed' AND error IS NULL AND band_point IS NULL THEN 'closed without band' END, CASE WHEN regime = 'unknown' AND error IS DISTINCT FROM 'RegimeAmbiguous' THEN 'unknown without reason' END, CASE WHEN band_point IS NOT NULL AND NOT band_point BETWEEN band_lower AND band_upper THEN 'band out of order' END], lambda x: x IS NOT NULL), ', ') AS faults FROM b) SELECT changed, faults, count(*) AS n FROM f GROUP BY 1, 2"),
     "p8_configs": (q_configs, "WITH l AS (SELECT l_partkey, list_sort(list(DISTINCT l_linenumber - 1)) AS kinds, (l_partkey % 6)::INT AS quorum, l_partkey % 12000 AS conf FROM lineitem GROUP BY 1), a AS (SELECT *, list_transform(kinds, lambda k: CASE WHEN k <> 1 THEN 1 ELSE 0 END) AS active FROM l), f AS (SELECT array_to_string(list_filter([CASE WHEN len(kinds) < 1 OR len(kinds) > 5 THEN 'upstreams' END, CASE WHEN quorum < 1 OR quorum > list_sum(active) THEN 'quorum' END, CASE WHEN list_max(kinds) > 3 THEN 'kind' END, CASE WHEN active <> list_reverse_sort(active) THEN 'order' END, CASE WHEN conf > 10000 THEN 'bps' END], lambda x: x IS NOT NULL), ', ') AS faults FROM a) SELECT faults, count(*) AS n FROM f GROUP BY 1"),
-    "p12_quotes": (q_quotes, f"WITH {_POOL} SELECT l_partkey, CASE WHEN sell THEN 'sell' ELSE 'buy' END AS side, inb AS in_band, count(*) AS n, sum(net * ro // (ri + net))::BIGINT AS paid, sum(amount - net)::BIGINT AS fees, max(fb)::BIGINT AS top_fee FROM p6 GROUP BY 1, 2, 3"),
+    "p12_quotes": (q_quotes, f"WITH {_POOL} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN sell THEN 'sell' ELSE 'buy' END AS side, inb AS in_band, (net * ro // (ri + net))::BIGINT AS paid, (amount - net)::BIGINT AS fee_paid, fb::BIGINT AS fee_bps FROM p6"),
     "p10_in_band": (q_in_band, f"WITH {_POOL} SELECT l_partkey, count(*) AS n, count(*) FILTER (lo * (rb + amount) <= rq AND rq <= hi * (rb + amount)) AS inside FROM p1 WHERE sell GROUP BY 1"),
     "p13_shares": (q_mint, f"WITH {_POOL}, z AS (SELECT l_orderkey, l_linenumber, fee AS base, amount AS quote, rb, rq, CASE WHEN l_linenumber = 2 THEN 0 ELSE rb * 7 END AS supply FROM p1 WHERE NOT sell), m AS (SELECT *, CASE WHEN base > 0 AND quote > 0 THEN nullif(CASE WHEN supply = 0 THEN floor(sqrt((base * quote)::DOUBLE))::HUGEINT ELSE least(base * supply // rb, quote * supply // rq) END, 0) END AS shares FROM z) SELECT l_orderkey, l_linenumber, base, quote::BIGINT AS quote, supply::BIGINT AS supply, shares::BIGINT AS shares, CASE WHEN shares IS NOT NULL THEN CASE WHEN supply = 0 THEN base ELSE shares * rb // supply END END::BIGINT AS base_used, CASE WHEN shares IS NOT NULL THEN CASE WHEN supply = 0 THEN quote ELSE shares * rq // supply END END::BIGINT AS quote_used, CASE WHEN shares > 0 AND shares <= supply THEN shares * rb // supply END::BIGINT AS base_out, CASE WHEN shares > 0 AND shares <= supply THEN shares * rq // supply END::BIGINT AS quote_out FROM m"),
     "h14_v10_reports": (q_v10, "SELECT event_id, sha256(event_type) AS feed_id, epoch_us(ts) // 1000000 AS observed, ts AS updated, round(round(value * 100) / 10000 - 0.5, 4) AS price, round(round(value * 100) / 100000, 5) AS tokenized_price, event_id % 3 = 2 AS is_open FROM events WHERE value < 900"),

@@ -135,7 +135,7 @@ def q_minute_panel(s, d):  # noqa: ANN001, ANN201
     """A minute grid over windows of an hour after each purchase, with the user's last tick before each minute."""
     grid = asks(s, d).select("user", "ask_id", F.explode(F.expr("sequence(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 60 MINUTES, INTERVAL 1 MINUTE)")).alias("ts"))
     out = J.as_of(grid, ticks(s, d), "user", "ts", ["event_id"], "event_id", within_s=86_400).where("event_id IS NOT NULL")
-    return out.groupBy("ask_id").agg(F.count("*").alias("minutes"), F.countDistinct("event_id").alias("ticks"), F.sum("event_id").alias("sum_ids"))
+    return out.select("ask_id", F.col("ts").cast("timestamp_ntz").alias("minute"), "event_id")
 
 
 def q_changes(s, d):  # noqa: ANN001, ANN201
@@ -186,7 +186,7 @@ def truths(s, d):  # noqa: ANN001, ANN201
 
 
 def q_truth_join(s, d):  # noqa: ANN001, ANN201
-    return truths(s, d).groupBy("tau_bps", "status").agg(F.count("*").alias("n"), F.count("truth").alias("known"))
+    return truths(s, d).select("symbol", "fri_ts", "tau_bps", "status", F.round("truth", 6).alias("truth"), F.round("lower", 3).alias("lower"))
 
 
 def q_coverage_audit(s, d):  # noqa: ANN001, ANN201
@@ -244,7 +244,7 @@ def q_buffer_pick(s, d):  # noqa: ANN001, ANN201
 
 def q_forward(s, d):  # noqa: ANN001, ANN201
     """The tape of gaps with what came after the freeze marked, and twenty gaps of context before it."""
-    return A.forward_tape(panel(s, d), SPLIT, 20).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("is_forward").alias("n_forward"), F.min("fri_ts").alias("first"))
+    return A.forward_tape(panel(s, d), SPLIT, 20).select("symbol", "fri_ts", "is_forward")
 
 
 def q_partitions(s, d):  # noqa: ANN001, ANN201
@@ -352,14 +352,14 @@ QUERIES = {
     "a8_empty_scans": (q_empty_scans, "SELECT * FROM (VALUES ('actions', 0::BIGINT, 12), ('bars', 0, 12), ('earnings', 0, 8), ('indices', 0, 10), ('joined', 0, 18), ('legacy_bars', 0, 12), ('minutes', 0, 11), ('perps', 0, 17), ('pyth', 0, 21), ('redstone', 0, 15), ('scope', 0, 15), ('swaps', 0, 16), ('trades', 0, 14)) t(tape, n, n_columns)"),
     "g7_one_tape": (q_one_tape, "SELECT 'ticks' AS source, event_type AS symbol, count(*) AS n, round(avg(value), 3) AS mean FROM events GROUP BY 2 UNION ALL SELECT 'marks', event_type, count(*), round(avg(value * 2), 3) FROM events WHERE value < 50 GROUP BY 2 UNION ALL SELECT 'lines', l_returnflag, count(*), round(avg(l_extendedprice), 3) FROM lineitem GROUP BY 2 UNION ALL SELECT 'orders', o_orderstatus, count(*), round(avg(o_totalprice), 3) FROM orders GROUP BY 2 UNION ALL SELECT 'status', l_linestatus, count(*), round(avg(l_quantity), 3) FROM lineitem GROUP BY 2"),
     "d15_path_summary": (q_path_summary, "SELECT event_type AS symbol, count(*) AS n, round(min(value), 5) AS low, round(max(value), 5) AS high, round(avg(value), 5) AS mean, round(min_by(value, (ts, event_id)), 5) AS first, round(max_by(value, (ts, event_id)), 5) AS last, min_by(ts, (value, ts)) AS low_ts, min_by(ts, (-value, ts)) AS high_ts FROM events GROUP BY 1"),
-    "e21_minute_panel": (q_minute_panel, f"WITH {EV}, g AS (SELECT u, ask_id, date_trunc('minute', ts) + to_minutes(m) AS at FROM a, range(1, 61) r(m)), z AS (SELECT g.ask_id, g.at, max_by(k.event_id, (k.ts, k.event_id)) AS e FROM g JOIN k ON g.u = k.u AND k.ts <= g.at AND k.ts >= g.at - INTERVAL 1 DAY GROUP BY 1, 2) SELECT ask_id, count(*) AS minutes, count(DISTINCT e) AS ticks, sum(e)::BIGINT AS sum_ids FROM z GROUP BY 1"),
+    "e21_minute_panel": (q_minute_panel, f"WITH {EV}, g AS (SELECT u, ask_id, date_trunc('minute', ts) + to_minutes(m) AS at FROM a, range(1, 61) r(m)), z AS (SELECT g.ask_id, g.at, max_by(k.event_id, (k.ts, k.event_id)) AS e FROM g JOIN k ON g.u = k.u AND k.ts <= g.at AND k.ts >= g.at - INTERVAL 1 DAY GROUP BY 1, 2) SELECT ask_id, z.at AS minute, e AS event_id FROM z"),
     "e22_changes": (q_changes, f"WITH {BARS}, c AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS change FROM bars) SELECT symbol, ts, round(change, 6) AS change FROM c WHERE change IS NOT NULL"),
     "d21_week_medians": (q_week_medians, "WITH b AS (SELECT event_type AS symbol, dayofweek(ts) IN (0, 6) AS weekend, abs(value - avg(value) OVER (PARTITION BY event_type, CAST(ts AS DATE))) AS basis FROM events) SELECT symbol, weekend, count(*) AS n, round(median(basis), 5) AS median, round(quantile_cont(basis, 0.9), 5) AS p90 FROM b GROUP BY 1, 2"),
     "d19_dispersion": (q_dispersion, f"WITH {PANEL}, z AS (SELECT regime_pub, abs(rel_resid / sigma) AS z FROM panel WHERE sigma > 0) SELECT regime_pub, count(*) AS n, round(avg(z), 5) AS mean, round(quantile_cont(z, 0.95), 5) AS p95, round(quantile_cont(z, 0.99), 5) AS p99 FROM z GROUP BY 1"),
     "f6_trading_days": (q_trading_days, f"WITH {BARS}, b AS (SELECT DISTINCT ts FROM bars), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT day, (SELECT max(ts) FROM b WHERE ts <= day AND dayofweek(ts) = 5) AS last_friday, (SELECT min(ts) FROM b WHERE ts > day) AS next_day FROM o"),
     "b2_factors": (q_factors, f"WITH {BARS}, {PAIRS}, ix AS (SELECT symbol, ts, CASE WHEN count(x) OVER w >= 10 THEN stddev_samp(x) OVER w END AS vol FROM (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS x FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)), l AS (SELECT *, CASE WHEN symbol = 'Brand#4' AND fri_ts >= DATE '1998-01-01' THEN 'Brand#14' WHEN symbol IN ('Brand#1', 'Brand#2') THEN 'Brand#11' WHEN symbol = 'Brand#3' THEN 'Brand#12' ELSE 'Brand#13' END AS factor, CASE symbol WHEN 'Brand#1' THEN 'Brand#15' WHEN 'Brand#5' THEN 'Brand#16' END AS own FROM pairs), j AS (SELECT l.*, b.open / a.close - 1 AS fr, o.vol AS ov, c.vol AS cv FROM l JOIN bars a ON a.symbol = factor AND a.ts = fri_ts JOIN bars b ON b.symbol = factor AND b.ts = mon_ts LEFT JOIN ix o ON o.symbol = own AND o.ts = fri_ts LEFT JOIN ix c ON c.symbol = 'Brand#13' AND c.ts = fri_ts) SELECT symbol, fri_ts, factor, round(fr, 6) AS factor_ret, CASE WHEN ov IS NOT NULL THEN own ELSE 'Brand#13' END AS vol_idx, round(coalesce(ov, cv), 6) AS vol_idx_close, round(fri_close, 6) AS stale_point, round(fri_close * (1 + fr), 6) AS point FROM j WHERE coalesce(ov, cv) IS NOT NULL"),
     "c17_dividends": (q_dividends, f"WITH {BARS}, {PAIRS}, x AS (SELECT *, CASE WHEN day(mon_ts) <= 7 THEN fri_close * 0.01 ELSE 0 END AS dv FROM pairs) SELECT symbol, fri_ts, round(dv, 6) AS dividend, round(mon_open + dv, 6) AS mon_open FROM x"),
-    "c19_truth_join": (q_truth_join, f"WITH {SERVED} SELECT tau_bps, CASE WHEN day(fri_ts) > 3 THEN 'known' WHEN mon_ts >= DATE '2001-01-01' THEN 'pending' ELSE 'missing' END AS status, count(*) AS n, count(*) FILTER (day(fri_ts) > 3) AS known FROM bands GROUP BY 1, 2"),
+    "c19_truth_join": (q_truth_join, f"WITH {SERVED} SELECT symbol, fri_ts, tau_bps, CASE WHEN day(fri_ts) > 3 THEN 'known' WHEN mon_ts >= DATE '2001-01-01' THEN 'pending' ELSE 'missing' END AS status, CASE WHEN day(fri_ts) > 3 THEN round(mon_open, 6) END AS truth, round(lower, 3) AS lower FROM bands"),
     "q3_coverage_audit": (q_coverage_audit, f"WITH {SERVED_KNOWN}, {_T}, i AS (SELECT tau_bps, sum({_IND}) AS lr_ind, count({_IND})::INT AS k FROM t GROUP BY 1), g AS (SELECT tau_bps, tau, count(*) AS n, sum(1 - inside)::BIGINT AS x FROM hits GROUP BY 1, 2), r AS (SELECT tau_bps, n, x, 1 - x / n AS realised, k, {_LR} AS lr_uc, lr_ind, {_LR} + coalesce(lr_ind, 0) AS lr_cc, k + 1 AS k1 FROM g JOIN i USING (tau_bps)) SELECT tau_bps, n, x, round(realised, 4) AS realised, k, round(lr_uc, 4) AS lr_uc, round(lr_ind, 4) AS lr_ind, round(lr_cc, 4) AS lr_cc, round({chi2_sql('lr_uc', '1')}, 4) AS p_uc, round({chi2_sql('lr_ind', 'k')}, 4) AS p_ind, round({chi2_sql('lr_cc', 'k1')}, 4) AS p_cc FROM r"),
     "n3_anchor": (q_anchor, f"WITH {_ANCH} SELECT symbol, day, epoch_us(due) // 1000000 AS unix FROM an"),
     "n1_oracle_bands": (q_oracle_bands, f"WITH {_DAYS}, o AS (SELECT a.symbol, a.day, coalesce(max_by(e.value, (e.at, event_id)) FILTER (regular), max_by(e.value, (e.at, event_id))) AS price FROM an a JOIN ev e ON e.symbol = a.symbol AND e.at <= a.at AND e.at >= a.at - INTERVAL 8 HOUR AND CAST(e.ts AS DATE) <= DATE '2024-03-01' GROUP BY 1, 2), x AS (SELECT abs(truth - price) AS m, price * 0.001 + 0.01 AS u FROM o JOIN tr USING (symbol, day)), h AS (SELECT k, avg(CASE WHEN m <= k * u THEN 1.0 ELSE 0.0 END) AS realised, avg(k * u) AS mean_half FROM x, (SELECT unnest([1, 2, 5, 10, 50, 100, 200, 500, 1000, 5000])::DOUBLE AS k) GROUP BY 1), b AS (SELECT tau, min(k) AS k FROM h, (SELECT unnest([0.5, 0.68, 0.85])::DOUBLE AS tau) WHERE realised >= tau GROUP BY 1) SELECT tau, k, round(realised, 6) AS realised, round(mean_half, 6) AS mean_half FROM b JOIN h USING (k)"),
@@ -367,7 +367,7 @@ QUERIES = {
     "c10_session_nearest": (q_session_nearest, f"WITH {EV}, k2 AS (SELECT *, ts - INTERVAL 5 HOUR AS lt FROM k), z AS (SELECT ask_id, max_by(event_id, (k2.ts, event_id)) FILTER (dayofweek(lt) NOT IN (0, 6) AND hour(lt) * 60 + minute(lt) >= 570 AND hour(lt) * 60 + minute(lt) < 960) AS r, max_by(event_id, (k2.ts, event_id)) AS e FROM a LEFT JOIN k2 ON a.u = k2.u AND k2.ts <= a.ts AND k2.ts >= a.ts - INTERVAL 1 DAY GROUP BY 1) SELECT ask_id, coalesce(r, e, -1) AS event_id FROM z"),
     "n4_index_buffer": (q_vix_buffer, f"WITH {PANEL}, m AS (SELECT median(vix) AS mid FROM panel WHERE score_raw IS NOT NULL), x AS (SELECT regime_pub, score_raw * 10000 / (vix / mid) AS x FROM panel, m WHERE score_raw IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY regime_pub ORDER BY x) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM x) SELECT regime_pub, tau_bps, n, (ceil(x / 5) * 5)::BIGINT AS buffer_bps FROM r, (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau) WHERE k = ceil((n - 1) * tau) + 1"),
     "n6_buffer_pick": (q_buffer_pick, f"WITH {PANEL}, e AS (SELECT symbol, fri_ts, year(fri_ts) AS year, b / 4.0::DOUBLE AS buffer, 0.85::DOUBLE AS tau, CASE WHEN score > b / 4.0::DOUBLE THEN 1 ELSE 0 END AS m FROM panel, range(1, 41) r(b) WHERE score IS NOT NULL), g AS (SELECT year, buffer, tau, count(*) AS n, sum(m)::BIGINT AS x FROM e GROUP BY 1, 2, 3), l AS (SELECT *, lag(m) OVER (PARTITION BY year, buffer, symbol ORDER BY fri_ts) AS p FROM e), t AS (SELECT year, buffer, symbol, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY 1, 2, 3), i AS (SELECT year, buffer, sum({_IND}) AS li, count({_IND})::INT AS k FROM t GROUP BY 1, 2), r AS (SELECT g.*, {_LR} AS lu, li, coalesce(k, 0) AS k, 1 - x / n AS realised FROM g LEFT JOIN i USING (year, buffer)), q AS (SELECT *, {chi2_sql('lu', '1')} AS p_uc, CASE WHEN k > 0 THEN {chi2_sql('li', 'k')} ELSE 1 END AS p_ind FROM r), w AS (SELECT *, CASE WHEN realised >= tau - 0.005 AND p_uc > 0.10 AND p_ind > 0.05 THEN 0 WHEN realised >= tau - 0.005 AND p_uc > 0.05 THEN 1 WHEN realised >= tau THEN 2 ELSE 3 END AS rank FROM q) SELECT year, arg_min(buffer, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)) AS buffer, round(arg_min(realised, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)), 5) AS realised, ['PASS', 'MARGINAL', 'CEILING', 'CEILING'][min(rank) + 1] AS status FROM w GROUP BY 1"),
-    "o8_forward_tape": (q_forward, f"WITH {PANEL}, x AS (SELECT symbol, fri_ts, fri_ts >= DATE '{SPLIT}' AS f, row_number() OVER (PARTITION BY symbol, fri_ts >= DATE '{SPLIT}' ORDER BY fri_ts DESC) AS k FROM panel) SELECT symbol, count(*) AS n, count(*) FILTER (f) AS n_forward, min(fri_ts) AS first FROM x WHERE f OR k <= 20 GROUP BY 1"),
+    "o8_forward_tape": (q_forward, f"WITH {PANEL}, x AS (SELECT symbol, fri_ts, fri_ts >= DATE '{SPLIT}' AS f, row_number() OVER (PARTITION BY symbol, fri_ts >= DATE '{SPLIT}' ORDER BY fri_ts DESC) AS k FROM panel) SELECT symbol, fri_ts, f AS is_forward FROM x WHERE f OR k <= 20"),
     "o9_missing_partitions": (q_partitions, "WITH t AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events), g AS (SELECT symbol, d::DATE AS day FROM (SELECT DISTINCT symbol FROM t), range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY) r(d)) SELECT symbol, CASE WHEN symbol IN ('view', 'click') THEN 'hard' ELSE 'soft' END AS kind, count(*) AS n, min(day) AS first, max(day) AS last FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = g.symbol AND t.day = g.day) GROUP BY 1, 2"),
     "o10_freshness": (q_freshness, "WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id::VARCHAR AS manifest, max(ts) FILTER (event_type <> 'error') AS last_success FROM events GROUP BY 1) SELECT manifest, last_success, coalesce(epoch_us(now) - epoch_us(last_success) <= 26 * 3600000000, false) AS fresh FROM s, n"),
     "o12_publications": (q_commitments, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')} SELECT symbol, fri_ts, tau_bps, round(q * sigma * fri_close, 3) AS half, round(fri_close * (1 + factor_ret) - q * sigma * fri_close, 3) AS lower, round(fri_close * (1 + factor_ret) + q * sigma * fri_close, 3) AS upper FROM panel JOIN qt USING (regime_pub) WHERE sigma > 0 AND fri_ts >= DATE '{SPLIT}'"),

@@ -24,6 +24,23 @@ def live_bars(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return bars.select("symbol", F.col("window.start").alias("bar"), F.col("a.value").alias("open"), "high", "low", F.col("z.value").alias("close"), "n")
 
 
+def sessions(ticks: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Sessions of users: runs of ticks with no pause of gap, with start, end (the last tick and gap), number and sum. A tick
+    more than `late` behind the watermark is dropped, repeats too; a session comes once the watermark has passed its end, and
+    only open ones, and the ids of late's length, stay in state."""
+    once = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    g = once.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
+
+
+def sliding_spread(ticks: DataFrame, width: str = "3 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
+    """The spread of log values by symbol over windows that slide, once the watermark has passed their end; values that
+    aren't positive, and repeats, don't count."""
+    once = ticks.where("value > 0").withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    g = once.groupBy("symbol", F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.stddev_samp(F.log("value")).alias("spread"))
+    return g.select("symbol", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "spread")
+
+
 def forward_only(updates: DataFrame, path: str, checkpoint: str) -> None:
     """Per symbol, how many ticks a store takes that only moves forward in event time: runs over all that is there, then
     stops. A row a batch and symbol goes to path/batch=N, replaced if run again.
