@@ -72,11 +72,15 @@ def q_available(s, d):  # noqa: ANN001, ANN201
     return C.available(panel(s, d))
 
 
-def replayed(s, d):  # noqa: ANN001, ANN201
-    """Moves of the open from the point, over what the scale makes of the close; without a scale, no row."""
+def replay_scores(s, d):  # noqa: ANN001, ANN201
+    """Moves of the open from the point, over what the scale makes of the close; null without a scale."""
     unit, move = F.col("sigma") * F.col("fri_close"), F.abs(F.col("mon_open") - F.col("point"))
     score = F.when(unit > 0, move / unit).when((unit == 0) & (move > 0), F.lit(float("inf"))).when(unit == 0, F.lit(0.0))
-    return O.adaptive_replay(late(s, d).withColumn("score", score), table(s, d).select("regime_pub", "tau_bps", "tau", "q"), "regime_pub", "fri_ts", "score")
+    return late(s, d).withColumn("score", score)
+
+
+def replayed(s, d):  # noqa: ANN001, ANN201
+    return O.adaptive_replay(replay_scores(s, d), table(s, d).select("regime_pub", "tau_bps", "tau", "q"), "regime_pub", "fri_ts", "score")
 
 
 def q_adaptive(s, d):  # noqa: ANN001, ANN201

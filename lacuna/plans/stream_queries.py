@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import fresh_path
 from ..sources import market as M
-from ..streaming import live
+from ..streaming import adaptive, live
+from .panel_queries import SPLIT
+from .policy_queries import rounded
+from .serve_queries import _REPLAY, replay_scores, table
 
 
 def q_live_bars(s, d):  # noqa: ANN001, ANN201
@@ -50,7 +53,26 @@ def q_sliding(s, d):  # noqa: ANN001, ANN201
     return _in_slices(s, d, live.sliding_spread, ["symbol", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "n", F.round("spread", 6).alias("spread")])
 
 
+def q_adaptive(s, d):  # noqa: ANN001, ANN201
+    """The adaptive multipliers of late gaps as a stream in three parts, stopped after each: all periods but the last, which
+    stays open."""
+    at, name = fresh_path(s, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    rows = replay_scores(s, d).select("regime_pub", "fri_ts", "score")
+    edges = [SPLIT, "1999-06-01", "2000-03-01", "2100-01-01"]
+    old = s.conf.get(name, None)
+    s.conf.set(name, adaptive.STORE)
+    try:
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            rows.where((F.col("fri_ts") >= lo) & (F.col("fri_ts") < hi)).write.mode("append").parquet(f"{at}/in")
+            own = s.readStream.schema(rows.schema).parquet(f"{at}/in")
+            live.drain(adaptive.adaptive_stream(own, table(s, d), "regime_pub", "fri_ts", "score"), f"{at}/out", f"{at}/checkpoint")
+    finally:
+        s.conf.set(name, old) if old else s.conf.unset(name)
+    return rounded(s.read.parquet(f"{at}/out").drop("batch"), 8)
+
+
 QUERIES = {
+    "s3_adaptive_stream": (q_adaptive, f"WITH RECURSIVE {_REPLAY} SELECT cell, tau_bps, period, n, round(m_served, 8) AS m_served, round(m_next, 8) AS m_next FROM rp WHERE i > 0 AND period < (SELECT max(period) FROM pd)"),
     "s1_user_sessions": (q_sessions, "WITH x AS (SELECT *, lag(ts) OVER w AS b FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(CASE WHEN b IS NULL OR ts > b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n, round(sum(value), 4) AS total FROM y GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
     "s2_sliding_spread": (q_sliding, "WITH x AS (SELECT event_type AS symbol, value, unnest([CAST(ts AS DATE) - 2, CAST(ts AS DATE) - 1, CAST(ts AS DATE)]) AS start FROM events WHERE value > 0) SELECT symbol, start, start + 3 AS end, count(*) AS n, round(stddev_samp(ln(value)), 6) AS spread FROM x GROUP BY 1, 2 HAVING start + 3 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE value > 0)"),
     "o8_live_bars": (q_live_bars, "SELECT event_type AS symbol, CAST(ts AS DATE) AS day, round(min_by(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(max_by(value, (ts, event_id)), 6) AS close, count(*) AS n FROM events GROUP BY 1, 2"),

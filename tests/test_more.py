@@ -142,6 +142,53 @@ def test_adaptive_replay_resume_and_seal(spark):
         O.multipliers(asked.withColumn("tau_bps", F.lit(9000)), first).collect()
 
 
+def test_adaptive_stream_equals_the_replay_wherever_it_is_cut(spark, tmp_path):
+    from lacuna.streaming import adaptive
+
+    rng, name = np.random.default_rng(3), "spark.sql.streaming.stateStore.providerClass"
+    rows = [(f"c{j % 2}", day(i), None if j == 5 and i % 4 == 0 else float(abs(rng.normal(0, 1.5)))) for i in range(24) for j in range(6)]
+    df = spark.createDataFrame(rows, "cell string, d date, s double")
+    tab = spark.createDataFrame([("c0", 9500, 0.95, 1.0), ("c1", 9500, 0.95, 2.0), ("c0", 6800, 0.68, 0.5)], "cell string, tau_bps int, tau double, q double")
+    told = lambda x: {(r["cell"], r["tau_bps"], r["period"]): (r["n"], round(r["m_served"], 8), round(r["m_next"], 8)) for r in x.collect()}
+    spark.conf.set(name, adaptive.STORE)
+    try:
+        first = O.sealed(O.adaptive_replay(df.where(F.col("d") < day(7)), tab, "cell", "d", "s"), "night", "x")
+        want = {k: v for k, v in told(O.adaptive_replay(df.where(F.col("d") >= day(7)), tab, "cell", "d", "s", start=O.resumed(first))).items() if k[2] < day(23)}
+        for cuts in ((7, 24), (7, 9, 24)):
+            at = f"{tmp_path}/{len(cuts)}"
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                new = df.where((F.col("d") >= day(lo)) & (F.col("d") < day(hi)))
+                if lo > 7:
+                    new = new.unionByName(spark.createDataFrame([("c0", day(7), 99.0)], "cell string, d date, s double"))  # too late
+                new.coalesce(1).write.mode("append").parquet(f"{at}/in")
+                stream = spark.readStream.schema(df.schema).parquet(f"{at}/in")
+                live.drain(adaptive.adaptive_stream(stream, tab, "cell", "d", "s", checkpoint=first), f"{at}/out", f"{at}/checkpoint")
+            assert told(spark.read.parquet(f"{at}/out")) == want
+        with pytest.raises(ValueError, match="hash"):
+            adaptive.adaptive_stream(df, tab, "cell", "d", "s", checkpoint=first | {"n_periods_replayed": 1})
+    finally:
+        spark.conf.unset(name)
+
+
+def test_verify_instructions_and_feeds(spark):
+    from lacuna.operators import wire as W
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 40):
+        data = bytes(n % 3) + rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        assert W.base58_bytes(W.base58_text(data)) == data
+    assert W.base58_text(b"hello world") == "StV1DL6CwTryKyV" and W.base58_bytes("11") == b"\0\0"  # published pairs
+    kinds = [None, "no instruction", "not base58", "too short", "not snappy", "payload too short", "bad offset", "bad extent", "no feed"]
+    report = bytes.fromhex(next(iter(W.V11_FEEDS))) + bytes(416)
+    rows = spark.createDataFrame([(k, bytearray(report), "clash") for k in kinds] + [(None, bytearray(b"\0\x0a" + bytes(400)), "clash")], "fault string, raw binary, kind string")
+    got = W.parsed(W.instructions(rows, "raw", "fault"), "instruction").collect()
+    assert [r["error"] for r in got] == [*kinds, None]
+    assert bytes(got[0]["report"]) == report and got[0]["schema"] == 11 and got[-1]["schema"] == 10 and len(got[0]["context"]) == 96
+    assert W.signed_report("") == (None, None, "too short") and W.signed_report(W.base58_text(b"x" * 8 + b"\5\0\0\0" + b"\xff\xff\xff\xff\x7f"))[2] == "not snappy"
+    one = spark.range(1).select(W.feed_symbol(F.lit("0X" + next(iter(W.ALTERNATES)).upper())).alias("a"), W.feed_symbol(F.lit(next(iter(W.ALTERNATES))), label=True).alias("b"), W.feed_symbol(F.lit("00")).alias("c"), F.hex(W.feed_bytes(F.lit("SPYx"), 10)).alias("d"), W.feed_bytes(F.lit("AAPLx"), 11).alias("e")).first()
+    assert (one["a"], one["b"], one["c"], one["e"]) == ("NVDAx", "NVDAx_alt", None, None) and W.V10_FEEDS[one["d"].lower()] == "SPYx"
+
+
 def test_online_radii_against_plain_loops(spark):
     rng, warm, alpha = np.random.default_rng(4), 5, 0.1
     periods = [np.abs(rng.standard_normal(3)) * (1 + i / 30) for i in range(60)]
