@@ -32,7 +32,7 @@ def q_weights(s, d):  # noqa: ANN001, ANN201
 
 def q_policy(s, d):  # noqa: ANN001, ANN201
     rows = L.decisions(bands(s, d), L.ltv_grid(s, 0.05, 0.9, 0.05))
-    return rows.groupBy("tau_bps", "ltv", "regime_pub").agg(F.count("*").alias("n"), F.sum("miss_liq").alias("missed"), F.sum("fp_liq").alias("false_alarms"), F.sum("false_caution").alias("false_cautions"), F.sum("missed_caution").alias("missed_cautions"), F.round(F.avg("cost"), 6).alias("mean_cost"))
+    return rows.groupBy("tau_bps", "ltv", "regime_pub").agg(F.count("*").alias("n"), F.sum("miss_liq").alias("missed"), F.sum("fp_liq").alias("false_alarms"), F.sum("false_caution").alias("false_cautions"), F.sum("missed_caution").alias("missed_cautions"), F.round(F.avg("cost"), 8).alias("mean_cost"))
 
 
 def q_confusion(s, d):  # noqa: ANN001, ANN201
@@ -173,7 +173,7 @@ pa AS (SELECT *, CASE WHEN state LIKE 'exit%' THEN 'bid' WHEN state = 'in_band'
 
 QUERIES = {
     "m2_weight_schemes": (q_weights, f"WITH g AS {GRID}, r AS (SELECT 'uniform_ltv' AS scheme, ltv, 1.0::DOUBLE AS r FROM g UNION ALL SELECT 'borrower_heavy', ltv, exp(-0.5 * pow((ltv - 0.75) / 0.03, 2)) FROM g UNION ALL SELECT 'threshold_heavy', ltv, exp(-0.5 * pow((ltv - 0.85) / 0.02, 2)) FROM g UNION ALL SELECT 'debt_weighted', ltv, ltv FROM g) SELECT scheme, ltv, round(r / sum(r) OVER (PARTITION BY scheme), 9) AS row_weight FROM r"),
-    "m4_policy": (q_policy, f"WITH {SERVED}, {_decisions(0.05, 0.05, 18)} SELECT tau_bps, ltv, regime_pub, count(*) AS n, sum(miss_liq)::BIGINT AS missed, sum(fp_liq)::BIGINT AS false_alarms, sum(false_caution)::BIGINT AS false_cautions, sum(missed_caution)::BIGINT AS missed_cautions, round(avg(cost), 6) AS mean_cost FROM y GROUP BY 1, 2, 3"),
+    "m4_policy": (q_policy, f"WITH {SERVED}, {_decisions(0.05, 0.05, 18)} SELECT tau_bps, ltv, regime_pub, count(*) AS n, sum(miss_liq)::BIGINT AS missed, sum(fp_liq)::BIGINT AS false_alarms, sum(false_caution)::BIGINT AS false_cautions, sum(missed_caution)::BIGINT AS missed_cautions, round(avg(cost), 8) AS mean_cost FROM y GROUP BY 1, 2, 3"),
     "d10_confusion": (q_confusion, f"WITH {SERVED}, {_decisions(0.1, 0.1, 9)}, c AS (SELECT tau_bps, ltv, predicted, \"right\", count(*) AS n FROM y GROUP BY 1, 2, 3, 4) SELECT *, round(n / sum(n) OVER (PARTITION BY tau_bps, ltv, \"right\"), 6) AS share FROM c"),
     "m7_variants": (q_variants, f"WITH {SERVED}, {_VARIANTS} SELECT variant, tau_bps, regime_pub, truth, count(*) AS n, round(sum(w), 5) AS weight_sum, {_WM('half_width_bps', 'mean_half_width_bps')}, " + ", ".join(_WM(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0 END", a) for c, v, a in (("predicted", "Liquidate", "liquidation_rate"), ("predicted", "Caution", "caution_rate"), ("predicted", "Safe", "safe_rate"), ('"right"', "Liquidate", "realized_liquidation_rate"))) + f", {_WM('fp_liq', 'fp_liq_rate')}, {_WM('miss_liq', 'miss_liq_rate')}, {_WM('false_caution', 'false_caution_rate')}, {_WM('missed_caution', 'missed_caution_rate')}, {_WM('cost', 'expected_loss')} FROM x GROUP BY 1, 2, 3, 4"),
     "c14_paired_variants": (q_paired, f"WITH {SERVED}, {_VARIANTS}, e AS (SELECT * FROM x WHERE truth = 'economic_flat85'), p AS (SELECT a.*, b.half_width_bps AS bh, b.fp_liq AS bf, b.miss_liq AS bm, b.cost AS bc FROM e a JOIN e b ON a.symbol = b.symbol AND a.fri_ts = b.fri_ts AND a.ltv = b.ltv AND a.tau_bps = b.tau_bps AND a.variant = 'band' AND b.variant = 'flat') SELECT tau_bps, regime_pub, count(*) AS n, round(sum(half_width_bps * w) / sum(w) - sum(bh * w) / sum(w), 5) AS delta_half_width_bps, round(sum(fp_liq * w) / sum(w) - sum(bf * w) / sum(w), 5) AS delta_fp_liq, round(sum(miss_liq * w) / sum(w) - sum(bm * w) / sum(w), 5) AS delta_miss_liq, round(sum(cost * w) / sum(w) - sum(bc * w) / sum(w), 5) AS delta_cost FROM p GROUP BY 1, 2"),
