@@ -421,7 +421,7 @@ def _segments(path: str, end_id: int, most: int, by_word: bool) -> Callable[[Ite
 SCHEMA = "shard int, segment int, n_docs long, n_tokens long, doc_ids array<long>, doc_sizes array<long>, matrix binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 2_000_000, shard_docs: int = 100_000, by_word: bool = True, most_tied: int = 10_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment_tokens: int = 1_000_000, shard_docs: int = 100_000, by_word: bool = True, most_tied: int = 10_000) -> None:
     """Writes documents as token files: range-partitioned by doc_id (whole numbers), one file a shard, a row a segment.
 
     There are as many shards as shuffle partitions, or more, so that none has much over shard_docs documents. A segment
@@ -442,7 +442,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, se
         order.append("place")
         rows = rows.withColumn("place", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(shards, *(order if "place" in order else order[:1])).sortWithinPartitions(*order).select("doc_id", "text")
-    dealt.mapInArrow(_segments(tokenizer, end_id, segment_tokens, by_word), SCHEMA).write.parquet(path)
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(old), 1000)) if int(old) > 0 else "1000")  # whole texts: a batch need not hold more
+    try:
+        dealt.mapInArrow(_segments(tokenizer, end_id, segment_tokens, by_word), SCHEMA).write.parquet(path)
+    finally:
+        spark.conf.set(name, old)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -605,10 +605,11 @@ def test_queries_on_the_smallest_tables(spark):
         if name in queries.oracle_sql():
             want = c.execute(queries.oracle_sql()[name]).df()
             assert len(got) == len(want)
-            keys = ["doc_id", *[k for k in got.columns if k != "doc_id"]]
+            first = "doc_id" if "doc_id" in got else got.columns[0]
+            keys = [first, *[k for k in got.columns if k != first]]
             a, b = (df[keys].sort_values(keys).reset_index(drop=True) for df in (got, want))
             assert ((a == b) | (a.isna() & b.isna())).all().all()
-        if name not in ("op3_nearest", "op5_chat"):
+        if name not in ("op3_nearest", "op5_chat", "op12_spelling_variants", "op13_conversation_trie"):
             assert len(got) == n["documents"], name
         if "held_out" in got and "predicted" in got:
             folds, held = (5, 0) if name == "op4_quality" else (3, 1)
