@@ -172,34 +172,78 @@ def _rolling_fit(window: int | None, least: int, names: list[str], floor: float
     return run
 
 
-def loglog_bounds(panel: DataFrame, taus: Sequence[float], window: int = 156, least: int = 50) -> DataFrame:
-    """Bounds whose width follows the index: a symbol's log |residual| on log index over its last `window` gaps, strictly
-    earlier, and quantiles of the residuals in units of that fit, put on today's. A row a gap and tau.
+def _sliding_fits(x: np.ndarray, y: np.ndarray, fine: np.ndarray, window: int, least: int, fixed: int) -> np.ndarray:
+    """For each row, the least-squares coefficients of y on x over the fine ones of the `window` rows before it; NaN under
+    `least` of them. Columns from `fixed` on that don't vary in a window take no part (coefficient 0); among columns that
+    depend on each other the shortest solution is taken.
+
+    The normal equations gain a row and lose one at each step, and are made anew every `window` steps, so rounding doesn't
+    add up; eigenvalues under 1e-12 of the largest count as 0.
+    """
+    n, k = x.shape
+    out = np.full((n, k), np.nan)
+    at = np.flatnonzero(fine)
+    turns = np.zeros((len(at) + 1, k), int)  # turns[j]: how often a column changed up to the j-th fine row
+    if len(at) > 1:
+        turns[2:] = np.cumsum(x[at[1:]] != x[at[:-1]], axis=0)
+    gram, rhs = np.zeros((k, k)), np.zeros(k)
+    for i in range(n):
+        lo = max(0, i - window)
+        first, end = np.searchsorted(at, (lo, i))
+        if i % window == 0:
+            rows = at[first:end]
+            gram, rhs = x[rows].T @ x[rows], x[rows].T @ y[rows]
+        if end - first >= least:
+            kept = np.flatnonzero((np.arange(k) < fixed) | (turns[end] > turns[first + 1]))
+            out[i] = 0.0
+            out[i, kept] = np.linalg.pinv(gram[np.ix_(kept, kept)], rcond=1e-12, hermitian=True) @ rhs[kept]
+        for j, sign in ((i, 1.0), (i - window, -1.0)):
+            if j >= 0 and fine[j]:
+                gram += sign * np.outer(x[j], x[j])
+                rhs += sign * x[j] * y[j]
+    return out
+
+
+def loglog_fits(panel: DataFrame, taus: Sequence[float], window: int = 156, least: int = 50, vol: str = "vix", extras: Sequence[str] = ()) -> DataFrame:
+    """Widths that follow an index: a symbol's log |residual| on the log index and further columns, over its last `window`
+    gaps, strictly earlier. A row a gap: n_fit, coefs (intercept, index, then extras; 0 for one that doesn't vary in the
+    window), sigma_now, and lower and upper, arrays by tau: quantiles of the window's residuals in units of the fit, put on
+    today's. Gaps with a null in what they need, or under `least` fine ones before, have no row.
 
     One group a symbol (its gaps only); what a gap needs of the past is slid along.
     """
+    names = list(extras)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("fri_ts").reset_index(drop=True)
-        r, v = np.log(p["mon_open"].to_numpy(float) / p["point"].to_numpy(float)), p["vix"].to_numpy(float)
-        fine = np.isfinite(r) & np.isfinite(v) & (v > 0) & (np.abs(r) > 1e-10)
-        x = np.column_stack([np.ones(len(p)), np.log(np.where(v > 0, v, np.nan))])
-        y = np.where(fine, np.log(np.where(np.abs(r) > 1e-10, np.abs(r), np.nan)), np.nan)
-        beta = _rolling_fit(window, least, [], None)(p, y, x, x)
+        point, v, more = p["point"].to_numpy(float), p["_vol"].to_numpy(float), p[[f"_x{i}" for i in range(len(names))]].to_numpy(float)
+        with np.errstate(all="ignore"):
+            r = np.log(p["mon_open"].to_numpy(float) / point)
+            x = np.column_stack([np.ones(len(p)), np.log(np.where(v > 0, v, np.nan)), more])
+            y = np.log(np.where(np.abs(r) > 1e-10, np.abs(r), np.nan))
+        whole = np.isfinite(x).all(axis=1)
+        fine = whole & np.isfinite(y)
+        beta = _sliding_fits(np.where(fine[:, None], x, 0.0), np.where(fine, y, 0.0), fine, window, least, 2)
         out = []
-        for i in np.flatnonzero(np.isfinite(beta[:, 0]) & np.isfinite(v) & (v > 0)):
+        for i in np.flatnonzero(np.isfinite(beta[:, 0]) & whole & np.isfinite(point)):
             lo = max(0, i - window)
             use = np.flatnonzero(fine[lo:i]) + lo
-            z = r[use] / np.exp(x[use] @ beta[i, :2])
-            now = float(np.exp(x[i] @ beta[i, :2]))
-            for t in taus:
-                a, b = np.quantile(z, [(1 - t) / 2, (1 + t) / 2])
-                point = float(p["point"][i])
-                out.append((key[0], p["fri_ts"][i], int(round(t * 10_000)), point * math.exp(a * now), point * math.exp(b * now), float(p["mon_open"][i])))
-        return pd.DataFrame(out, columns=["symbol", "fri_ts", "tau_bps", "lower", "upper", "mon_open"])
-
-    rows = panel.select("symbol", "fri_ts", "mon_open", "point", "vix")
-    return rows.groupBy("symbol").applyInPandas(one, "symbol string, fri_ts date, tau_bps int, lower double, upper double, mon_open double")
+            z, now = r[use] / np.exp(x[use] @ beta[i]), float(np.exp(x[i] @ beta[i]))
+            if not 0 < now < math.inf:
+                continue
+            edges = np.quantile(z, [[(1 - t) / 2 for t in taus], [(1 + t) / 2 for t in taus]])
+            out.append((key[0], p["fri_ts"][i], len(use), list(beta[i]), now, *(list(point[i] * np.exp(e * now)) for e in edges)))
+        return pd.DataFrame(out, columns=["symbol", "fri_ts", "n_fit", "coefs", "sigma_now", "lower", "upper"])
+
+    rows = panel.select("symbol", "fri_ts", "mon_open", "point", F.col(vol).alias("_vol"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+    return rows.groupBy("symbol").applyInPandas(one, "symbol string, fri_ts date, n_fit int, coefs array<double>, sigma_now double, lower array<double>, upper array<double>")
+
+
+def loglog_bounds(panel: DataFrame, taus: Sequence[float], window: int = 156, least: int = 50, vol: str = "vix", extras: Sequence[str] = ()) -> DataFrame:
+    """The bounds of loglog_fits, a row a gap and tau."""
+    fits = loglog_fits(panel, taus, window, least, vol, extras)
+    each = F.explode(F.array(*[F.struct(F.lit(int(round(t * 10_000))).alias("tau_bps"), F.col("lower")[i].alias("lower"), F.col("upper")[i].alias("upper")) for i, t in enumerate(taus)]))
+    return fits.select("symbol", "fri_ts", each.alias("_b")).select("symbol", "fri_ts", "_b.*").join(panel.select("symbol", "fri_ts", "mon_open"), ["symbol", "fri_ts"])
 
 
 def daily_har(bars: DataFrame) -> DataFrame:

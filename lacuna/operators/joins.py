@@ -60,6 +60,43 @@ def interval_extrema(windows: DataFrame, ticks: DataFrame, key: str, start: str,
     return out.where(F.col("n") >= least)
 
 
+def as_of_by_day(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], order: str, within_s: int | None = None) -> DataFrame:
+    """What as_of gives, for keys that may hold a large part of all rows: a line holds one day of a key, and what was last
+    seen on days before comes from a line of one row a key and day. Left rows without a key or a time see nothing."""
+    kept = F.struct(F.col(ts).alias("at"), F.col(order).cast("long").alias("o"), *values)
+    r = right.where(F.col(ts).isNotNull()).select(key, ts, F.to_date(ts).alias("_day"), F.lit(0).alias("_side"), kept.alias("_v"))
+    names = [c for c in left.columns if c not in (key, ts)]
+    lone = left.select(key, ts, F.to_date(ts).alias("_day"), F.lit(1).alias("_side"), *names)
+    days = r.select(key, "_day", "_v").unionByName(lone.select(key, "_day"), allowMissingColumns=True).groupBy(key, "_day").agg(F.max("_v").alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    held = days.select(key, "_day", before.alias("_before")).where("_before IS NOT NULL")
+    line = Window.partitionBy(key, "_day").orderBy(ts, "_side", "_v.o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lone.unionByName(r, allowMissingColumns=True).withColumn("_here", F.last("_v", ignorenulls=True).over(line)).where("_side = 1")
+    seen = seen.join(held, [key, "_day"], "left").withColumn("_last", F.when(F.col(key).isNotNull() & F.col(ts).isNotNull(), F.coalesce("_here", "_before")))
+    fresh = F.col("_last").isNotNull()
+    if within_s is not None:
+        fresh = fresh & (F.unix_micros(ts) - F.unix_micros(F.col("_last.at")) <= within_s * 1_000_000)
+    return seen.select(key, ts, *names, *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], F.when(fresh, F.col("_last.at")).alias("as_of"))
+
+
+def anchored_extrema(windows: DataFrame, ticks: DataFrame, key: str, start: str, end: str, grace_s: int = 60) -> DataFrame:
+    """windows with what their key's ticks (ts, low, high, close) did inside [start, end]: n, low and high, and the anchor:
+    the last close up to grace_s seconds after the start, else the first inside. Windows without a tick inside go; of ticks
+    at one time the greatest close counts.
+
+    Windows that many rows share are looked at once, spread over the days that they touch.
+    """
+    own = windows.select(key, start, end).distinct()
+    days = own.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+    inside = ticks.select(key, F.to_date("ts").alias("_day"), F.col("ts").alias("_ts"), F.col("low").alias("_l"), F.col("high").alias("_h"), F.struct("ts", (-F.col("close")).alias("down")).alias("_c"))
+    both = days.join(inside, [key, "_day"]).where((F.col("_ts") >= F.col(start)) & (F.col("_ts") <= F.col(end)))
+    g = both.groupBy(key, start, end).agg(F.count("*").alias("n"), F.min("_l").alias("low"), F.max("_h").alias("high"), (-F.min("_c")["down"]).alias("_first"))
+    g = g.withColumn("_at", F.timestamp_micros(F.unix_micros(start) + grace_s * 1_000_000))
+    last = ticks.groupBy(key, F.col("ts").alias("_at")).agg(F.max("close").alias("_pre")).withColumn("_o", F.lit(0))
+    seen = as_of_by_day(g, last, key, "_at", ["_pre"], "_o")
+    return windows.join(seen.select(key, start, end, "n", "low", "high", F.coalesce("_pre", "_first").alias("anchor")), [key, start, end])
+
+
 def event_within(panel: DataFrame, events: DataFrame, days: int = 4) -> DataFrame:
     """earnings_next_week: whether the symbol has an event from the right edge on, so many days long."""
     spread = events.select("symbol", "event_date").distinct().withColumn("mon_ts", F.explode(F.sequence(F.date_sub("event_date", days), "event_date"))).select("symbol", "mon_ts").distinct().withColumn("_hit", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("panel_queries", "stat_queries", "market_queries", "policy_queries", "serve_queries", "density_queries", "router_queries", "scan_queries", "stream_queries")
+_MODULES = ("panel_queries", "stat_queries", "market_queries", "policy_queries", "serve_queries", "density_queries", "router_queries", "scan_queries", "stream_queries", "variant_queries")
 
 
 def _all() -> dict:

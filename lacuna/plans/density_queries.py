@@ -119,10 +119,6 @@ def q_index_quantiles(s, d):  # noqa: ANN001, ANN201
     return rounded(P.residual_quantiles(panel(s, d), [0.68, 0.95], by="vix").drop("mon_open"), 3)
 
 
-def q_loglog(s, d):  # noqa: ANN001, ANN201
-    return rounded(D.loglog_bounds(panel(s, d), [0.68, 0.95]).drop("mon_open"), 4)
-
-
 def q_daily_har(s, d):  # noqa: ANN001, ANN201
     return D.daily_har(M.daily_bars(s, d)).where("rv_m IS NOT NULL").select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("rv_d", "rv_w", "rv_m")])
 
@@ -269,7 +265,6 @@ QUERIES = {
     "b10_sigmas": (q_sigmas, f"WITH {PANEL}, {_SIG} SELECT symbol, fri_ts, round(sigma_f0, 4) AS sigma_f0, round(CASE WHEN symbol IN ({', '.join(repr(f'Brand#{i}') for i in range(1, 14))}) THEN sv END, 4) AS sigma_vix, round(sigma_f1, 4) AS sigma_f1, round(CASE WHEN fri_vol_20d <> 0 THEN abs(ln(mon_open / fri_close)) / fri_vol_20d END, 4) AS z FROM sg"),
     "b19_realised_bucket": (q_realised_bucket, f"WITH {PANEL}, z AS (SELECT *, abs(ln(mon_open / fri_close)) / nullif(fri_vol_20d, 0) AS z FROM panel), c AS (SELECT quantile_cont(z, 0.33) AS a, quantile_cont(z, 0.67) AS b FROM z) SELECT regime_pub, CASE WHEN z <= a THEN 'calm' WHEN z <= b THEN 'normal' ELSE 'shock' END AS realized_bucket, count(*) AS n, round(avg(z), 5) AS mean_z FROM z, c WHERE z IS NOT NULL GROUP BY 1, 2"),
     "e11_index_quantiles": (q_index_quantiles, f"WITH {PANEL}, v AS (SELECT *, ln(mon_open / point) / nullif(vix, 0) AS x FROM panel), u AS (SELECT symbol, fri_ts, t.bps AS tau_bps, point, vix, count(x) OVER w AS c, quantile_cont(x, 0.16) OVER w AS l68, quantile_cont(x, 0.84) OVER w AS u68, quantile_cont(x, 0.025) OVER w AS l95, quantile_cont(x, 0.975) OVER w AS u95 FROM v, (VALUES (6800), (9500)) t(bps) WINDOW w AS (PARTITION BY symbol, t.bps ORDER BY fri_ts ROWS BETWEEN 105 PRECEDING AND 2 PRECEDING)) SELECT symbol, fri_ts, tau_bps, round(point * exp(vix * CASE WHEN tau_bps = 6800 THEN l68 ELSE l95 END), 3) AS lower, round(point * exp(vix * CASE WHEN tau_bps = 6800 THEN u68 ELSE u95 END), 3) AS upper FROM u WHERE c >= 26"),
-    "i13_loglog_bounds": (q_loglog, None),
     "c20_daily_har": (q_daily_har, f"""WITH {BARS}, r AS (SELECT symbol, ts, pow(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)), 2) AS rv_d FROM bars), h AS (SELECT symbol, ts, rv_d, CASE WHEN count(rv_d) OVER w5 = 5 THEN avg(rv_d) OVER w5 END AS rv_w, CASE WHEN count(rv_d) OVER w22 = 22 THEN avg(rv_d) OVER w22 END AS rv_m FROM r WINDOW w5 AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING), w22 AS (PARTITION BY symbol ORDER BY ts ROWS 21 PRECEDING)) SELECT symbol, ts, round(rv_d, 6) AS rv_d, round(rv_w, 6) AS rv_w, round(rv_m, 6) AS rv_m FROM h WHERE rv_m IS NOT NULL"""),
     "i14_har_sigma": (q_har_sigma, None),
     "i15_forecasters": (q_forecasters, None),
