@@ -25,11 +25,13 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str
     return seen.select(key, ts, *names, *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], F.when(fresh, F.col("_last.at")).alias("as_of"))
 
 
-def session_as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], order: str, session: str, wanted: str, within_s: int) -> DataFrame:
-    """as_of among right rows of the wanted session; where it has none in reach, among all."""
-    best = as_of(left, right.where(F.col(session) == wanted), key, ts, values, order, within_s)
+def session_as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], order: str, session: str, wanted: str, within_s: int, by_day: bool = False) -> DataFrame:
+    """as_of among right rows of the wanted session; where it has none in reach, among all. by_day: for keys that may hold
+    a large part of all rows."""
+    find = as_of_by_day if by_day else as_of
+    best = find(left, right.where(F.col(session) == wanted), key, ts, values, order, within_s)
     held = best.select(key, ts, *[c for c in left.columns if c not in (key, ts)], *[F.col(v).alias(f"_held_{v}") for v in values], F.col("as_of").alias("_held_at"))
-    both = as_of(held, right, key, ts, values, order, within_s)
+    both = find(held, right, key, ts, values, order, within_s)
     use = F.col("_held_at").isNotNull()
     return both.select(*left.columns, *[F.when(use, F.col(f"_held_{v}")).otherwise(F.col(v)).alias(v) for v in values], F.coalesce("_held_at", "as_of").alias("as_of"))
 

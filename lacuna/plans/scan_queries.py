@@ -207,7 +207,7 @@ def q_oracle_bands(s, d):  # noqa: ANN001, ANN201
     its confidence about it: which k is the least that covers a share of the next day's first ticks."""
     quotes = T.scanned(s, "pyth", pyth(s, d), dt.date(2024, 1, 1), dt.date(2024, 3, 1))
     quotes = quotes.select("symbol", F.timestamp_seconds("poll_unix").alias("ts"), F.col("pyth_price").alias("price"), F.col("pyth_conf").alias("conf"), "session", "slot")
-    seen = J.session_as_of(anchors(s, d), quotes, "symbol", "ts", ["price", "conf"], "slot", "session", "regular", 8 * 3600)
+    seen = J.session_as_of(anchors(s, d), quotes, "symbol", "ts", ["price", "conf"], "slot", "session", "regular", 8 * 3600, by_day=True)
     truth = M.resampled(M.tape(s, d)).select("symbol", F.date_sub(F.to_date("bar"), 1).alias("day"), F.col("open").alias("truth"))
     rows = seen.where("price IS NOT NULL").join(truth, ["symbol", "day"])
     return rounded(X.swept(rows, F.abs(F.col("truth") - F.col("price")), F.col("conf"), [1, 2, 5, 10, 50, 100, 200, 500, 1000, 5000], [0.5, 0.68, 0.85]), 6)
@@ -215,7 +215,7 @@ def q_oracle_bands(s, d):  # noqa: ANN001, ANN201
 
 def q_percent_bands(s, d):  # noqa: ANN001, ANN201
     """The same for a share of the last value within a day, as feeds without a confidence have it."""
-    seen = J.as_of(anchors(s, d), M.tape(s, d).withColumnRenamed("value", "price"), "symbol", "ts", ["price"], "event_id", within_s=86_400)
+    seen = J.as_of_by_day(anchors(s, d), M.tape(s, d).withColumnRenamed("value", "price"), "symbol", "ts", ["price"], "event_id", within_s=86_400)
     truth = M.resampled(M.tape(s, d)).select("symbol", F.date_sub(F.to_date("bar"), 1).alias("day"), F.col("open").alias("truth"))
     rows = seen.where("price IS NOT NULL").join(truth, ["symbol", "day"])
     return rounded(X.swept(rows, F.abs(F.col("truth") - F.col("price")), F.col("price") / 100, [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000], [0.5, 0.68, 0.85]), 6)
