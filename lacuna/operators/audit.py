@@ -129,3 +129,44 @@ def buffer_pick(rows: DataFrame, score: str, grid: Sequence[float], tau: float)
     best = both.groupBy("year").agg(F.min(key).alias("b"))
     status = F.element_at(F.array(*[F.lit(x) for x in ("PASS", "MARGINAL", "CEILING", "CEILING")]), F.col("b.rank") + 1)
     return best.select("year", F.col("b.buffer").alias("buffer"), F.round("b.realised", 5).alias("realised"), status.alias("status"))
+
+
+def walk_forward_buffers(rows: DataFrame, score: str, grid: Sequence[float], tau: float, tune: int = 4, test: int = 4) -> DataFrame:
+    """A buffer chosen on the `tune` quarters before each quarter, and how it did on the `test` quarters from it on: cutoff,
+    buffer, status, n_tune, realised_tune, n, realised, p_uc, p_ind.
+
+    Chosen is the smallest buffer that covers tau less half a point with Kupiec's p over 0.10 and independence over 0.05 (PASS),
+    else covers so with p over 0.05 (MARGINAL), else the smallest that covers tau, else the largest (CEILING). Symbols are
+    one line each; pairs across a window's start don't count. A p of independence without a pair to tell it by is null and
+    doesn't pass. Cutoffs have `tune` quarters of history, rows to choose on and rows to test on; rows without a score take no part.
+
+    A row meets neither the grid nor the windows: rows are counted by quarter and by the number of buffers that they exceed,
+    theirs and that of the row before, and the counts go to the windows.
+    """
+    from ..functions.special import chi2_column
+
+    steps = sorted(float(b) for b in grid)
+    level = F.array_size(F.filter(F.array(*[F.lit(b) for b in steps]), lambda b: b < F.col(score)))
+    line = Window.partitionBy("symbol").orderBy("fri_ts")
+    own = rows.where(F.col(score).isNotNull()).select("symbol", "fri_ts", (F.year("fri_ts") * 4 + F.quarter("fri_ts") - 1).alias("p"), level.alias("g"))
+    own = own.withColumns({"p0": F.lag("p").over(line), "g0": F.lag("g").over(line)})
+    counts = own.groupBy("symbol", "p", "g", "p0", "g0").agg(F.count("*").alias("c"))
+    at = lambda kind, low, high, back: F.transform(F.sequence(low, high), lambda c: F.struct(c.alias("cut"), F.lit(kind).alias("kind"), (c - back).alias("start")))
+    spans = F.concat(at("tune", F.col("p") + 1, F.col("p") + tune, tune), at("test", F.col("p") - test + 1, F.col("p"), 0))
+    spread = counts.withColumn("_w", F.explode(spans)).select("symbol", "g", F.when(F.col("p0") >= F.col("_w.start"), F.col("g0")).alias("g0"), "c", "_w.cut", "_w.kind")
+    spread = spread.groupBy("cut", "kind", "symbol", "g", "g0").agg(F.sum("c").alias("c")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))))
+    now, before = (F.col("g") > F.col("j")).cast("int"), (F.col("g0") > F.col("j")).cast("int")
+    pairs = [F.sum(F.when((before == a) & (now == b), F.col("c")).otherwise(0)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
+    t = spread.groupBy("cut", "kind", "j", "symbol").agg(F.sum("c").alias("n"), F.sum(F.col("c") * now).alias("x"), *pairs)
+    g = t.withColumn("_lr", S.independence_lr(t)).groupBy("cut", "kind", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("_lr").alias("lr_ind"), F.count("_lr").cast("int").alias("k"))
+    g = g.withColumns({"realised": 1 - F.col("x") / F.col("n"), "p_uc": chi2_column(S.kupiec_lr(F.col("x"), F.col("n"), F.lit(1 - tau)), F.lit(1)), "p_ind": F.when(F.col("k") > 0, chi2_column(F.col("lr_ind"), F.col("k")))})
+    near = F.col("realised") >= tau - 0.005
+    rank = F.when(near & (F.col("p_uc") > 0.10) & F.coalesce(F.col("p_ind") > 0.05, F.lit(False)), 0).when(near & (F.col("p_uc") > 0.05), 1).when(F.col("realised") >= tau, 2).otherwise(3)
+    key = F.struct(rank.alias("rank"), F.when(rank < 3, F.col("j")).otherwise(-F.col("j")).alias("_j"), "j", "n", "realised")
+    best = g.where("kind = 'tune'").groupBy("cut").agg(F.min(key).alias("b")).select("cut", F.col("b.rank").alias("rank"), F.col("b.j").alias("j"), F.col("b.n").alias("n_tune"), F.col("b.realised").alias("realised_tune"))
+    first = counts.agg((F.min("p") + tune).alias("_first"))
+    both = best.join(g.where("kind = 'test'"), ["cut", "j"]).crossJoin(F.broadcast(first)).where("cut >= _first")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("PASS", "MARGINAL", "CEILING", "CEILING")]), F.col("rank") + 1)
+    buffer = F.element_at(F.array(*[F.lit(b) for b in steps]), F.col("j") + 1)
+    cutoff = F.make_date(F.floor(F.col("cut") / 4).cast("int"), (F.col("cut") % 4 * 3 + 1).cast("int"), F.lit(1))
+    return both.select(cutoff.alias("cutoff"), buffer.alias("buffer"), status.alias("status"), "n_tune", "realised_tune", "n", "realised", "p_uc", "p_ind")

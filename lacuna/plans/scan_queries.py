@@ -242,6 +242,11 @@ def q_buffer_pick(s, d):  # noqa: ANN001, ANN201
     return A.buffer_pick(panel(s, d).where("score IS NOT NULL"), "score", [x / 4 for x in range(1, 41)], 0.85)
 
 
+def q_walk_forward_buffers(s, d):  # noqa: ANN001, ANN201
+    """A buffer of a symbol's scale chosen on a year before each quarter, and a year of it."""
+    return rounded(A.walk_forward_buffers(panel(s, d), "score", [x / 4 for x in range(1, 41)], 0.85), 4)
+
+
 def q_forward(s, d):  # noqa: ANN001, ANN201
     """The tape of gaps with what came after the freeze marked, and twenty gaps of context before it."""
     return A.forward_tape(panel(s, d), SPLIT, 20).select("symbol", "fri_ts", "is_forward")
@@ -340,6 +345,20 @@ _DAYS = """ev AS (SELECT event_type AS symbol, event_id, ts, value, date_trunc('
 an AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1255 MINUTE AS at FROM ev),
 tr AS (SELECT symbol, CAST(ts AS DATE) - 1 AS day, min_by(value, (ts, event_id)) AS truth FROM ev GROUP BY 1, 2)"""
 
+_FORWARD = f"""WITH {PANEL}, r AS (SELECT symbol, fri_ts, score, year(fri_ts) * 4 + quarter(fri_ts) - 1 AS p FROM panel WHERE score IS NOT NULL),
+cu AS (SELECT unnest(range(min(p) + 4, max(p) + 1)) AS cut FROM r),
+w AS (SELECT cut, 'tune' AS kind, r.* FROM r JOIN cu ON p >= cut - 4 AND p < cut UNION ALL SELECT cut, 'test', r.* FROM r JOIN cu ON p >= cut AND p < cut + 4),
+e AS (SELECT cut, kind, symbol, fri_ts, b / 4.0::DOUBLE AS buffer, 0.85::DOUBLE AS tau, CASE WHEN score > b / 4.0::DOUBLE THEN 1 ELSE 0 END AS m FROM w, range(1, 41) v(b)),
+g AS (SELECT cut, kind, buffer, tau, count(*) AS n, sum(m)::BIGINT AS x FROM e GROUP BY 1, 2, 3, 4),
+l AS (SELECT *, lag(m) OVER (PARTITION BY cut, kind, buffer, symbol ORDER BY fri_ts) AS p FROM e),
+t AS (SELECT cut, kind, buffer, symbol, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY ALL),
+i AS (SELECT cut, kind, buffer, sum({_IND}) AS li, count({_IND})::INT AS k FROM t GROUP BY ALL),
+h AS (SELECT g.*, {_LR} AS lu, li, coalesce(k, 0) AS k, 1 - x / n AS realised FROM g LEFT JOIN i USING (cut, kind, buffer)),
+q AS (SELECT *, {chi2_sql('lu', '1')} AS p_uc, CASE WHEN k > 0 THEN {chi2_sql('li', 'k')} END AS p_ind FROM h),
+z AS (SELECT *, CASE WHEN realised >= tau - 0.005 AND p_uc > 0.10 AND coalesce(p_ind > 0.05, false) THEN 0 WHEN realised >= tau - 0.005 AND p_uc > 0.05 THEN 1 WHEN realised >= tau THEN 2 ELSE 3 END AS rank FROM q WHERE kind = 'tune'),
+b AS (SELECT *, row_number() OVER (PARTITION BY cut ORDER BY rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END) AS pos FROM z)
+SELECT make_date((b.cut // 4)::INT, (b.cut % 4 * 3 + 1)::INT, 1) AS cutoff, b.buffer, ['PASS', 'MARGINAL', 'CEILING', 'CEILING'][b.rank + 1] AS status, b.n AS n_tune, round(b.realised, 4) AS realised_tune, q.n, round(q.realised, 4) AS realised, round(q.p_uc, 4) AS p_uc, round(q.p_ind, 4) AS p_ind FROM b JOIN q ON q.cut = b.cut AND q.buffer = b.buffer AND q.kind = 'test' WHERE pos = 1"""
+
 QUERIES = {
     "a10_pyth_scan": (q_pyth_scan, f"SELECT event_type AS symbol, {_UNIX} AS poll_unix, round(value, 6) AS pyth_price, event_id AS slot FROM events WHERE {_WIN}"),
     "a9_scope_scan": (q_scope_scan, f"SELECT event_type AS symbol, {_UNIX} AS scope_unix_ts, event_id AS scope_slot, round(value, 6) AS price FROM events WHERE {_WIN} AND NOT value > 100"),
@@ -366,6 +385,7 @@ QUERIES = {
     "n2_percent_bands": (q_percent_bands, f"WITH {_ANCH}, {_OPEN}, sn AS (SELECT an.symbol, an.day, max_by(value, (ts, event_id)) AS price FROM an JOIN events ON event_type = an.symbol AND ts <= due AND ts >= due - INTERVAL 1 DAY GROUP BY 1, 2), pp AS (SELECT * FROM sn JOIN tr USING (symbol, day)), {_sweep_sql('pp', '(price / 100)', [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000])}"),
     "c10_session_nearest": (q_session_nearest, f"WITH {EV}, k2 AS (SELECT *, ts - INTERVAL 5 HOUR AS lt FROM k), z AS (SELECT ask_id, max_by(event_id, (k2.ts, event_id)) FILTER (dayofweek(lt) NOT IN (0, 6) AND hour(lt) * 60 + minute(lt) >= 570 AND hour(lt) * 60 + minute(lt) < 960) AS r, max_by(event_id, (k2.ts, event_id)) AS e FROM a LEFT JOIN k2 ON a.u = k2.u AND k2.ts <= a.ts AND k2.ts >= a.ts - INTERVAL 1 DAY GROUP BY 1) SELECT ask_id, coalesce(r, e, -1) AS event_id FROM z"),
     "n4_index_buffer": (q_vix_buffer, f"WITH {PANEL}, m AS (SELECT median(vix) AS mid FROM panel WHERE score_raw IS NOT NULL), x AS (SELECT regime_pub, score_raw * 10000 / (vix / mid) AS x FROM panel, m WHERE score_raw IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY regime_pub ORDER BY x) AS k, count(*) OVER (PARTITION BY regime_pub) AS n FROM x) SELECT regime_pub, tau_bps, n, (ceil(x / 5) * 5)::BIGINT AS buffer_bps FROM r, (VALUES (6800, 0.68::DOUBLE), (9500, 0.95::DOUBLE)) t(tau_bps, tau) WHERE k = ceil((n - 1) * tau) + 1"),
+    "n6_walk_forward": (q_walk_forward_buffers, _FORWARD),
     "n6_buffer_pick": (q_buffer_pick, f"WITH {PANEL}, e AS (SELECT symbol, fri_ts, year(fri_ts) AS year, b / 4.0::DOUBLE AS buffer, 0.85::DOUBLE AS tau, CASE WHEN score > b / 4.0::DOUBLE THEN 1 ELSE 0 END AS m FROM panel, range(1, 41) r(b) WHERE score IS NOT NULL), g AS (SELECT year, buffer, tau, count(*) AS n, sum(m)::BIGINT AS x FROM e GROUP BY 1, 2, 3), l AS (SELECT *, lag(m) OVER (PARTITION BY year, buffer, symbol ORDER BY fri_ts) AS p FROM e), t AS (SELECT year, buffer, symbol, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY 1, 2, 3), i AS (SELECT year, buffer, sum({_IND}) AS li, count({_IND})::INT AS k FROM t GROUP BY 1, 2), r AS (SELECT g.*, {_LR} AS lu, li, coalesce(k, 0) AS k, 1 - x / n AS realised FROM g LEFT JOIN i USING (year, buffer)), q AS (SELECT *, {chi2_sql('lu', '1')} AS p_uc, CASE WHEN k > 0 THEN {chi2_sql('li', 'k')} ELSE 1 END AS p_ind FROM r), w AS (SELECT *, CASE WHEN realised >= tau - 0.005 AND p_uc > 0.10 AND p_ind > 0.05 THEN 0 WHEN realised >= tau - 0.005 AND p_uc > 0.05 THEN 1 WHEN realised >= tau THEN 2 ELSE 3 END AS rank FROM q) SELECT year, arg_min(buffer, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)) AS buffer, round(arg_min(realised, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)), 5) AS realised, ['PASS', 'MARGINAL', 'CEILING', 'CEILING'][min(rank) + 1] AS status FROM w GROUP BY 1"),
     "o8_forward_tape": (q_forward, f"WITH {PANEL}, x AS (SELECT symbol, fri_ts, fri_ts >= DATE '{SPLIT}' AS f, row_number() OVER (PARTITION BY symbol, fri_ts >= DATE '{SPLIT}' ORDER BY fri_ts DESC) AS k FROM panel) SELECT symbol, fri_ts, f AS is_forward FROM x WHERE f OR k <= 20"),
     "o9_missing_partitions": (q_partitions, "WITH t AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events), g AS (SELECT symbol, d::DATE AS day FROM (SELECT DISTINCT symbol FROM t), range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY) r(d)) SELECT symbol, CASE WHEN symbol IN ('view', 'click') THEN 'hard' ELSE 'soft' END AS kind, count(*) AS n, min(day) AS first, max(day) AS last FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = g.symbol AND t.day = g.day) GROUP BY 1, 2"),

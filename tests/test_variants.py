@@ -197,3 +197,57 @@ def test_sql_functions(spark):
     rows = spark.sql("SELECT k, b.* FROM VALUES (1, 100D), (2, CAST(NULL AS DOUBLE)) AS p(k, point), LATERAL lacuna_bands_at(point, 2D, array(0.5D, 0.9D), array(1D, 3D), array(0.5D, 0.7D)) b ORDER BY k, tau").collect()
     assert [(r["k"], r["tau"], r["lower"], r["upper"]) for r in rows][:2] == [(1, 0.5, 98.0, 102.0), (1, 0.7, 96.0, 104.0)] and rows[2]["lower"] is None and len(rows) == 4
     assert spark.sql("SELECT b.* FROM VALUES (1D) AS p(x), LATERAL lacuna_bands_at(x, 2D, array(0.5D), array(1D), CAST(NULL AS ARRAY<DOUBLE>)) b").count() == 0
+
+
+def independence(lines):
+    """The likelihood ratio of following misses, summed over lines that have one, and how many do."""
+    total, k = 0.0, 0
+    log = lambda n, p: n * np.log(max(p, 1e-12)) if n else 0.0
+    for line in lines:
+        n = {(a, b): sum((p, q) == (a, b) for p, q in zip(line[:-1], line[1:], strict=True)) for a in (0, 1) for b in (0, 1)}
+        if n[0, 0] + n[0, 1] and n[1, 0] + n[1, 1]:
+            p0, p1, p = n[0, 1] / (n[0, 0] + n[0, 1]), n[1, 1] / (n[1, 0] + n[1, 1]), (n[0, 1] + n[1, 1]) / sum(n.values())
+            own = log(n[0, 0], 1 - p0) + log(n[0, 1], p0) + log(n[1, 0], 1 - p1) + log(n[1, 1], p1)
+            total, k = total + max(2 * (own - log(n[0, 0] + n[1, 0], 1 - p) - log(n[0, 1] + n[1, 1], p)), 0), k + 1
+    return total, k
+
+
+def test_walk_forward_buffers_against_a_loop(spark):
+    from lacuna.functions.special import chi2_tail
+    from lacuna.operators import audit
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in ("a", "b", "c"):
+        day = dt.date(2018, 1, 5)
+        while day < dt.date(2022, 1, 1):
+            if s != "c" or day.year != 2019:  # c has a year without rows, which a pair of its line spans
+                rows.append((s, day, None if rng.random() < 0.03 else float(rng.choice([0.5, 1.0, 1.5, 2.0, 3.0]) * (1 + (day.year == 2021)))))
+            day += dt.timedelta(int(rng.choice([3, 7, 14])))
+    grid, tau = (0.5, 1.0, 1.5, 2.0, 2.5, 4.0), 0.85
+    out = audit.walk_forward_buffers(spark.createDataFrame(rows, "symbol string, fri_ts date, score double").repartition(3), "score", grid, tau)
+    got = {r["cutoff"]: r for r in out.collect()}
+    own = [(s, d, x, d.year * 4 + (d.month - 1) // 3) for s, d, x in rows if x is not None]
+    low, high = min(r[3] for r in own), max(r[3] for r in own)
+
+    def told(a, b, buffer):  # noqa: ANN001, ANN202
+        use = [r for r in own if a <= r[3] < b]
+        x = sum(r[2] > buffer for r in use)
+        n, hit = len(use), 1 - x / len(use)
+        lr = 2 * ((n - x) * np.log(hit) + (x * np.log(x / n) if x else 0) - (n - x) * np.log(tau) - x * np.log(1 - tau)) if hit else np.inf
+        ind, k = independence([[int(r[2] > buffer) for r in sorted(use) if r[0] == s] for s in "abc"])
+        return n, hit, chi2_tail(max(lr, 0.0), 1) if np.isfinite(lr) else 0.0, chi2_tail(ind, k) if k else None
+
+    assert len(got) == high - low - 3
+    for cut in range(low + 4, high + 1):
+        ranked = []
+        for b in grid:
+            _, hit, p_uc, p_ind = told(cut - 4, cut, b)
+            rank = 0 if hit >= tau - 0.005 and p_uc > 0.1 and (p_ind or 0) > 0.05 else 1 if hit >= tau - 0.005 and p_uc > 0.05 else 2 if hit >= tau else 3
+            ranked.append((rank, b if rank < 3 else -b, b))
+        rank, _, b = min(ranked)
+        row, (n, hit, p_uc, p_ind) = got[dt.date(cut // 4, cut % 4 * 3 + 1, 1)], told(cut, cut + 4, b)
+        assert (row["buffer"], row["status"], row["n"]) == (b, ("PASS", "MARGINAL", "CEILING", "CEILING")[rank], n)
+        assert np.isclose(row["realised"], hit) and np.isclose(row["p_uc"], p_uc, atol=1e-6)
+        assert (row["p_ind"] is None) == (p_ind is None) and (p_ind is None or np.isclose(row["p_ind"], p_ind, atol=1e-6))
+    assert audit.walk_forward_buffers(spark.createDataFrame([], "symbol string, fri_ts date, score double"), "score", grid, tau).count() == 0
