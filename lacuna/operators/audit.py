@@ -70,9 +70,12 @@ def commitments(panel: DataFrame, table: DataFrame, zone: str, computed: Column
     return rows.select("symbol", "fri_ts", "mon_ts", "tau_bps", "fri_close", half.alias("half"), (at <= deadline).alias("accepted"))
 
 
-def publications(committed: DataFrame, factor: DataFrame) -> DataFrame:
-    """Committed widths about a new centre, the close moved with its factor; symbols whose factor is missing are skipped."""
+def publications(committed: DataFrame, factor: DataFrame, now: Column | None = None, zone: str = "America/New_York") -> DataFrame:
+    """Committed widths about a new centre, the close moved with its factor; symbols whose factor is missing are skipped.
+    With now, an instant, rows say whether they are refused: from 09:25 of the right edge in the zone on."""
     both = committed.join(factor.where("factor_ret IS NOT NULL"), ["symbol", "fri_ts"])
+    if now is not None:
+        both = both.withColumn("refused", now >= F.to_utc_timestamp(F.col("mon_ts").cast("timestamp") + F.expr("INTERVAL 565 MINUTES"), zone))
     centre = F.col("fri_close") * (1 + F.col("factor_ret"))
     return both.withColumns({"lower": centre - F.col("half"), "upper": centre + F.col("half")})
 
@@ -92,6 +95,26 @@ def missing_partitions(there: DataFrame, days: DataFrame, symbols: DataFrame) ->
     return out.select("symbol", "day", F.when(F.col("hard"), "hard").otherwise("soft").alias("kind"))
 
 
+def latest_pairs(days: DataFrame, asked: DataFrame, cutoff: str, least_gap: int = 3) -> DataFrame:
+    """For each asked day (column today) the latest gap of a leading series (column ts, its days) that is closed by then and begins
+    after the cutoff: today, fri_ts, mon_ts; both null if there is none. One line of days, a row each."""
+    line = Window.partitionBy(F.lit(0)).orderBy("ts")
+    gaps = days.select("ts").distinct().withColumn("_l", F.lag("ts").over(line)).where((F.datediff("ts", "_l") >= least_gap) & (F.col("_l") > F.lit(cutoff).cast("date")))
+    both = gaps.select(F.col("ts").alias("today"), F.lit(0).alias("_side"), F.struct(F.col("_l").alias("fri_ts"), F.col("ts").alias("mon_ts")).alias("_g"))
+    both = both.unionByName(asked.select("today").distinct().withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    seen = F.last("_g", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("today", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_g", seen).where("_side = 1").select("today", "_g.fri_ts", "_g.mon_ts")
+
+
+def missing_edges(pairs: DataFrame, there: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What a pair lacks: today, symbol, edge (fri or mon), day and kind. symbols says of each whether it is hard; those
+    stop a run. Pairs are few, a row an asked day; there has symbol and day."""
+    edge = F.explode(F.array(F.struct(F.lit("fri").alias("edge"), F.col("fri_ts").alias("day")), F.struct(F.lit("mon").alias("edge"), F.col("mon_ts").alias("day"))))
+    want = symbols.crossJoin(sized(pairs.where("fri_ts IS NOT NULL").select("today", edge.alias("_e")).select("today", "_e.*")))
+    out = want.join(there.select("symbol", "day").distinct(), ["symbol", "day"], "left_anti")
+    return out.select("today", "symbol", "edge", "day", F.when(F.col("hard"), "hard").otherwise("soft").alias("kind"))
+
+
 def freshness(runs: DataFrame, by: str, now: Column, hours: float) -> DataFrame:
     """Each manifest's last success, and whether it is within so many hours of now; none is not fresh."""
     g = runs.groupBy(by).agg(F.max(F.when(F.col("status") == "succeeded", F.col("ts"))).alias("last_success"), F.max(now).alias("_now"))

@@ -260,6 +260,23 @@ def q_partitions(s, d):  # noqa: ANN001, ANN201
     return A.missing_partitions(there, days, symbols).groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
+def q_latest_pair(s, d):  # noqa: ANN001, ANN201
+    """The gate before each month's run: the latest gap that the leading brand has closed, and which brands lack an edge."""
+    bars = M.daily_bars(s, d).select("symbol", F.col("ts").alias("day"))
+    asked = bars.select(F.trunc("day", "month").alias("today")).distinct()
+    pairs = A.latest_pairs(bars.where("symbol = 'Brand#12'").select(F.col("day").alias("ts")), asked, "1996-06-30")
+    symbols = bars.select("symbol").distinct().withColumn("hard", F.col("symbol") < "Brand#2")
+    return A.missing_edges(pairs, bars, symbols)
+
+
+def q_refusals(s, d):  # noqa: ANN001, ANN201
+    """Publications tried at times around the open: those from 09:25 New York time on are refused."""
+    committed = A.commitments(late(s, d), table(s, d), "America/New_York")
+    tried = F.to_utc_timestamp(F.col("mon_ts").cast("timestamp") + F.make_dt_interval(mins=540 + F.dayofmonth("mon_ts") % 6 * 5), "America/New_York")
+    out = A.publications(committed.where("accepted"), panel(s, d).select("symbol", "fri_ts", "factor_ret"), tried)
+    return rounded(out.select("symbol", "fri_ts", "tau_bps", "refused", F.when(~F.col("refused"), F.col("lower")).alias("lower"), F.when(~F.col("refused"), F.col("upper")).alias("upper")), 3)
+
+
 def q_freshness(s, d):  # noqa: ANN001, ANN201
     """Whether each source's last success is within its hours of the newest event: errors are no successes."""
     runs = M.table(s, d, "events").select(F.col("user_id").cast("string").alias("manifest"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"))
@@ -389,6 +406,8 @@ QUERIES = {
     "n6_buffer_pick": (q_buffer_pick, f"WITH {PANEL}, e AS (SELECT symbol, fri_ts, year(fri_ts) AS year, b / 4.0::DOUBLE AS buffer, 0.85::DOUBLE AS tau, CASE WHEN score > b / 4.0::DOUBLE THEN 1 ELSE 0 END AS m FROM panel, range(1, 41) r(b) WHERE score IS NOT NULL), g AS (SELECT year, buffer, tau, count(*) AS n, sum(m)::BIGINT AS x FROM e GROUP BY 1, 2, 3), l AS (SELECT *, lag(m) OVER (PARTITION BY year, buffer, symbol ORDER BY fri_ts) AS p FROM e), t AS (SELECT year, buffer, symbol, count(*) FILTER (p = 0 AND m = 0)::DOUBLE AS n00, count(*) FILTER (p = 0 AND m = 1)::DOUBLE AS n01, count(*) FILTER (p = 1 AND m = 0)::DOUBLE AS n10, count(*) FILTER (p = 1 AND m = 1)::DOUBLE AS n11 FROM l WHERE p IS NOT NULL GROUP BY 1, 2, 3), i AS (SELECT year, buffer, sum({_IND}) AS li, count({_IND})::INT AS k FROM t GROUP BY 1, 2), r AS (SELECT g.*, {_LR} AS lu, li, coalesce(k, 0) AS k, 1 - x / n AS realised FROM g LEFT JOIN i USING (year, buffer)), q AS (SELECT *, {chi2_sql('lu', '1')} AS p_uc, CASE WHEN k > 0 THEN {chi2_sql('li', 'k')} ELSE 1 END AS p_ind FROM r), w AS (SELECT *, CASE WHEN realised >= tau - 0.005 AND p_uc > 0.10 AND p_ind > 0.05 THEN 0 WHEN realised >= tau - 0.005 AND p_uc > 0.05 THEN 1 WHEN realised >= tau THEN 2 ELSE 3 END AS rank FROM q) SELECT year, arg_min(buffer, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)) AS buffer, round(arg_min(realised, (rank, CASE WHEN rank < 3 THEN buffer ELSE -buffer END)), 5) AS realised, ['PASS', 'MARGINAL', 'CEILING', 'CEILING'][min(rank) + 1] AS status FROM w GROUP BY 1"),
     "o8_forward_tape": (q_forward, f"WITH {PANEL}, x AS (SELECT symbol, fri_ts, fri_ts >= DATE '{SPLIT}' AS f, row_number() OVER (PARTITION BY symbol, fri_ts >= DATE '{SPLIT}' ORDER BY fri_ts DESC) AS k FROM panel) SELECT symbol, fri_ts, f AS is_forward FROM x WHERE f OR k <= 20"),
     "o9_missing_partitions": (q_partitions, "WITH t AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day FROM events), g AS (SELECT symbol, d::DATE AS day FROM (SELECT DISTINCT symbol FROM t), range(DATE '2024-01-01', DATE '2024-02-06', INTERVAL 1 DAY) r(d)) SELECT symbol, CASE WHEN symbol IN ('view', 'click') THEN 'hard' ELSE 'soft' END AS kind, count(*) AS n, min(day) AS first, max(day) AS last FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = g.symbol AND t.day = g.day) GROUP BY 1, 2"),
+    "o9_latest_pair": (q_latest_pair, f"WITH {BARS}, l AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS f FROM bars WHERE symbol = 'Brand#12'), g AS (SELECT f, ts FROM l WHERE ts - f >= 3 AND f > DATE '1996-06-30'), a AS (SELECT DISTINCT date_trunc('month', ts)::DATE AS today FROM bars), p AS (SELECT today, max(f) AS fri, max(ts) AS mon FROM a JOIN g ON g.ts <= today GROUP BY 1), e AS (SELECT today, 'fri' AS edge, fri AS day FROM p UNION ALL SELECT today, 'mon', mon FROM p) SELECT today, y.symbol, edge, day, CASE WHEN y.symbol < 'Brand#2' THEN 'hard' ELSE 'soft' END AS kind FROM e CROSS JOIN (SELECT DISTINCT symbol FROM bars) y WHERE NOT EXISTS (SELECT 1 FROM bars WHERE bars.symbol = y.symbol AND bars.ts = e.day)"),
+    "o12_refusals": (q_refusals, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')}, x AS (SELECT *, 540 + day(mon_ts) % 6 * 5 >= 565 AS refused, q * sigma * fri_close AS half FROM panel JOIN qt USING (regime_pub) WHERE sigma > 0 AND fri_ts >= DATE '{SPLIT}') SELECT symbol, fri_ts, tau_bps, refused, CASE WHEN NOT refused THEN round(fri_close * (1 + factor_ret) - half, 3) END AS lower, CASE WHEN NOT refused THEN round(fri_close * (1 + factor_ret) + half, 3) END AS upper FROM x"),
     "o10_freshness": (q_freshness, "WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id::VARCHAR AS manifest, max(ts) FILTER (event_type <> 'error') AS last_success FROM events GROUP BY 1) SELECT manifest, last_success, coalesce(epoch_us(now) - epoch_us(last_success) <= 26 * 3600000000, false) AS fresh FROM s, n"),
     "o12_publications": (q_commitments, f"WITH {PANEL}, {TAUS}, {_table_sql('qt', 'score')} SELECT symbol, fri_ts, tau_bps, round(q * sigma * fri_close, 3) AS half, round(fri_close * (1 + factor_ret) - q * sigma * fri_close, 3) AS lower, round(fri_close * (1 + factor_ret) + q * sigma * fri_close, 3) AS upper FROM panel JOIN qt USING (regime_pub) WHERE sigma > 0 AND fri_ts >= DATE '{SPLIT}'"),
     "q6_archive": (q_archive, f"WITH {SERVED}, c AS (SELECT count(*) FILTER (fri_ts < DATE '2000-06-01') AS a, count(*) FILTER (fri_ts >= DATE '2000-06-01') AS b FROM bands) SELECT 1 AS run, a AS appended, a AS total FROM c UNION ALL SELECT 2, b, a + b FROM c"),

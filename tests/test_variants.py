@@ -251,3 +251,19 @@ def test_walk_forward_buffers_against_a_loop(spark):
         assert np.isclose(row["realised"], hit) and np.isclose(row["p_uc"], p_uc, atol=1e-6)
         assert (row["p_ind"] is None) == (p_ind is None) and (p_ind is None or np.isclose(row["p_ind"], p_ind, atol=1e-6))
     assert audit.walk_forward_buffers(spark.createDataFrame([], "symbol string, fri_ts date, score double"), "score", grid, tau).count() == 0
+
+
+def test_latest_pairs_and_their_missing_edges(spark):
+    from lacuna.operators import audit
+
+    day = lambda x: dt.date(2024, 1, x)
+    lead = spark.createDataFrame([(day(x),) for x in (1, 2, 5, 8, 9, 12, 15, 15)], "ts date")
+    asked = spark.createDataFrame([(day(x),) for x in (1, 7, 8, 14, 15, 31)], "today date")
+    got = {r["today"].day: r["fri_ts"] and (r["fri_ts"].day, r["mon_ts"].day) for r in audit.latest_pairs(lead, asked, "2024-01-04").collect()}
+    assert got == {1: None, 7: None, 8: (5, 8), 14: (9, 12), 15: (12, 15), 31: (12, 15)}
+    there = spark.createDataFrame([("a", day(12)), ("a", day(15)), ("b", day(15)), ("b", day(15))], "symbol string, day date")
+    symbols = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "symbol string, hard boolean")
+    pairs = audit.latest_pairs(lead, asked.where("today IN ('2024-01-01', '2024-01-31')"), "2024-01-04")
+    seen = sorted((r["symbol"], r["edge"], r["day"].day, r["kind"]) for r in audit.missing_edges(pairs, there, symbols).collect())
+    assert seen == [("b", "fri", 12, "hard"), ("c", "fri", 12, "soft"), ("c", "mon", 15, "soft")]
+    assert audit.latest_pairs(lead.limit(0), asked, "2024-01-04").where("fri_ts IS NOT NULL").count() == 0
