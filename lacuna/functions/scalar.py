@@ -32,9 +32,15 @@ def gap_scale(gap_days: Column) -> Column:
     return F.sqrt(F.greatest(gap_days - 3, F.lit(0)) + F.lit(1.0))
 
 
+def cut(num: Column, den: Column) -> Column:
+    """num / den, cut toward zero, of whole numbers as decimals. What is left over goes first: a plain quotient is rounded
+    at its sixth digit, which lifts 0.9999999 to one."""
+    return ((num - num % den) / den).cast("decimal(38,0)")
+
+
 def deviation_bps(price: Column, middle: Column) -> Column:
     """Whole basis points from the middle, toward zero; no middle, or 0, gives null."""
-    return F.when(middle != 0, ((price - middle).cast("decimal(30,0)") * 10_000 / middle.cast("decimal(20,0)")).cast("long"))
+    return F.when(middle != 0, cut((price - middle).cast("decimal(30,0)") * 10_000, middle.cast("decimal(20,0)")).cast("long"))
 
 
 def fixed_point(value: Column, exponent: int) -> Column:

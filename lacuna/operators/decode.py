@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import cut
+
 # Codes on the wire, layouts and limits of the records.
 REGIMES = {"normal": 0, "long_weekend": 1, "high_vol": 2}
 FORECASTERS = {"F1_emp_regime": 0, "F0_stale": 1, "mondrian": 2, "lwc": 3}
@@ -92,7 +94,7 @@ def rescaled(raw: Column, from_exp: int, to_exp: int) -> Column:
         return F.lit(None).cast("long")
     wide = raw.cast("decimal(38,0)")
     if gap > 0:
-        out = F.lit(0).cast("decimal(38,0)") if gap > 18 and gap >= 19 else F.when(wide >= 0, F.floor(wide / F.lit(10**gap).cast("decimal(20,0)"))).otherwise(F.ceil(wide / F.lit(10**gap).cast("decimal(20,0)")))
+        out = F.lit(0).cast("decimal(38,0)") if gap > 18 and gap >= 19 else cut(wide, F.lit(10**gap).cast("decimal(20,0)"))
     else:
         limit = (1 << 63) // 10**-gap
         out = F.when(F.abs(wide) <= F.lit(limit).cast("decimal(20,0)"), (wide * F.lit(10 ** min(-gap, 18)).cast("decimal(19,0)")).cast("decimal(38,0)")) if -gap <= 18 else F.when(wide == 0, wide)

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import deviation_bps
+from ..functions.scalar import cut, deviation_bps
 from .shared import sized
 
 # Kinds of upstream and whether they can be read, full closes and early closes of the exchange.
@@ -151,19 +151,19 @@ def _wide(c: Column) -> Column:
 
 def over(num: Column, den: Column) -> Column:
     """num / den, floored, of whole numbers that aren't negative; null over nothing."""
-    return F.expr("0L") + F.floor(F.try_divide(num, den)).cast("decimal(38,0)")
+    return F.expr("0L") + F.when(den != 0, cut(num, den))
 
 
 def swap_out(reserve_in: Column, reserve_out: Column, amount: Column, fee_bps: Column) -> Column:
     """What a constant-product pool pays, the fee taken from the input, all divisions floored."""
     net = F.floor(_wide(amount) * (10_000 - fee_bps).cast("decimal(10,0)") / 10_000).cast("decimal(18,0)")
-    return F.floor((net * _wide(reserve_out)).cast("decimal(38,0)") / (_wide(reserve_in) + net)).cast("long")
+    return cut((net * _wide(reserve_out)).cast("decimal(38,0)"), _wide(reserve_in) + net).cast("long")
 
 
 def surcharge_bps(price: Column, lower: Column, upper: Column, slope_bps: int, most_bps: int) -> Column:
     """Inside the band nothing; outside, the distance in widths times the slope, up to a cap."""
     away = F.greatest(lower - price, price - upper, F.lit(0).cast("long"))
-    return F.when(upper > lower, F.least(F.expr("0L") + F.floor(away.cast("decimal(24,0)") * slope_bps / (upper - lower)).cast("long"), F.lit(most_bps))).otherwise(F.lit(most_bps))
+    return F.when(upper > lower, F.least(F.expr("0L") + cut(away.cast("decimal(24,0)") * slope_bps, _wide(upper - lower)).cast("long"), F.lit(most_bps))).otherwise(F.lit(most_bps))
 
 
 def in_band(base: Column, quote: Column, lower: Column, upper: Column, exponent: int, base_decimals: int, quote_decimals: int) -> Column:
@@ -191,7 +191,7 @@ def quoted(swaps: DataFrame, exponent: int, base_decimals: int, quote_decimals:
     base, quote = (F.when(sell, c("reserves_base") + c("amount")).otherwise(c("reserves_base") - c("_out")), F.when(sell, c("reserves_quote") - c("_out")).otherwise(c("reserves_quote") + c("amount")))
     rows = rows.withColumns({"_b": base, "_q": quote}).withColumn("in_band", F.when(fine, in_band(c("_b"), c("_q"), c("lower"), c("upper"), exponent, base_decimals, quote_decimals)))
     k = quote_decimals - base_decimals + exponent
-    price = F.floor((c("_q").cast("decimal(38,0)") * F.lit(10 ** max(0, -k)).cast("decimal(19,0)")).cast("decimal(38,0)") / (_wide(c("_b")) * F.lit(10 ** max(0, k)).cast("decimal(10,0)"))).cast("long")
+    price = cut((c("_q").cast("decimal(38,0)") * F.lit(10 ** max(0, -k)).cast("decimal(19,0)")).cast("decimal(38,0)"), _wide(c("_b")) * F.lit(10 ** max(0, k)).cast("decimal(10,0)")).cast("long")
     extra = F.when(c("in_band"), 0).otherwise(surcharge_bps(price, c("lower"), c("upper"), slope_bps, most_bps))
     rows = rows.withColumn("fee_bps", F.when(fine, F.least(c("fee") + extra, F.lit(9_999)).cast("long")))
     out = F.when(c("in_band"), c("_out")).otherwise(swap_out(r_in, r_out, c("amount"), c("fee_bps")))
