@@ -68,13 +68,18 @@ def local_time(day: Column, hour: int, minute: int, zone: str) -> Column:
     return F.to_utc_timestamp(day.cast("timestamp") + F.expr(f"INTERVAL {hour * 60 + minute} MINUTES"), zone)
 
 
+def path_factors(panel: DataFrame, pivot: tuple[str, str, str] = PIVOT) -> DataFrame:
+    """Gaps with the factor whose bars their path comes from; the pivot's go from its date on."""
+    rows = panel.where(~((F.col("symbol") == pivot[0]) & (F.col("fri_ts") >= F.lit(pivot[1]).cast("date"))))
+    return rows.withColumn("factor", factor_label(F.col("symbol"), F.col("fri_ts"), pivot=pivot))
+
+
 def anchored_paths(panel: DataFrame, bars: DataFrame, zone: str = "America/New_York", pivot: tuple[str, str, str] = PIVOT, grace_s: int = 60) -> DataFrame:
     """Gaps with the path of their factor's bars (symbol, ts, low, high, close) from 16:00 on the left day to 09:30 on the
     right one, as if it began at the gap's close: factor, n_bars, anchor, path_lo and path_hi, times close / anchor.
 
     The pivot's symbol goes from its date on, as its new factor has no such bars; gaps go without a bar inside or a positive anchor."""
-    rows = panel.where(~((F.col("symbol") == pivot[0]) & (F.col("fri_ts") >= F.lit(pivot[1]).cast("date"))))
-    rows = rows.withColumns({"factor": factor_label(F.col("symbol"), F.col("fri_ts"), pivot=pivot), "_from": local_time(F.col("fri_ts"), 16, 0, zone), "_to": local_time(F.col("mon_ts"), 9, 30, zone)})
+    rows = path_factors(panel, pivot).withColumns({"_from": local_time(F.col("fri_ts"), 16, 0, zone), "_to": local_time(F.col("mon_ts"), 9, 30, zone)})
     found = anchored_extrema(rows, bars.select(F.col("symbol").alias("factor"), "ts", "low", "high", "close"), "factor", "_from", "_to", grace_s).where("anchor > 0")
     scale = F.col("fri_close") / F.col("anchor")
     return found.withColumns({"path_lo": F.col("low") * scale, "path_hi": F.col("high") * scale}).withColumnRenamed("n", "n_bars").drop("low", "high", "_from", "_to")

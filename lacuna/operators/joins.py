@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import sized, written
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], order: str, within_s: int | None = None) -> DataFrame:
     """Each left row with the last right row at or before it (ties by order), not older than within_s seconds.

@@ -23,17 +23,25 @@ TEST = "2000-01-01"
 SHIFTS = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05)
 
 
-def minute_bars(s, d):  # noqa: ANN001, ANN201
-    """Trades by brand and minute; a line's minute of its day comes from its order and number."""
+def minute_bars(s, d, symbols=None):  # noqa: ANN001, ANN201
+    """Trades by brand and minute, of all brands or of some; a line's minute of its day comes from its order and number."""
+    parts = M.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    if symbols is not None:
+        parts = sized(parts.join(sized(symbols), "symbol", "left_semi"), 1_000_000)
+    lines = M.table(s, d, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
     at = F.to_date("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 1440).cast("int"))
-    lines = M.table(s, d, "lineitem").select("l_partkey", at.alias("ts"), F.struct("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p")).alias("t"))
-    both = lines.join(M.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol")), "l_partkey")
-    return both.groupBy("symbol", "ts").agg(F.min("t.p").alias("low"), F.max("t.p").alias("high"), F.max("t")["p"].alias("close"))
+    both = lines.join(parts, "l_partkey").select("symbol", at.alias("ts"), "p", F.struct("l_orderkey", "l_linenumber", "p").alias("t"))
+    return both.groupBy("symbol", "ts").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.max("t")["p"].alias("close"))
+
+
+def factor_minutes(s, d):  # noqa: ANN001, ANN201
+    """The minute bars that paths are made of: those of every brand that is some gap's factor. No gap looks at others."""
+    return once(s, "factor-minutes", d, lambda: minute_bars(s, d, X.path_factors(panel(s, d)).select(F.col("factor").alias("symbol")).distinct()))
 
 
 def anchored(s, d):  # noqa: ANN001, ANN201
     """The gaps that have an anchored path, with its score."""
-    return once(s, "anchored", d, lambda: P.with_path_score(X.anchored_paths(panel(s, d), minute_bars(s, d))))
+    return once(s, "anchored", d, lambda: P.with_path_score(X.anchored_paths(panel(s, d), factor_minutes(s, d))))
 
 
 def q_anchored_paths(s, d):  # noqa: ANN001, ANN201
