@@ -58,10 +58,10 @@ def q_anchored_coverage(s, d):  # noqa: ANN001, ANN201
 def q_band_minutes(s, d):  # noqa: ANN001, ANN201
     """Served bands on the minutes of late gaps: of a gap's anchored closes how many lie inside, and the first that doesn't."""
     gaps = anchored(s, d).where(F.col("fri_ts") >= SPLIT).select("symbol", "fri_ts", "factor", (F.col("fri_close") / F.col("anchor")).alias("scale"), X.local_time(F.col("fri_ts"), 16, 0, "America/New_York").alias("a"), X.local_time(F.col("mon_ts"), 9, 30, "America/New_York").alias("b"))
-    days = gaps.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
-    bars = minute_bars(s, d).select(F.col("symbol").alias("factor"), F.to_date("ts").alias("day"), "ts", "close")
+    days = sized(gaps.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b")))))
+    bars = factor_minutes(s, d).select(F.col("symbol").alias("factor"), F.to_date("ts").alias("day"), "ts", "close")
     line = days.join(bars, ["factor", "day"]).where("ts BETWEEN a AND b").select("symbol", "fri_ts", "ts", (F.col("close") * F.col("scale")).alias("price"))
-    both = line.join(bands(s, d).select("symbol", "fri_ts", "tau_bps", "lower", "upper"), ["symbol", "fri_ts"])
+    both = line.join(sized(bands(s, d).select("symbol", "fri_ts", "tau_bps", "lower", "upper")), ["symbol", "fri_ts"])
     inside = F.col("price").between(F.col("lower"), F.col("upper"))
     return both.groupBy("symbol", "fri_ts", "tau_bps").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"), F.min(F.when(~inside, F.col("ts"))).cast("timestamp_ntz").alias("first_out"))
 
