@@ -88,19 +88,49 @@ def anchored_extrema(windows: DataFrame, ticks: DataFrame, key: str, start: str,
     the last close up to grace_s seconds after the start, else the first inside. Windows without a tick inside go; of ticks
     at one time the greatest close counts.
 
-    Windows that many rows share are looked at once, spread over the days that they touch.
+    Windows that many rows share are looked at once, spread over the days that they touch. What is found in them is
+    written before the anchors are looked for; ticks are read three times and should be a table by then.
     """
     own = windows.select(key, start, end).distinct()
-    days = own.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+    days = sized(own.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end)))))
     inside = ticks.select(key, F.to_date("ts").alias("_day"), F.col("ts").alias("_ts"), F.col("low").alias("_l"), F.col("high").alias("_h"), F.struct("ts", (-F.col("close")).alias("down")).alias("_c"))
     both = days.join(inside, [key, "_day"]).where((F.col("_ts") >= F.col(start)) & (F.col("_ts") <= F.col(end)))
     g = both.groupBy(key, start, end).agg(F.count("*").alias("n"), F.min("_l").alias("low"), F.max("_h").alias("high"), (-F.min("_c")["down"]).alias("_first"))
-    g = g.withColumn("_at", F.timestamp_micros(F.unix_micros(start) + grace_s * 1_000_000))
+    g = written(g.withColumn("_at", F.timestamp_micros(F.unix_micros(start) + grace_s * 1_000_000)), "inside")
     last = ticks.groupBy(key, F.col("ts").alias("_at")).agg(F.max("close").alias("_pre")).withColumn("_o", F.lit(0))
     seen = as_of_by_day(g, last, key, "_at", ["_pre"], "_o")
     return windows.join(seen.select(key, start, end, "n", "low", "high", F.coalesce("_pre", "_first").alias("anchor")), [key, start, end])
 
 
+def minutes_after(asks: DataFrame, ticks: DataFrame, key: str, ts: str, order: str, minutes: int = 60, within_s: int = 86_400) -> DataFrame:
+    """asks once for each whole minute of the so many after their own, with the order of their key's last tick at or before
+    the minute (ties by order); minutes whose last tick is older than within_s go.
+
+    Ticks count by minutes, of which the last one is seen, and asks of one minute are looked up once: by what was seen at
+    the first minute and the ticks that came later, at most one a minute. The grid is laid out from these pieces at the
+    end, row by row, so that it is neither sorted nor sent around, however dense either side is.
+    """
+    us, step = 60_000_000, 60_000_000 * minutes
+    down = lambda x, unit: x - F.pmod(x, F.lit(unit))
+    first = down(F.unix_micros(ts), us) + us
+    wanted = asks.withColumn("_first", first).where(F.col(key).isNotNull() & F.col("_first").isNotNull())
+    up = down(F.unix_micros(ts) + (us - 1), us)
+    known = ticks.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, up.alias("_at")).agg(F.max(F.struct(F.unix_micros(ts).alias("us"), F.col(order).alias("o"))).alias("_v"))
+    starts, line = wanted.select(key, "_first").distinct(), Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = known.withColumn("_side", F.lit(0)).unionByName(starts.select(key, F.col("_first").alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    held = both.withColumn("_v", F.last("_v", ignorenulls=True).over(line)).where("_side = 1 AND _v IS NOT NULL").select(key, F.col("_at").alias("_first"), "_at", "_v")
+    last = F.col("_first") + (step - us)
+    spans = starts.withColumn("_span", F.explode(F.sequence(down(F.col("_first") + us, step), down(last, step), F.lit(step).cast("long"))))
+    later = spans.join(known.withColumn("_span", down(F.col("_at"), step)), [key, "_span"]).where((F.col("_at") > F.col("_first")) & (F.col("_at") <= last))
+    pieces = held.unionByName(later.select(key, "_first", "_at", "_v")).groupBy(key, "_first").agg(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_v.us").alias("us"), F.col("_v.o").alias("o")))).alias("_p"))
+    names = [c for c in asks.columns if c not in (ts, order)]
+    until = lambda i: F.coalesce(F.get("_p", i + 1)["at"] - us, last)
+    laid = wanted.join(pieces, [key, "_first"]).select(*names, "_first", F.explode(F.transform("_p", lambda p, i: F.struct(p.alias("p"), until(i).alias("to")))).alias("_x"))
+    fresh = F.least(F.col("_x.to"), down(F.col("_x.p.us") + within_s * 1_000_000, us))
+    laid = laid.withColumn("_to", fresh).where(F.col("_to") >= F.col("_x.p.at"))
+    return laid.select(*names, F.col("_x.p.o").alias(order), F.explode(F.sequence("_x.p.at", "_to", F.lit(us).cast("long"))).alias("_m")).withColumn(ts, F.timestamp_micros("_m")).drop("_m")
+
+
 def event_within(panel: DataFrame, events: DataFrame, days: int = 4) -> DataFrame:
     """earnings_next_week: whether the symbol has an event from the right edge on, so many days long."""
     spread = events.select("symbol", "event_date").distinct().withColumn("mon_ts", F.explode(F.sequence(F.date_sub("event_date", days), "event_date"))).select("symbol", "mon_ts").distinct().withColumn("_hit", F.lit(True))

@@ -133,8 +133,7 @@ def q_path_summary(s, d):  # noqa: ANN001, ANN201
 
 def q_minute_panel(s, d):  # noqa: ANN001, ANN201
     """A minute grid over windows of an hour after each purchase, with the user's last tick before each minute."""
-    grid = asks(s, d).select("user", "ask_id", F.explode(F.expr("sequence(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 60 MINUTES, INTERVAL 1 MINUTE)")).alias("ts"))
-    out = J.as_of(grid, ticks(s, d), "user", "ts", ["event_id"], "event_id", within_s=86_400).where("event_id IS NOT NULL")
+    out = J.minutes_after(asks(s, d), ticks(s, d), "user", "ts", "event_id")
     return out.select("ask_id", F.col("ts").cast("timestamp_ntz").alias("minute"), "event_id")
 
 

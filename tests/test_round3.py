@@ -33,3 +33,23 @@ def test_paths_read_minutes_of_factors_only(spark):
     kept = {r["symbol"] for r in own.select("symbol").distinct().collect()}
     assert factors and factors <= kept < {r["symbol"] for r in whole.select("symbol").distinct().collect()}
     assert sorted(own.collect()) == sorted(whole.where(F.col("symbol").isin(*kept)).collect())
+
+
+def test_minutes_after_by_pieces(spark):
+    random.seed(5)
+    at = lambda s: dt.datetime(2024, 1, 1, 10) + dt.timedelta(seconds=s)
+    # a dense key, a sparse one with ties and whole minutes, one without ticks, and rows without a key or a time
+    asks = [("a", at(random.randrange(0, 9000)), i) for i in range(60)] + [("b", at(60 * i), 100 + i) for i in range(0, 300, 7)] + [("c", at(5), 900), (None, at(5), 901), ("a", None, 902)]
+    ticks = [("a", at(random.randrange(-500, 9000)), 1000 + i) for i in range(900)] + [("b", at(t), 3000 + i) for i, t in enumerate((-3600, 0, 0, 60, 61, 4000, 4000, 4020, 9000))] + [(None, at(0), 4000), ("b", None, 4001)]
+    a = spark.createDataFrame(asks, "user string, ts timestamp, ask_id long")
+    t = spark.createDataFrame(ticks, "user string, ts timestamp, event_id long")
+    for minutes, within in ((60, 86_400), (7, 90), (60, 1800)):
+        got = [(r["user"], r["ask_id"], r["ts"], r["event_id"]) for r in J.minutes_after(a, t, "user", "ts", "event_id", minutes, within).collect()]
+        want = []
+        for user, ts, i in asks:
+            for m in range(1, minutes + 1) if user and ts else ():
+                minute = ts.replace(second=0) + dt.timedelta(minutes=m)
+                seen = [(x, o) for u, x, o in ticks if u == user and x is not None and x <= minute]
+                if seen and minute - max(seen)[0] <= dt.timedelta(seconds=within):
+                    want.append((user, i, minute, max(seen)[1]))
+        assert len(want) > 50 and sorted(got) == sorted(want)
