@@ -53,3 +53,25 @@ def test_minutes_after_by_pieces(spark):
                 if seen and minute - max(seen)[0] <= dt.timedelta(seconds=within):
                     want.append((user, i, minute, max(seen)[1]))
         assert len(want) > 50 and sorted(got) == sorted(want)
+
+
+def test_base58_in_batches(spark):
+    random.seed(3)
+    blocks = [b"", b"\0", b"\0\0a", *[bytes(random.randrange(256) for _ in range(n)) for n in range(1, 200)]]
+
+    def plain(data):  # noqa: ANN001, ANN202
+        n, out = int.from_bytes(data, "big"), ""
+        while n:
+            n, r = divmod(n, 58)
+            out = W.BASE58[r] + out
+        return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
+
+    assert W.base58_texts([*blocks, None]) == [*map(plain, blocks), None]
+    assert W.base58_many(["0", *map(plain, blocks), None, "1é", "zl", "111"]) == [None, *blocks, None, None, None, b"\0\0\0"]
+
+
+def test_verify_rows_are_dealt_over_all_tasks(spark):
+    from lacuna.plans import router_queries as Q
+
+    got = Q.q_verify(spark, "/root/testdata/sf0.001")
+    assert got.select("event_id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
