@@ -56,18 +56,23 @@ def q_sliding(s, d):  # noqa: ANN001, ANN201
 def q_adaptive(s, d):  # noqa: ANN001, ANN201
     """The adaptive multipliers of late gaps as a stream in three parts, stopped after each: all periods but the last, which
     stays open."""
-    at, name = fresh_path(s, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    at, quantiles = fresh_path(s, "stream"), table(s, d)
     rows = replay_scores(s, d).select("regime_pub", "fri_ts", "score")
     edges = [SPLIT, "1999-06-01", "2000-03-01", "2100-01-01"]
-    old = s.conf.get(name, None)
-    s.conf.set(name, adaptive.STORE)
+    # a state's parts cost a worker and a store each at every batch, and hold whole cells: no more of them than cells
+    cells = quantiles.select("regime_pub").distinct().count()
+    own = {"spark.sql.streaming.stateStore.providerClass": adaptive.STORE, "spark.sql.shuffle.partitions": str(max(1, min(cells, int(s.conf.get("spark.sql.shuffle.partitions")))))}
+    old = {k: s.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        s.conf.set(k, v)
     try:
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             rows.where((F.col("fri_ts") >= lo) & (F.col("fri_ts") < hi)).write.mode("append").parquet(f"{at}/in")
-            own = s.readStream.schema(rows.schema).parquet(f"{at}/in")
-            live.drain(adaptive.adaptive_stream(own, table(s, d), "regime_pub", "fri_ts", "score"), f"{at}/out", f"{at}/checkpoint")
+            part = s.readStream.schema(rows.schema).parquet(f"{at}/in")
+            live.drain(adaptive.adaptive_stream(part, quantiles, "regime_pub", "fri_ts", "score"), f"{at}/out", f"{at}/checkpoint")
     finally:
-        s.conf.set(name, old) if old else s.conf.unset(name)
+        for k, v in old.items():
+            s.conf.set(k, v) if v else s.conf.unset(k)
     return rounded(s.read.parquet(f"{at}/out").drop("batch"), 8)
 
 

@@ -75,3 +75,16 @@ def test_verify_rows_are_dealt_over_all_tasks(spark):
 
     got = Q.q_verify(spark, "/root/testdata/sf0.001")
     assert got.select("event_id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_adaptive_stream_keeps_no_more_state_than_cells(spark, monkeypatch):
+    from lacuna.plans import stream_queries as S
+
+    seen, run = [], S.live.drain
+    monkeypatch.setattr(S.live, "drain", lambda *a, **k: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), run(*a, **k)))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert S.q_adaptive(spark, "/root/testdata/sf0.001").count()
+        assert len(seen) == 3 and max(seen) <= 3 and spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
